@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from sporeline.llm import quality, shards
+from sporeline.llm import bpe, quality, secrets, shards
 
 QUERIES = {
     "op1_interleaved_shards": shards.op1_interleaved_shards,
+    "op3_bpe_tree": bpe.op3_bpe_tree,
+    "op5_secret_ledger": secrets.op5_secret_ledger,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
 SQL = {
     "op1_interleaved_shards": shards.OP1_SQL,
+    "op5_secret_ledger": secrets.OP5_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }

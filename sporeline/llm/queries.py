@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sporeline.llm import bpe, quality, secrets, shards
+from sporeline.llm import bpe, near_dedup, quality, secrets, shards
 
 QUERIES = {
     "op1_interleaved_shards": shards.op1_interleaved_shards,
     "op3_bpe_tree": bpe.op3_bpe_tree,
     "op5_secret_ledger": secrets.op5_secret_ledger,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 SQL = {

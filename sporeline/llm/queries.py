@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from sporeline.llm import bpe, near_dedup, quality, secrets, shards
+from sporeline.llm import bpe, decontam, near_dedup, pii, quality, secrets, shards, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_interleaved_shards": shards.op1_interleaved_shards,
+    "op2_sparse_suffix_dedup": suffix_dedup.op2_sparse_suffix_dedup,
     "op3_bpe_tree": bpe.op3_bpe_tree,
+    "op4_bootstrapped_pii": pii.op4_bootstrapped_pii,
     "op5_secret_ledger": secrets.op5_secret_ledger,
+    "op6_cgk_decontamination": decontam.op6_cgk_decontamination,
+    "op7_token_rollups": token_counts.op7_token_rollups,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }

@@ -2,12 +2,13 @@
 
 Nodes are distinct texts, named by a 16-byte fingerprint. Texts that share a
 band form a bucket. A bucket's members are not paired with each other: they
-are paired with a few hubs, pairs are verified on the whole texts, and links
-become components. A bucket whose members end up in one component is closed,
-for no link in it can change a class. Hubs of the others are retired and the
-next ones tried, against members of other components only, until every bucket
-is closed or every member has been a hub: then every pair of texts that share
-a band and lie in different classes has been compared.
+are paired with one hub, the text whose buckets are largest, which of many
+near copies is the one that most resemble. Pairs are verified on the whole
+texts, and links become classes. A bucket whose other members are in one class
+is closed, for no link in it can change a class. In the others the hub is
+retired and the next ones tried, more in each round, against members of other
+classes only, until every bucket is closed: then every pair of texts that
+share a band and lie in different classes has been compared.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from sporeline.functions.storage import materialize
 from sporeline.operators.graph import connected_components
 
+#: Hubs of a bucket in the first round, second, ...: 1, GROWTH, GROWTH ** 2, ...
+GROWTH = 8
+
+
 def fingerprint(text: Column) -> Column:
     """16 bytes that name a text; a null text has the name of the empty one."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
@@ -35,33 +40,42 @@ def linked_classes(bands: DataFrame, texts: DataFrame, similar: Callable[[list[s
     written to the shared folder.
     """
     rows = bands.select("fp", F.explode("bands").alias("band"))
-    full = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = materialize(rows.join(full, "band").select("band", "fp"))
+    full = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = rows.join(full, "band")
+    # a text whose buckets are large is near many others: the best hub
+    weights = members.groupBy("fp").agg(F.sum("n").alias("weight"))
+    members = materialize(members.select("band", "fp").join(weights, "fp"))
     texts = materialize(texts.join(members.select("fp").distinct(), "fp", "left_semi"))
-    tested, links, classes = None, None, None
+    classes = members.select("fp", F.col("fp").alias("class")).distinct()
+    tested, cells, linked = None, 1, False
     while not members.isEmpty():
-        order = F.xxhash64("band", "fp")
-        hubs = members.groupBy("band").agg(
-            F.array_distinct(F.array(F.min("fp"), F.max("fp"), F.min_by("fp", order), F.max_by("fp", order))).alias("hubs")
-        )
-        hubs = materialize(hubs.select("band", F.explode("hubs").alias("hub")))
-        pairs = hubs.join(members, "band").where("hub <> fp").select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b")).distinct()
+        cell = F.pmod(F.xxhash64("band", "fp"), F.lit(cells))
+        hubs = members.groupBy("band", cell.alias("cell")).agg(F.max_by(F.struct("fp", "class") if linked else "fp", F.struct("weight", "fp")).alias("hub"))
+        hubs = materialize(hubs.select("band", "hub.fp", "hub.class") if linked else hubs.select("band", F.col("hub").alias("fp"), F.col("hub").alias("class")))
+        other = members if linked else members.withColumn("class", F.col("fp"))
+        pairs = hubs.select("band", F.col("fp").alias("hub"), F.col("class").alias("hub_class")).join(other, "band").where("hub_class <> class")
+        pairs = pairs.select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         found = materialize(_verified(pairs, texts, similar))
         tested = found if tested is None else tested.unionByName(found)
-        links = tested.where("linked")
-        classes = connected_components(links, src="a", dst="b")
-        classes = materialize(classes.select(F.col("node").alias("fp"), F.col("component").alias("class")))
-        rest = members.select("band", "fp").join(hubs.withColumnRenamed("hub", "fp"), ["band", "fp"], "left_anti")
-        rest = rest.join(classes, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
+        links = found.where("linked")
+        if not links.isEmpty():
+            classes = materialize(_merged(classes, links))
+        rest = members.select("band", "fp", "weight").join(hubs.select("band", "fp"), ["band", "fp"], "left_anti").join(classes, "fp")
         mixed = rest.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band")
-        members = materialize(rest.join(mixed, "band").select("band", "fp"))
-    if classes is None:
-        return bands.select("fp", F.col("fp").alias("class")).limit(0)
+        members = materialize(rest.join(mixed, "band"))
+        linked, cells = True, cells * GROWTH
     return classes
 
 
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` after the classes that new links touch have become one."""
+    ends = links.join(classes.select(F.col("fp").alias("a"), F.col("class").alias("u")), "a").join(classes.select(F.col("fp").alias("b"), F.col("class").alias("v")), "b")
+    joined = connected_components(ends.select("u", "v"), src="u", dst="v").select(F.col("node").alias("class"), "component")
+    return classes.join(joined, "class", "left").select("fp", F.coalesce("component", "class").alias("class"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similar: Callable) -> DataFrame:
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -8,9 +8,14 @@ the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sporeline.functions.storage import materialize
+from sporeline.llm.bpe import encode, vocabulary
+from sporeline.llm.decontam import drop_contaminated
+from sporeline.llm.near_dedup import one_of_each_class
 from sporeline.llm.quality import quality
+from sporeline.llm.secrets import redact, scan_secrets
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +23,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality(docs, out="_quality").where("_quality.kept").drop("_quality")
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each class of near-duplicates."""
+    return one_of_each_class(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts masked and ``n_chars`` brought up to date."""
+    scanned = scan_secrets(docs).withColumn("_masked", redact(F.col("text"), F.col("findings")))
+    masked = scanned.withColumn("text", F.coalesce("_masked", "text"))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.col("_masked").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return masked.select(*docs.columns)
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and token ids of each document's whole text."""
+    import public_tokenizers
+
+    shared = vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode(docs.select("doc_id", "text"), shared).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("bpe_tokens", bpe_tokens),
+]
 
 #: Near-dedup, edit distance and BPE have no SQL form; tests hold the run against brute force.
 ORACLE_SQL = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sporeline.llm import bpe, decontam, near_dedup, pii, quality, secrets, shards, suffix_dedup, token_counts
+from sporeline.llm import bpe, decontam, near_dedup, pii, quality, secrets, shards, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_interleaved_shards": shards.op1_interleaved_shards,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secret_ledger": secrets.op5_secret_ledger,
     "op6_cgk_decontamination": decontam.op6_cgk_decontamination,
     "op7_token_rollups": token_counts.op7_token_rollups,
+    "op8_paragraph_minhash": substring_dedup.op8_paragraph_minhash,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }

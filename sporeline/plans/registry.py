@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+_MODULES = ("hit_queries",)
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _name in _MODULES:
+    _module = import_module(f"sporeline.plans.{_name}")
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL

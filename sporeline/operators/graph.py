@@ -51,3 +51,212 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))").alias("s")).first()
     return row["n"], row["s"]
+
+
+def _components_of(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``edges`` with the component of each row."""
+    found = connected_components(edges, src=a, dst=b)
+    return edges.join(found.select(F.col("node").alias(a), "component"), a)
+
+
+def _bounded(rows: DataFrame, limit: int) -> DataFrame:
+    """Fails when a component has more rows than one task may take: such rules need tighter thresholds, not cut groups."""
+    largest = rows.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest > limit:
+        raise ValueError(f"the largest component has {largest} edges; filter hits more strictly or raise the limit of {limit}")
+    return rows
+
+
+def star_clusters(hits: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """(cluster, member): queries in line order; each that is no member yet takes its subjects, which stop being seeds.
+
+    ``cluster`` is the seed with prefix singlet_ or cluster_ by size. The rule
+    never crosses a component, so it runs for each component apart.
+    """
+    import pandas as pd
+
+    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_no", kind="stable")
+        subjects = pdf.groupby("query_id", sort=False)["subject_id"].agg(list)
+        taken, rows = set(), []
+        for query, others in subjects.items():
+            if query in taken:
+                continue
+            members = list(dict.fromkeys([query, *(s for s in others if s not in taken)]))
+            taken.update(members)
+            name = f"{'singlet' if len(members) == 1 else 'cluster'}_{query}"
+            rows += [(name, m) for m in members]
+        return pd.DataFrame(rows, columns=["cluster", "member"])
+
+    linked = hits.where("query_id <> subject_id")
+    own = hits.where("query_id = subject_id").join(linked.select("query_id").union(linked.select("subject_id")).distinct(), "query_id", "left_anti")
+    rows = _bounded(_components_of(linked.select("query_id", "subject_id", "line_no"), "query_id", "subject_id"), limit)
+    grouped = rows.groupBy("component").applyInPandas(rule, "cluster string, member string")
+    return grouped.unionByName(own.select(F.concat(F.lit("singlet_"), "query_id").alias("cluster"), F.col("query_id").alias("member")).distinct())
+
+
+def greedy_clusters(hits: DataFrame, max_members: int | None = None, limit: int = 2_000_000) -> DataFrame:
+    """(cluster, member, size): in line order a subject joins its query's cluster while that is below ``max_members``, else opens its own.
+
+    Clusters are named cluster_1, cluster_2, ... by size, largest first, ties by least member.
+    """
+    import pandas as pd
+
+    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+        of, size = {}, {}
+        for query, subject in pdf.sort_values("line_no", kind="stable")[["query_id", "subject_id"]].itertuples(index=False):
+            if query not in of:
+                of[query], size[query] = query, 1
+            home = of[query]
+            if subject not in of:
+                if max_members is None or size[home] < max_members:
+                    of[subject] = home
+                    size[home] += 1
+                else:
+                    of[subject], size[subject] = subject, 1
+        return pd.DataFrame({"seed": list(of.values()), "member": list(of.keys())})
+
+    rows = _bounded(_components_of(hits.select("query_id", "subject_id", "line_no"), "query_id", "subject_id"), limit)
+    found = materialize(rows.groupBy("component").applyInPandas(rule, "seed string, member string"))
+    sizes = found.groupBy("seed").agg(F.count("*").alias("size"), F.min("member").alias("least"))
+    return found.join(_numbered(sizes, ["size", "least"], "cluster_"), "seed").select("cluster", "member", "size")
+
+
+def _numbered(groups: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """``groups`` with a name by rank, largest first: sorted by range, numbered by position in the sorted order."""
+    ordered = groups.orderBy(F.col(by[0]).desc(), *by[1:])
+    indexed = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    schema = ordered.schema.add("rank", "long")
+    return groups.sparkSession.createDataFrame(indexed, schema).withColumn("cluster", F.concat(F.lit(prefix), "rank")).drop("rank")
+
+
+def cluster_sizes(members: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
+    """(cluster_id, size) within [least, most]."""
+    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    return sizes if most is None else sizes.where(F.col("size") <= most)
+
+
+def size_histogram(members: DataFrame, bins: int = 20) -> DataFrame:
+    """(bin, smallest, largest, clusters): cluster sizes in equal bins up to the largest."""
+    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    top = sizes.agg(F.max("n").alias("m"))  # one row
+    binned = sizes.crossJoin(F.broadcast(top)).withColumn("bin", F.expr(f"cast(least((n * {bins}) div (m + 1), {bins - 1}) as int)"))
+    return binned.groupBy("bin").agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count("*").alias("clusters"))
+
+
+def articulation_points(edges: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """(component, node): nodes whose loss parts their component."""
+    import pandas as pd
+
+    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, list[str]] = {}
+        for a, b in pdf[["src", "dst"]].itertuples(index=False):
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+        order, low, cut = {}, {}, set()
+        root = min(near)
+        order[root] = low[root] = 0
+        path, branches = [(root, None, iter(near[root]))], 0
+        while path:
+            node, parent, rest = path[-1]
+            child = next(rest, None)
+            if child is None:
+                path.pop()
+                if parent is not None:
+                    low[parent] = min(low[parent], low[node])
+                    if parent != root and low[node] >= order[parent]:
+                        cut.add(parent)
+            elif child not in order:
+                order[child] = low[child] = len(order)
+                branches += node == root
+                path.append((child, node, iter(near[child])))
+            elif child != parent:
+                low[node] = min(low[node], order[child])
+        if branches > 1:
+            cut.add(root)
+        return pd.DataFrame([(pdf["component"].iloc[0], n) for n in sorted(cut)], columns=["component", "node"], dtype=object)
+
+    pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+    rows = _bounded(_components_of(pairs, "src", "dst"), limit)
+    return rows.groupBy("component").applyInPandas(rule, "component string, node string")
+
+
+def assembly_order(edges: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """(component, node, joined_to, weight, place): maximum spanning tree grown from the heaviest edge.
+
+    Of equally heavy edges the one of least ends is taken. The first node has no ``joined_to``.
+    """
+    import heapq
+
+    import pandas as pd
+
+    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, list] = {}
+        for a, b, w in pdf[["src", "dst", "weight"]].itertuples(index=False):
+            near.setdefault(a, []).append((-w, a, b))
+            near.setdefault(b, []).append((-w, b, a))
+        root = min((x for row in near.values() for x in row), key=lambda x: (x[0], x[1], x[2]))[1]
+        rows, seen, heap = [(root, None, None)], {root}, list(near[root])
+        heapq.heapify(heap)
+        while heap:
+            w, a, b = heapq.heappop(heap)
+            if b in seen:
+                continue
+            seen.add(b)
+            rows.append((b, a, float(-w)))
+            for x in near[b]:
+                heapq.heappush(heap, x)
+        out = pd.DataFrame(rows, columns=["node", "joined_to", "weight"])
+        return out.assign(component=pdf["component"].iloc[0], place=range(len(out)))[["component", "node", "joined_to", "weight", "place"]]
+
+    rows = _bounded(_components_of(edges.select("src", "dst", "weight").where("src <> dst"), "src", "dst"), limit)
+    return rows.groupBy("component").applyInPandas(rule, "component string, node string, joined_to string, weight double, place int")
+
+
+def relabel_clusters(clusters: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Clusters under their new names; a cluster without one fails the job. ``mapping`` has old, new."""
+    j = clusters.join(mapping.select(F.col("old").alias("cluster_id"), "new"), "cluster_id", "left")
+    checked = F.when(F.col("new").isNotNull(), F.col("new")).otherwise(F.raise_error(F.concat(F.lit("no new name for cluster "), F.col("cluster_id").cast("string"))))
+    return j.select(checked.alias("cluster_id"), *[c for c in clusters.columns if c != "cluster_id"])
+
+
+def threshold_clusters(pairs: DataFrame, ids: DataFrame, cutoff: float) -> DataFrame:
+    """(id, cluster): groups of pairs (a, b, distance) within the cutoff as CL-<least id>, the rest as SG-<id>."""
+    found = connected_components(pairs.where(F.col("distance") <= cutoff), src="a", dst="b")
+    j = ids.join(found.withColumnRenamed("node", "id"), "id", "left")
+    return j.select("id", F.coalesce(F.concat(F.lit("CL-"), "component"), F.concat(F.lit("SG-"), "id")).alias("cluster"))
+
+
+def family_members(families: DataFrame, protein_to_gene: DataFrame) -> DataFrame:
+    """(family, gene, taxon, n_members, n_taxa) from 'protein(taxon) ...' lists, without proteins that have no gene."""
+    each = families.select("family", F.explode(F.split("members", r"\s+")).alias("m"))
+    each = each.select("family", F.regexp_extract("m", r"^(.*)\((.*)\)$", 1).alias("protein"), F.regexp_extract("m", r"^(.*)\((.*)\)$", 2).alias("taxon"))
+    kept = each.join(protein_to_gene, "protein").select("family", "gene", "taxon")
+    counts = kept.groupBy("family").agg(F.count("*").alias("n_members"), F.countDistinct("taxon").alias("n_taxa"))
+    return kept.join(counts, "family")
+
+
+def family_track(members: DataFrame, features: DataFrame, species: str, large: int = 20) -> DataFrame:
+    """For each located member of a species one row per other member of its family, or one 'large family' row."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"))
+    here = members.where(F.col("species") == species).join(features, "gene").join(sizes, "family").select("family", "gene", "ref", "start", "end", "n")
+    few = here.where(F.col("n") <= large).drop("n")
+    others = members.select("family", F.col("gene").alias("member"), "species")
+    rows = few.join(others, "family").where("member <> gene").select("ref", "start", "end", "gene", "family", "member", "species")
+    big = here.where(F.col("n") > large).select("ref", "start", "end", "gene", "family", F.lit(None).cast("string").alias("member"), F.lit("large family").alias("species"))
+    return rows.unionByName(big)
+
+
+def supported_orthologs(lines: DataFrame, least: int = 60) -> DataFrame:
+    """(family, gene, ortholog, bootstrap) from lines (file, line_no, gene or null, ortholog, bootstrap): a gene line heads the lines below it."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("file").orderBy("line_no")
+    filled = lines.withColumn("gene", F.last("gene", ignorenulls=True).over(by))
+    return filled.where((F.col("bootstrap") >= least) & F.col("ortholog").isNotNull()).select(F.col("file").alias("family"), "gene", "ortholog", "bootstrap")
+
+
+def cluster_sequences(clusters: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Members with sequence (null where unlisted) and the cluster's size."""
+    sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("size"))
+    return clusters.join(seqs.select("id", "seq"), "id", "left").join(sizes, "cluster_id").select("cluster_id", "id", "seq", "size")

@@ -53,7 +53,7 @@ def parse_defline_annotations(lines: DataFrame) -> DataFrame:
     parts = F.split("value", r"\s*\|\s*")
     ident = F.regexp_extract("value", r"^>?(\S+)", 1)
     symbols = F.regexp_extract("value", r"Symbols:\s*([^|]*)", 1)
-    aliases = F.array_distinct(F.filter(F.transform(F.split(symbols, ","), F.trim), lambda x: x != ""))
+    aliases = F.array_distinct(F.filter(F.transform(F.split(symbols, ","), lambda x: F.trim(x)), lambda x: x != ""))
     description = F.get(parts, F.when(F.get(parts, F.lit(1)).startswith("Symbols:"), 2).otherwise(1))
     return lines.select(ident.alias("id"), F.explode_outer(aliases).alias("alias"), description.alias("description"))
 

@@ -64,7 +64,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "members_go": (("embeddings",), "SELECT concat('V', vec_id) AS member, concat('GO:', vec_id % 9) AS go_id FROM embeddings WHERE vec_id % 3 <> 0"),
     "aligned": (
         ("embeddings",),
-        """SELECT label * 100 + vec_id % 40 AS family, concat('V', vec_id) AS member,
+        """SELECT label * 10 + vec_id % 9 AS family, concat('V', vec_id) AS member,
         concat(repeat('-', cast(vec_id % 7 AS int)), substring('ACGTACGGTACCATGCATTACGGATCCA', cast(vec_id % 7 + 1 AS int), cast(20 - vec_id % 5 AS int)), repeat('-', cast(vec_id % 5 + 8 - vec_id % 7 AS int))) AS seq FROM embeddings""",
     ),
     "libraries": (("nation",), "SELECT n_nationkey AS library_id, n_regionkey AS organism_id, n_name AS name FROM nation"),

@@ -1,2 +1,227 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries over gene families (P0 to P16) and the remaining feature operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sporeline.operators import families as P
+from sporeline.operators import features as FT
+from sporeline.plans.adapters import view, with_views
+
+
+def _aligned(spark, d):
+    return view(spark, d, "aligned")
+
+
+def _strains(spark, d):
+    return view(spark, d, "members").select("member", "strain")
+
+
+def _members(spark, d):
+    return _aligned(spark, d).select("family", "member").join(_strains(spark, d), "member")
+
+
+def p0_align_stats(spark, d):
+    return P.align_stats(_aligned(spark, d), _strains(spark, d)).withColumn("identity", F.round("identity", 4))
+
+
+def p0b_ace_to_alignment(spark, d):
+    rows = view(spark, d, "contig_reads").select("contig_id", "read_id", (F.col("start") % 40 - 5).alias("start"), F.lit("ACGTTGCAAC").alias("seq"))
+    return P.ace_to_alignment(rows, view(spark, d, "contig_lengths").withColumn("length", F.col("length") * 0 + 60))
+
+
+def p1_aligned_span(spark, d):
+    return P.aligned_span(_aligned(spark, d))
+
+
+def p2_member_overlaps(spark, d):
+    return P.member_overlaps(_aligned(spark, d)).select("family", "a", "b", "start", "end", "length", F.round("identity", 4).alias("identity"), F.round("score", 4).alias("score"))
+
+
+def p3_seed_pairs(spark, d):
+    return P.seed_pairs(P.member_overlaps(_aligned(spark, d)), "length", 10).select("family", "a", "b", "length")
+
+
+def p4_common_overlap(spark, d):
+    return P.common_overlap(P.aligned_span(_aligned(spark, d)))
+
+
+def p4_slice_alignment(spark, d):
+    a = _aligned(spark, d)
+    return P.slice_alignment(a, P.common_overlap(P.aligned_span(a)))
+
+
+def p5_strain_composition(spark, d):
+    return P.strain_composition(_members(spark, d), {"st0": 1, "st2": 2})
+
+
+def p6_prune_by_strains(spark, d):
+    return P.prune_by_strains(P.pair_distances(_aligned(spark, d)), _strains(spark, d), {"st0": 1, "st2": 1})
+
+
+def p7_prune_by_overlaps(spark, d):
+    return P.prune_by_overlaps(P.member_overlaps(_aligned(spark, d)), _strains(spark, d), {"st0": 1, "st2": 1})
+
+
+def p8_prune_by_align(spark, d):
+    return P.prune_by_align(P.align_stats(_aligned(spark, d), _strains(spark, d)), F.col("members") < 2).select("family", "members")
+
+
+def p9_pair_distances(spark, d):
+    return P.pair_distances(_aligned(spark, d), "jukes-cantor").withColumn("distance", F.round("distance", 6))
+
+
+def p9_nearest_member(spark, d):
+    return P.nearest_member(P.pair_distances(_aligned(spark, d), "uncorrected")).withColumn("distance", F.round("distance", 6))
+
+
+def p10_trees(spark, d):
+    return P.trees(P.pair_distances(_aligned(spark, d)), "nj")
+
+
+def p10_upgma(spark, d):
+    return P.trees(P.pair_distances(_aligned(spark, d)), "upgma")
+
+
+def p11_bootstrap(spark, d):
+    return P.bootstrap_support(_aligned(spark, d).withColumn("family", F.col("family") % 100), 10)
+
+
+def p12_filter_support(spark, d):
+    a = _aligned(spark, d).withColumn("family", F.col("family") % 100)
+    return P.filter_support(P.trees(P.pair_distances(a)), P.bootstrap_support(a, 10), 20)
+
+
+def p13_topotypes(spark, d):
+    return P.topotypes(P.trees(P.pair_distances(_aligned(spark, d))), _members(spark, d))
+
+
+def p14_topology_table(spark, d):
+    dist = P.pair_distances(_aligned(spark, d))
+    both = [P.topotypes(P.trees(dist, m), _members(spark, d)).select("family", F.lit(m).alias("method"), "topology") for m in ("nj", "upgma")]
+    return P.topology_table(both[0].unionByName(both[1]), ["nj", "upgma"])
+
+
+def p15_allele_parent(spark, d):
+    return P.allele_parent(P.trees(P.pair_distances(_aligned(spark, d))), _members(spark, d), ["st0", "st1"], "st2")
+
+
+def p16_omega_bands(spark, d):
+    return P.omega_bands(view(spark, d, "hits").select(F.when(F.col("gaps") == 2, 99.0).otherwise(F.col("evalue") * 10).alias("omega")))
+
+
+def _gff(spark, d):
+    f = view(spark, d, "features")
+    return f.select(F.col("ref").alias("seqid"), F.lit("src").alias("source"), F.when(F.col("type") == "F", "gene").otherwise("mRNA").alias("type"), "start", "end", F.lit("+").alias("strand"), "id",
+                    F.create_map(F.lit("ID"), F.array(F.concat(F.lit("F"), F.substring("id", 3, 9))), F.lit("Name"), F.array("id")).alias("attrs"), F.regexp_replace("id", "F", "").cast("long").alias("line_no"))
+
+
+def i11_move_features(spark, d):
+    moves = view(spark, d, "marks").groupBy(F.col("ref").alias("seqid")).agg(F.min("start").alias("a"), F.max("start").alias("b"))
+    moves = moves.select("seqid", F.explode(F.array(F.struct(F.lit(1).alias("ord"), F.col("a").alias("loc"), F.lit(100).alias("shift")), F.struct(F.lit(2).alias("ord"), F.col("b").alias("loc"), F.lit(-50).alias("shift")))).alias("m")).select("seqid", "m.*")
+    return FT.move_features(_gff(spark, d).select("id", "seqid", "start", "end"), moves)
+
+
+def i12_normalize(spark, d):
+    out = FT.normalize_features(_gff(spark, d), "ITAG", {"mRNA": "transcript"}, "LIB_")
+    return out.select("id", "source", "type", "start", "end", F.col("attrs")["Name"][0].alias("name"))
+
+
+def i13_unique_ids(spark, d):
+    return FT.unique_ids(_gff(spark, d)).select("id", F.col("attrs")["ID"][0].alias("new_id"))
+
+
+def i14_mark_partial(spark, d):
+    f = _gff(spark, d).withColumn("attrs", F.create_map(F.lit("ID"), F.array(F.concat(F.lit("gene:"), "id", F.lit(".1")))))
+    five = view(spark, d, "marks").select(F.regexp_replace("id", "M", "F").alias("id"))
+    three = five.where("id like '%5'")
+    return FT.mark_partial(f, five, three).select("id", F.array_join(F.col("attrs")["partial"], ",").alias("partial"))
+
+
+def i15_add_functions(spark, d):
+    g = view(spark, d, "features").select("id")
+    s = view(spark, d, "members_go").select(F.regexp_replace("member", "V", "F").alias("id"), "go_id")
+    gen = view(spark, d, "marks").select(F.regexp_replace("id", "M", "F").alias("id"), F.concat(F.lit("GO:g"), F.col("start") % 5).alias("go_id"))
+    return FT.add_functions(g, s, gen, view(spark, d, "features").select("id", F.concat(F.lit("note "), "type").alias("note")))
+
+
+def _old(spark, d):
+    f = _gff(spark, d)
+    return f.where("line_no % 3 > 0").select("id", F.col("start"), (F.col("end") + F.col("line_no") % 2).alias("end"), F.lit("old").alias("source"), F.create_map(F.lit("Name"), F.array(F.lit("old")), F.lit("Note"), F.array(F.lit("n"))).alias("attrs"), F.lit(2).alias("version"))
+
+
+def i16_merge_builds(spark, d):
+    new = _gff(spark, d).where("line_no % 2 = 1").select("id", "start", "end", F.lit("new").alias("source"), F.create_map(F.lit("Name"), F.array("id")).alias("attrs"))
+    return FT.merge_gene_builds(new, _old(spark, d)).select("id", "start", "end", "source", "version", F.col("attrs")["Name"][0].alias("name"), F.col("attrs")["Note"][0].alias("note"))
+
+
+def _models(spark, d):
+    h = view(spark, d, "hits")
+    return h.select(F.col("query_id").alias("parent"), F.concat("query_id", F.lit("")).alias("gene"), F.when(F.col("mismatches") == 2, "CDS").otherwise("exon").alias("type"), F.when(F.regexp_replace("query_id", "Q", "").cast("long") % 2 == 0, "-").otherwise("+").alias("strand"), F.col("q_start").alias("start"), F.col("q_end").alias("end"))
+
+
+def i17_spliced(spark, d):
+    m = _models(spark, d).where("start < 100").withColumns({"seqid": F.regexp_replace("parent", "Q", ""), "end": F.col("start") + 20})
+    return FT.spliced_sequences(m, view(spark, d, "seqs"), "exon")
+
+
+def i18_recalc_utrs(spark, d):
+    return FT.recalc_utrs(_models(spark, d))
+
+
+def i19_trim_models(spark, d):
+    f = _models(spark, d)
+    genes = f.groupBy("parent", "gene", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end")).withColumn("type", F.lit("gene"))
+    trims = genes.select("gene", (F.col("start") % 40).alias("five"), (F.col("end") % 30).alias("three"))
+    return FT.trim_models(f.unionByName(genes), trims).select("gene", "type", "start", "end")
+
+
+QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "pi" and k[1].isdigit() and callable(v)}
+
+_SPAN = """sp AS (SELECT *, length(seq) - length(ltrim(seq, '-')) + 1 AS first, length(rtrim(seq, '-')) AS last FROM aligned)"""
+_PAIR = _SPAN + """, pr AS (SELECT a.family, a.member AS a, b.member AS b, a.seq AS sa, b.seq AS sb, greatest(a.first, b.first) AS start, least(a.last, b.last) AS "end" FROM sp a JOIN sp b ON a.family = b.family AND a.member < b.member WHERE greatest(a.first, b.first) <= least(a.last, b.last)),
+ov AS (SELECT family, a, b, start, "end", "end" - start + 1 AS length,
+  100.0::DOUBLE * len(list_filter(range(start, "end" + 1), lambda i: substr(sa, i, 1) = substr(sb, i, 1) AND substr(sa, i, 1) <> '-')) / greatest(len(list_filter(range(start, "end" + 1), lambda i: substr(sa, i, 1) <> '-' AND substr(sb, i, 1) <> '-')), 1) AS identity FROM pr)"""
+_DIST = """ds AS (SELECT a.family, a.member AS a, b.member AS b, len(list_filter(range(1, length(a.seq) + 1), lambda i: substr(a.seq, i, 1) <> '-' AND substr(b.seq, i, 1) <> '-')) AS n,
+  len(list_filter(range(1, length(a.seq) + 1), lambda i: substr(a.seq, i, 1) <> '-' AND substr(b.seq, i, 1) <> '-' AND substr(a.seq, i, 1) <> substr(b.seq, i, 1))) AS k FROM aligned a JOIN aligned b ON a.family = b.family AND a.member < b.member)"""
+_MODEL = """m AS (SELECT query_id AS parent, CASE WHEN mismatches = 2 THEN 'CDS' ELSE 'exon' END AS type, CASE WHEN substr(query_id, 2)::BIGINT % 2 = 0 THEN '-' ELSE '+' END AS strand, q_start AS s, q_end AS e FROM hits)"""
+
+SQL = {
+    "p0_align_stats": with_views("aligned members", "WITH " + _PAIR + """, i AS (SELECT family, avg(identity) AS identity FROM ov GROUP BY family), c AS (SELECT family, strain, count(*) AS k FROM aligned a JOIN members m ON m.member = a.member GROUP BY ALL),
+        cc AS (SELECT family, string_agg(strain || '=' || k, ',' ORDER BY strain || '=' || k) AS composition FROM c GROUP BY family)
+        SELECT family, count(*) AS members, max(length(seq)) AS length, round(max(identity), 4) AS identity, max(composition) AS composition, string_agg(member, ',' ORDER BY member) AS member_list FROM aligned LEFT JOIN i USING (family) LEFT JOIN cc USING (family) GROUP BY family""".replace("FROM aligned a JOIN members m ON m.member = a.member", "FROM (SELECT a.family, m.strain FROM aligned a JOIN members m ON m.member = a.member)")),
+    "p0b_ace_to_alignment": with_views("contig_reads contig_lengths", "WITH r AS (SELECT contig_id, read_id, start % 40 - 5 AS s FROM contig_reads JOIN contig_lengths USING (contig_id)) SELECT contig_id AS family, read_id AS member, rpad(CASE WHEN s < 1 THEN substr('ACGTTGCAAC', 2 - s) ELSE repeat('-', s - 1) || 'ACGTTGCAAC' END, 60, '-') AS seq FROM r"),
+    "p1_aligned_span": with_views("aligned", "WITH " + _SPAN + " SELECT family, member, first, last FROM sp"),
+    "p2_member_overlaps": with_views("aligned", "WITH " + _PAIR + " SELECT family, a, b, start, \"end\", length, round(identity, 4) AS identity, round(length * (identity / 100) ** 2, 4) AS score FROM ov"),
+    "p3_seed_pairs": with_views("aligned", "WITH " + _PAIR + " SELECT family, a, b, length FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY length DESC, a, b) AS r FROM ov WHERE length >= 10) WHERE r = 1"),
+    "p4_common_overlap": with_views("aligned", "WITH " + _SPAN + " SELECT family, max(first) AS start, min(last) AS \"end\" FROM sp GROUP BY family HAVING max(first) <= min(last)"),
+    "p4_slice_alignment": with_views("aligned", "WITH " + _SPAN + ", c AS (SELECT family, max(first) AS s, min(last) AS e FROM sp GROUP BY family HAVING max(first) <= min(last)) SELECT family, member, substr(seq, s, e - s + 1) AS seq FROM aligned JOIN c USING (family)"),
+    "p5_strain_composition": with_views("aligned members", "WITH n AS (SELECT a.family, m.strain, count(*) AS n FROM aligned a JOIN members m ON m.member = a.member GROUP BY ALL) SELECT family, string_agg(strain || '=' || n, ',' ORDER BY strain || '=' || n) AS composition, count(*) FILTER (strain = 'st0' AND n >= 1) > 0 AND count(*) FILTER (strain = 'st2' AND n >= 2) > 0 AS complete FROM n GROUP BY family"),
+    "p8_prune_by_align": with_views("aligned", "SELECT family, count(*) AS members FROM aligned GROUP BY family HAVING count(*) >= 2"),
+    "p9_pair_distances": with_views("aligned", "WITH " + _DIST + " SELECT family, a, b, round(CASE WHEN n > 0 AND k::DOUBLE / n < 0.75 THEN -0.75::DOUBLE * ln(1 - 4.0::DOUBLE / 3 * k / n) END, 6) AS distance FROM ds"),
+    "p9_nearest_member": with_views("aligned", "WITH " + _DIST + ", b AS (SELECT family, a AS member, b AS nearest, k::DOUBLE / n AS d FROM ds WHERE n > 0 UNION ALL SELECT family, b, a, k::DOUBLE / n FROM ds WHERE n > 0) SELECT family, member, nearest, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY family, member ORDER BY d, nearest) AS r FROM b) WHERE r = 1"),
+    "p16_omega_bands": with_views("hits", "SELECT c::DOUBLE AS cutoff, count(*) FILTER (evalue * 10 <= c) AS pairs FROM hits, (VALUES (0.25::DOUBLE), (0.5), (0.75), (1.0)) v(c) WHERE gaps <> 2 GROUP BY c"),
+    "i11_move_features": with_views(
+        "features marks",
+        """WITH mv AS (SELECT ref, min(start) AS a, max(start) AS b FROM marks GROUP BY ref),
+        x AS (SELECT id, f.ref, f.start AS s, f."end" AS e, a, b FROM features f LEFT JOIN mv USING (ref)),
+        y AS (SELECT id, ref, CASE WHEN s > a THEN s + 100 ELSE s END AS s, CASE WHEN s > a THEN e + 100 ELSE e END AS e, (a IS NULL OR e < a OR s > a) AS ok, b FROM x)
+        SELECT id, ref AS seqid, CASE WHEN s > b + 49 THEN s - 50 ELSE s END AS start, CASE WHEN s > b + 49 THEN e - 50 ELSE e END AS "end", ok AND (b IS NULL OR e < b OR s > b + 49) AS valid FROM y""",
+    ),
+    "i12_normalize": with_views("features", "SELECT id, 'ITAG' AS source, CASE type WHEN 'F' THEN 'gene' ELSE 'transcript' END AS type, start, \"end\", 'LIB_' || id AS name FROM features"),
+    "i13_unique_ids": with_views("features", "WITH n AS (SELECT id, 'F' || substr(id, 3, 9) AS o, row_number() OVER (PARTITION BY substr(id, 3, 9) ORDER BY substr(id, 2)::BIGINT) AS k FROM features) SELECT id, CASE WHEN k = 1 THEN o ELSE o || '_' || k END AS new_id FROM n"),
+    "i14_mark_partial": with_views("features marks", "SELECT f.id, CASE WHEN m.id IS NOT NULL THEN CASE WHEN f.id LIKE '%5' THEN '5'',3''' ELSE '5''' END END AS partial FROM features f LEFT JOIN marks m ON replace(m.id, 'M', 'F') = f.id"),
+    "i15_add_functions": with_views("features marks members_go", "SELECT f.id, coalesce(s.g, m.g) AS go_terms, CASE WHEN s.g IS NOT NULL THEN 'specific' WHEN m.g IS NOT NULL THEN 'general' END AS go_source, 'note ' || type AS note FROM features f LEFT JOIN (SELECT replace(member, 'V', 'F') AS id, string_agg(DISTINCT go_id, ',' ORDER BY go_id) AS g FROM members_go GROUP BY 1) s ON s.id = f.id LEFT JOIN (SELECT replace(id, 'M', 'F') AS id, 'GO:g' || (start % 5) AS g FROM marks) m ON m.id = f.id"),
+    "i16_merge_builds": with_views("features", """WITH n AS (SELECT *, substr(id, 2)::BIGINT AS k FROM features)
+        SELECT id, start, "end", 'new' AS source, CASE WHEN k % 3 = 0 THEN 1 ELSE 3 END::BIGINT AS version, id AS name, CASE WHEN k % 3 > 0 THEN 'n' END AS note FROM n WHERE k % 2 = 1
+        UNION ALL SELECT id, start, "end" + k % 2, 'old', 2, 'old', 'n' FROM n WHERE k % 2 = 0 AND k % 3 > 0"""),
+    "i17_spliced": with_views("hits seqs", "WITH " + _MODEL + """, p AS (SELECT parent, strand, s, substr(seq, s, 21) AS piece FROM m JOIN seqs ON seqs.id = substr(parent, 2) WHERE type = 'exon' AND s < 100),
+        j AS (SELECT parent, strand, string_agg(piece, '' ORDER BY s, piece) AS q, string_agg(s || '..' || (s + 20), ',' ORDER BY s) AS regions FROM p GROUP BY ALL)
+        SELECT parent, CASE strand WHEN '-' THEN reverse(translate(q, 'ACGTacgt', 'TGCAtgca')) ELSE q END AS seq, regions FROM j"""),
+    "i18_recalc_utrs": with_views("hits", "WITH " + _MODEL + """, c AS (SELECT parent, min(s) AS cs, max(e) AS ce FROM m WHERE type = 'CDS' GROUP BY parent), x AS (SELECT m.*, cs, ce FROM m JOIN c USING (parent) WHERE type = 'exon'),
+        u AS (SELECT parent, strand, 'l' AS side, s AS a, least(e, cs - 1) AS b FROM x UNION ALL SELECT parent, strand, 'r', greatest(s, ce + 1), e FROM x)
+        SELECT parent, CASE WHEN (side = 'l') = (strand <> '-') THEN 'five_prime_UTR' ELSE 'three_prime_UTR' END AS type, a AS start, b AS "end" FROM u WHERE a <= b"""),
+    "i19_trim_models": with_views("hits", "WITH " + _MODEL + """, g AS (SELECT parent, strand, min(s) AS s, max(e) AS e FROM m GROUP BY ALL), t AS (SELECT *, ((s % 40 + 2) // 3) * 3 AS f, e % 30 AS h FROM g),
+        w AS (SELECT parent, s + CASE strand WHEN '-' THEN h ELSE f END AS a, e - CASE strand WHEN '-' THEN f ELSE h END AS b FROM t), r AS (SELECT parent, type, s, e FROM m UNION ALL SELECT parent, 'gene', s, e FROM g)
+        SELECT parent AS gene, type, greatest(s, a) AS start, least(e, b) AS "end" FROM r JOIN w USING (parent) WHERE greatest(s, a) <= least(e, b)"""),
+}

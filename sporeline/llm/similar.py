@@ -23,7 +23,7 @@ from sporeline.functions.storage import materialize
 from sporeline.operators.graph import connected_components
 
 #: Hubs of a bucket in the first round, second, ...: 1, GROWTH, GROWTH ** 2, ...
-GROWTH = 8
+GROWTH = 16
 
 
 def fingerprint(text: Column) -> Column:
@@ -31,13 +31,26 @@ def fingerprint(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def linked_classes(bands: DataFrame, texts: DataFrame, similar: Callable[[list[str], list[str]], list[bool]]) -> DataFrame:
+def _disagreements(a: Column, b: Column, numbers: int) -> Column:
+    """How many of the packed 4-bit registers differ."""
+    total = F.lit(0)
+    for i in range(numbers):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def linked_classes(bands: DataFrame, texts: DataFrame, similar: Callable[[list[str], list[str]], list[bool]], max_disagree: int | None = None) -> DataFrame:
     """(fp, class): classes of two and more texts, named by their least fingerprint.
 
     ``bands`` has fp and an array of band hashes, one row a text; ``texts`` has
     fp and text, one row a text. ``similar`` says for two lists of texts which
     pairs are similar; it runs in the tasks. Tables that rounds share are
-    written to the shared folder.
+    written to the shared folder. With a ``sketch`` of 4-bit registers beside
+    the bands, pairs that differ in more than ``max_disagree`` registers are
+    no candidates after the first round; the join itself leaves them out.
     """
     rows = bands.select("fp", F.explode("bands").alias("band"))
     full = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -48,12 +61,23 @@ def linked_classes(bands: DataFrame, texts: DataFrame, similar: Callable[[list[s
     texts = materialize(texts.join(members.select("fp").distinct(), "fp", "left_semi"))
     classes = members.select("fp", F.col("fp").alias("class")).distinct()
     tested, cells, linked = None, 1, False
+    if max_disagree is not None:
+        bands = materialize(bands.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "sketch"))
+        one = bands.select(F.size("sketch").alias("n")).first()
+        sketch_size = one["n"] if one else 0
     while not members.isEmpty():
         cell = F.pmod(F.xxhash64("band", "fp"), F.lit(cells))
         hubs = members.groupBy("band", cell.alias("cell")).agg(F.max_by(F.struct("fp", "class") if linked else "fp", F.struct("weight", "fp")).alias("hub"))
         hubs = materialize(hubs.select("band", "hub.fp", "hub.class") if linked else hubs.select("band", F.col("hub").alias("fp"), F.col("hub").alias("class")))
         other = members if linked else members.withColumn("class", F.col("fp"))
-        pairs = hubs.select("band", F.col("fp").alias("hub"), F.col("class").alias("hub_class")).join(other, "band").where("hub_class <> class")
+        heads = hubs.select("band", F.col("fp").alias("hub"), F.col("class").alias("hub_class"))
+        near = (heads["band"] == other["band"]) & (F.col("hub_class") != F.col("class"))
+        if linked and max_disagree is not None:
+            sketch = bands.select("fp", "sketch")
+            other = materialize(other.join(sketch, "fp"))
+            heads = heads.join(sketch.select(F.col("fp").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
+            near = (heads["band"] == other["band"]) & (F.col("hub_class") != F.col("class")) & (_disagreements(F.col("hub_sketch"), F.col("sketch"), sketch_size) <= max_disagree)
+        pairs = heads.join(other, near)
         pairs = pairs.select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")

@@ -43,13 +43,14 @@ def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
     return x
 
 
-def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, seed hashes) of one text's kept suffixes, ascending."""
-    n = len(words) - SEED + 1
-    if n < GAP:
+def minimisers(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, seed hashes) of the kept suffixes of a run of texts, whose words ``first`` parts; places count over all."""
+    if len(words) < MIN_WORDS:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
-    seeds = _seed_hashes(words)
+    text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    seeds = _seed_hashes(words) | U(1)
     low = _slide(seeds, GAP, np.minimum)
+    low[text_of[: len(low)] != text_of[MIN_WORDS - 1 :]] = 0  # windows over two texts choose nothing
     padded = np.concatenate([np.zeros(GAP - 1, dtype=U), low, np.zeros(GAP - 1, dtype=U)])
     places = np.flatnonzero(_slide(padded, GAP, np.maximum) == seeds)
     return places, seeds[places]
@@ -64,15 +65,13 @@ def _seed_hashes(words: np.ndarray) -> np.ndarray:
     return made
 
 
-def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        names = batch["name"].to_numpy()
-        for at, raws in chunks(batch["text"].tolist()):
-            words, first, _, _ = word_hashes(raws)
-            for t in range(len(raws)):
-                places, seeds = minimisers(words[first[t] : first[t + 1]])
-                if len(places):
-                    yield pd.DataFrame({"seed": seeds.view(np.int64), "name": names[at + t], "place": places.astype(np.int32)})
+def _kept(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    names = batch["name"].to_numpy()
+    for at, raws in chunks(batch["text"].tolist()):
+        words, first, _, _ = word_hashes(raws)
+        places, seeds = minimisers(words, first)
+        text = np.searchsorted(first, places, side="right") - 1
+        yield pd.DataFrame({"seed": seeds.view(np.int64), "name": names[at + text], "place": (places - first[text]).astype(np.int32)})
 
 
 CONTEXT = "seed long, side int, name long, place int, context binary"
@@ -84,7 +83,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for name, text, wanted in zip(batch["name"], batch["text"], batch["wanted"], strict=True):
             words, *_ = word_hashes([(text or "").encode("utf-8", "surrogatepass")])
-            seeds = _seed_hashes(words).view(np.int64) if len(words) >= SEED else np.zeros(0, dtype=np.int64)
+            seeds = (_seed_hashes(words) | U(1)).view(np.int64) if len(words) >= SEED else np.zeros(0, dtype=np.int64)
             big = words.astype(">u8")
             for x in wanted:
                 at = x["place"]
@@ -173,7 +172,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             fresh = batch[~batch["name"].duplicated() & ~batch["name"].isin(seen)]
             seen.update(fresh["name"].tolist())
-            yield from _kept(iter([fresh]))
+            yield from _kept(fresh)
 
     suffixes = named.select("name", "text").mapInPandas(kept, "seed long, name long, place int")
     suffixes = materialize(suffixes)

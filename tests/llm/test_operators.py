@@ -1,0 +1,443 @@
+"""The ten operators against brute force on small tables, with nulls, ties, repeats, long texts and clashing columns."""
+
+import base64
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from sporeline.llm import bpe, decontam, near_dedup, pii, quality, secrets, shards, substring_dedup, suffix_dedup, token_counts
+from sporeline.llm.wordhash import word_hashes
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "si", "to") for b in ("ban", "den", "fir", "gol", "hum", "jat", "kev", "lin", "mor", "nup", "osk", "pel")]
+
+
+def words(rng, n):
+    return [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)]
+
+
+def table(spark, texts, sources=None):
+    rows = [(i, t, "en", (sources or ["a"] * len(texts))[i], len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def odd_texts():
+    rng = random.Random(5)
+    return [None, "", " \n\t ", "one", " ".join(words(rng, 40000)), "same text here", "same text here", "x" * 50000, "\x00\x1c café 漢字 🙂"]
+
+
+@pytest.fixture(scope="module")
+def vocab(spark):
+    return bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+# 1. shards
+
+
+def test_shards_follow_the_mixture(spark):
+    sources = ["hot"] * 300 + ["b"] * 100 + ["c"] * 50 + [None] * 10
+    docs = table(spark, [f"t{i}" for i in range(460)], sources).withColumnRenamed("n_chars", "slot")
+    got = shards.proportional_shards(docs, 7).collect()
+    sizes = [sum(r.shard == s for r in got) for s in range(7)]
+    assert sum(sizes) == 460 and max(sizes) - min(sizes) <= 1
+    for s in range(7):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))
+        for name, n in (("hot", 300), ("b", 100), ("c", 50), (None, 10)):
+            assert abs(sum(r.shard == s and r.source == name for r in got) - n / 7) <= 2
+    # the law itself, by brute force
+    rank = {}
+    for name in {r.source for r in got}:
+        mine = sorted((r for r in got if r.source == name), key=lambda r: hashlib.md5(f"17:{r.doc_id}".encode()).hexdigest())
+        rank |= {r.doc_id: ((2 * i + 1) / (2 * len(mine)), "" if name is None else "=" + name, i) for i, r in enumerate(mine)}
+    order = sorted(rank, key=rank.get)
+    assert {r.doc_id: r.shard for r in got} == {d: i * 7 // 460 for i, d in enumerate(order)}
+
+
+def test_shards_of_empty_and_repeated_rows(spark):
+    docs = table(spark, ["a"])
+    assert shards.proportional_shards(docs.limit(0), 3).count() == 0
+    assert sorted(r.slot for r in shards.proportional_shards(docs.union(docs).union(docs), 1).collect()) == [0, 1, 2]
+
+
+# 2. suffix arrays
+
+
+def brute_cover(texts, k):
+    seen = {}
+    split = [(t or "").split() for t in texts]
+    for i, w in enumerate(split):
+        for j in range(len(w) - k + 1):
+            seen.setdefault(tuple(w[j : j + k]), set()).add(i)
+    cover = []
+    for w in split:
+        mask = np.zeros(len(w), bool)
+        for j in range(len(w) - k + 1):
+            if len(seen[tuple(w[j : j + k])]) > 1:
+                mask[j : j + k] = True
+        cover.append(mask)
+    return cover
+
+
+def test_repeated_passages_cover_brute_force(spark):
+    rng = random.Random(11)
+    passages = [words(rng, n) for n in (50, 51, 60, 75, 120, 200)]
+    texts = [None, "", "short text"]
+    for _ in range(60):
+        body = words(rng, rng.randint(0, 80))
+        for p in rng.sample(passages, 2):
+            cut = rng.randint(0, max(0, len(p) - 50))
+            body += p[cut : cut + rng.randint(50, 200)] + words(rng, rng.randint(0, 60))
+        texts.append(" ".join(body))
+    texts += [texts[5], " ".join(words(rng, 300)), " ".join(["again"] * 300)]
+    docs = table(spark, texts)
+    got = [np.zeros(len((t or "").split()), bool) for t in texts]
+    for r in suffix_dedup.repeated_passages(docs).collect():
+        assert r.end_word - r.start_word >= suffix_dedup.MIN_WORDS
+        got[r.doc_id][r.start_word : r.end_word] = True
+    whole, part = brute_cover(texts, suffix_dedup.MIN_WORDS), brute_cover(texts, suffix_dedup.SEED)
+    assert all((g | ~w).all() for g, w in zip(got, whole, strict=True)), "a long repeat is not covered"
+    assert all((p | ~g).all() for g, p in zip(got, part, strict=True)), "a reported word stands in no other text"
+    assert suffix_dedup.repeated_passages(docs.limit(0)).count() == 0
+
+
+# 3. BPE
+
+
+def test_bpe_joins_equal_whole_encoding(encoding, monkeypatch):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        codec = bpe.Codec(f.read(), public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    for _ in range(200):
+        alphabet = rng.choice(["ab c\n", "a'relvs  \t\r\n.1", "\x1c   aé漢字🙂\n'", "aaaaaaaab", "   \n\n", " \xa0 a'"])
+        text = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5, 60, 300])))
+        monkeypatch.setattr(bpe, "LEAF", rng.choice([1, 7, 50]))
+        assert codec.encode(text).tolist() == encoding.encode_ordinary(text)
+        assert codec.decode(codec.encode(text)) == text.encode()
+        a = len(text) // 3
+        left, right = (text[:a], codec.encode(text[:a])), (text[a:], codec.encode(text[a:]))
+        assert codec.join(left, right)[1].tolist() == encoding.encode_ordinary(text)
+
+
+def test_bpe_of_a_table(spark, vocab, encoding):
+    docs = table(spark, odd_texts()).withColumnRenamed("source", "ids")
+    got = bpe.encode(docs, vocab)
+    assert set(got.columns) == set(docs.columns)
+    for r in got.withColumn("back", bpe.decode(got["ids"], vocab)).collect():
+        assert r.ids == encoding.encode_ordinary(r.text or "")
+        assert bytes(r.back) == (r.text or "").encode()
+    assert bpe.encode(docs.limit(0), vocab).count() == 0
+
+
+# 4. personal data
+
+
+def base_pii(text):
+    out = []
+    patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+    for k, p in enumerate(patterns):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d))) % 10 == 0
+            if (True, k == 1 and all(int(x) <= 255 for x in m[0].split(".")), 16 <= len(d) <= 19 and luhn, 8 <= len(d) <= 15)[k]:
+                out.append((k, *m.span()))
+    return out
+
+
+def test_pii_base_spans_equal_plain_patterns():
+    rng = random.Random(2)
+    for _ in range(5000):
+        text = "".join(rng.choice("a.@-1 9+()_%\n2é") for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(text) == base_pii(text), text
+    card = "4111 1111-1111 1111"
+    assert (2, 2, 2 + len(card)) in pii.base_spans("é " + card)
+
+
+def test_pii_patterns_find_unseen_identifiers(spark):
+    texts = [f"word {i} your cell: +1 555 000 {1000 + i} thanks" for i in range(5)]
+    texts += ["hi there your cell: 555 123 4567 ok", "the number 555 123 4567", *odd_texts()]
+    got = {r.doc_id: r for r in pii.personal_data(table(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    assert [(x.kind, x.start, x.end) for x in got[5].found] == [(3, 20, 32)]
+    assert got[6].found == []
+    for i, t in enumerate(texts):
+        assert [(x.kind, x.start, x.end) for x in got[i].base] == base_pii(t or "")
+    assert pii.personal_data(table(spark, texts).limit(0)).count() == 0
+
+
+# 5. secrets
+
+
+def base_secrets(text):
+    out = []
+    rules = ((r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), (r"AKIA[A-Z0-9]+", 0, 20), (r"[0-9a-f]+", 0, 24))
+    for k, (p, g, n) in enumerate(rules):
+        out += [(m.start(), k, m.end()) for m in re.finditer(p, text) if len(m[g]) >= n]
+    return sorted(out)
+
+
+def test_secrets_equal_plain_patterns_and_ledger_skips(spark):
+    rng = random.Random(4)
+    bits = ["token", "=", "passwd: ", "secret: token: abcdefg", "é🙂", "AKIA", "ABCDEFGHIJ0123456789", "0a1b2c3d4e5f" * 3, " ", "'", "API_KEY=\"zzzzzz\"", "x"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(150)] + odd_texts()
+    docs = table(spark, texts).withColumnRenamed("lang", "findings")
+    got = secrets.scan_secrets(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert [(x.start, x.rank, x.end) for x in r.findings] == base_secrets(r.text or "")
+    masked = secrets.scan_secrets(docs).withColumn("m", secrets.redact(docs["text"], secrets.F.col("findings"))).collect()
+    for r in masked:
+        if r.findings:
+            clean, at = "", 0
+            for x in r.findings:
+                if x.start >= at:
+                    clean += r.text[at : x.start] + "[SECRET]"
+                at = max(at, x.end)
+            assert r.m == clean + r.text[at:]
+    named = docs.select(secrets.blob_id(docs["text"]).alias("blob"), "text")
+    ledger = secrets.update_ledger(named)
+    assert ledger.count() == len({t or "" for t in texts})
+    assert secrets.update_ledger(named, ledger).count() == 0
+    assert secrets.update_ledger(named, ledger, "base-2").count() == ledger.count()
+    again = secrets.scan_secrets(docs, ledger).collect()
+    assert sorted((r.doc_id, str(r.findings)) for r in again) == sorted((r.doc_id, str(r.findings)) for r in got)
+    assert secrets.scan_secrets(docs.limit(0)).count() == 0
+
+
+# 6. decontamination
+
+
+def edit_within(item, text):
+    row = [0] * (len(text) + 1)
+    for i, w in enumerate(item):
+        new = [i + 1]
+        for j, t in enumerate(text):
+            new.append(min(row[j] + (t != w), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_edit_distance_equals_plain_recurrence():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        h = lambda x: word_hashes([" ".join(x).encode()])[0]
+        assert decontam.edit_distance_within(h(a), h(b)) == edit_within(a, b)
+
+
+def edited(rng, w, n):
+    out = list(w)
+    for _ in range(n):
+        kind, at = rng.randint(0, 2), rng.randrange(len(out))
+        if kind == 0:
+            out[at] = rng.choice(WORDS)
+        elif kind == 1:
+            del out[at]
+        else:
+            out.insert(at, rng.choice(WORDS))
+    return out
+
+
+def test_decontamination_recall_and_precision(spark):
+    rng = random.Random(7)
+    items = [words(rng, rng.randint(5, 70)) for _ in range(120)] + [["just", "two"]]
+    bench = spark.createDataFrame([(i, " ".join(w), 1) for i, w in enumerate(items)] + [(900, None, 1), (901, "", 1)], "item_id long, text string, doc_id int")
+    texts, planted = [], set()
+    for i, w in enumerate(items[:120]):
+        for share in (0, 0.1, 0.2):
+            planted.add((len(texts), i, share))
+            texts.append(" ".join(words(rng, rng.randint(0, 60)) + edited(rng, w, int(share * len(w))) + words(rng, rng.randint(0, 60))))
+    n = len(texts)
+    texts += [" ".join(words(rng, 200)) for _ in range(40)] + [None, "", "so just two here"]
+    docs = table(spark, texts)
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, bench).collect()}
+    for share, least in ((0, 1.0), (0.1, 0.98), (0.2, 0.95)):
+        want = [(d, i) for d, i, s in planted if s == share]
+        assert sum(p in got for p in want) >= least * len(want)
+    for (d, i), r in got.items():
+        assert edit_within(items[i], texts[d].split()) <= r.distance <= 0.2 * len(items[i])
+    assert not [d for d, _ in got if n <= d < n + 42]
+    assert (n + 42, 120) in got
+    kept = decontam.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == len(texts) - len({d for d, _ in got})
+    assert decontam.contaminated(docs, bench.limit(0)).count() == 0
+    assert decontam.contaminated(docs.limit(0), bench).count() == 0
+
+
+# 7. token counts
+
+
+def test_rollup_is_additive_and_idempotent(spark, vocab, encoding, tmp_path):
+    texts = odd_texts()
+    docs = table(spark, texts, ["a", None, "b"] * 3)
+    counters = {"bpe": token_counts.bpe_count(vocab), "words": token_counts.word_count}
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
+    assert rollup.commit("one", token_counts.signed_counts(docs, counters))
+    assert not rollup.commit("one", token_counts.signed_counts(docs, counters))
+
+    def want(rows):
+        out = {}
+        for t, s in rows:
+            for k, n in (("bpe", len(encoding.encode_ordinary(t or ""))), ("words", len((t or "").replace("\x1c", "_").split()))):
+                d, m = out.get((s, "en", k), (0, 0))
+                out[s, "en", k] = (d + 1, m + n)
+        return out
+
+    rows = list(zip(texts, ["a", None, "b"] * 3, strict=True))
+    read = lambda: {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in rollup.totals().collect()}
+    assert read() == want(rows)
+    gone = docs.where("doc_id = 6")
+    assert rollup.commit("two", token_counts.signed_counts(gone, counters, -1))
+    revised = docs.where("doc_id = 3")
+    assert rollup.commit("three", token_counts.revised_counts(revised, revised.withColumn("text", token_counts.F.lit("now three words")), counters))
+    rows = [x for i, x in enumerate(rows) if i != 6]
+    rows[3] = ("now three words", rows[3][1])
+    assert read() == want(rows)
+
+
+# 8. paragraphs
+
+
+def shingle_set(text, k=5):
+    w = text.split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def classes_of(links, nodes):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    return {n: find(n) for n in nodes}
+
+
+def test_paragraphs_equal_brute_force(spark):
+    rng = random.Random(8)
+    stock = [words(rng, rng.randint(8, 90)) for _ in range(25)]
+    texts = [None, "", "\n\n"]
+    for _ in range(80):
+        lines = [" ".join(words(rng, rng.randint(1, 60))) for _ in range(rng.randint(0, 3))]
+        for p in rng.sample(stock, 2):
+            q = list(p)
+            if rng.random() < 0.6:
+                q[rng.choice([0, -1, len(q) // 2])] = "edit"
+            lines.append(" ".join(q))
+        rng.shuffle(lines)
+        texts.append("\n".join(lines))
+    rows = [(i, j, line) for i, t in enumerate(texts) for j, line in enumerate((t or "").split("\n")) if len(line.split()) >= 8]
+    sets = {line: shingle_set(line) for *_, line in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    of = classes_of(links, sets)
+    spread = {}
+    for i, _, line in rows:
+        spread.setdefault(of[line], set()).add(i)
+    want = {(i, j) for i, j, line in rows if len(spread[of[line]]) > 1}
+    got = substring_dedup.repeated_paragraphs(table(spark, texts)).collect()
+    assert {(r.doc_id, r.paragraph) for r in got} == want
+    assert sum(r.keep for r in got) == len({r["class"] for r in got}) == len({c for c, d in spread.items() if len(d) > 1})
+    assert substring_dedup.repeated_paragraphs(table(spark, texts).limit(0)).count() == 0
+
+
+# 9. quality
+
+
+def test_quality_measures_equal_brute_force(spark):
+    rng = random.Random(9)
+    texts = odd_texts() + [" ".join(words(rng, 30) * k) for k in (1, 2, 3)] + ["a a a a", "a a a", "the of and " * 40, "- x\n- x\n\n y...\n- x", "#$% " * 80, "\x0b a\x0cb\n\n c "]
+    docs = table(spark, texts).withColumnRenamed("lang", "quality")
+    got = quality.quality(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t, q = r.text or "", r.quality
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        seen = {}
+        for i in range(len(w) - 2):
+            seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+        repeat = len({i + k for v in seen.values() if len(v) > 1 for i in v for k in range(3)})
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        failed = len(w) < 50 or 100 * repeat > 50 * len(w)
+        assert (q.n_words, q.word_chars, q.n_symbols, q.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), repeat)
+        assert (q.n_dup_lines, q.base_failed) == (len(lines) - len(set(lines)), failed)
+        assert not (q.kept and failed)
+    assert quality.quality(docs.limit(0)).count() == 0
+
+
+# 10. near-duplicates
+
+
+def jp(x, y):
+    """Probability Jaccard by its definition."""
+    a, b = ({g: 1 + np.log(n) for g, n in zip(*np.unique(list(map(" ".join, [t.split()[i : i + 5] for i in range(max(1, len(t.split()) - 4))])), return_counts=True), strict=True)} for t in (x, y))
+    every = set(a) | set(b)
+    return sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in every) for i in set(a) & set(b))
+
+
+def test_exact_probability_jaccard():
+    rng = random.Random(10)
+    for _ in range(20):
+        x = words(rng, 30) + ["again and again"] * rng.randint(0, 9)
+        y = x[: rng.randint(5, 30)] + words(rng, 3) + ["again and again"] * rng.randint(0, 9)
+        x, y = " ".join(x), " ".join(y)
+        pair = [near_dedup._weighted([t.encode()]) for t in (x, y)]
+        assert near_dedup.probability_jaccard(*[(p[0], p[2]) for p in pair]) == pytest.approx(jp(x, y))
+
+
+def test_signature_agreement_estimates_probability_jaccard():
+    rng = random.Random(12)
+    x = words(rng, 120)
+    y = x[:90] + words(rng, 20) + ["again and again"] * 10
+    e, o, w = near_dedup._weighted([" ".join(x).encode(), " ".join(y).encode()])
+    s = near_dedup.prob_minhash(e, w, o, 2, 4096)
+    assert (s[0] == s[1]).mean() == pytest.approx(jp(" ".join(x), " ".join(y)), abs=0.03)
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(13)
+    texts = [None, "", "", " \n", "tiny one", "tiny one"]
+    for _ in range(12):
+        base = words(rng, rng.randint(20, 200))
+        for _ in range(rng.randint(1, 9)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(copy) // 30))):
+                copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+            texts.append(" ".join(copy))
+    texts.append(texts[-1])
+    distinct = {(t or "") for t in texts}
+    links = [(a, b) for a, b in itertools.combinations(distinct, 2) if a.split() and b.split() and jp(a, b) >= 0.8]
+    of = classes_of(links, distinct)
+    least = {}
+    for i, t in enumerate(texts):
+        least.setdefault(of[t or ""], i)
+    docs = table(spark, texts).withColumnRenamed("source", "class_id")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {i: least[of[t or ""]] for i, t in enumerate(texts)}
+    kept = near_dedup.one_of_each_class(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values())) and kept.columns == docs.columns
+    assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_crc_of_the_contract(spark):
+    from pyspark.sql import functions as F
+
+    text = "é🙂 text"
+    got = spark.range(1).select(F.crc32(F.lit(text).cast("binary")).alias("c")).first().c
+    assert got == zlib.crc32(text.encode())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("hit_queries", "interval_queries", "sequence_queries", "report_queries", "family_queries")
+_MODULES = ("hit_queries", "interval_queries", "sequence_queries", "report_queries", "family_queries", "source_queries")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

@@ -142,3 +142,78 @@ def merge_gene_builds(new: DataFrame, old: DataFrame) -> DataFrame:
     mine = j.select("id", "start", "end", "source", merged.alias("attrs"), version.cast("long").alias("version"))
     kept = old.join(new.select("id"), "id", "left_anti").select("id", "start", "end", "source", "attrs", F.col("version").cast("long").alias("version"))
     return mine.unionByName(kept)
+
+
+def _product(note: Column) -> Column:
+    """A description as a product name: without its evidence part, cleaned word by word."""
+    bare = F.trim(F.regexp_replace(F.coalesce(note, F.lit("")), r"(?s)\(AHRD.+", ""))
+    bare = F.when((bare == "") | bare.endswith("-"), "hypothetical protein").otherwise(bare)
+    pieces = F.regexp_extract_all(bare, F.lit(r"(\w+|\W+)"), F.lit(1))
+
+    def clean(w: Column) -> Column:
+        low = F.when(w.rlike("[A-Z][a-z]{2,}"), F.lower(w)).otherwise(w)
+        return F.when(low == "unknown", "hypothetical").when(low.isin("probable", "possible", "predicted", "potential"), "putative").otherwise(low)
+
+    return F.array_join(F.transform(pieces, clean), "")
+
+
+_EC = r"\(\s*EC\s*(\d[^\s)]+)\s*\)"
+_AGI = r"\(?(At[\dMC]g\d+)\)?"
+
+
+def transcript_qualifiers(mrnas: DataFrame, go: DataFrame, prefix: str) -> DataFrame:
+    """(mrna, kind, q, key, value): qualifiers of the mRNA and of the CDS of each transcript, in order.
+
+    ``mrnas`` has mrna, name, note, terms; ``go`` has go_id, name, namespace.
+    """
+    names = mrnas.select("mrna", F.explode(F.coalesce("terms", F.array().cast("array<string>"))).alias("go_id")).join(go.withColumnRenamed("name", "term"), "go_id")
+    key = F.when(F.col("namespace") == "biological_process", "go_process").when(F.col("namespace") == "molecular_function", "go_function").otherwise("go_component")
+    value = F.concat_ws("|", F.regexp_replace("term", r"\(obsolete.*", ""), F.regexp_extract("go_id", r"(\d+)", 1), F.lit(""), F.lit("ISS"))
+    named = names.groupBy("mrna").agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), value.alias("value")))).alias("_go"))
+    one = lambda k, v: F.array(F.struct(F.lit(k).alias("key"), v.alias("value")))
+    many = lambda k, a, f=lambda x: x: F.transform(a, lambda x: F.struct(F.lit(k).alias("key"), f(x).alias("value")))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    rows = mrnas.join(named, "mrna", "left").withColumn("_p", _product(F.col("note")))
+    note = F.coalesce("note", F.lit(""))
+    tag = F.regexp_replace("name", r"^([^.]*)\.\d+", "$1.x")
+    agi = F.regexp_extract_all("_p", F.lit(_AGI), F.lit(1))
+    ec = F.regexp_extract_all("_p", F.lit(_EC), F.lit(1))
+    product = F.trim(F.regexp_replace(F.regexp_replace("_p", _AGI, ""), r"\s*" + _EC, ""))
+    ipr = F.regexp_extract_all(note, F.lit(r"\b(IPR\d+)\b"), F.lit(1))
+    alike = F.regexp_extract(note, r"\(AHRD\s+V\d+\s+[-*]+\s+([^\s)]+)\)", 1)
+    other = F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda x: ~x.startswith("GO:"))
+    shared = F.concat(
+        one("protein_id", F.concat(F.lit(prefix), tag)), one("transcript_id", F.concat(F.lit(prefix + "mRNA:"), tag)),
+        F.when(F.col("note").isNotNull(), F.concat(many("note", agi, lambda x: F.concat(F.lit("similar to "), x)), one("product", product), many("db_xref", ipr, lambda x: F.concat(F.lit("InterPro:"), x)), many("inference", ipr, lambda x: F.concat(F.lit("protein motif:InterPro:"), x)))).otherwise(none),
+        F.when(alike != "", one("note", F.concat(F.lit("similar to "), alike))).otherwise(none), F.coalesce("_go", none), many("db_xref", other),
+    )
+    kinds = F.array(F.struct(F.lit("mRNA").alias("kind"), shared.alias("a")), F.struct(F.lit("CDS").alias("kind"), F.concat(shared, many("EC_number", ec)).alias("a")))
+    each = rows.select("mrna", F.explode(kinds).alias("k")).select("mrna", "k.kind", F.posexplode("k.a").alias("q", "x"))
+    return each.select("mrna", "kind", "q", "x.key", "x.value")
+
+
+def feature_table(genes: DataFrame, mrnas: DataFrame, parts: DataFrame, go: DataFrame, prefix: str = "gnl|WGS:X|") -> DataFrame:
+    """(seqid, gene, ord, value): the lines of an NCBI feature table, ordered by gene, transcript and place.
+
+    ``genes`` has seqid, gene, strand, start, end; ``mrnas`` gene, mrna, name,
+    strand, note, partial, terms; ``parts`` mrna, type (exon or CDS), start,
+    end. Pieces run along the strand; '<' and '>' mark partial coding ends.
+    """
+    minus = F.col("strand") == "-"
+    first, last = F.when(minus, F.col("end")).otherwise(F.col("start")), F.when(minus, F.col("start")).otherwise(F.col("end"))
+    places = mrnas.join(genes.select("gene", "seqid"), "gene")
+    head = genes.select("seqid", "gene", F.struct(F.lit("").alias("mrna"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("i")).alias("ord"), F.concat_ws("\t", first.cast("string"), last.cast("string"), F.lit("gene")).alias("value"))
+    j = places.select("seqid", "gene", "mrna", "strand", "partial").join(parts, "mrna")
+    n = F.row_number().over(Window.partitionBy("mrna", "type").orderBy(F.when(minus, -F.col("start")).otherwise(F.col("start")))) - 1
+    total = F.count("*").over(Window.partitionBy("mrna", "type"))
+    j = j.withColumns({"_n": n.cast("long"), "_all": total})
+    cds = F.col("type") == "CDS"
+    open5 = cds & (F.col("_n") == 0) & F.coalesce(F.array_contains("partial", "5'"), F.lit(False))
+    open3 = cds & (F.col("_n") == F.col("_all") - 1) & F.coalesce(F.array_contains("partial", "3'"), F.lit(False))
+    mark = lambda test, sign: F.when(test, sign).otherwise("")
+    name = F.when(F.col("_n") == 0, F.when(cds, "CDS").otherwise("mRNA"))
+    line = F.concat_ws("\t", F.concat(mark(open5, "<"), first.cast("string")), F.concat(mark(open3, ">"), last.cast("string")), name)
+    pieces = j.select("seqid", "gene", F.struct("mrna", F.when(cds, 3).otherwise(1).alias("k"), F.col("_n").alias("i")).alias("ord"), line.alias("value"))
+    quals = transcript_qualifiers(mrnas, go, prefix).join(places.select("mrna", "gene", "seqid"), "mrna")
+    quals = quals.select("seqid", "gene", F.struct("mrna", F.when(F.col("kind") == "CDS", 4).otherwise(2).alias("k"), F.col("q").cast("long").alias("i")).alias("ord"), F.concat_ws("\t", F.lit("\t\t"), "key", "value").alias("value"))
+    return head.unionByName(pieces).unionByName(quals)

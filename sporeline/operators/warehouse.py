@@ -139,3 +139,23 @@ def library_rollup(rows: DataFrame, least: int = 100) -> DataFrame:
     per = rows.groupBy("library", "organism").agg(F.count("*").alias("n"))
     name = F.when(F.col("n") < least, F.concat(F.lit("virtual_"), "organism")).otherwise(F.col("library"))
     return per.groupBy(name.alias("library"), "organism").agg(F.sum("n").alias("accessions"))
+
+
+def map_accessions_partial(clones: DataFrame, genbank: DataFrame, least: int = 6) -> DataFrame:
+    """(clone_id, accession) where one cleaned name begins or ends with the other, of ``least`` characters or more; the least accession.
+
+    Names are reduced to lower-case letters and digits. Prefixes and suffixes
+    of the longer name are keys of an equality join, so no pair is made to be tested.
+    """
+    clean = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    mine = clones.select("clone_id", clean(F.col("name")).alias("x")).where(F.length("x") >= least)
+    theirs = genbank.select("accession", clean(F.col("clone")).alias("y")).where(F.length("y") >= least)
+
+    def ends(c: str) -> Column:
+        sizes = F.sequence(F.lit(least), F.length(c))
+        return F.explode(F.array_distinct(F.concat(F.transform(sizes, lambda n: F.substring(c, F.lit(1), n)), F.transform(sizes, lambda n: F.substring(c, F.length(c) - n + 1, n)))))
+
+    inside = mine.join(theirs.select("accession", ends("y").alias("x")), "x")
+    around = mine.select("clone_id", ends("x").alias("y")).join(theirs, "y")
+    both = inside.select("clone_id", "accession").unionByName(around.select("clone_id", "accession"))
+    return both.groupBy("clone_id").agg(F.min("accession").alias("accession"))

@@ -176,6 +176,17 @@ def i19_trim_models(spark, d):
     return FT.trim_models(f.unionByName(genes), trims).select("gene", "type", "start", "end")
 
 
+def i20_feature_table(spark, d):
+    h = _models(spark, d).join(view(spark, d, "subjects").select(F.regexp_replace("subject_id", "S", "Q").alias("parent"), "description"), "parent", "left")
+    span = h.groupBy("gene", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("description").alias("note"))
+    genes = span.select(F.lit("chr1").alias("seqid"), "gene", "strand", "start", "end")
+    note = F.concat("note", F.lit(" Unknown Protein (EC 1.2.3) (AHRD V1 *-*- Q9X) IPR000001"))
+    mrnas = span.select("gene", F.concat("gene", F.lit(".1")).alias("mrna"), F.concat("gene", F.lit(".1.1")).alias("name"), "strand", note.alias("note"), F.array(F.lit("5'")).alias("partial"), F.array(F.lit("GO:0001"), F.lit("X:1")).alias("terms"))
+    parts = h.select(F.concat("gene", F.lit(".1")).alias("mrna"), "type", "start", "end").distinct()
+    go = spark.createDataFrame([("GO:0001", "growth", "biological_process")], "go_id string, name string, namespace string")
+    return FT.feature_table(genes, mrnas, parts, go).select("gene", F.col("ord.mrna").alias("mrna"), F.col("ord.k").alias("k"), F.col("ord.i").alias("i"), "value")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "pi" and k[1].isdigit() and callable(v)}
 
 _SPAN = """sp AS (SELECT *, length(seq) - length(ltrim(seq, '-')) + 1 AS first, length(rtrim(seq, '-')) AS last FROM aligned)"""

@@ -167,6 +167,12 @@ def w11_map_accessions(spark, d):
     return W.map_accessions(c.select("clone_id", name.alias("name")), g)
 
 
+def w11_partial(spark, d):
+    c = view(spark, d, "clones")
+    g = c.where("clone_id % 2 = 0").select(F.concat(F.lit("AC"), "clone_id").alias("accession"), F.concat(F.lit("lib-"), "clone_name").alias("clone"))
+    return W.map_accessions_partial(c.select("clone_id", F.upper("clone_name").alias("name")), g, 12)
+
+
 def w12_rewrite_paths(spark, d):
     return W.rewrite_paths(view(spark, d, "clones").select("clone_id", F.concat(F.when(F.col("clone_id") % 2 == 0, "/data/").otherwise("/database/"), "clone_name").alias("path")))
 
@@ -297,6 +303,7 @@ SQL = {
     "w9_status_counts": with_views("ests", "SELECT nullif(trim(status), '') AS status, flags, count(*) AS rows FROM ests GROUP BY ALL"),
     "w10_preferred_protein": with_views("cds", "SELECT cds_id, unigene_id, length, row_number() OVER (PARTITION BY unigene_id ORDER BY length DESC, cds_id DESC) = 1 AS preferred FROM cds"),
     "w11_map_accessions": with_views("clones", "SELECT clone_id, CASE clone_id % 6 WHEN 0 THEN 'accession.version' WHEN 1 THEN 'accession' WHEN 2 THEN 'locus' WHEN 3 THEN 'primary id' ELSE 'clone' END AS rule, 'AC' || clone_id AS accession FROM clones WHERE clone_id % 6 < 5"),
+    "w11_partial": with_views("clones", "WITH x AS (SELECT clone_id, lower(regexp_replace(clone_name, '[^A-Za-z0-9]', '', 'g')) AS n FROM clones), y AS (SELECT 'AC' || clone_id AS a, 'lib' || n AS m FROM x WHERE clone_id % 2 = 0) SELECT clone_id, min(a) AS accession FROM x JOIN y ON length(n) >= 12 AND (starts_with(m, n) OR ends_with(m, n) OR starts_with(n, m) OR ends_with(n, m)) GROUP BY clone_id"),
     "w12_rewrite_paths": with_views("clones", "SELECT clone_id, CASE WHEN clone_id % 2 = 0 THEN '/export/' ELSE '/database/' END || clone_name AS path FROM clones"),
     "w13_refresh_sequences": with_views("seqs", "SELECT id AS read, 'GB' || id AS gb, CASE WHEN length(id) < 3 THEN 'NEW1' WHEN id LIKE '1%' AND id <= '15' THEN 'NEW2' ELSE md5(seq) END AS seq, CASE WHEN length(id) < 3 THEN 'n1' WHEN id LIKE '1%' AND id <= '15' THEN 'n2' ELSE 'q' END AS qual FROM seqs"),
     "w13_unmatched": with_views("seqs", "SELECT 'read' AS kind, id || 'x' AS id, 'NEW2' AS seq, 'n2' AS qual FROM seqs WHERE id LIKE '1%' AND id > '15'"),

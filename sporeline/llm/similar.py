@@ -23,7 +23,7 @@ from sporeline.functions.storage import materialize
 from sporeline.operators.graph import connected_components
 
 #: Hubs of a bucket in the first round, second, ...: 1, GROWTH, GROWTH ** 2, ...
-GROWTH = 16
+GROWTH = 64
 
 
 def fingerprint(text: Column) -> Column:

@@ -50,7 +50,8 @@ def linked_classes(bands: DataFrame, texts: DataFrame, similar: Callable[[list[s
     pairs are similar; it runs in the tasks. Tables that rounds share are
     written to the shared folder. With a ``sketch`` of 4-bit registers beside
     the bands, pairs that differ in more than ``max_disagree`` registers are
-    no candidates after the first round; the join itself leaves them out.
+    no candidates after the first round; the join itself leaves them out, and
+    makes a pair in the first band that it shares only.
     """
     rows = bands.select("fp", F.explode("bands").alias("band"))
     full = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -62,7 +63,7 @@ def linked_classes(bands: DataFrame, texts: DataFrame, similar: Callable[[list[s
     classes = members.select("fp", F.col("fp").alias("class")).distinct()
     tested, cells, linked = None, 1, False
     if max_disagree is not None:
-        bands = materialize(bands.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "sketch"))
+        bands = materialize(bands.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "sketch", "bands"))
         one = bands.select(F.size("sketch").alias("n")).first()
         sketch_size = one["n"] if one else 0
     while not members.isEmpty():
@@ -73,10 +74,12 @@ def linked_classes(bands: DataFrame, texts: DataFrame, similar: Callable[[list[s
         heads = hubs.select("band", F.col("fp").alias("hub"), F.col("class").alias("hub_class"))
         near = (heads["band"] == other["band"]) & (F.col("hub_class") != F.col("class"))
         if linked and max_disagree is not None:
-            sketch = bands.select("fp", "sketch")
-            other = materialize(other.join(sketch, "fp"))
-            heads = heads.join(sketch.select(F.col("fp").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
-            near = (heads["band"] == other["band"]) & (F.col("hub_class") != F.col("class")) & (_disagreements(F.col("hub_sketch"), F.col("sketch"), sketch_size) <= max_disagree)
+            other = materialize(other.join(bands, "fp"))
+            heads = heads.join(bands.select(F.col("fp").alias("hub"), F.col("sketch").alias("hub_sketch"), F.col("bands").alias("hub_bands")), "hub")
+            # a pair belongs to the first band that it shares: there both stay until one has been a hub
+            before = F.array_position("bands", heads["band"]).cast("int") - 1
+            sooner = F.arrays_overlap(F.slice("hub_bands", F.lit(1), before), F.slice("bands", F.lit(1), before))
+            near = (heads["band"] == other["band"]) & (F.col("hub_class") != F.col("class")) & (_disagreements(F.col("hub_sketch"), F.col("sketch"), sketch_size) <= max_disagree) & ~sooner
         pairs = heads.join(other, near)
         pairs = pairs.select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b")).distinct()
         if tested is not None:

@@ -1,13 +1,14 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit distance.
-
-The CGK random walk reads a word sequence with a pointer that moves on or
-stays, by a random bit of (step, word), and writes the word under it at each
-step. Sequences at small edit distance get outputs at small Hamming distance.
-The walk from every word of a document embeds the windows of every item size
-at once, for the output for a shorter window is a prefix. Each repetition
-samples a few output places below an item's size; windows and items that agree
-there are candidates, and an item's candidates are held against the item by
-exact edit distance over words, with the window's ends free.
+"""Benchmark decontamination: CGK embedding of pieces, exact edit distance.
+
+An item of n words is found where at most k = n / 5 edits part it from a run of
+a document. It is cut into k + 1 pieces over its whole length: k edits leave
+one piece as it is, wherever they stand and however long the item is. The CGK
+random walk reads a piece with a pointer that moves on or stays, by a random
+bit of (step, word), and writes the word under it at each step, nothing after
+the piece's end. Its output names the piece; the walk from every word of a
+document, over as many words, gives equal output for an equal piece, so no
+item within the distance is lost. Where outputs agree, the item is held against
+the text around by exact edit distance over words, with the window's ends free.
 
 Items are a stated query set: they go to the tasks in blocks of a fixed number
 of rows, whose size is checked, and documents stream past each block. No pair
@@ -25,49 +26,43 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sporeline.llm.wordhash import U, chunks, mix, seeded, word_hashes
+from sporeline.llm.wordhash import U, chunks, mix, word_hashes
 
 #: An item is found where the edit distance over words is at most (1 - SIMILARITY) of its words.
 SIMILARITY = 0.8
-#: Independent walks, repetitions of the sampling on each, places in a sample. Measured recall of items
-#: edited at the threshold is 0.97, and 1.0 at half of it (tests hold it at 0.95).
-WALKS, REPEATS, PLACES = 3, 6, 3
-#: Lower bounds, in words, of the size classes; an item's outputs are sampled below its class's bound.
-CLASSES = np.array([1, 2, 3, 4, 6, 8, 12, 18, 27, 40, 60, 90, 135, 200, 300])
+#: Steps of a walk for each word of a piece. A walk that ends before its piece does names it less sharply, but loses none.
+STEPS = 3
 #: A block of the query set never exceeds these.
 BLOCK_ROWS, BLOCK_BYTES = 20_000, 32 << 20
 FILTER = 1 << 20
 
 
-def walk(words: np.ndarray, starts: np.ndarray, n_steps: int, seed: int) -> np.ndarray:
-    """(steps, starts): the word under each pointer at each step; ``words`` ends in ``n_steps`` spare zeros."""
+def walk(words: np.ndarray, starts: np.ndarray, reach: int) -> np.ndarray:
+    """One number for each start: the output of the walk over the ``reach`` words from it."""
+    steps = STEPS * reach
+    step_keys = (mix(np.arange(steps, dtype=U) + U(1)) >> U(32)).astype(np.uint32) | np.uint32(1)
     at = starts.astype(np.int32)
-    out = np.empty((n_steps, len(at)), dtype=np.uint32)
-    step_keys = (mix(np.arange(n_steps, dtype=U) + U(1000 * seed + 1)) >> U(32)).astype(np.uint32) | np.uint32(1)
-    bit = np.empty(len(at), dtype=np.uint32)
-    for step in range(n_steps):
-        np.take(words, at, out=out[step], mode="clip")
-        np.multiply(out[step], step_keys[step], out=bit)
-        np.right_shift(bit, 31, out=bit)
-        at += bit.astype(np.int32)
-    return out
-
-
-def _places(size: int, walk_no: int) -> np.ndarray:
-    """(REPEATS, PLACES) steps below ``size``, the same for every text."""
-    draw = mix(np.arange(REPEATS * PLACES, dtype=U) + U(7919 * (walk_no + 1)) + U(size) * U(104729))
-    return (draw % U(size)).astype(np.int64).reshape(REPEATS, PLACES)
-
-
-def _keys(out: np.ndarray, places: np.ndarray) -> np.ndarray:
-    key = out[places[0]].astype(U)
-    for p in places[1:]:
+    ends = at + np.int32(reach)
+    key = np.zeros(len(at), dtype=U)
+    for step in range(steps):
+        out = np.take(words, at, mode="clip")
+        out *= at < ends
         key *= U(0x9E3779B97F4A7C15)
-        key += out[p]
+        key += out
+        at += ((out * step_keys[step]) >> np.uint32(31)).astype(np.int32)
     key *= U(0xBF58476D1CE4E5B9)
     return key ^ (key >> U(32))
 
 
+def _allowed(n):
+    """Edits within which an item of ``n`` words is found."""
+    return ((1 - SIMILARITY) * n + 1e-9).astype(np.int64)
+
+
+def _short(words: np.ndarray) -> np.ndarray:
+    return (words >> U(32)).astype(np.uint32)
+
+
 class Items:
     """The tables of one block of items, made once in a worker."""
 
@@ -76,31 +71,18 @@ class Items:
         words, first, _, _ = word_hashes([(r[1] or "").encode("utf-8", "surrogatepass") for r in rows])
         self.words = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         n = np.diff(first)
-        size_class = np.searchsorted(CLASSES, n, side="right") - 1  # -1: no words, never found
-        self.n_steps = int(CLASSES[size_class.max()]) if len(n) and size_class.max() >= 0 else 0
+        pieces = _allowed(n) + 1
+        reach = n // pieces  # 0: no words, never found
         self.tables = []
-        for c in np.unique(size_class[size_class >= 0]):
-            members = np.flatnonzero(size_class == c)
-            for w in range(WALKS):
-                spots = _places(int(CLASSES[c]), w)
-                flat, starts, _ = _spaced([self.words[m] for m in members], self.n_steps)
-                out = walk(flat, starts, int(CLASSES[c]), w)
-                for r in range(REPEATS):
-                    keys = _keys(out, spots[r])
-                    order = np.argsort(keys)
-                    bits = np.zeros(FILTER, dtype=bool)
-                    bits[(keys & U(FILTER - 1)).astype(np.int64)] = True
-                    self.tables.append((w, spots[r], bits, keys[order], members[order]))
-
-
-def _spaced(texts: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(32-bit words with ``gap`` zeros after each text, place of each text, number of words of each)."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    places = np.cumsum(sizes + gap) - sizes - gap
-    flat = np.zeros(int((sizes + gap).sum()) + gap + 1, dtype=np.uint32)
-    for t, p in zip(texts, places, strict=True):
-        flat[p : p + len(t)] = (t >> U(32)).astype(np.uint32)
-    return flat, places, sizes
+        for q in np.unique(reach[reach > 0]).tolist():
+            members = np.flatnonzero(reach == q)
+            owner = np.repeat(members, pieces[members])
+            offsets = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces[members]) - pieces[members], pieces[members])) * q
+            keys = walk(_short(words), first[owner] + offsets, q)
+            order = np.argsort(keys)
+            bits = np.zeros(max(FILTER, 1 << (8 * len(keys)).bit_length()), dtype=bool)
+            bits[(keys & U(len(bits) - 1)).astype(np.int64)] = True
+            self.tables.append((q, bits, keys[order], owner[order], offsets[order]))
 
 
 def edit_distance_within(item: np.ndarray, text: np.ndarray) -> int:
@@ -118,54 +100,54 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray) -> int:
 def _find(items: Items, raws: list[bytes]) -> Iterator[tuple[int, int, int]]:
     """(text, item, distance) of the items found in a run of texts, the least distance of each pair."""
     words, first, _, _ = word_hashes(raws)
-    if not len(words) or not items.tables:
-        return
-    flat, places, sizes = _spaced([words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], items.n_steps)
-    text_of = np.repeat(np.arange(len(raws)), sizes)
-    starts = np.repeat(places - first[:-1], sizes) + np.arange(len(words))
-    pairs = []
-    out, walked = None, -1
-    for w, spots, bits, keys, members in sorted(items.tables, key=lambda t: t[0]):
-        if w != walked:
-            out, walked = walk(flat, starts, items.n_steps, w), w
-        mine = _keys(out, spots)
-        maybe = np.flatnonzero(bits[(mine & U(FILTER - 1)).astype(np.int64)])
+    text_of = np.repeat(np.arange(len(raws)), np.diff(first))
+    short, places = _short(words), np.arange(len(words))
+    left = first[text_of + 1] - places
+    found = [np.zeros((3, 0), dtype=np.int64)]
+    for q, bits, keys, members, offsets in items.tables:
+        starts = places[left >= q]
+        mine = walk(short, starts, q)
+        maybe = np.flatnonzero(bits[(mine & U(len(bits) - 1)).astype(np.int64)])
         lo = np.searchsorted(keys, mine[maybe], "left")
         times = np.searchsorted(keys, mine[maybe], "right") - lo
-        ranks = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        pairs.append(members[np.repeat(lo, times) + ranks] * len(words) + np.repeat(maybe, times))
-    found = np.unique(np.concatenate(pairs))
-    owner = found // len(words)
-    cuts = np.flatnonzero(np.diff(owner)) + 1
+        hits = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        at = np.repeat(starts[maybe], times)
+        found.append(np.stack([members[hits], text_of[at], at - offsets[hits]]))
+    found = np.concatenate(found, axis=1)
+    found = found[:, np.lexsort(found[::-1])]
+    new = (found[:, 1:] != found[:, :-1]).any(axis=0)
+    found = found[:, np.flatnonzero(np.concatenate([[True], new]))] if found.shape[1] else found
     small = (words & U(0xFFFF)).astype(np.int64)
     known = np.zeros(1 << 16, dtype=bool)
-    for group in np.split(found, cuts) if len(found) else []:
-        m = int(group[0] // len(words))
-        yield from _verify(items.words[m], m, group % len(words), words, small, known, first, text_of)
+    cuts = np.flatnonzero(np.diff(found[0])) + 1
+    for group in np.split(found, cuts, axis=1) if found.shape[1] else []:
+        m = int(group[0, 0])
+        yield from _verify(items.words[m], m, group[1], group[2], words, small, known, first)
 
 
-def _verify(item, m, starts, words, small, known, first, text_of) -> Iterator[tuple[int, int, int]]:
-    """The texts that hold one item, of the windows at ``starts``."""
-    allowed = int((1 - SIMILARITY) * len(item) + 1e-9)
+def _verify(item, m, texts, starts, words, small, known, first) -> Iterator[tuple[int, int, int]]:
+    """The texts that hold one item, of the windows at ``starts``, which come by text, then place."""
+    allowed = int(_allowed(np.int64(len(item))))
     # within the distance, all but ``allowed`` words of the item match words of the window
     mine = (item & U(0xFFFF)).astype(np.int64)
     known[mine] = True
-    reach = np.arange(-allowed - 2, len(item) + 2 * allowed + 2)
-    passed = []
-    for part in np.array_split(starts, len(starts) // 4096 + 1):
-        places = part[:, None] + reach
-        inside = (places >= first[text_of[part]][:, None]) & (places < first[text_of[part] + 1][:, None])
-        passed.append(part[(known[small[np.clip(places, 0, len(words) - 1)]] & inside).sum(axis=1) >= len(item) - allowed])
+    before, after = allowed + 2, len(item) + 2 * allowed + 2
+    reach = np.arange(-before, after)
+    full = np.zeros(len(starts), dtype=bool)
+    for part in np.array_split(np.arange(len(starts)), len(starts) * len(reach) // (1 << 19) + 1):
+        places = starts[part, None] + reach
+        inside = (places >= first[texts[part]][:, None]) & (places < first[texts[part] + 1][:, None])
+        full[part] = (known[small[np.clip(places, 0, len(words) - 1)]] & inside).sum(axis=1) >= len(item) - allowed
     known[mine] = False
+    texts, starts = texts[full], starts[full]
     best: dict[int, int] = {}
-    for s in np.concatenate(passed).tolist():
-        t = int(text_of[s])
+    # windows of a text that meet are one
+    apart = np.flatnonzero((np.diff(texts) > 0) | (np.diff(starts) > before + after)) + 1
+    for lo, hi in zip([0, *apart.tolist()], [*apart.tolist(), len(starts)], strict=True) if len(starts) else []:
+        t = int(texts[lo])
         if best.get(t) == 0:
             continue
-        window = words[max(first[t], s - allowed - 2) : min(first[t + 1], s + len(item) + 2 * allowed + 2)]
-        if np.isin(item, window).sum() < len(item) - allowed:
-            continue
-        d = edit_distance_within(item, window)
+        d = edit_distance_within(item, words[max(first[t], starts[lo] - before) : min(first[t + 1], starts[hi - 1] + after)])
         if d <= allowed:
             best[t] = min(d, best.get(t, d))
     yield from ((t, m, d) for t, d in best.items())
@@ -195,7 +177,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item
     """(id, item id, distance, n_words) of each item found in each document.
 
     ``distance`` is the least edit distance over words of the item to a run of
-    the document, among the windows found; n_words is the item's. Null and
+    the document; n_words is the item's. Every pair within it is found. Null and
     empty items are found nowhere, null and empty documents hold nothing.
     Repeated rows of a document or an item give one row a pair of ids. An
     empty table on either side gives an empty result.

@@ -277,6 +277,31 @@ def test_decontamination_recall_and_precision(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_loses_no_item_wherever_its_edits_lie(spark):
+    rng = random.Random(71)
+    items, texts, planted = [], [], {}
+    for n in (1, 4, 5, 9, 10, 20, 39, 59, 120, 400, 900):
+        for low, high in ((0, 0.4), (0.6, 1), (0, 1)):
+            for kind in range(4 if n <= 120 else 1):
+                w = words(rng, n)
+                spots = rng.sample(range(int(low * n), max(int(high * n), 1)), n // 5)
+                out = [[x] for x in w]
+                for i in spots:
+                    out[i] = [["edit"], [], ["edit", w[i]], [rng.choice(w)]][kind]
+                planted[len(texts)] = len(items)
+                items.append(" ".join(w))
+                texts.append(" ".join(words(rng, rng.randint(0, 40)) + sum(out, []) + words(rng, rng.randint(0, 40))))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontam.contaminated(table(spark, texts), bench).collect()}
+    assert not [len(items[i].split()) for d, i in planted.items() if (d, i) not in got]
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            x, y = item.split(), t.split()
+            if len(x) <= 59 and len(set(x) - set(y)) <= len(x) // 5:
+                least = edit_within(x, y)
+                assert got.get((d, i)) == (least if least <= len(x) // 5 else None)
+
+
 # 7. token counts
 
 

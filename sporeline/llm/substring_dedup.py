@@ -112,8 +112,6 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return done.select(F.col("id").alias(id_col), "paragraph", "n_words", F.hex("class").alias("class"), first.alias("keep"))
 
 
-def op8_paragraph_minhash(spark, sf_dir: str, least_words: int = 40) -> DataFrame:
-    """Repeated paragraphs of documents in which they come to ``least_words`` words or more."""
-    found = repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    enough = found.groupBy("doc_id").agg(F.sum("n_words").alias("n")).where(F.col("n") >= least_words).select("doc_id")
-    return found.join(enough, "doc_id")
+def op8_paragraph_minhash(spark, sf_dir: str) -> DataFrame:
+    """Every paragraph of ``documents`` that stands in two documents or more."""
+    return repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"))

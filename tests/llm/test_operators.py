@@ -382,6 +382,15 @@ def test_paragraphs_equal_brute_force(spark):
     assert substring_dedup.repeated_paragraphs(table(spark, texts).limit(0)).count() == 0
 
 
+def test_paragraph_query_returns_short_repeats_and_every_keep_row(spark, tmp_path):
+    rng = random.Random(81)
+    short, other = (" ".join(words(rng, 9)) for _ in range(2))
+    texts = [short, "\n".join([" ".join(words(rng, 50)), short]), "\n".join([short, other, " ".join(words(rng, 30))]), other]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = substring_dedup.op8_paragraph_minhash(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.paragraph, r.n_words, r.keep) for r in got) == [(0, 0, 9, True), (1, 1, 9, False), (2, 0, 9, False), (2, 1, 9, True), (3, 0, 9, False)]
+
+
 # 9. quality
 
 

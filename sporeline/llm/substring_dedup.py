@@ -3,8 +3,8 @@
 Paragraphs are lines. Equal paragraphs are one node. Signatures of k-minima
 over five-word shingles are banded for high recall at the threshold,
 paragraphs that share a band are verified by the exact Jaccard of their
-shingle sets, and links become classes. A paragraph of fewer than nine
-distinct shingles reaches 0.8 with an equal one only, so it has no bands. Of
+shingle sets, and links become classes. Every paragraph with a word has bands:
+one word more makes 4 shingles of 5, and other white space the same set. Of
 each class that stands in two documents or more, the first paragraph stays
 (by document, then place) and the others are removals.
 """
@@ -27,8 +27,6 @@ THRESHOLD = 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 5) ** 12 = 0.992.
 BANDS, ROWS = 12, 5
 MIN_WORDS = 8
-LEAST_SHINGLES = 9
-
 
 #: Registers of 4 bits in which a pair at the threshold disagrees: the mean and 3.3 deviations, which 0.05 % exceed.
 _AGREE = THRESHOLD + (1 - THRESHOLD) / 16
@@ -36,7 +34,7 @@ MAX_DISAGREE = int(BANDS * ROWS * (1 - _AGREE) + 3.3 * (BANDS * ROWS * _AGREE *
 
 
 def sketches(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(band hashes, packed 4-bit registers) of each paragraph; no bands where only an equal text can be similar."""
+    """(band hashes, packed 4-bit registers) of each paragraph; no bands for one without words."""
     hashes: list[np.ndarray] = []
     packed: list[np.ndarray] = []
     for _, raws in chunks(texts):
@@ -53,7 +51,7 @@ def sketches(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray
             bits[full, k] = low & U(15)
         words_of = bits.reshape(len(raws), -1, 16) << (U(4) * np.arange(16, dtype=U))
         packed += list(np.bitwise_or.reduce(words_of, axis=2).view(np.int64))
-        hashes += [row if k >= LEAST_SHINGLES else row[:0] for row, k in zip(made.view(np.int64), n, strict=True)]
+        hashes += [row if k else row[:0] for row, k in zip(made.view(np.int64), n, strict=True)]
     return hashes, packed
 
 

@@ -391,6 +391,22 @@ def test_paragraph_query_returns_short_repeats_and_every_keep_row(spark, tmp_pat
     assert sorted((r.doc_id, r.paragraph, r.n_words, r.keep) for r in got) == [(0, 0, 9, True), (1, 1, 9, False), (2, 0, 9, False), (2, 1, 9, True), (3, 0, 9, False)]
 
 
+def test_short_paragraphs_with_a_word_more_or_other_white_space_are_one_class(spark):
+    rng = random.Random(82)
+    pairs = []
+    for n in (8, 9, 10, 11, 12):
+        for _ in range(6):
+            w = words(rng, n)
+            pairs += [(" ".join(w), " ".join([*w, "more"])), (" ".join(w), " ".join(["more", *w]))]
+        w = words(rng, n)
+        pairs += [(" ".join(w), x) for x in (" ".join(w) + "\r", "   " + " ".join(w), "  ".join(w), "\t".join(w))]
+    pairs += [(" ".join(["again"] * 8), " ".join(["again"] * 12))]
+    docs = table(spark, [t for p in pairs for t in p])
+    got = {r.doc_id: r["class"] for r in substring_dedup.repeated_paragraphs(docs).collect()}
+    lost = [p for i, p in enumerate(pairs) if 2 * i not in got or got[2 * i] != got.get(2 * i + 1)]
+    assert len(lost) <= 0.03 * len(pairs), lost
+
+
 # 9. quality
 
 

@@ -485,6 +485,14 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_class_keeps_clean_texts_without_or_with_the_same_id(spark):
+    rng = random.Random(14)
+    a, b, c, d, e = (" ".join(words(rng, 60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, c), (5, c), (7, d), (7, e), (8, e), (9, e + " more")]
+    kept = near_dedup.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(0, a), (0, b), (5, c), (7, d), (7, e)])
+
+
 def test_crc_of_the_contract(spark):
     from pyspark.sql import functions as F
 

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one only where none is set (tests)."""
+    """The session's checkpoint folder. Where none is set, a local session gets one of its own; a cluster must name one."""
     sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
-    return spark.conf.get("spark.checkpoint.dir", None) or folder
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -28,4 +33,16 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` gave, once nothing is left to be read from them."""
+    for table in tables:
+        path = _paths.pop(table, None) if table is not None else None
+        if path:
+            jvm = table.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sporeline.functions.storage import materialize
+from sporeline.functions.storage import discard, materialize
 
 
 def adjacency(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str = "weight", order: str = "line_no") -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        current = materialize(small.where("u <> v").distinct())
+        last, current = current, materialize(small.where("u <> v").distinct())
+        discard(last)
         before, state = state, _fingerprint(current)
         if state == before:
             break

@@ -1,14 +1,17 @@
 """Verified similarity classes from band hashes: the part that two operators share.
 
-Nodes are distinct texts, named by a 16-byte fingerprint. Texts that share a
-band form a bucket. A bucket's members are not paired with each other: they
-are paired with one hub, the text whose buckets are largest, which of many
-near copies is the one that most resemble. Pairs are verified on the whole
-texts, and links become classes. A bucket whose other members are in one class
-is closed, for no link in it can change a class. In the others the hub is
-retired and the next ones tried, more in each round, against members of other
-classes only, until every bucket is closed: then every pair of texts that
-share a band and lie in different classes has been compared.
+Nodes are distinct texts, named by a 16-byte fingerprint. Nodes that share a
+band form a bucket. A bucket's members are not paired with each other: they are
+paired with one hub, the node whose buckets are largest, which of many near
+copies is the one that most resemble. Pairs are verified exactly, and links
+become classes. A bucket whose members other than the hub are in one class is
+closed, for no link in it can change a class. What is left in open buckets is
+signed anew with more rows a band, so that a bucket of texts that only share a
+passage falls apart and those that resemble each other stay together, and goes
+through the same round. Buckets still open at the last level have their hub
+retired and the next ones tried, GROWTH times as many in each round, against
+members of other classes only, until every bucket is closed: there every pair
+of different classes is a candidate of long bands, and is verified.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sporeline.functions.storage import materialize
+from sporeline.functions.storage import discard, materialize
 from sporeline.operators.graph import connected_components
 
-#: Hubs of a bucket in the first round, second, ...: 1, GROWTH, GROWTH ** 2, ...
-GROWTH = 64
+#: Hubs of a bucket in the first round of the last level, second, ...: 1, GROWTH, GROWTH ** 2, ...
+GROWTH = 8
 
 
 def fingerprint(text: Column) -> Column:
@@ -31,71 +34,75 @@ def fingerprint(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def _disagreements(a: Column, b: Column, numbers: int) -> Column:
-    """How many of the packed 4-bit registers differ."""
-    total = F.lit(0)
-    for i in range(numbers):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
+def linked_classes(bands: DataFrame, bodies: DataFrame, sign: list[Callable], similar: Callable[[list, list], list[bool]]) -> DataFrame:
+    """(fp, class): classes of two and more nodes and single members of their buckets, named by their least fingerprint.
 
-
-def linked_classes(bands: DataFrame, texts: DataFrame, similar: Callable[[list[str], list[str]], list[bool]], max_disagree: int | None = None) -> DataFrame:
-    """(fp, class): classes of two and more texts, named by their least fingerprint.
-
-    ``bands`` has fp and an array of band hashes, one row a text; ``texts`` has
-    fp and text, one row a text. ``similar`` says for two lists of texts which
-    pairs are similar; it runs in the tasks. Tables that rounds share are
-    written to the shared folder. With a ``sketch`` of 4-bit registers beside
-    the bands, pairs that differ in more than ``max_disagree`` registers are
-    no candidates after the first round; the join itself leaves them out, and
-    makes a pair in the first band that it shares only.
+    ``bands`` has fp and an array of band hashes of the first level, one row a
+    node; ``bodies`` has fp and body, one row a node. ``sign`` gives the band
+    hashes of bodies at each further level, ``similar`` says for two lists of
+    bodies which pairs are similar; both run in the tasks.
     """
     rows = bands.select("fp", F.explode("bands").alias("band"))
     full = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = rows.join(full, "band")
-    # a text whose buckets are large is near many others: the best hub
-    weights = members.groupBy("fp").agg(F.sum("n").alias("weight"))
-    members = materialize(members.select("band", "fp").join(weights, "fp"))
-    texts = materialize(texts.join(members.select("fp").distinct(), "fp", "left_semi"))
-    classes = members.select("fp", F.col("fp").alias("class")).distinct()
-    tested, cells, linked = None, 1, False
-    if max_disagree is not None:
-        bands = materialize(bands.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "sketch", "bands"))
-        one = bands.select(F.size("sketch").alias("n")).first()
-        sketch_size = one["n"] if one else 0
+    members = materialize(_weighed(rows.join(full, "band")))
+    bodies = materialize(bodies.join(members.select("fp").distinct(), "fp", "left_semi"))
+    classes = materialize(bodies.select("fp", F.col("fp").alias("class")))
+    tested, level, cells = [], 0, 1
     while not members.isEmpty():
+        classed = members.join(classes, "fp")
         cell = F.pmod(F.xxhash64("band", "fp"), F.lit(cells))
-        hubs = members.groupBy("band", cell.alias("cell")).agg(F.max_by(F.struct("fp", "class") if linked else "fp", F.struct("weight", "fp")).alias("hub"))
-        hubs = materialize(hubs.select("band", "hub.fp", "hub.class") if linked else hubs.select("band", F.col("hub").alias("fp"), F.col("hub").alias("class")))
-        other = members if linked else members.withColumn("class", F.col("fp"))
+        hubs = materialize(classed.groupBy("band", cell.alias("cell")).agg(F.max_by(F.struct("fp", "class"), F.struct("weight", "fp")).alias("hub")).select("band", "hub.*"))
         heads = hubs.select("band", F.col("fp").alias("hub"), F.col("class").alias("hub_class"))
-        near = (heads["band"] == other["band"]) & (F.col("hub_class") != F.col("class"))
-        if linked and max_disagree is not None:
-            other = materialize(other.join(bands, "fp"))
-            heads = heads.join(bands.select(F.col("fp").alias("hub"), F.col("sketch").alias("hub_sketch"), F.col("bands").alias("hub_bands")), "hub")
-            # a pair belongs to the first band that it shares: there both stay until one has been a hub
-            before = F.array_position("bands", heads["band"]).cast("int") - 1
-            sooner = F.arrays_overlap(F.slice("hub_bands", F.lit(1), before), F.slice("bands", F.lit(1), before))
-            near = (heads["band"] == other["band"]) & (F.col("hub_class") != F.col("class")) & (_disagreements(F.col("hub_sketch"), F.col("sketch"), sketch_size) <= max_disagree) & ~sooner
-        pairs = heads.join(other, near)
+        pairs = heads.join(classed, "band").where("hub_class <> class")
         pairs = pairs.select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = materialize(_verified(pairs, texts, similar))
-        tested = found if tested is None else tested.unionByName(found)
+        for known in tested:
+            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        found = materialize(_verified(pairs, bodies, similar))
+        tested.append(found)
         links = found.where("linked")
         if not links.isEmpty():
-            classes = materialize(_merged(classes, links))
-        rest = members.select("band", "fp", "weight").join(hubs.select("band", "fp"), ["band", "fp"], "left_anti").join(classes, "fp")
-        mixed = rest.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band")
-        members = materialize(rest.join(mixed, "band"))
-        linked, cells = True, cells * GROWTH
+            joined = materialize(_merged(classes, links))
+            discard(classes)
+            classes = joined
+        rest = members.join(hubs.select("band", "fp"), ["band", "fp"], "left_anti").join(classes, "fp")
+        mixed = _mixed(rest)
+        if level < len(sign):
+            left = rest.join(mixed, "band", "left_semi").select("fp", "class").distinct()
+            following = materialize(_signed(left.join(bodies, "fp"), sign[level]))
+            level += 1
+        else:
+            following = materialize(rest.join(mixed, "band", "left_semi").select("band", "fp", "weight"))
+            cells *= GROWTH
+        discard(members, hubs)
+        members = following
+    discard(members, bodies, *tested)
     return classes
 
 
+def _weighed(members: DataFrame) -> DataFrame:
+    """(band, fp, weight) of rows with the size ``n`` of their bucket: a node whose buckets are large is near many others."""
+    return members.select("band", "fp").join(members.groupBy("fp").agg(F.sum("n").alias("weight")), "fp").select("band", "fp", "weight")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(band, n) of buckets that hold two classes or more, told by 96 bits of the class's name."""
+    one, two = F.xxhash64("class"), F.hash("class")
+    sides = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(one).alias("a"), F.max(one).alias("b"), F.min(two).alias("c"), F.max(two).alias("d"))
+    return sides.where("a <> b OR c <> d").select("band", "n")
+
+
+def _signed(nodes: DataFrame, sign: Callable) -> DataFrame:
+    """(band, fp, weight) of the buckets of ``nodes`` (fp, class, body) that hold two classes or more."""
+
+    def bands_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"fp": batch["fp"], "class": batch["class"], "bands": sign(batch["body"].tolist())})
+
+    made = nodes.select("fp", "class", "body").mapInPandas(bands_of, "fp binary, class binary, bands array<long>")
+    rows = materialize(made.select("fp", "class", F.explode("bands").alias("band")))
+    return _weighed(rows.join(_mixed(rows), "band"))
+
+
 def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``classes`` after the classes that new links touch have become one."""
     ends = links.join(classes.select(F.col("fp").alias("a"), F.col("class").alias("u")), "a").join(classes.select(F.col("fp").alias("b"), F.col("class").alias("v")), "b")
@@ -103,11 +110,13 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.join(joined, "class", "left").select("fp", F.coalesce("component", "class").alias("class"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similar: Callable) -> DataFrame:
+def _verified(pairs: DataFrame, bodies: DataFrame, similar: Callable) -> DataFrame:
+    """``pairs`` with ``linked``. Members' bodies travel; a hub's meets them in the tasks of its own pairs."""
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": similar(batch["text_a"].tolist(), batch["text_b"].tolist())})
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": similar(batch["body_a"].tolist(), batch["body_b"].tolist())})
 
-    left = texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(check, "a binary, b binary, linked boolean")
+    left = bodies.select(F.col("fp").alias("a"), F.col("body").alias("body_a"))
+    right = bodies.select(F.col("fp").alias("b"), F.col("body").alias("body_b"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "body_a", "body_b").mapInPandas(check, "a binary, b binary, linked boolean")

@@ -26,33 +26,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sporeline.functions.storage import materialize
-from sporeline.llm.wordhash import U, chunks, mix, word_hashes
+from sporeline.llm.wordhash import U, chunks, minimum_places, mix, word_hashes
 
 #: Passages of MIN_WORDS = SEED + GAP - 1 words and more are found whole.
 SEED, GAP = 32, 19
 MIN_WORDS = SEED + GAP - 1
 
 
-def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
-    """``least`` over x[i : i + width] for every full window, by doubling."""
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        x = least(x[: len(x) - step], x[step:])
-        have += step
-    return x
-
-
 def minimisers(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, seed hashes) of the kept suffixes of a run of texts, whose words ``first`` parts; places count over all."""
     if len(words) < MIN_WORDS:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
-    text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     seeds = _seed_hashes(words) | U(1)
-    low = _slide(seeds, GAP, np.minimum)
-    low[text_of[: len(low)] != text_of[MIN_WORDS - 1 :]] = 0  # windows over two texts choose nothing
-    padded = np.concatenate([np.zeros(GAP - 1, dtype=U), low, np.zeros(GAP - 1, dtype=U)])
-    places = np.flatnonzero(_slide(padded, GAP, np.maximum) == seeds)
+    places = minimum_places(seeds, np.repeat(np.arange(len(first) - 1), np.diff(first)), GAP, SEED)
     return places, seeds[places]
 
 

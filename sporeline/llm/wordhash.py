@@ -93,3 +93,24 @@ def counted(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     h, o = hashes[order], owner[order]
     new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])]))
     return h[new], o[new], np.diff(np.concatenate([new, [len(h)]]))
+
+
+def slide(x: np.ndarray, width: int, reduce: np.ufunc) -> np.ndarray:
+    """``reduce`` over x[i : i + width] for every full window, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = reduce(x[: len(x) - step], x[step:])
+        have += step
+    return x
+
+
+def minimum_places(order: np.ndarray, text_of: np.ndarray, gap: int, size: int) -> np.ndarray:
+    """Places whose ``order`` (over 0) is least in a run of ``gap`` places, where ``size`` words from each of the run lie in one text."""
+    n = len(text_of) - (gap + size - 2)
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    low = slide(order, gap, np.minimum)[:n].copy()
+    low[text_of[:n] != text_of[gap + size - 2 :]] = 0  # runs over two texts choose nothing
+    padded = np.concatenate([np.zeros(gap - 1, dtype=U), low, np.zeros(gap - 1, dtype=U)])
+    return np.flatnonzero(slide(padded, gap, np.maximum) == order[: n + gap - 1])

@@ -376,8 +376,10 @@ def test_paragraphs_equal_brute_force(spark):
     for i, _, line in rows:
         spread.setdefault(of[line], set()).add(i)
     want = {(i, j) for i, j, line in rows if len(spread[of[line]]) > 1}
-    got = substring_dedup.repeated_paragraphs(table(spark, texts)).collect()
+    every = substring_dedup.repeated_paragraphs(table(spark, texts)).collect()
+    got = [r for r in every if r.unit == "line"]
     assert {(r.doc_id, r.paragraph) for r in got} == want
+    assert not {r["class"] for r in got} & {r["class"] for r in every if r.unit == "passage"}
     assert sum(r.keep for r in got) == len({r["class"] for r in got}) == len({c for c, d in spread.items() if len(d) > 1})
     assert substring_dedup.repeated_paragraphs(table(spark, texts).limit(0)).count() == 0
 
@@ -388,7 +390,7 @@ def test_paragraph_query_returns_short_repeats_and_every_keep_row(spark, tmp_pat
     texts = [short, "\n".join([" ".join(words(rng, 50)), short]), "\n".join([short, other, " ".join(words(rng, 30))]), other]
     table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     got = substring_dedup.op8_paragraph_minhash(spark, str(tmp_path)).collect()
-    assert sorted((r.doc_id, r.paragraph, r.n_words, r.keep) for r in got) == [(0, 0, 9, True), (1, 1, 9, False), (2, 0, 9, False), (2, 1, 9, True), (3, 0, 9, False)]
+    assert sorted((r.doc_id, r.paragraph, r.n_words, r.keep) for r in got if r.unit == "line") == [(0, 0, 9, True), (1, 1, 9, False), (2, 0, 9, False), (2, 1, 9, True), (3, 0, 9, False)]
 
 
 def test_short_paragraphs_with_a_word_more_or_other_white_space_are_one_class(spark):
@@ -402,11 +404,54 @@ def test_short_paragraphs_with_a_word_more_or_other_white_space_are_one_class(sp
         pairs += [(" ".join(w), x) for x in (" ".join(w) + "\r", "   " + " ".join(w), "  ".join(w), "\t".join(w))]
     pairs += [(" ".join(["again"] * 8), " ".join(["again"] * 12))]
     docs = table(spark, [t for p in pairs for t in p])
-    got = {r.doc_id: r["class"] for r in substring_dedup.repeated_paragraphs(docs).collect()}
+    got = {r.doc_id: r["class"] for r in substring_dedup.repeated_paragraphs(docs).collect() if r.unit == "line"}
     lost = [p for i, p in enumerate(pairs) if 2 * i not in got or got[2 * i] != got.get(2 * i + 1)]
     assert len(lost) <= 0.03 * len(pairs), lost
 
 
+def test_passages_inside_other_lines_are_found_and_nothing_else(spark, tmp_path):
+    rng = random.Random(83)
+    stock = [words(rng, n) for n in (50, 51, 55, 64, 80, 120, 300) for _ in range(4)]
+    texts, planted = [], {}
+    for i, p in enumerate(stock):
+        for _ in range(2 + i % 3):
+            before, after = words(rng, rng.randint(0, 90)), words(rng, rng.randint(0, 90))
+            body = "".join(w + rng.choice([" ", " ", " ", "  ", "\n"]) for w in p)
+            planted[len(texts)] = (len(before), len(before) + len(p))
+            texts.append(" ".join(before) + " " + body + " ".join(after))
+    n = len(texts)
+    texts += [" ".join(words(rng, 200)) for _ in range(20)] + ["\n".join(" ".join(words(rng, 9)) for _ in range(30)), " ".join(["again"] * 500), None, ""]
+    texts += [texts[n]] * 2  # copies of a clean text: all its passages
+    table(spark, texts).withColumnRenamed("source", "class").withColumnRenamed("lang", "name").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r for r in substring_dedup.op8_paragraph_minhash(spark, str(tmp_path)).collect() if r.unit == "passage"]
+    assert set(planted) <= {r.doc_id for r in got}
+    pieces = {}
+    for d, t in enumerate(texts):
+        w = (t or "").split()
+        for i in range(len(w) - 15):
+            pieces.setdefault(" ".join(w[i : i + 16]), set()).add(d)
+    for r in got:
+        w = texts[r.doc_id].split()[r.paragraph : r.paragraph + 16]
+        assert len(pieces[" ".join(w)]) > 1 or any(len(pieces[p]) and shingle_set(" ".join(w)) & shingle_set(p) for p in pieces if p.split()[1:] == w[1:] or p.split()[:-1] == w[:-1])
+    assert {r.doc_id for r in got} == {*planted, n, len(texts) - 1, len(texts) - 2}
+    by_class = {}
+    for r in got:
+        by_class.setdefault(r["class"], []).append(r)
+    assert all(sum(r.keep for r in c) == 1 and len({r.doc_id for r in c}) > 1 and min(r.doc_id for r in c) == next(r.doc_id for r in c if r.keep) for c in by_class.values())
+
+
+def test_paragraphs_of_repeated_rows_null_ids_and_long_texts(spark):
+    rng = random.Random(84)
+    line, long = " ".join(words(rng, 20)), "\n".join(" ".join(words(rng, 40)) for _ in range(1500))
+    rows = [(1, line), (1, line), (None, line + "\nx"), (2, long), (3, long + " end"), (4, " ".join(words(rng, 30))), (4, "a\nb")]
+    got = substring_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {1, None, 2, 3}
+    assert sum(r.unit == "line" and r.doc_id == 2 for r in got) == 1500 and sum(r.keep for r in got) == len({r["class"] for r in got})
+    assert [r.keep for r in got if r.doc_id is None] == [False]
+    alone = substring_dedup.repeated_paragraphs(spark.createDataFrame([(1, line), (1, line), (1, line + "\ny")], "doc_id long, text string"))
+    assert alone.count() == 0
+
+
 # 9. quality
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sporeline.functions.numbering import numbered
 from sporeline.functions.storage import discard, materialize
 
 
@@ -26,8 +27,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
     neighbours through map-side minima and skew-split joins, never in one task.
     """
     current = materialize(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct())
-    state = _fingerprint(current)
     for _ in range(max_rounds):
+        if _settled(current):
+            break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -36,9 +38,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         last, current = current, materialize(small.where("u <> v").distinct())
         discard(last)
-        before, state = state, _fingerprint(current)
-        if state == before:
-            break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component"))
@@ -49,9 +48,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
     return nodes.select(F.col(name).alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))").alias("s")).first()
-    return row["n"], row["s"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge and no edge leads to a node that has one: then all edges lead to roots."""
+    per = edges.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
+    onward = per.select(F.col("v").alias("u")).join(per.select("u"), "u", "left_semi")
+    return per.where("n > 1").select("u").unionByName(onward).isEmpty()
 
 
 def _components_of(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -124,11 +125,9 @@ def greedy_clusters(hits: DataFrame, max_members: int | None = None, limit: int
 
 
 def _numbered(groups: DataFrame, by: list[str], prefix: str) -> DataFrame:
-    """``groups`` with a name by rank, largest first: sorted by range, numbered by position in the sorted order."""
-    ordered = groups.orderBy(F.col(by[0]).desc(), *by[1:])
-    indexed = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    schema = ordered.schema.add("rank", "long")
-    return groups.sparkSession.createDataFrame(indexed, schema).withColumn("cluster", F.concat(F.lit(prefix), "rank")).drop("rank")
+    """``groups`` with a name by rank, largest first."""
+    ranked = numbered(groups, [F.col(by[0]).desc(), *[F.col(c) for c in by[1:]]], "_rank")
+    return ranked.withColumn("cluster", F.concat(F.lit(prefix), "_rank")).drop("_rank")
 
 
 def cluster_sizes(members: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
@@ -221,11 +220,18 @@ def relabel_clusters(clusters: DataFrame, mapping: DataFrame) -> DataFrame:
     return j.select(checked.alias("cluster_id"), *[c for c in clusters.columns if c != "cluster_id"])
 
 
-def threshold_clusters(pairs: DataFrame, ids: DataFrame, cutoff: float) -> DataFrame:
-    """(id, cluster): groups of pairs (a, b, distance) within the cutoff as CL-<least id>, the rest as SG-<id>."""
+def threshold_clusters(pairs: DataFrame, ids: DataFrame, cutoff: float, likelihood: DataFrame | None = None) -> DataFrame:
+    """(id, cluster, likelihood): groups of pairs (a, b, distance) within the cutoff as CL-1, CL-2, ... by least id, the rest as SG-1, SG-2, ... by id.
+
+    ``likelihood`` has id, likelihood; null where it has none.
+    """
     found = connected_components(pairs.where(F.col("distance") <= cutoff), src="a", dst="b")
-    j = ids.join(found.withColumnRenamed("node", "id"), "id", "left")
-    return j.select("id", F.coalesce(F.concat(F.lit("CL-"), "component"), F.concat(F.lit("SG-"), "id")).alias("cluster"))
+    j = materialize(ids.select("id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left"))
+    groups = numbered(j.where("component IS NOT NULL").select("component").distinct(), [F.col("component")])
+    grouped = j.join(groups, "component").select("id", F.concat(F.lit("CL-"), "n").alias("cluster"))
+    single = numbered(j.where("component IS NULL").select("id"), [F.col("id")]).select("id", F.concat(F.lit("SG-"), "n").alias("cluster"))
+    out = grouped.unionByName(single)
+    return out.withColumn("likelihood", F.lit(None).cast("double")) if likelihood is None else out.join(likelihood.select("id", "likelihood"), "id", "left")
 
 
 def family_members(families: DataFrame, protein_to_gene: DataFrame) -> DataFrame:
@@ -257,7 +263,21 @@ def supported_orthologs(lines: DataFrame, least: int = 60) -> DataFrame:
     return filled.where((F.col("bootstrap") >= least) & F.col("ortholog").isNotNull()).select(F.col("file").alias("family"), "gene", "ortholog", "bootstrap")
 
 
-def cluster_sequences(clusters: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Members with sequence (null where unlisted) and the cluster's size."""
+def cluster_sequences(clusters: DataFrame, seqs: DataFrame, quals: DataFrame | None = None) -> DataFrame:
+    """Members (cluster_id, id) with sequence and quality (null where unlisted) and the cluster's size."""
     sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    return clusters.join(seqs.select("id", "seq"), "id", "left").join(sizes, "cluster_id").select("cluster_id", "id", "seq", "size")
+    j = clusters.join(seqs.select("id", "seq"), "id", "left")
+    j = j.withColumn("qual", F.lit(None).cast("array<int>")) if quals is None else j.join(quals.select("id", "qual"), "id", "left")
+    return j.join(sizes, "cluster_id").select("cluster_id", "id", "seq", "qual", "size")
+
+
+def unlisted_members(clusters: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Members that no sequence has."""
+    return clusters.join(seqs.select("id"), "id", "left_anti")
+
+
+def unigene_names(contigs: DataFrame, singlets: DataFrame, singletons: DataFrame) -> DataFrame:
+    """(unigene, kind, seq): contigs (cluster_id, contig, seq) as cluster-contig, singlets of assembled clusters (cluster_id, id, seq) as cluster-S-id, pre-cluster singletons (id, seq) as X-S-id."""
+    made = contigs.select(F.concat_ws("-", "cluster_id", "contig").alias("unigene"), F.lit("contig").alias("kind"), "seq")
+    lone = singlets.select(F.concat_ws("-", "cluster_id", F.lit("S"), "id").alias("unigene"), F.lit("singlet").alias("kind"), "seq")
+    return made.unionByName(lone).unionByName(singletons.select(F.concat(F.lit("X-S-"), "id").alias("unigene"), F.lit("singleton").alias("kind"), "seq"))

@@ -134,15 +134,15 @@ def encode(docs: DataFrame, shared: Broadcast, text_col: str = "text", out: str
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), text.alias("_text"))
     plain = rows.where(F.length("_text") <= SEGMENT).select("_row", ids_of("_text").alias("_ids"))
 
+    # a long text is named by its content, so a task that runs again after a loss gives its segments the same name
+    long = rows.where(F.length("_text") > SEGMENT).withColumn("_key", F.unhex(F.md5(F.col("_text").cast("binary"))))
     last = F.expr(f"cast((length(_text) - 1) div {SEGMENT} as int)")
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("_text", i * SEGMENT + 1, F.lit(SEGMENT)))
-    long = rows.where(F.length("_text") > SEGMENT).withColumn("_key", F.monotonically_increasing_id())
-    pieces = long.select("_key", "_row", F.posexplode(cut).alias("_i", "_piece"))
-    # the row travels with its first segment only
-    pieces = pieces.select("_key", "_i", F.when(F.col("_i") == 0, F.col("_row")).alias("_row"), "_piece").repartition("_key", "_i")
-    pieces = pieces.select("_key", "_i", "_row", "_piece", ids_of("_piece").alias("_ids"))
-    whole = pieces.groupBy("_key").agg(F.first("_row", ignorenulls=True).alias("_row"), F.sort_array(F.collect_list(F.struct("_i", "_piece", "_ids"))).alias("_all"))
-    whole = whole.select("_row", joined(F.col("_all._piece"), F.col("_all._ids")).alias("_ids"))
+    pieces = long.select("_key", "_text").dropDuplicates(["_key"]).select("_key", F.posexplode(cut).alias("_i", "_piece")).repartition("_key", "_i")
+    pieces = pieces.select("_key", "_i", "_piece", ids_of("_piece").alias("_ids"))
+    whole = pieces.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_i", "_piece", "_ids"))).alias("_all"))
+    whole = whole.select("_key", joined(F.col("_all._piece"), F.col("_all._ids")).alias("_ids"))
+    whole = long.select("_key", "_row").join(whole, "_key").select("_row", "_ids")
     return plain.unionByName(whole).select(*[F.col("_row")[c].alias(c) for c in own], F.col("_ids").alias(out))
 
 

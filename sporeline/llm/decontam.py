@@ -153,15 +153,15 @@ def _verify(item, m, texts, starts, words, small, known, first) -> Iterator[tupl
     yield from ((t, m, d) for t, d in best.items())
 
 
-_made: dict[int, Items] = {}
+_made: list[tuple[list, Items]] = []
 
 
 def _items(shared: Broadcast) -> Items:
-    key = id(shared.value)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Items(shared.value)
-    return _made[key]
+    """The tables of a block; the block is kept with them, so that it is told by what it is, not by its address."""
+    rows = shared.value
+    if not _made or _made[0][0] is not rows:
+        _made[:] = [(rows, Items(rows))]
+    return _made[0][1]
 
 
 def _blocks(bench: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
@@ -209,7 +209,12 @@ def _match(spark: SparkSession, texts: DataFrame, block: list[tuple]) -> DataFra
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold an item; rows without an id stay."""
+    """``docs`` without the documents that hold an item; rows without an id stay.
+
+    All rows of an id go where one of them holds an item. Null and empty texts
+    hold none. Repeated rows stay repeated, other columns pass through, and an
+    empty table on either side gives ``docs``.
+    """
     hit = contaminated(docs, bench, id_col, item_col, text_col).select(id_col).distinct()
     return docs.join(hit, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -1,14 +1,16 @@
 """Personal data: base patterns seed a bootstrapped contextual extraction.
 
-Base spans of four kinds are seeds. The one and two words before a seed are
-lexical patterns. Every identifier-like string that is no seed (a number run,
-a masked address) is a candidate instance of the same patterns. Spark scores
-the pattern-instance graph in turns: a pattern's confidence is the confidence
-of what follows it, summed over distinct instances, against every place in the
-corpus where its words stand; an instance that is no seed is as confident as
-the best pattern before it. Candidates after patterns of high confidence and
-enough distinct seeds are added to the spans. Frequent words are no patterns
-by themselves, for most of what follows them is no identifier.
+Base spans of four kinds are seeds. The one and two words before an identifier
+are lexical patterns. Every identifier-like string that is no seed (a number
+run, a masked address) is a candidate instance of the same patterns. Spark
+scores the pattern-instance graph in rounds. A pattern is active once MIN_SEEDS
+distinct trusted instances of a kind follow it; its confidence is the trust of
+what follows it, summed over places, against every place in the corpus where
+its words stand. A candidate after an active pattern of high confidence is
+trusted as much as the best of them, and counts as an instance in the next
+round: so what was found induces patterns that no seed backs, and those find
+more. Rounds end when no pattern is new. Frequent words are no patterns by
+themselves, for most of what follows them is no identifier.
 """
 
 from __future__ import annotations
@@ -21,15 +23,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sporeline.functions.storage import materialize
+from sporeline.functions.storage import discard, materialize
 from sporeline.llm.wordhash import U, chunks, mix, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+#: Rounds end sooner when no pattern is new; each one reaches a step further from the seeds.
+ROUNDS = 8
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.5
-#: Patterns are counted in the corpus in blocks of at most this many (16 bytes each).
-PATTERN_BLOCK = 200_000
+#: Bits of the filter that spares most of the corpus's word pairs the count; 2 MB however many patterns there are.
+FILTER = 1 << 24
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,7 +41,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"(?<![0-9])[0-9](?:[\x20()._-]{0,2}[0-9]){6,}")
-_MASKED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]{1,63})*")
+# whole runs only, taken without giving back: linear in the text, and of any length
+_MASKED = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)*+"
+)
+_SPACES = " \t\n\x0b\f\r"
+_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def _luhn(digits: str) -> bool:
@@ -105,8 +113,16 @@ def _candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[
 
 
 def _context(text: str, start: int) -> list[str]:
-    """The last two words before a place."""
-    return text[max(0, start - 200) : start].split()[-2:]
+    """The last two words before a place; none where the place is inside a word."""
+    if not start or text[start - 1] not in _SPACES:
+        return []
+    size = 64
+    while True:
+        low = max(0, start - size)
+        words = [w for w in _SPLIT.split(text[low:start]) if w]
+        if not low or len(words) > 2:  # the first of more may be cut, the last two are whole
+            return words[-2:]
+        size *= 4
 
 
 def _hash_words(words: list[str]) -> int:
@@ -144,68 +160,79 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "base": base, "edges": edges})
 
 
-def _occurrences(texts: DataFrame, patterns: list[int]) -> DataFrame:
-    """(pattern, total): places in the corpus where a pattern's words stand."""
-    known = np.sort(np.array(patterns, dtype=np.int64))
-    shared = texts.sparkSession.sparkContext.broadcast(known)
+def _filter(patterns: DataFrame) -> np.ndarray:
+    """Bits of the patterns' hashes: FILTER bits at most, made by partial bitmaps."""
+    bit = F.pmod(F.col("pattern"), F.lit(FILTER)) + 1  # buckets start at 1
+    parts = patterns.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    out = np.zeros((FILTER >> 15, 1 << 15), dtype=bool)
+    for row in parts.collect():  # FILTER / 32768 rows of 4 KB
+        out[row["at"] - 1] = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8), bitorder="little")
+    return out.ravel()
+
+
+def _occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): places in the corpus where the words of each of ``patterns`` stand."""
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(_filter(patterns)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = shared.value
+        maybe = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for _, raws in chunks(batch["text"].tolist()):
                 words, first, _, _ = word_hashes(raws)
                 owner = np.repeat(np.arange(len(raws)), np.diff(first))
                 pairs = _fold(words[:-1], words[1:])[owner[:-1] == owner[1:]] if len(words) > 1 else words[:0]
-                seen = np.concatenate([words, pairs]).view(np.int64)
-                at = np.searchsorted(wanted, seen)
-                hit = seen[wanted[np.minimum(at, len(wanted) - 1)] == seen]
-                values, times = np.unique(hit, return_counts=True)
+                seen = np.concatenate([words, pairs])
+                values, times = np.unique(seen[maybe[(seen & U(FILTER - 1)).astype(np.int64)]].view(np.int64), return_counts=True)
                 yield pd.DataFrame({"pattern": values, "n": times})
 
-    return texts.mapInPandas(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    counted = texts.mapInPandas(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    return counted.join(patterns, "pattern", "left_semi")
 
 
 def learn_patterns(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """(pattern, kind, confidence, seeds) of the patterns that reach the thresholds.
+    """(pattern, kind, confidence, support) of the patterns that reach the thresholds.
 
     ``edges`` has kind, pattern, instance, seed: one row an identifier-like
-    string and pattern before it.
+    string and pattern before it. ``support`` counts distinct trusted instances.
     """
     graph = edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    backed = graph.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds"), F.sum("n").alias("seen")).where(F.col("seeds") >= MIN_SEEDS)
-    backed = materialize(backed)
-    names = backed.select("pattern").distinct()
-    blocks = max(1, -(-names.count() // (PATTERN_BLOCK // 2)))
-    totals = None
-    for i in range(blocks):
-        block = [r["pattern"] for r in names.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == i).collect()]  # at most PATTERN_BLOCK
-        part = _occurrences(texts, block) if block else None
-        totals = part if totals is None else totals if part is None else totals.unionByName(part)
-    if totals is None:
-        return backed.select("pattern", "kind", F.lit(0.0).alias("confidence"), "seeds").limit(0)
-    backed = materialize(backed.join(totals, "pattern", "left").withColumn("total", F.greatest("seen", F.coalesce("total", F.lit(0)))))
-    graph = materialize(graph.join(backed.select("kind", "pattern"), ["kind", "pattern"]))
-    known = graph.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("trust"))
-    scored = None
+    graph = materialize(graph)
+    # a pattern that fewer distinct instances follow can never be active
+    likely = graph.groupBy("kind", "pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("seen")).where(F.col("instances") >= MIN_SEEDS)
+    likely = materialize(likely.select("kind", "pattern", "seen"))
+    totals = _occurrences(texts, materialize(likely.select("pattern").distinct()))
+    likely = materialize(likely.join(totals, "pattern", "left").select("kind", "pattern", F.greatest("seen", F.coalesce("total", F.lit(0))).alias("total")))
+    graph = materialize(graph.join(likely, ["kind", "pattern"]))
+    trusted = graph.where("seed").select("kind", "instance", F.lit(1.0).alias("trust")).distinct()
+    active, before = None, -1
     for _ in range(ROUNDS):
-        weighed = graph.join(known, ["kind", "instance"]).groupBy("kind", "pattern").agg(F.sum(F.col("n") * F.col("trust")).alias("good"))
-        scored = materialize(backed.join(weighed, ["kind", "pattern"]).withColumn("confidence", F.col("good") / F.col("total")))
-        known = (
-            graph.join(scored.select("kind", "pattern", "confidence"), ["kind", "pattern"])
-            .groupBy("kind", "instance")
-            .agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(F.max("confidence")).alias("trust"))
-        )
-    return scored.where(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", "kind", "confidence", "seeds")
+        last = active
+        scored = graph.join(trusted, ["kind", "instance"]).groupBy("kind", "pattern").agg(
+            (F.sum(F.col("n") * F.col("trust")) / F.first("total")).alias("confidence"), F.count("*").alias("support")
+        )
+        active = materialize(scored.where((F.col("support") >= MIN_SEEDS) & (F.col("confidence") >= MIN_CONFIDENCE)))
+        now = active.count()
+        discard(last)
+        if now == before:
+            break
+        before = now
+        best = graph.join(active.select("kind", "pattern", "confidence"), ["kind", "pattern"]).groupBy("kind", "instance").agg(F.max("confidence").alias("trust"))
+        seeds = graph.where("seed").select("kind", "instance", F.lit(1.0).alias("trust"))
+        trusted = best.unionByName(seeds).groupBy("kind", "instance").agg(F.max("trust").alias("trust"))
+    discard(graph)
+    return active.select("pattern", "kind", "confidence", "support")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, found) for every row of ``docs``: arrays of (kind, start, end).
 
     ``base`` holds the base spans by kind, then start; ``found`` what the
-    patterns add, never touching a base span. Places are code points, ends
-    exclusive. Null and empty texts have none; repeated rows each get a row
+    patterns add, never touching a base span. A pattern's last word ends in
+    white space before the identifier; an identifier inside a word has none.
+    Places are code points, ends exclusive. Other columns are not used. Null and empty texts have none; repeated rows each get a row
     and count each as evidence; an empty table gives an empty one.
     """
+    # numbers are given once, as the scan is written and read again from there
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     scanned = materialize(rows.mapInPandas(_scan, SCAN))
     each = scanned.select("row", F.explode("edges").alias("e")).select("row", "e.*")

@@ -3,15 +3,25 @@
 Every version of every path names a blob by the SHA-256 of its text. A blob is
 scanned once for each version of the rule set: pairs that the ledger already
 holds are skipped, the findings of new pairs are appended, and findings are
-joined back to every path that carries the blob.
+joined back to every path that carries the blob. The ledger is a set of
+committed batches in the shared folder, so a delivery that comes twice is
+scanned once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sporeline.functions.columns import fresh
+from sporeline.functions.storage import shared_dir
+from sporeline.llm.batches import Batches
+
 # Kinds in their order, pattern, and the least length of a group for a match to stand.
 RULES = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
@@ -28,6 +38,7 @@ HINTS = {
 RULES_VERSION = "base-1"
 
 FINDING = "array<struct<start:long,rank:int,kind:string,end:long>>"
+LEDGER = f"blob string, rules_version string, findings {FINDING}"
 
 
 def blob_id(text: Column) -> Column:
@@ -86,30 +97,58 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules_ve
     ``versions`` has blob, text; ``ledger`` the same columns as the result.
     A blob without findings gets a row with an empty list, so that it counts
     as seen. Copies of a text meet in one partial aggregation, so a text that
-    a third of all rows share is shipped once by each task.
+    a third of all rows share is shipped once by each task. A text in which no
+    rule can match (HINTS) is seen where it lies and not shipped at all.
     """
     unseen = _unseen(versions, ledger, rules_version)
-    scanned = scan_blobs(unseen.groupBy("blob").agg(F.first("text").alias("text")))
+    maybe = unseen.where(reduce(or_, [F.col("text").rlike(hint) for hint in HINTS.values()]))
+    scanned = scan_blobs(maybe.groupBy("blob").agg(F.first("text").alias("text")))
     named = unseen.select("blob").distinct().join(scanned, "blob", "left")
     return named.select("blob", F.lit(rules_version).alias("rules_version"), F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
 
-def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules_version: str = RULES_VERSION, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``blob`` and ``findings`` (start, rank, kind, end by start, then kind).
+def with_findings(docs: DataFrame, ledger: DataFrame, rules_version: str = RULES_VERSION, text_col: str = "text", blob_col: str = "blob", findings_col: str = "findings") -> DataFrame:
+    """``docs`` with the blob of each row and the ledger's findings of it (start, rank, kind, end by start, then kind).
+
+    Rows of blobs that the ledger has no row of get an empty list. Columns
+    named ``blob_col`` or ``findings_col`` are replaced, others pass through.
+    """
+    kept = [c for c in docs.columns if c.lower() not in (blob_col.lower(), findings_col.lower())]
+    key, found = fresh(docs, "_blob"), fresh(docs, "_findings")
+    paths = docs.select(*[F.col(f"`{c}`") for c in kept], blob_id(F.col(f"`{text_col}`")).alias(key))
+    known = ledger.where((F.col("rules_version") == rules_version) & (F.size("findings") > 0)).select(F.col("blob").alias(key), F.col("findings").alias(found))
+    joined = paths.join(known, key, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in kept], F.col(key).alias(blob_col), F.coalesce(found, F.array().cast(FINDING)).alias(findings_col))
+
+
+def deliver(store: Batches, delivery: str, docs: DataFrame, rules_version: str = RULES_VERSION, text_col: str = "text") -> bool:
+    """Scan the blobs of a delivery that the ledger has not seen under these rules; False where the delivery was there before."""
+    versions = docs.select(blob_id(F.col(f"`{text_col}`")).alias("blob"), F.col(f"`{text_col}`").alias("text"))
+    return store.commit(f"{rules_version}:{delivery}", update_ledger(versions, store.read(), rules_version))
+
+
+def new_ledger(spark: SparkSession) -> Batches:
+    """An empty ledger in the shared folder."""
+    return Batches(spark, f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}", LEDGER)
+
+
+def scan_secrets(
+    docs: DataFrame, store: Batches | None = None, rules_version: str = RULES_VERSION, text_col: str = "text", source_col: str | None = None, blob_col: str = "blob", findings_col: str = "findings"
+) -> DataFrame:
+    """``docs`` with ``blob`` and ``findings`` (start, rank, kind, end by start, then kind), by way of the ledger.
 
     Null and empty texts are one blob without findings. Repeated rows share a
-    blob and each get its findings. Columns named ``blob`` or ``findings`` are
-    replaced. With a ledger, findings of pairs that it holds are taken from it.
+    blob and each get its findings. Columns named ``blob_col`` or
+    ``findings_col`` are replaced. Rows come in two deliveries, by a hash of
+    ``source_col``, or in one without it; blobs that an earlier delivery or the
+    given ledger has are not scanned again. An empty table gives an empty one.
     """
-    paths = docs.withColumn("blob", blob_id(F.col(text_col)))
-    unseen = _unseen(paths.select("blob", F.col(text_col).alias("text")), ledger, rules_version)
-    fresh = scan_blobs(unseen.groupBy("blob").agg(F.first("text").alias("text")))
-    if ledger is not None:
-        known = ledger.where((F.col("rules_version") == rules_version) & (F.size("findings") > 0)).select("blob", "findings")
-        fresh = fresh.unionByName(known.dropDuplicates(["blob"]))
-    kept = [c for c in paths.columns if c != "findings"]
-    joined = paths.select(*[F.col(f"`{c}`") for c in kept]).join(fresh, "blob", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
+    store = store or new_ledger(docs.sparkSession)
+    run = uuid.uuid4().hex
+    half = F.pmod(F.xxhash64(F.col(f"`{source_col}`")), F.lit(2)) if source_col else F.lit(0)
+    for i in range(2 if source_col else 1):
+        deliver(store, f"{run}-{i}", docs.where(half == i) if source_col else docs, rules_version, text_col)
+    return with_findings(docs, store.read(), rules_version, text_col, blob_col, findings_col)
 
 
 def redact(text: Column, findings: Column, mask: str = "[SECRET]") -> Column:
@@ -128,9 +167,13 @@ def redact(text: Column, findings: Column, mask: str = "[SECRET]") -> Column:
 
 
 def op5_secret_ledger(spark, sf_dir: str) -> DataFrame:
-    """The contract's columns for every row of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = scan_secrets(docs).select("doc_id", "blob", "findings")
+    """The contract's columns for every row of ``documents``.
+
+    The documents of half of the sources are the first delivery to an empty
+    ledger, the others the second, of which only unseen blobs are scanned.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    found = scan_secrets(docs, source_col="source").select("doc_id", "blob", "findings")
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select("doc_id", *[count(k) for k, *_ in RULES], joined.alias("spans"), F.col("blob").alias("blob_sha256")).withColumn(

@@ -26,7 +26,7 @@ from sporeline.functions.storage import discard, materialize
 from sporeline.operators.graph import connected_components
 
 #: Hubs of a bucket in the first round of the last level, second, ...: 1, GROWTH, GROWTH ** 2, ...
-GROWTH = 8
+GROWTH = 64
 
 
 def fingerprint(text: Column) -> Column:

@@ -4,7 +4,7 @@ Only suffixes that start at minimisers are kept: word places whose hash of the
 next ``SEED`` words is least in some window of ``GAP`` such places. The choice
 depends on content alone, so every passage of SEED + GAP - 1 words or more has
 a kept suffix at the same place in each of its copies. Sorted, suffixes with an
-equal seed are neighbours; a seed with a neighbour is repeated, and runs of
+equal seed (128 bits of its words) are neighbours; a seed with a neighbour is repeated, and runs of
 overlapping repeated seeds are repeated text. Where a run ends, matches are
 extended: the suffixes that share the run's last seed are sorted by the words
 after it, those that share its first seed by the words before it (backwards),
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sporeline.functions.storage import materialize
+from sporeline.functions.storage import discard, materialize
 from sporeline.llm.wordhash import U, chunks, minimum_places, mix, word_hashes
 
 #: Passages of MIN_WORDS = SEED + GAP - 1 words and more are found whole.
@@ -33,13 +33,21 @@ SEED, GAP = 32, 19
 MIN_WORDS = SEED + GAP - 1
 
 
-def minimisers(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, seed hashes) of the kept suffixes of a run of texts, whose words ``first`` parts; places count over all."""
+def minimisers(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, seed hashes, second hashes) of the kept suffixes of a run of texts, whose words ``first`` parts; places count over all."""
     if len(words) < MIN_WORDS:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U), np.zeros(0, dtype=U)
     seeds = _seed_hashes(words) | U(1)
     places = minimum_places(seeds, np.repeat(np.arange(len(first) - 1), np.diff(first)), GAP, SEED)
-    return places, seeds[places]
+    return places, seeds[places], _second(words, places)
+
+
+def _second(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Another 64 bits of the SEED words from each place, which tell apart seeds of equal hash."""
+    made = np.zeros(len(places), dtype=U)
+    for j in range(SEED):
+        made = (made ^ words[places + j]) * U(0x9E3779B97F4A7C15) + (made >> U(29))
+    return made
 
 
 def _seed_hashes(words: np.ndarray) -> np.ndarray:
@@ -55,12 +63,12 @@ def _kept(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
     names = batch["name"].to_numpy()
     for at, raws in chunks(batch["text"].tolist()):
         words, first, _, _ = word_hashes(raws)
-        places, seeds = minimisers(words, first)
+        places, seeds, second = minimisers(words, first)
         text = np.searchsorted(first, places, side="right") - 1
-        yield pd.DataFrame({"seed": seeds.view(np.int64), "name": names[at + text], "place": (places - first[text]).astype(np.int32)})
+        yield pd.DataFrame({"seed": seeds.view(np.int64), "second": second.view(np.int64), "name": names[at + text], "place": (places - first[text]).astype(np.int32)})
 
 
-CONTEXT = "seed long, side int, name long, place int, context binary"
+CONTEXT = "seed long, second long, side int, name binary, place int, context binary"
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,15 +77,12 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for name, text, wanted in zip(batch["name"], batch["text"], batch["wanted"], strict=True):
             words, *_ = word_hashes([(text or "").encode("utf-8", "surrogatepass")])
-            seeds = (_seed_hashes(words) | U(1)).view(np.int64) if len(words) >= SEED else np.zeros(0, dtype=np.int64)
             big = words.astype(">u8")
             for x in wanted:
                 at = x["place"]
-                if at >= len(seeds) or seeds[at] != x["seed"]:
-                    continue  # another text of the same 64-bit name
                 near = big[at + SEED : at + SEED + GAP] if x["side"] else big[max(0, at - GAP) : at][::-1]
-                out.append((x["seed"], x["side"], name, at, near.tobytes()))
-        yield pd.DataFrame(out, columns=["seed", "side", "name", "place", "context"])
+                out.append((x["seed"], x["second"], x["side"], name, at, near.tobytes()))
+        yield pd.DataFrame(out, columns=["seed", "second", "side", "name", "place", "context"])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -91,33 +96,33 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     last, first = None, True
 
     def row(x, edge: bool) -> list:
-        return [*x[:4], x[5], edge, x[4] if edge else None]
+        return [*x[:5], x[6], edge, x[5] if edge else None]
 
     for batch in batches:
         out = []
-        for seed, side, name, place, context in batch.itertuples(index=False):
+        for seed, second, side, name, place, context in batch.itertuples(index=False):
             words = np.frombuffer(context, dtype=">u8")
-            now = [seed, side, name, place, context, 0, words]
+            now = [seed, second, side, name, place, context, 0, words]
             if last is not None:
-                if last[0] == seed and last[1] == side:
-                    now[5] = _common(last[6], words)
-                    last[5] = max(last[5], now[5])
+                if last[:3] == now[:3]:
+                    now[6] = _common(last[7], words)
+                    last[6] = max(last[6], now[6])
                 out.append(row(last, first))
                 first = False
             last = now
         if out:
-            yield pd.DataFrame(out, columns=["seed", "side", "name", "place", "more", "edge", "context"])
+            yield pd.DataFrame(out, columns=["seed", "second", "side", "name", "place", "more", "edge", "context"])
     if last is not None:
-        yield pd.DataFrame([row(last, True)], columns=["seed", "side", "name", "place", "more", "edge", "context"])
+        yield pd.DataFrame([row(last, True)], columns=["seed", "second", "side", "name", "place", "more", "edge", "context"])
 
 
 def _extensions(contexts: DataFrame) -> DataFrame:
     """(side, name, place, more): words that a match goes on beyond a seed."""
-    order = ["seed", "side", "context", "name", "place"]
+    order = ["seed", "second", "side", "context", "name", "place"]
     ranged = contexts.repartitionByRange(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
-    found = materialize(ranged.sortWithinPartitions(*order).mapInPandas(_neighbours, "seed long, side int, name long, place int, more int, edge boolean, context binary"))
+    found = materialize(ranged.sortWithinPartitions(*order).mapInPandas(_neighbours, "seed long, second long, side int, name binary, place int, more int, edge boolean, context binary"))
     edges = found.where("edge")  # two rows a partition
-    by = Window.partitionBy("seed", "side").orderBy("context", "name", "place")
+    by = Window.partitionBy("seed", "second", "side").orderBy("context", "name", "place")
 
     def shared(other) -> "F.Column":
         words = F.least(F.octet_length("context"), F.octet_length(other)) / 8
@@ -151,30 +156,32 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     kind = docs.schema[id_col].dataType
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.select(F.col(id_col).cast("string").alias("id"), text.alias("text")).withColumn("name", F.xxhash64("text"))
+    named = docs.select(F.col(id_col).cast("string").alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("name"))
 
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             fresh = batch[~batch["name"].duplicated() & ~batch["name"].isin(seen)]
             seen.update(fresh["name"].tolist())
             yield from _kept(fresh)
 
-    suffixes = named.select("name", "text").mapInPandas(kept, "seed long, name long, place int")
-    suffixes = materialize(suffixes)
-    shared = suffixes.groupBy("seed").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("seed")
-    flagged = materialize(suffixes.join(shared, "seed").distinct())
+    suffixes = materialize(named.select("name", "text").mapInPandas(kept, "seed long, second long, name binary, place int"))
+    head = F.xxhash64("name")  # of one seed's texts, whether two differ
+    shared = suffixes.groupBy("seed", "second").agg(F.min(head).alias("lo"), F.max(head).alias("hi")).where("lo <> hi").select("seed", "second")
+    flagged = materialize(suffixes.join(shared, ["seed", "second"]).distinct())
+    discard(suffixes)
     by_text = Window.partitionBy("name").orderBy("place")
     begins = F.when(F.col("place") <= F.lag("place").over(by_text) + SEED, 0).otherwise(1)
     runs = flagged.withColumn("new", begins).withColumn("run", F.sum("new").over(by_text))
     of_run = Window.partitionBy("name", "run")
     runs = runs.withColumns({"lo": F.min("place").over(of_run), "hi": F.max("place").over(of_run)})
     # a match that ends at another suffix's words can still reach further than the run's last seed
-    runs = materialize(runs.where((F.col("place") <= F.col("lo") + GAP) | (F.col("place") >= F.col("hi") - GAP)).select("name", "run", "seed", "place", "lo", "hi"))
-    near = lambda side, where: runs.where(where).select("seed", F.lit(side).alias("side"))
+    runs = materialize(runs.where((F.col("place") <= F.col("lo") + GAP) | (F.col("place") >= F.col("hi") - GAP)).select("name", "run", "seed", "second", "place", "lo", "hi"))
+    near = lambda side, where: runs.where(where).select("seed", "second", F.lit(side).alias("side"))
     ends = near(0, F.col("place") <= F.col("lo") + GAP).unionByName(near(1, F.col("place") >= F.col("hi") - GAP)).distinct()
-    wanted = flagged.join(ends, "seed").groupBy("name").agg(F.collect_list(F.struct("seed", "side", "place")).alias("wanted"))
-    texts = named.groupBy("name").agg(F.first("text").alias("text"))
+    wanted = flagged.join(ends, ["seed", "second"]).groupBy("name").agg(F.collect_list(F.struct("seed", "second", "side", "place")).alias("wanted"))
+    wanted = materialize(wanted)
+    texts = named.select("name", "text").join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"])
     contexts = wanted.join(texts, "name").select("name", "text", "wanted").mapInPandas(_contexts, CONTEXT)
     more = materialize(_extensions(contexts))
     reach = runs.join(more, ["name", "place"]).groupBy("name", "run").agg(
@@ -188,9 +195,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spans = spans.withColumn("new", F.when(F.col("s") <= before, 0).otherwise(1)).withColumn("island", F.sum("new").over(merged))
     spans = spans.groupBy("name", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word")).where(F.col("end_word") - F.col("start_word") >= MIN_WORDS)
 
-    slim = materialize(named.select("id", "name", F.unhex(F.md5(F.col("text").cast("binary"))).alias("fp"), _word_count(F.col("text")).alias("n_words")))
-    copied = slim.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    copied = slim.where(F.col("n_words") >= MIN_WORDS).join(copied, "fp", "left_semi")
+    slim = materialize(named.select("id", "name", _word_count(F.col("text")).alias("n_words")))
+    copied = slim.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    copied = slim.where(F.col("n_words") >= MIN_WORDS).join(copied, "name", "left_semi")
     whole = copied.select("id", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"))
     copied_names = copied.select("name").distinct()
     parts = slim.join(spans.join(copied_names, "name", "left_anti"), "name").select("id", "start_word", "end_word")

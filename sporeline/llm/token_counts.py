@@ -3,24 +3,23 @@
 A batch of changes (inserts, deletes, revised texts) becomes signed rows:
 +1 document and its tokens, -1 document and its tokens, or both for a
 revision. Totals by source, language and tokenizer version are sums of signed
-rows, so a batch is added to them without reading older documents. A commit is
-a folder named by the batch: a batch that is already there is skipped, so
-delivering it twice changes nothing.
+rows, so a batch is added to them without reading older documents. A batch is
+committed once by its name, so delivering it twice changes nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sporeline.functions.storage import shared_dir
+from sporeline.functions.storage import discard, materialize, shared_dir
+from sporeline.llm.batches import Batches
 from sporeline.llm.bpe import codec, vocabulary
 
 KEYS = ("source", "lang", "tokenizer")
+ROWS = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
 def bpe_count(shared: Broadcast):
@@ -39,17 +38,32 @@ def word_count(text: Column) -> Column:
     return F.when(F.length(F.btrim(text, F.lit(" \t\n\x0b\f\r"))) > 0, F.size(F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+"))).otherwise(0).cast("long")
 
 
+def measured(docs: DataFrame, counters: dict, text_col: str = "text", also: dict | None = None) -> DataFrame:
+    """(source, lang, counts, one column for each of ``also``): each row's tokens by counter, in their order.
+
+    Null and empty texts have no tokens. Rows are counted here once and can be
+    summed many times.
+    """
+    counts = F.array(*[F.coalesce(c(F.col(text_col)), F.lit(0)).cast("long") for c in counters.values()])
+    return docs.select("source", "lang", counts.alias("counts"), *[v.alias(k) for k, v in (also or {}).items()])
+
+
+def signed(rows: DataFrame, names, sign: int = 1, times: Column | None = None) -> DataFrame:
+    """(source, lang, tokenizer, docs, tokens): totals of measured rows that come (1) or go (-1), each ``times`` over."""
+    n = (F.lit(1) if times is None else times).cast("long") * sign
+    sums = rows.groupBy("source", "lang").agg(F.sum(n).alias("docs"), *[F.sum(n * F.get("counts", F.lit(i))).alias(f"t{i}") for i, _ in enumerate(names)])
+    each = F.array(*[F.struct(F.lit(name).alias("tokenizer"), F.col(f"t{i}").alias("tokens")) for i, name in enumerate(names)])
+    return sums.select("source", "lang", "docs", F.explode(each).alias("r")).select("source", "lang", "r.tokenizer", "docs", "r.tokens")
+
+
 def signed_counts(docs: DataFrame, counters: dict, sign: int = 1, text_col: str = "text") -> DataFrame:
     """(source, lang, tokenizer, docs, tokens) partial totals of documents that come (1) or go (-1).
 
-    Null sources and languages are keys of their own. Repeated rows count each.
+    Null sources and languages are keys of their own. Null and empty texts
+    count as documents without tokens. Repeated rows count each. An empty
+    table gives an empty one.
     """
-    counted = docs.select("source", "lang", *[F.coalesce(c(F.col(text_col)), F.lit(0)).alias(f"_{i}") for i, c in enumerate(counters.values())])
-    sums = counted.groupBy("source", "lang").agg(F.count("*").alias("_n"), *[F.sum(f"_{i}").alias(f"_{i}") for i in range(len(counters))])
-    rows = F.array(*[F.struct(F.lit(name).alias("tokenizer"), F.col(f"_{i}").alias("tokens")) for i, name in enumerate(counters)])
-    return sums.select("source", "lang", "_n", F.explode(rows).alias("r")).select(
-        "source", "lang", "r.tokenizer", (sign * F.col("_n")).cast("long").alias("docs"), (sign * F.col("r.tokens")).cast("long").alias("tokens")
-    )
+    return signed(measured(docs, counters, text_col), counters, sign)
 
 
 def revised_counts(before: DataFrame, after: DataFrame, counters: dict) -> DataFrame:
@@ -62,34 +76,30 @@ def add(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
 
-class Rollup:
-    """Committed batches of signed rows under a folder that all executors share."""
+class Rollup(Batches):
+    """Totals kept as committed batches of signed rows; ``commit`` adds a batch once."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *parts)))
-
-    def commit(self, batch: str, rows: DataFrame) -> bool:
-        """Add a batch once; False where it was there before. A failed write leaves nothing that counts.
-
-        The rename of the written folder is the commit, and it fails where the
-        target is there, so of two writers of one batch one wins.
-        """
-        name = "batch-" + hashlib.sha256(batch.encode()).hexdigest()
-        if self.fs.exists(self._path("done", name, "_SUCCESS")):
-            return False
-        rows.write.mode("overwrite").parquet(f"{self.folder}/open/{name}")
-        self.fs.mkdirs(self._path("done"))
-        return bool(self.fs.rename(self._path("open", name), self._path("done", name)))
+        super().__init__(spark, folder, ROWS)
 
     def totals(self) -> DataFrame:
-        """Sums over all committed batches; groups whose documents are all gone leave."""
-        rows = self.spark.read.schema("source string, lang string, tokenizer string, docs long, tokens long").parquet(f"{self.folder}/done/*")
-        return add(rows).where("docs <> 0 OR tokens <> 0")
+        """Sums over all committed batches, empty before the first; groups whose documents are all gone leave."""
+        return add(self.read()).where("docs <> 0 OR tokens <> 0")
+
+
+def later_copies(rows: DataFrame) -> DataFrame:
+    """Measured rows with ``fp`` and ``id``, one of each text, source and language, and how many of such rows are later copies (``gone``).
+
+    Of all rows of one text, one of the least id stays (rows without an id
+    come last; of one id the least source and language stays). So of repeated
+    rows one stays. Nothing of a text is collected: its rows are counted, with
+    partial sums before the shuffle.
+    """
+    groups = rows.groupBy("fp", "source", "lang").agg(F.count("*").alias("n"), F.first("counts").alias("counts"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
+    place = F.struct("first", "source", "lang")
+    heads = groups.groupBy("fp").agg(F.min(place).alias("head"), F.sum("n").alias("all")).where("all > 1").select("fp", "head")
+    gone = F.col("n") - (place == F.col("head")).cast("long")
+    return groups.join(heads, "fp").select("source", "lang", "counts", gone.alias("gone")).where("gone > 0")
 
 
 def op7_token_rollups(spark, sf_dir: str) -> DataFrame:
@@ -105,11 +115,11 @@ def op7_token_rollups(spark, sf_dir: str) -> DataFrame:
     shared = vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     counters = {"byte_bpe_50k": bpe_count(shared), "words": word_count}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    fp = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = materialize(measured(docs, counters, also={"id": F.col("doc_id"), "fp": fp}))
     rollup = Rollup(spark, f"{shared_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
-    rollup.commit("insert", signed_counts(docs, counters))
-    slim = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("fp"))
-    first = slim.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "first")
-    copies = docs.withColumn("fp", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(first, "fp").where("doc_id <> first")
-    rollup.commit("drop-copies", signed_counts(copies, counters, -1))
-    rollup.commit("insert", signed_counts(docs, counters))
+    rollup.commit("insert", signed(rows, counters))
+    rollup.commit("drop-copies", signed(later_copies(rows), counters, -1, F.col("gone")))
+    rollup.commit("insert", signed(rows, counters))
+    discard(rows)
     return rollup.totals()

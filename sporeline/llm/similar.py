@@ -65,9 +65,9 @@ def linked_classes(bands: DataFrame, bodies: DataFrame, sign: list[Callable], si
             discard(classes)
             classes = joined
         rest = members.join(hubs.select("band", "fp"), ["band", "fp"], "left_anti").join(classes, "fp")
-        mixed = _mixed(rest)
+        mixed = _mixed(rest.select("band", F.xxhash64("class").alias("of")))
         if level < len(sign):
-            left = rest.join(mixed, "band", "left_semi").select("fp", "class").distinct()
+            left = rest.join(mixed, "band", "left_semi").select("fp", F.xxhash64("class").alias("of")).distinct()
             following = materialize(_signed(left.join(bodies, "fp"), sign[level]))
             level += 1
         else:
@@ -85,21 +85,20 @@ def _weighed(members: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """(band, n) of buckets that hold two classes or more, told by 96 bits of the class's name."""
-    one, two = F.xxhash64("class"), F.hash("class")
-    sides = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(one).alias("a"), F.max(one).alias("b"), F.min(two).alias("c"), F.max(two).alias("d"))
-    return sides.where("a <> b OR c <> d").select("band", "n")
+    """(band, n) of buckets that hold two classes or more, told by a hash of the class: compared are the few classes of one bucket."""
+    sides = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("of").alias("a"), F.max("of").alias("b"))
+    return sides.where("a <> b").select("band", "n")
 
 
 def _signed(nodes: DataFrame, sign: Callable) -> DataFrame:
-    """(band, fp, weight) of the buckets of ``nodes`` (fp, class, body) that hold two classes or more."""
+    """(band, fp, weight) of the buckets of ``nodes`` (fp, body, of: a hash of the class) that hold two classes or more."""
 
     def bands_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"fp": batch["fp"], "class": batch["class"], "bands": sign(batch["body"].tolist())})
+            yield pd.DataFrame({"fp": batch["fp"], "of": batch["of"], "bands": sign(batch["body"].tolist())})
 
-    made = nodes.select("fp", "class", "body").mapInPandas(bands_of, "fp binary, class binary, bands array<long>")
-    rows = materialize(made.select("fp", "class", F.explode("bands").alias("band")))
+    made = materialize(nodes.select("fp", "of", "body").mapInPandas(bands_of, "fp binary, of long, bands array<long>"))
+    rows = made.select("fp", "of", F.explode("bands").alias("band"))
     return _weighed(rows.join(_mixed(rows), "band"))
 
 

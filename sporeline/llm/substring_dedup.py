@@ -17,7 +17,7 @@ removals.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,9 +34,9 @@ MIN_WORDS = 8
 #: Passages: words, places of which one at least is chosen, and the least number of different shingles.
 PIECE, GAP, LEAST_SHINGLES = 16, 35, 8
 #: (bands, rows a band) of each level. A pair at the threshold shares a band with probability
-#: 1 - (1 - 0.8) ** 3 = 0.992 and, in buckets that stay open, 1 - (1 - 0.8 ** 12) ** 64 = 0.989. Passages are of one size, so the next similarity under 1 is 11 / 13,
+#: 1 - (1 - 0.8) ** 3 = 0.992 and, in buckets that stay open, 1 - (1 - 0.8 ** 9) ** 28 = 0.982. Passages are of one size, so the next similarity under 1 is 11 / 13,
 #: which two bands catch with probability 0.976.
-LEVELS = ((3, 1), (64, 12))
+LEVELS = ((3, 1), (28, 9))
 PASSAGE_BANDS = 2
 LINE, PASSAGE = 0, 1
 UNITS = ("line", "passage")
@@ -177,6 +177,22 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             })
 
 
+#: Bytes of bodies that are worked on at a time.
+AT_ONCE = 1 << 21
+
+
+def _slices(sizes: Iterable[int]) -> Iterator[slice]:
+    """Runs of about AT_ONCE bytes; a larger body is a run of its own."""
+    first, total, i = 0, 0, -1
+    for i, size in enumerate(sizes):
+        if i > first and total + size > AT_ONCE:
+            yield slice(first, i)
+            first, total = i, 0
+        total += size
+    if i >= first:
+        yield slice(first, i + 1)
+
+
 def _joined(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(all shingles, how many each body has)."""
     return np.frombuffer(b"".join(bodies), dtype=U), np.fromiter((len(b) // 8 for b in bodies), dtype=np.int64, count=len(bodies))
@@ -187,28 +203,30 @@ def signer(level: int) -> Callable[[list[bytes]], list[np.ndarray]]:
     bands, rows = LEVELS[level]
 
     def sign(bodies: list[bytes]) -> list[np.ndarray]:
-        elements, n = _joined(bodies)
-        if not len(bodies):
-            return []
-        made = seeded(np.broadcast_to(np.arange(bands, dtype=U), (len(bodies), bands)), 300 + level)
-        for k in range(bands * rows):
-            made[:, k % bands] = mix(made[:, k % bands] + np.minimum.reduceat(seeded(elements, 1000 * level + k), np.cumsum(n) - n))
-        return list(made.view(np.int64))
+        out: list[np.ndarray] = []
+        for part in _slices(map(len, bodies)):
+            elements, n = _joined(bodies[part])
+            made = seeded(np.broadcast_to(np.arange(bands, dtype=U), (len(n), bands)), 300 + level)
+            for k in range(bands * rows):
+                made[:, k % bands] = mix(made[:, k % bands] + np.minimum.reduceat(seeded(elements, 1000 * level + k), np.cumsum(n) - n))
+            out += list(made.view(np.int64))
+        return out
 
     return sign
 
 
 def similar_sets(a: list[bytes], b: list[bytes]) -> list[bool]:
     """Which pairs of shingle sets reach the threshold by their exact Jaccard."""
-    if not a:
-        return []
-    (x, n), (y, m) = _joined(a), _joined(b)
-    pair = np.concatenate([np.repeat(np.arange(len(a)), n), np.repeat(np.arange(len(b)), m)])
-    both = np.concatenate([x, y])
-    order = np.lexsort((both, pair))
-    both, pair = both[order], pair[order]
-    shared = np.bincount(pair[1:][(both[1:] == both[:-1]) & (pair[1:] == pair[:-1])], minlength=len(a))
-    return (shared >= THRESHOLD * (n + m - shared) - 1e-9).tolist()
+    out: list[bool] = []
+    for part in _slices(len(x) + len(y) for x, y in zip(a, b, strict=True)):
+        (x, n), (y, m) = _joined(a[part]), _joined(b[part])
+        pair = np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)])
+        both = np.concatenate([x, y])
+        order = np.lexsort((both, pair))
+        both, pair = both[order], pair[order]
+        shared = np.bincount(pair[1:][(both[1:] == both[:-1]) & (pair[1:] == pair[:-1])], minlength=len(n))
+        out += (shared >= THRESHOLD * (n + m - shared) - 1e-9).tolist()
+    return out
 
 
 def _name(hi: str, lo: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sporeline.functions.storage import materialize
+
 
 def domains_to_go(domains: DataFrame, methods: list[str] | None = None, min_len: int | None = None, max_eval: float | None = None, layout: str = "long") -> DataFrame:
     """A1: distinct (id, ontology, go_id, term) of the domain rows that pass; 'wide' gives one line an id, ordered BP, MF, CC."""
@@ -30,10 +32,17 @@ def go_distribution(reference: DataFrame, samples: DataFrame, level: int, min_n:
     rows = reference.select(F.lit("reference").alias("sample"), "term", "level", "n").unionByName(samples.select("sample", "term", "level", "n"))
     totals = rows.groupBy("sample").agg(F.sum("n").alias("total"))
     kept = rows.where((F.col("level") == level) & (F.col("n") >= min_n)).groupBy("sample", "term").agg(F.sum("n").alias("n"))
-    wanted = kept.where("sample = 'reference'").select("term")
-    grid = totals.crossJoin(wanted.distinct())  # a report's samples by the terms of one ontology level
-    j = grid.join(kept, ["sample", "term"], "left")
-    return j.select("sample", "term", F.round(100 * F.coalesce("n", F.lit(0)) / F.col("total"), 4).alias("percent"))
+    kept = materialize(kept)
+    wanted = kept.where("sample = 'reference'").select("term").distinct()
+    listed = totals.agg(F.collect_list(F.struct("sample", "total")).alias("all"))  # one row: the width of the report
+    own = wanted.join(kept, "term").groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("sample", "n"))).alias("own"))
+    j = own.crossJoin(F.broadcast(listed)).select("term", "own", F.explode("all").alias("t"))
+    return j.select(F.col("t.sample").alias("sample"), "term", F.round(100 * F.coalesce(F.try_element_at("own", F.col("t.sample")), F.lit(0)) / F.col("t.total"), 4).alias("percent"))
+
+
+def go_table(distribution: DataFrame, samples: list[str]) -> DataFrame:
+    """A2: (term, one column a sample): the percents of ``go_distribution`` side by side."""
+    return distribution.groupBy("term").pivot("sample", samples).agg(F.first("percent"))
 
 
 def family_go(members: DataFrame, go: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sporeline.functions.numbering import numbered
+
 
 def _identity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Percent of columns, of those where neither has a gap, with the same letter."""
@@ -42,11 +44,16 @@ def member_overlaps(aligned: DataFrame) -> DataFrame:
     return found.withColumn("score", F.col("length") * F.pow(F.col("identity") / 100, 2))
 
 
-def seed_pairs(overlaps: DataFrame, method: str = "score", min_length: int = 0, min_identity: float = 0) -> DataFrame:
-    """The best pair of each family by length, identity or score; ties to the least names."""
+def ranked_pairs(overlaps: DataFrame, method: str = "score", min_length: int = 0, min_identity: float = 0) -> DataFrame:
+    """Pairs over the minima with ``rank`` in their family by length, identity or score; ties to the least names."""
     kept = overlaps.where((F.col("length") >= min_length) & (F.col("identity") >= min_identity))
     by = Window.partitionBy("family").orderBy(F.col(method).desc(), "a", "b")
-    return kept.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r")
+    return kept.withColumn("rank", F.row_number().over(by))
+
+
+def seed_pairs(overlaps: DataFrame, method: str = "score", min_length: int = 0, min_identity: float = 0) -> DataFrame:
+    """The best pair of each family by length, identity or score."""
+    return ranked_pairs(overlaps, method, min_length, min_identity).where("rank = 1").drop("rank")
 
 
 def common_overlap(spans: DataFrame) -> DataFrame:
@@ -91,12 +98,18 @@ def strain_composition(members: DataFrame, required: dict[str, int]) -> DataFram
     return per.groupBy("family").agg(text.alias("composition"), done.alias("complete"))
 
 
-def prune_by_strains(distances: DataFrame, strains: DataFrame, required: dict[str, int], farthest: bool = False) -> DataFrame:
-    """(family, member, strain): members met while walking pairs from the closest (or farthest), until the composition is full; others drop out with incomplete families."""
+def prune_by_strains(distances: DataFrame, strains: DataFrame, required: dict[str, int], farthest: bool = False, first: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(family, member, strain): members met while walking pairs from the closest (or farthest), until the composition is full; others drop out with incomplete families.
+
+    Pairs of the strains in ``first`` are walked before all others, in that
+    order, the closest (or farthest) of each first.
+    """
+    before = {frozenset(p): i for i, p in enumerate(first or [])}
 
     def rule(pdf: pd.DataFrame) -> pd.DataFrame:
         need, kept = dict(required), {}
-        for r in pdf.assign(k=-pdf["distance"] if farthest else pdf["distance"]).sort_values(["k", "a", "b"]).itertuples():
+        turn = [before.get(frozenset(p), len(before)) for p in zip(pdf["strain_a"], pdf["strain_b"], strict=True)]
+        for r in pdf.assign(t=turn, k=-pdf["distance"] if farthest else pdf["distance"]).sort_values(["t", "k", "a", "b"]).itertuples():
             for m, s in ((r.a, r.strain_a), (r.b, r.strain_b)):
                 if m not in kept and need.get(s, 0) > 0:
                     kept[m], need[s] = s, need[s] - 1
@@ -111,33 +124,39 @@ def prune_by_strains(distances: DataFrame, strains: DataFrame, required: dict[st
     return j.select("family", "a", "b", "distance", "strain_a", "strain_b").groupBy("family").applyInPandas(rule, f"family {kind}, member string, strain string")
 
 
-def prune_by_overlaps(overlaps: DataFrame, strains: DataFrame, required: dict[str, int]) -> DataFrame:
-    """(family, member, strain): grown from the family's best pair by overlap score with the members chosen so far until the composition is full."""
+def grown(score: dict, strain: dict, required: dict[str, int], seed: tuple[str, str]) -> tuple[float, list[str]] | None:
+    """(summed score, members) grown from a seed pair by the score with the members chosen so far; None where the composition stays short."""
+    need, kept, total = dict(required), list(seed), score[seed]
+    for m in seed:
+        need[strain[m]] -= 1
+    while any(need.values()):
+        best = max(((sum(score.get((m, k), 0.0) for k in kept), m) for m in sorted(strain) if m not in kept and need.get(strain[m], 0) > 0), key=lambda x: x[0], default=None)
+        if best is None or best[0] <= 0:
+            return None
+        total += best[0]
+        kept.append(best[1])
+        need[strain[best[1]]] -= 1
+    return total, kept
+
+
+def prune_by_overlaps(overlaps: DataFrame, strains: DataFrame, required: dict[str, int], seeds: int = 1) -> DataFrame:
+    """(family, member, strain): grown from the family's best pair by overlap score with the members chosen so far until the composition is full.
+
+    With more ``seeds``, that many pairs that fit the composition are grown and
+    the set of the highest summed score wins, the earlier seed on ties. The
+    members' alignment is cut to what they share by ``slice_alignment``.
+    """
 
     def rule(pdf: pd.DataFrame) -> pd.DataFrame:
         score, strain = {}, {}
         for r in pdf.itertuples():
             score[r.a, r.b] = score[r.b, r.a] = r.score
             strain[r.a], strain[r.b] = r.strain_a, r.strain_b
-        need, kept = dict(required), []
-        wanted = lambda m: m not in kept and need.get(strain[m], 0) > 0
-
-        def take(m: str) -> None:
-            kept.append(m)
-            need[strain[m]] -= 1
-
-        for (a, b), _ in sorted(score.items(), key=lambda x: (-x[1], x[0])):
-            if wanted(a) and wanted(b) and (strain[a] != strain[b] or need[strain[a]] > 1):
-                take(a)
-                take(b)
-                break
-        while kept and any(need.values()):
-            best = max(((sum(score.get((m, k), 0.0) for k in kept), m) for m in sorted(strain) if wanted(m)), key=lambda x: x[0], default=None)
-            if best is None or best[0] <= 0:
-                break
-            take(best[1])
-        rows = [(pdf["family"].iloc[0], m, strain[m]) for m in kept] if kept and not any(need.values()) else []
-        return pd.DataFrame(rows, columns=["family", "member", "strain"], dtype=object)
+        wanted = lambda a, b: min(required.get(strain[a], 0), required.get(strain[b], 0)) > 0 and (strain[a] != strain[b] or required[strain[a]] > 1)
+        pairs = [p for p, _ in sorted(score.items(), key=lambda x: (-x[1], x[0])) if p[0] < p[1] and wanted(*p)]
+        sets = [s for s in (grown(score, strain, required, p) for p in pairs[:seeds]) if s]
+        best = max(sets, key=lambda s: s[0])[1] if sets else []
+        return pd.DataFrame([(pdf["family"].iloc[0], m, strain[m]) for m in best], columns=["family", "member", "strain"], dtype=object)
 
     s = strains.select("member", "strain")
     j = overlaps.join(s.withColumnsRenamed({"member": "a", "strain": "strain_a"}), "a").join(s.withColumnsRenamed({"member": "b", "strain": "strain_b"}), "b")
@@ -145,9 +164,28 @@ def prune_by_overlaps(overlaps: DataFrame, strains: DataFrame, required: dict[st
     return j.select("family", "a", "b", "score", "strain_a", "strain_b").groupBy("family").applyInPandas(rule, f"family {kind}, member string, strain string")
 
 
-def prune_by_align(stats: DataFrame, drop: Column) -> DataFrame:
-    """Family statistics without the families that meet the condition."""
-    return stats.where(~F.coalesce(drop, F.lit(False)))
+def prune_by_align(stats: DataFrame, conditions: dict[str, tuple[str, float]]) -> DataFrame:
+    """Family statistics without the families that meet a condition, such as {"members": ("<", 4), "identity": (">=", 95)}; a missing value meets none."""
+    tests = {"<": "__lt__", "<=": "__le__", "==": "__eq__", "!=": "__ne__", ">=": "__ge__", ">": "__gt__"}
+    for column, (sign, value) in conditions.items():
+        stats = stats.where(~F.coalesce(getattr(F.col(column), tests[sign])(value), F.lit(False)))
+    return stats
+
+
+#: What an alignment's qualification says.
+PASSED, LOW_COVERAGE, LOW_IDENTITY = "PASS", "NO PASS COVERAGE FILTER", "NO PASS IDENTITY FILTER"
+
+
+def qualify_alignments(aligned: DataFrame, stats: DataFrame, min_coverage: float, min_identity: float) -> DataFrame:
+    """(family, length, members, identity, coverage, qualification): coverage is the percent of columns in which one letter is in at least half of the rows."""
+    columns = aligned.select("family", F.posexplode(F.split("seq", "")).alias("i", "c")).where("c <> ''")
+    counts = columns.groupBy("family", "i", "c").agg(F.count("*").alias("n")).where("c <> '-'").groupBy("family", "i").agg(F.max("n").alias("n"))
+    j = counts.join(stats.select("family", "members", "length", "identity"), "family")
+    agreed = j.groupBy("family").agg(F.count_if(2 * F.col("n") >= F.col("members")).alias("agreed"))
+    rows = stats.join(agreed, "family", "left").withColumn("coverage", 100 * F.coalesce("agreed", F.lit(0)) / F.col("length"))
+    low, unlike = F.col("coverage") < min_coverage, F.coalesce(F.col("identity") < min_identity, F.lit(False))
+    said = F.when(low & unlike, f"{LOW_COVERAGE}+ {LOW_IDENTITY}").when(low, LOW_COVERAGE).when(unlike, LOW_IDENTITY).otherwise(PASSED)
+    return rows.select("family", "length", "members", "identity", "coverage", said.alias("qualification"))
 
 
 def _counts(x: str, y: str) -> tuple[int, int, int]:
@@ -244,6 +282,99 @@ def trees(distances: DataFrame, method: str = "nj") -> DataFrame:
     return distances.groupBy("family").applyInPandas(rule, f"family {kind}, newick string")
 
 
+def _graph(newick: str) -> tuple[dict[int, list[tuple[int, float]]], dict[int, str]]:
+    """(neighbours with branch lengths, leaf names) of an unrooted tree; node 0 is the old root."""
+    near: dict[int, list[tuple[int, float]]] = {}
+    names: dict[int, str] = {}
+
+    def add(t) -> int:
+        me = len(near)
+        near[me] = []
+        if isinstance(t[0], str):
+            names[me] = t[0]
+        else:
+            for c in t[0]:
+                kid = add(c)
+                near[me].append((kid, c[1]))
+                near[kid].append((me, c[1]))
+        return me
+
+    add(parse_newick(newick))
+    return near, names
+
+
+def _distances(near: dict, start: int) -> dict[int, tuple[float, int]]:
+    """(distance, node before) of every node from ``start``."""
+    found, todo = {start: (0.0, -1)}, [start]
+    for n in todo:
+        for k, w in near[n]:
+            if k not in found:
+                found[k] = (found[n][0] + w, n)
+                todo.append(k)
+    return found
+
+
+def rerooted(newick: str, leaf: str | None = None) -> str | None:
+    """The tree with its root at a leaf, or at the middle of the path of its farthest leaf pair (least names on ties); None where there is no such leaf."""
+    near, names = _graph(newick)
+
+    def text(n: int, before: int, length: float) -> str:
+        kids = [(k, w) for k, w in near[n] if k != before]
+        if not kids:
+            return f"{names[n]}:{length:.6f}"
+        if len(kids) == 1:  # a former root with two branches is no node
+            return text(kids[0][0], n, length + kids[0][1])
+        return "(" + ",".join(text(k, n, w) for k, w in kids) + f"):{length:.6f}"
+
+    def at(u: int, v: int, w: float, from_u: float) -> str:
+        return f"({text(u, v, from_u)},{text(v, u, w - from_u)});"
+
+    if leaf is not None:
+        here = next((n for n, name in names.items() if name == leaf), None)
+        return None if here is None or not near[here] else at(here, *near[here][0], 0.0)
+    far = {n: _distances(near, n) for n in names}
+    pairs = [(-round(far[a][b][0], 9), *sorted((names[a], names[b])), a, b) for a in names for b in names if names[a] < names[b]]
+    if not pairs:
+        return None
+    *_, a, b = min(pairs)
+    half, path = far[a][b][0] / 2, [b]
+    while path[-1] != a:
+        path.append(far[a][path[-1]][1])
+    for v, u in zip(path, path[1:], strict=False):  # from b back to a: u is nearer to a
+        if far[a][u][0] <= half + 1e-12:
+            return at(u, v, far[a][v][0] - far[a][u][0], half - far[a][u][0])
+    return None
+
+
+def root_trees(trees_: DataFrame, members: DataFrame, method: str = "midpoint", strain: str | None = None) -> DataFrame:
+    """P10: (family, newick) rooted at the 'midpoint' of the farthest leaf pair, at the leaf of a 'strain', or at the 'longest' member.
+
+    ``members`` has family, member, strain, length. Of several leaves of the
+    strain the one farthest from the root is taken, of equal ones the last
+    name. Trees that have no such leaf are left out.
+    """
+
+    @F.pandas_udf("string")
+    def rooted(newick: pd.Series, names: pd.Series, strains: pd.Series, lengths: pd.Series) -> pd.Series:
+        out = []
+        for t, n, s, size in zip(newick, names, strains, lengths, strict=True):
+            near, leaf_names = _graph(t)
+            depth = {leaf_names[k]: v[0] for k, v in _distances(near, 0).items() if k in leaf_names}
+            if method == "midpoint":
+                out.append(rerooted(t))
+                continue
+            if method == "strain":
+                best = max(((round(depth[m], 9), m) for m, x in zip(n, s, strict=True) if x == strain and m in depth), default=None)
+            else:
+                best = max(((x, m) for m, x in zip(n, size, strict=True) if m in depth), default=None)
+            out.append(rerooted(t, best[1]) if best else None)
+        return pd.Series(out, dtype=object)
+
+    rows = members.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("member", "strain", "length"))).alias("m"))
+    j = trees_.join(rows, "family").select("family", rooted("newick", F.col("m.member"), F.col("m.strain"), F.col("m.length")).alias("newick"))
+    return j.where("newick IS NOT NULL")
+
+
 def parse_newick(text: str):
     """Nested (label or list of children, length)."""
     at = 0
@@ -354,20 +485,29 @@ def topotypes(trees_: DataFrame, members: DataFrame, cutoffs: tuple[float, ...]
     labels = members.groupBy("family").agg(F.collect_list(F.struct("member", "strain")).alias("m"))
     shaped = trees_.join(labels, "family").select("family", shape("newick", F.col("m.member"), F.col("m.strain")).alias("topology"))
     n = shaped.groupBy("topology").agg(F.count("*").alias("families"))
-    ranked = n.withColumn("topotype", F.row_number().over(Window.orderBy(F.col("families").desc(), "topology")))  # one row a topology
+    ranked = numbered(n, [F.col("families").desc(), F.col("topology")], "topotype")
     return shaped.join(ranked, "topology").select("family", "topology", "topotype", "families")
 
 
+def topology_counts(topotypes_: DataFrame, methods: list[str]) -> DataFrame:
+    """(topology, a column a method): how many families have the topology by each method."""
+    return topotypes_.groupBy("topology").pivot("method", methods).agg(F.count("topology")).fillna(0, subset=methods)
+
+
 def topology_table(topotypes_: DataFrame, methods: list[str]) -> DataFrame:
     """(family, a column a method) with the topology, NA where absent; input has family, method, topology."""
     wide = topotypes_.groupBy("family").pivot("method", methods).agg(F.min("topology"))
     return wide.fillna("NA", subset=methods)
 
 
-def allele_parent(trees_: DataFrame, members: DataFrame, parents: list[str], target: str) -> DataFrame:
-    """(family, member, parent): target leaves whose sister clade holds exactly one leaf of a parental strain."""
+def allele_parent(trees_: DataFrame, members: DataFrame, parents: list[str], target: str, overlaps: DataFrame | None = None, min_length: int = 0, min_identity: float = 0) -> DataFrame:
+    """(family, member, parent): target leaves whose sister clade holds exactly one leaf of a parental strain.
 
-    @F.pandas_udf("array<struct<member:string,parent:string>>")
+    With ``overlaps`` (the result of ``member_overlaps``) the two leaves must
+    overlap by the length and identity given.
+    """
+
+    @F.pandas_udf("array<struct<member:string,parent:string,leaf:string>>")
     def assign(newick: pd.Series, names: pd.Series, strains: pd.Series) -> pd.Series:
         out = []
         for t, n, s in zip(newick, names, strains, strict=True):
@@ -378,10 +518,9 @@ def allele_parent(trees_: DataFrame, members: DataFrame, parents: list[str], tar
                     return
                 for c in node[0]:
                     if isinstance(c[0], str) and strain.get(c[0]) == target:
-                        kin = [strain.get(x) for o in node[0] if o is not c for x in leaves(o)]
-                        kin = [k for k in kin if k in parents]
+                        kin = [x for o in node[0] if o is not c for x in leaves(o) if strain.get(x) in parents]
                         if len(kin) == 1:
-                            rows.append({"member": c[0], "parent": kin[0]})
+                            rows.append({"member": c[0], "parent": strain[kin[0]], "leaf": kin[0]})
                     walk(c)
 
             walk(parse_newick(t))
@@ -390,7 +529,11 @@ def allele_parent(trees_: DataFrame, members: DataFrame, parents: list[str], tar
 
     labels = members.groupBy("family").agg(F.collect_list(F.struct("member", "strain")).alias("m"))
     found = trees_.join(labels, "family").select("family", F.explode(assign("newick", F.col("m.member"), F.col("m.strain"))).alias("x"))
-    return found.select("family", "x.member", "x.parent")
+    found = found.select("family", "x.*")
+    if overlaps is not None:
+        kept = overlaps.where((F.col("length") >= min_length) & (F.col("identity") >= min_identity)).select("family", "a", "b")
+        found = found.withColumns({"a": F.least("member", "leaf"), "b": F.greatest("member", "leaf")}).join(kept, ["family", "a", "b"], "left_semi")
+    return found.select("family", "member", "parent")
 
 
 def omega_bands(rows: DataFrame, cuts: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
@@ -398,3 +541,31 @@ def omega_bands(rows: DataFrame, cuts: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0
     known = rows.where("omega <> 99")
     band = F.array(*[F.struct(F.lit(float(c)).alias("cutoff"), (F.col("omega") <= c).alias("in")) for c in cuts])
     return known.select(F.explode(band).alias("b")).groupBy("b.cutoff").agg(F.count_if("b.in").alias("pairs"))
+
+
+#: Selection classes, each with the omega that it lies above, from the highest.
+SELECTION = (
+    ("STRONG POSITIVE SELECTION", 1.5),
+    ("POSITIVE SELECTION", 1.2),
+    ("CLOSE NEUTRALITY", 1.0),
+    ("NEUTRALITY", None),
+    ("CLOSE NEUTRALITY", 0.8),
+    ("NEGATIVE SELECTION", 0.5),
+    ("STRONG NEGATIVE SELECTION", 0.0),
+)
+SAME_CDS, SAME_PROTEIN = "NA (SAME CDS SEQUENCE)", "NA (SAME PROTEIN, DIFFERENT CDS SEQUENCE)"
+
+
+def selection_classes(rows: DataFrame) -> DataFrame:
+    """Rows (contig, a, b, omega) with ``selection``: 99 is the same coding sequence, 0 the same protein, 1 neutral; a bound belongs to the class under it."""
+    out = F.when(F.col("omega") == 99, SAME_CDS).when(F.col("omega") == 0, SAME_PROTEIN).when(F.col("omega") == 1, "NEUTRALITY")
+    for name, low in SELECTION:
+        out = out if low is None else out.when(F.col("omega") > low, name)
+    return rows.withColumn("selection", out)
+
+
+def pairs_by_contig(rows: DataFrame) -> DataFrame:
+    """(contig, pairs, defined): sequence pairs of each contig, and those with an omega other than 99; a pair counts once whatever its order."""
+    named = rows.select("contig", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "omega")
+    once = named.groupBy("contig", "a", "b").agg(F.min("omega").alias("omega"))
+    return once.groupBy("contig").agg(F.count("*").alias("pairs"), F.count_if(F.col("omega") != 99).alias("defined"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sporeline.functions.bases import peptide, reverse_complement
+
 
 def marker_conflicts(genome: DataFrame, maps: DataFrame) -> DataFrame:
     """(marker, locations) of markers on more than one chromosome; inputs have marker, chr, and maps a map name."""
@@ -22,13 +24,18 @@ def marker_midpoints(features: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def flip_linkage_group(locations: DataFrame) -> DataFrame:
-    """Positions counted from the other end of each map's linkage group."""
+    """Positions counted from the other end of each map's linkage group; so are ``north`` and ``south``, null where null or 0."""
     top = F.max("position").over(Window.partitionBy("map", "linkage_group"))
-    return locations.withColumn("position", top - F.col("position"))
+    ends = {c: F.when(F.col(c) != 0, top - F.col(c)) for c in ("north", "south") if c in locations.columns}
+    return locations.withColumns(ends | {"position": top - F.col("position")})
 
 
 def normalize_features(features: DataFrame, source: str | None = None, types: dict[str, str] | None = None, prefix: str = "") -> DataFrame:
-    """One source, renamed types, ends in order, library prefix on names without it, distinct aliases."""
+    """One source, renamed types, ends in order, library prefix on names without it, distinct aliases, and the target put right.
+
+    A target that begins with 'x' names the first alias, else the first name;
+    its ends are put in order and a missing strand is '+'.
+    """
     kind = F.col("type")
     for old, new in (types or {}).items():
         kind = F.when(F.col("type") == old, new).otherwise(kind)
@@ -36,16 +43,27 @@ def normalize_features(features: DataFrame, source: str | None = None, types: di
         "attrs",
         lambda k, v: F.when(k == "Alias", F.array_distinct(v)).when(k == "Name", F.transform(v, lambda x: F.when(x.startswith(prefix), x).otherwise(F.concat(F.lit(prefix), x)))).otherwise(v),
     )
-    return features.withColumns({"source": F.lit(source) if source else F.col("source"), "type": kind, "start": F.least("start", "end"), "end": F.greatest("start", "end"), "attrs": attrs})
+    out = features.withColumns({"source": F.lit(source) if source else F.col("source"), "type": kind, "start": F.least("start", "end"), "end": F.greatest("start", "end"), "attrs": attrs})
+    called = F.coalesce(F.get(F.try_element_at("attrs", F.lit("Alias")), F.lit(0)), F.get(F.try_element_at("attrs", F.lit("Name")), F.lit(0)))
+    words = F.split(F.element_at(F.try_element_at("attrs", F.lit("Target")), 1), r"\s+")
+    named = F.when((words[0] == "x") & called.isNotNull(), called).otherwise(words[0])
+    a, b = words[1].cast("long"), words[2].cast("long")
+    fixed = F.concat_ws(" ", named, F.least(a, b).cast("string"), F.greatest(a, b).cast("string"), F.coalesce(F.get(words, F.lit(3)), F.lit("+")))
+    return out.withColumn("attrs", F.transform_values("attrs", lambda k, v: F.when(k == "Target", F.array(fixed)).otherwise(v)))
 
 
 def unique_ids(features: DataFrame) -> DataFrame:
-    """Rows sorted by (seqid, start); repeated IDs become id_2, id_3, ... in line order, missing ones are made; Parents follow the latest ID line above them."""
-    made = F.concat_ws("_", "type", "seqid", F.col("start").cast("string"), F.col("end").cast("string"))
-    rows = features.withColumn("_old", F.coalesce(F.element_at("attrs", "ID")[0], made))
-    n = F.row_number().over(Window.partitionBy("_old").orderBy("line_no"))
-    rows = rows.withColumn("_new", F.when(n == 1, F.col("_old")).otherwise(F.concat_ws("_", "_old", n.cast("string"))))
-    parents = rows.select("line_no", "seqid", "source", F.explode(F.coalesce(F.element_at("attrs", "Parent"), F.array().cast("array<string>"))).alias("_p"))
+    """Rows sorted by (seqid, start); repeated IDs, less a number they end in, become id_2, id_3, ... in line order; Parents follow the latest ID line above them.
+
+    A row without an ID gets seqid_type_n, n counting such rows of its type.
+    """
+    own = F.get(F.try_element_at("attrs", F.lit("ID")), F.lit(0))
+    lone = F.row_number().over(Window.partitionBy("type", own.isNull()).orderBy("line_no"))
+    rows = features.withColumns({"_own": own, "_made": F.concat_ws("_", "seqid", "type", lone.cast("string"))})
+    rows = rows.withColumns({"_old": F.coalesce("_own", "_made"), "_root": F.coalesce(F.regexp_replace("_own", r"_\d+$", ""), "_made")})
+    n = F.row_number().over(Window.partitionBy("_root").orderBy("line_no"))
+    rows = rows.withColumn("_new", F.when(n == 1, F.col("_root")).otherwise(F.concat_ws("_", "_root", n.cast("string"))))
+    parents = rows.select("line_no", "seqid", "source", F.explode(F.coalesce(F.try_element_at("attrs", F.lit("Parent")), F.array().cast("array<string>"))).alias("_p"))
     ids = rows.select("line_no", "seqid", "source", F.col("_old").alias("_p"), "_new")
     both = ids.unionByName(parents.withColumn("_new", F.lit(None).cast("string")))
     latest = F.last("_new", ignorenulls=True).over(Window.partitionBy("seqid", "source", "_p").orderBy("line_no"))
@@ -56,6 +74,33 @@ def unique_ids(features: DataFrame) -> DataFrame:
     return rows.withColumn("attrs", attrs).select(*features.columns).orderBy("seqid", "start")
 
 
+def edit_attributes(features: DataFrame, edits: list[tuple[str, str, str]]) -> DataFrame:
+    """Values of attributes whose name matches changed by (name pattern, pattern, replacement), one edit after the other."""
+
+    def changed(k: Column, v: Column) -> Column:
+        for name, pattern, new in edits:
+            v = F.when(k.rlike(name), replaced(v, pattern, new)).otherwise(v)
+        return v
+
+    def replaced(v: Column, pattern: str, new: str) -> Column:
+        return F.transform(v, lambda x: F.regexp_replace(x, pattern, new))
+
+    return features.withColumn("attrs", F.transform_values("attrs", changed))
+
+
+def sequence_regions(declared: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(seqid, start, end, conflicts): one region a sequence: its whole length where ``seqs`` (id, length) knows it, else the first one declared.
+
+    ``declared`` has seqid, start, end, line_no; ``conflicts`` counts declared
+    lines that differ from the region.
+    """
+    known = seqs.select(F.col("id").alias("seqid"), F.struct(F.lit(1).cast("long").alias("start"), F.col("length").cast("long").alias("end")).alias("k"))
+    per = declared.groupBy("seqid").agg(F.min_by(F.struct("start", "end"), "line_no").alias("d"))
+    chosen = per.join(known, "seqid", "full").select("seqid", F.coalesce("k", "d").alias("r"))
+    differ = declared.join(chosen, "seqid").where((F.col("start") != F.col("r.start")) | (F.col("end") != F.col("r.end"))).groupBy("seqid").agg(F.count("*").alias("n"))
+    return chosen.join(differ, "seqid", "left").select("seqid", "r.start", "r.end", F.coalesce("n", F.lit(0)).alias("conflicts"))
+
+
 def mark_partial(features: DataFrame, five: DataFrame, three: DataFrame) -> DataFrame:
     """Genes and mRNAs whose id is in either list get a ``partial`` attribute with 5' and / or 3'."""
     gene = F.regexp_replace(F.element_at("attrs", "ID")[0], r"^(gene:|mRNA:)|(\.\d+)$", "")
@@ -85,8 +130,10 @@ def spliced_sequences(features: DataFrame, seqs: DataFrame, kind: str = "CDS") -
     return per.select("parent", F.when(F.col("strand") == "-", reverse_complement(whole)).otherwise(whole).alias("seq"), regions.alias("regions"))
 
 
-def reverse_complement(seq: Column) -> Column:
-    return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
+def spliced_proteins(features: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(parent, protein, regions): the coding pieces of each mRNA put together and translated, without the last stop."""
+    whole = spliced_sequences(features, seqs, "CDS")
+    return whole.select("parent", F.regexp_replace(peptide(F.upper("seq")), r"\*$", "").alias("protein"), "regions")
 
 
 def recalc_utrs(features: DataFrame) -> DataFrame:
@@ -100,6 +147,37 @@ def recalc_utrs(features: DataFrame) -> DataFrame:
     return parts.select("parent", F.when(five, "five_prime_UTR").otherwise("three_prime_UTR").alias("type"), F.col("u.start").alias("start"), F.col("u.end").alias("end"))
 
 
+def fused_exons(features: DataFrame) -> DataFrame:
+    """(parent, strand, start, end): exons of each parent, those with a coding piece in the gap between them as one.
+
+    A gap is closed when a CDS holds the place after an exon or before the next.
+    """
+    exons = features.where("type = 'exon'").select("parent", "strand", "start", "end").distinct()
+    by = Window.partitionBy("parent").orderBy("start", "end")
+    gaps = exons.withColumn("_next", F.lead("start").over(by))
+    cds = features.where("type = 'CDS'").select("parent", F.col("start").alias("cs"), F.col("end").alias("ce"))
+    over = F.col("_next").isNotNull() & (((F.col("cs") <= F.col("end") + 1) & (F.col("ce") >= F.col("end") + 1)) | ((F.col("cs") <= F.col("_next") - 1) & (F.col("ce") >= F.col("_next") - 1)))
+    closed = gaps.join(cds, "parent").where(over).select("parent", "start", "end").distinct().withColumn("_closed", F.lit(1))
+    marked = exons.join(closed, ["parent", "start", "end"], "left").withColumn("_new", F.when(F.lag("_closed").over(by).isNotNull(), 0).otherwise(1))
+    runs = marked.withColumn("_run", F.sum("_new").over(by))
+    return runs.groupBy("parent", "strand", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+
+
+def next_version(name: Column) -> Column:
+    """The first '.number' of an id raised by one; ids without one stay."""
+    part = lambda i: F.regexp_extract(name, r"^(.*?)\.(\d+)(.*)$", i)
+    return F.when(part(2) != "", F.concat(part(1), F.lit("."), (part(2).cast("long") + 1).cast("string"), part(3))).otherwise(name)
+
+
+def rebuild_models(features: DataFrame) -> DataFrame:
+    """(parent, type, start, end): each parent's coding pieces, fused exons and new UTRs under its next version; introns and old UTRs are left out."""
+    exons = fused_exons(features)
+    cds = features.where("type = 'CDS'").select("parent", "strand", "start", "end")
+    parts = exons.withColumn("type", F.lit("exon")).unionByName(cds.withColumn("type", F.lit("CDS")))
+    rows = parts.select("parent", "type", "start", "end").unionByName(recalc_utrs(parts))
+    return rows.select(next_version(F.col("parent")).alias("parent"), "type", "start", "end")
+
+
 def trim_models(features: DataFrame, trims: DataFrame) -> DataFrame:
     """Genes shrunk by (gene, five, three), five rounded up to a codon; children clamped, empty ones dropped."""
     genes = features.where("type = 'gene'").join(trims, "gene", "left")
@@ -132,16 +210,41 @@ def move_features(features: DataFrame, moves: DataFrame) -> DataFrame:
     return j.withColumns({"start": F.col("_t.s"), "end": F.col("_t.e"), "valid": F.col("_t.ok")}).select(*features.columns, "valid")
 
 
+def invalid_families(moved: DataFrame, depth: int = 3) -> DataFrame:
+    """Ids (id) of moved features (id, parent, valid) that an edit cut, of all above them and of all below those, up to ``depth`` levels."""
+    links = moved.where("parent IS NOT NULL").select("id", "parent")
+    out = moved.where("NOT valid").select("id").distinct()
+    for _ in range(depth - 1):
+        out = out.unionByName(links.join(out, "id", "left_semi").select(F.col("parent").alias("id"))).distinct()
+    for _ in range(depth - 1):
+        out = out.unionByName(links.join(out.select(F.col("id").alias("parent")), "parent", "left_semi").select("id")).distinct()
+    return out
+
+
+def region_lengths(regions: DataFrame, moves: DataFrame) -> DataFrame:
+    """(seqid, length) of sequence regions after the moves that start within them."""
+    j = regions.join(moves.select("seqid", "loc", "shift"), "seqid", "left")
+    return j.groupBy("seqid", "length").agg(F.coalesce(F.sum(F.when(F.col("loc") <= F.col("length"), F.col("shift"))), F.lit(0)).alias("_by")).select("seqid", (F.col("length") + F.col("_by")).alias("length"))
+
+
 def merge_gene_builds(new: DataFrame, old: DataFrame) -> DataFrame:
-    """I16: (id, start, end, source, attrs, version): new models over old ones by id; attributes merged, new wins on ID, Parent, Name; version + 1 on a changed span."""
+    """I16: (id, locus, type, start, end, source, attrs, version, place): new models over old ones by id.
+
+    Attributes are merged, new wins on ID, Parent, Name. Where a span changed,
+    the version of every row of its locus goes up by one. ``place`` is 0 for
+    genes and mRNAs, which come first, else 1.
+    """
     o = old.select("id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("attrs").alias("_a"), F.col("version").alias("_v"))
     j = new.join(o, "id", "left")
     merged = F.map_zip_with("attrs", F.coalesce("_a", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))), lambda k, x, y: F.when(k.isin("ID", "Parent", "Name"), F.coalesce(x, y)).otherwise(F.array_distinct(F.concat(F.coalesce(x, F.array().cast("array<string>")), F.coalesce(y, F.array().cast("array<string>"))))))
     changed = F.col("_s").isNotNull() & ((F.col("start") != F.col("_s")) | (F.col("end") != F.col("_e")))
-    version = F.when(changed, F.col("_v") + 1).otherwise(F.coalesce("_v", F.lit(1)))
-    mine = j.select("id", "start", "end", "source", merged.alias("attrs"), version.cast("long").alias("version"))
-    kept = old.join(new.select("id"), "id", "left_anti").select("id", "start", "end", "source", "attrs", F.col("version").cast("long").alias("version"))
-    return mine.unionByName(kept)
+    own = ["id", "locus", "type", "start", "end", "source"]
+    raised = j.where(changed).select("locus").distinct().withColumn("_up", F.lit(1))
+    mine = j.select(*own, merged.alias("attrs"), F.coalesce("_v", F.lit(1)).cast("long").alias("version"))
+    kept = old.join(new.select("id"), "id", "left_anti").select(*own, "attrs", F.col("version").cast("long").alias("version"))
+    rows = mine.unionByName(kept).join(raised, "locus", "left")
+    place = F.when(F.col("type").isin("gene", "mRNA"), 0).otherwise(1)
+    return rows.select(*own, "attrs", (F.col("version") + F.coalesce("_up", F.lit(0))).alias("version"), place.alias("place"))
 
 
 def _product(note: Column) -> Column:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sporeline.functions.storage import materialize
 from sporeline.operators.intervals import merge_ranges
 
 COMPARE = {"<": "__lt__", "<=": "__le__", "=": "__eq__", ">=": "__ge__", ">": "__gt__"}
@@ -85,20 +86,29 @@ def annotate_records(records: DataFrame, annotated: DataFrame, label: str, id_co
     return joined.select(*records.columns)
 
 
-def transfer_annotation(genes: DataFrame, sources: list[tuple[str, DataFrame, float]]) -> DataFrame:
-    """H8: (id, source, subject_id, description): the first source, in order, with a described best hit under its evalue cut.
+def transfer_annotation(genes: DataFrame, sources: list[tuple[str, DataFrame, float]], ec: DataFrame | None = None) -> DataFrame:
+    """H8: (id, source, subject_id, description, comment, ec_numbers): the first source, in order, with a described best hit under its evalue cut.
 
-    Each source is (name, annotated hits, highest evalue).
+    Each source is (name, annotated hits, highest evalue); a source whose
+    annotation comes from a pathway table has descriptions only for the
+    subjects that are in it, so the others pass on to the next source. ``ec``
+    has source, subject_id, ec: the numbers, joined by ',', are those that the
+    chosen source gives its subject. A gene with no source is unknown.
     """
     out = genes.select("id")
     picks = []
     for i, (name, hits, cut) in enumerate(sources):
-        best = best_hit(hits.where((F.col("evalue") < cut) & F.col("description").isNotNull()))
-        found = best.select(F.col("query_id").alias("id"), F.struct(F.lit(name).alias("source"), "subject_id", "description").alias(f"_{i}"))
+        best = best_hit(hits.where(F.col("evalue") < cut)).where("description IS NOT NULL")
+        found = best.select(F.col("query_id").alias("id"), F.struct(F.lit(name).alias("source"), "subject_id", "description", "evalue").alias(f"_{i}"))
         out = out.join(found, "id", "left")
         picks.append(F.col(f"_{i}"))
     chosen = F.coalesce(*picks)
-    return out.select("id", chosen["source"].alias("source"), chosen["subject_id"].alias("subject_id"), chosen["description"].alias("description"))
+    comment = F.when(chosen.isNotNull(), F.concat(F.lit("based on "), chosen["source"], F.lit(" match ("), chosen["subject_id"], F.lit(")")))
+    rows = out.select("id", *[chosen[c].alias(c) for c in ("source", "subject_id")], F.coalesce(chosen["description"], F.lit("unknown")).alias("description"), comment.alias("comment"))
+    if ec is None:
+        return rows.withColumn("ec_numbers", F.lit(None).cast("string"))
+    listed = ec.groupBy("source", "subject_id").agg(F.array_join(F.array_sort(F.collect_set("ec")), ",").alias("ec_numbers"))
+    return rows.join(listed, ["source", "subject_id"], "left").select("id", "source", "subject_id", "description", "comment", "ec_numbers")
 
 
 def gene_records(genes: DataFrame, functions: DataFrame, hits: DataFrame, cut: int = 8) -> DataFrame:
@@ -118,6 +128,45 @@ def gene_records(genes: DataFrame, functions: DataFrame, hits: DataFrame, cut: i
     return joined.select("id", F.coalesce(note, "by_table", "by_hit", F.lit("ORF")).alias("function"), source.alias("function_source"))
 
 
+def gene_parts(genes: DataFrame, parts: DataFrame, cut: int = 8) -> DataFrame:
+    """H9: (id, cds_start, cds_end, introns): the span of each gene's coding pieces and its introns as 'start-end', by start, joined by ','.
+
+    ``parts`` has id, type (CDS or intron), start, end; a part belongs to the
+    gene whose id its own id equals after losing the fewest, 0 to ``cut``,
+    trailing characters.
+    """
+    keys = F.transform(F.sequence(F.lit(0), F.lit(cut)), lambda k: F.struct(k.alias("k"), F.substring("id", F.lit(1), F.length("id") - k).alias("gene")))
+    names = parts.select("id").distinct().select("id", F.explode(keys).alias("x")).select("id", "x.*").where("gene <> ''")
+    owner = names.join(genes.select(F.col("id").alias("gene")), "gene").groupBy("id").agg(F.min_by("gene", "k").alias("gene"))
+    rows = parts.join(owner, "id")
+    cds = F.col("type") == "CDS"
+    intron = F.when(F.col("type") == "intron", F.struct("start", "end"))
+    per = rows.groupBy("gene").agg(F.min(F.when(cds, F.col("start"))).alias("cds_start"), F.max(F.when(cds, F.col("end"))).alias("cds_end"), F.array_sort(F.collect_list(intron)).alias("i"))
+    text = F.array_join(F.transform("i", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return genes.select("id").join(per, genes["id"] == per["gene"], "left").select("id", "cds_start", "cds_end", F.when(text != "", text).alias("introns"))
+
+
+def pathologic_records(genes: DataFrame, named: DataFrame, parts: DataFrame, ecs: DataFrame, synonyms: DataFrame, dblinks: DataFrame) -> DataFrame:
+    """H9: (seqid, id, fields): the key and value lines of each gene record, in their order.
+
+    ``genes`` has seqid, id, name, strand, start, end; ``named`` the functions
+    of ``gene_records``; ``parts`` the result of ``gene_parts``; the others
+    have id and ec, synonym or dblink, each value once. Bases run along the
+    strand and are those of the coding span where there is one.
+    """
+    listed = lambda df, c: df.groupBy("id").agg(F.array_sort(F.collect_set(c)).alias(c))
+    j = genes.join(named, "id").join(parts, "id", "left").join(listed(ecs, "ec"), "id", "left").join(listed(synonyms, "synonym"), "id", "left").join(listed(dblinks, "dblink"), "id", "left")
+    low, high = F.coalesce("cds_start", "start").cast("string"), F.coalesce("cds_end", "end").cast("string")
+    minus = F.col("strand") == "-"
+    one = lambda k, v: F.array(F.struct(F.lit(k).alias("key"), v.alias("value")))
+    many = lambda k, a: F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.struct(F.lit(k).alias("key"), x.alias("value")))
+    fields = F.concat(
+        one("ID", F.col("id")), one("NAME", F.coalesce("name", "id")), many("SYNONYM", F.col("synonym")), one("STARTBASE", F.when(minus, high).otherwise(low)), one("ENDBASE", F.when(minus, low).otherwise(high)),
+        many("INTRON", F.split("introns", ",")), one("FUNCTION", F.col("function")), many("EC", F.col("ec")), many("DBLINK", F.col("dblink")), one("PRODUCT-TYPE", F.lit("P")),
+    )
+    return j.select("seqid", "id", fields.alias("fields"))
+
+
 def full_length_hits(hits: DataFrame, subjects: DataFrame, min_ident: float = 80, min_cover: float = 0.99) -> DataFrame:
     """Best hits that span the subject; ``subjects`` has subject_id, subject_length, description."""
     best = best_hit(hits).join(subjects, "subject_id")
@@ -180,17 +229,33 @@ def parent_allele_by_hit(hits: DataFrame, by: str = "pident") -> DataFrame:
     return ranked.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("parent")), ",").alias("parents"))
 
 
-def kmer_candidates(seqs: DataFrame, k: int = 9, min_score: int = 75, max_freq: int = 1000) -> DataFrame:
-    """(a, b, score): sequence pairs by shared words, score = shared distinct words times k.
+def kmer_candidates(seqs: DataFrame, k: int = 9, min_score: int = 75) -> DataFrame:
+    """(a, b, score): pairs of different sequences by shared words, score = shared distinct words times k.
 
-    A word in more than ``max_freq`` sequences says nothing and is left out
-    (a parameter of the method, not a limit on the input), which bounds the
-    pairs a word makes.
+    Equal sequences are one, under its least id (``equal_sequences`` gives the
+    membership), so copies make no pairs. No word is left out for being
+    frequent. A pair must share ``t`` words to reach the score; of a sequence
+    of n words only its n - t + 1 rarest are joined, for two sequences that
+    share t words share one of those; candidates' scores are then counted on
+    their whole word lists. Sequences shorter than k have no words.
     """
+    least = max(1, -(-min_score // k))
     n = F.length("seq") - k + 1
-    words = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring("seq", i, F.lit(k))))
-    rows = seqs.where(F.length("seq") >= k).select("id", F.explode(words).alias("word"))
-    usual = rows.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= max_freq)).select("word")
-    rows = rows.join(usual, "word")
-    pairs = rows.select("word", F.col("id").alias("a")).join(rows.select("word", F.col("id").alias("b")), "word").where("a < b")
-    return pairs.groupBy("a", "b").agg((F.count("*") * k).alias("score")).where(F.col("score") >= min_score)
+    words = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substring("seq", i, F.lit(k)))))
+    whole = seqs.where(F.length("seq") >= k).groupBy("seq").agg(F.min("id").alias("id")).select("id", words.alias("words"))
+    whole = materialize(whole.where(F.size("words") >= least))
+    rows = whole.select("id", F.explode("words").alias("word"))
+    usual = rows.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = rows.join(usual, "word", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "word"))).alias("by"))
+    rare = F.slice("by", F.lit(1), F.size("by") - least + 1)
+    rare = materialize(ranked.select("id", F.explode(rare).alias("x")).where("x.n > 1").select("id", "x.word"))
+    pairs = rare.select("word", F.col("id").alias("a")).join(rare.select("word", F.col("id").alias("b")), "word").where("a < b").select("a", "b").distinct()
+    both = pairs.join(whole.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").join(whole.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
+    scored = both.select("a", "b", (F.size(F.array_intersect("wa", "wb")) * k).cast("long").alias("score"))
+    return scored.where(F.col("score") >= min_score)
+
+
+def equal_sequences(seqs: DataFrame) -> DataFrame:
+    """(id, least): each sequence's id and the least id of its equals, under which ``kmer_candidates`` knows it."""
+    least = seqs.groupBy("seq").agg(F.min("id").alias("least"))
+    return seqs.join(least, "seq").select("id", "least")

@@ -84,21 +84,27 @@ def nest_components(scaffolds: DataFrame, contigs: DataFrame) -> DataFrame:
     return placed.select("seqid", "id", "start", "end", F.col("_host.id").alias("scaffold"), F.coalesce(F.col("_host.end") >= F.col("end"), F.lit(False)).alias("ok"))
 
 
-#: Gap types of assembly lines and their descriptions.
+#: What a gap's note says for each gap type.
 GAP_NAMES = {
-    "fragment": "gap between two sequence contigs", "clone": "gap between two clones that do not overlap", "contig": "gap between clone contigs",
-    "centromere": "gap inserted for the centromere", "short_arm": "gap inserted at the start of an acrocentric chromosome",
-    "heterochromatin": "gap inserted for an especially large region of heterochromatic sequence", "telomere": "gap inserted for the telomere", "repeat": "an unresolvable repeat",
-}
+    "fragment": 'gap between two sequence contigs (also called a "sequence gap")',
+    "clone": " a gap between two clones that do not overlap",
+    "contig": 'a gap between clone contigs (also called a "layout gap")',
+    "centromere": "a gap inserted for the centromere",
+    "short_arm": "a gap inserted at the start of an acrocentric chromosome",
+    "heterochromatin": "a gap inserted for an especially large region of heterochromatic sequence (may also include the centromere)",
+    "telomere": "a gap inserted for the telomere",
+    "repeat": "an unresolvable repeat",
+}
 
 
 def agp_to_features(agp: DataFrame) -> DataFrame:
-    """Assembly lines as features: contig, supercontig, or a remark for a gap with its description."""
+    """Assembly lines as features: contig, supercontig, or a remark for a gap, whose note gives its type and description ("none" for types that are not known)."""
     names = F.create_map(*[F.lit(x) for pair in GAP_NAMES.items() for x in pair])
     kind = F.when(F.col("is_gap"), "remark").when(F.col("type") == "W", "contig").otherwise("supercontig")
-    note = F.when(F.col("is_gap"), F.concat(F.coalesce(names[F.col("gap_type")], F.col("gap_type")), F.lit(", linkage "), F.col("linkage")))
-    strand = F.when(F.col("orient") == "-", "-").when(F.col("is_gap"), ".").otherwise("+")
-    return agp.select(F.col("objname").alias("seqid"), kind.alias("type"), F.col("ostart").alias("start"), F.col("oend").alias("end"), strand.alias("strand"), "ident", note.alias("note"))
+    note = F.when(F.col("is_gap"), F.concat(F.lit("type: "), "type", F.lit(", description: "), F.coalesce(names[F.col("gap_type")], F.lit("none"))))
+    name = F.when(F.col("is_gap"), F.concat("gap_type", F.lit("_gap"))).otherwise(F.col("ident"))
+    strand = F.when(F.col("orient") == "-", "-").otherwise("+")
+    return agp.select(F.col("objname").alias("seqid"), kind.alias("type"), F.col("ostart").alias("start"), F.col("oend").alias("end"), strand.alias("strand"), name.alias("name"), "ident", note.alias("note"))
 
 
 def agp_to_tpf(agp: DataFrame, local_ids: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -120,14 +126,37 @@ def tiling_groups(tiles: DataFrame) -> DataFrame:
     return marked.groupBy("ref", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("tiles")).drop("_g")
 
 
+def tpf_index(tpf: DataFrame, ids: DataFrame) -> DataFrame:
+    """I8: (accession, ord): the first line of each wanted accession; null where there is none."""
+    first = tpf.join(ids.select("accession").distinct(), "accession", "left_semi").groupBy("accession").agg(F.min("ord").alias("ord"))
+    return ids.select("accession").distinct().join(first, "accession", "left")
+
+
+def _tpf_ends(tpf: DataFrame, first: str, last: str) -> DataFrame:
+    """One row (lo, hi), null unless both lines are there and in order."""
+    at = lambda name: F.min(F.when(F.col("accession") == name, F.col("ord")))
+    ends = tpf.where(F.col("accession").isin(first, last)).agg(at(first).alias("lo"), at(last).alias("hi"))
+    usable = F.col("lo") <= F.col("hi")
+    return ends.select(F.when(usable, F.col("lo")).alias("lo"), F.when(usable, F.col("hi")).alias("hi"))
+
+
+def tpf_interval(tpf: DataFrame, first: str, last: str) -> DataFrame:
+    """I8: the lines from one accession to another, both included; none where an end is missing or they are out of order."""
+    return tpf.crossJoin(F.broadcast(_tpf_ends(tpf, first, last))).where("ord BETWEEN lo AND hi").select(*tpf.columns)
+
+
 def tpf_splice(tpf: DataFrame, first: str, last: str, new: DataFrame) -> DataFrame:
-    """I8: the lines from accession ``first`` to ``last`` replaced by ``new`` (same columns); ``ord`` renumbered from 1."""
-    ends = tpf.where(F.col("accession").isin(first, last)).agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
-    kept = tpf.crossJoin(F.broadcast(ends)).where("ord < lo OR ord > hi")  # one row
-    size = new.agg(F.count("*").alias("n"), F.min("ord").alias("base"))
-    shifted = kept.crossJoin(F.broadcast(size)).withColumn("ord", F.when(F.col("ord") < F.col("lo"), F.col("ord")).otherwise(F.col("ord") - (F.col("hi") - F.col("lo") + 1) + F.col("n")))
-    added = new.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(ends)).withColumn("ord", F.col("lo") + F.col("ord") - F.col("base"))
-    return shifted.select(*tpf.columns).unionByName(added.select(*tpf.columns))
+    """I8: the lines between accessions ``first`` and ``last``, which stay, replaced by ``new`` (same columns); ``ord`` renumbered.
+
+    Nothing changes where an end is missing or they are out of order.
+    """
+    ends = F.broadcast(_tpf_ends(tpf, first, last))  # one row
+    size = F.broadcast(new.agg(F.count("*").alias("n"), F.min("ord").alias("base")))  # one row
+    kept = tpf.crossJoin(ends).crossJoin(size).where("lo IS NULL OR ord <= lo OR ord >= hi OR lo = hi")
+    gone = F.greatest(F.col("hi") - F.col("lo") - 1, F.lit(0))
+    moved = F.when((F.col("ord") > F.col("lo")) & F.col("lo").isNotNull(), F.col("ord") - gone + F.col("n")).otherwise(F.col("ord"))
+    added = new.crossJoin(size).crossJoin(ends).where("lo IS NOT NULL").withColumn("ord", F.col("lo") + 1 + F.col("ord") - F.col("base"))
+    return kept.withColumn("ord", moved).select(*tpf.columns).unionByName(added.select(*tpf.columns))
 
 
 def lift_to_object(places: DataFrame, agp: DataFrame) -> DataFrame:
@@ -164,6 +193,20 @@ def compose_trims(passes: DataFrame) -> DataFrame:
     return done.select("id", F.col("_t.start").alias("start"), F.col("_t.end").alias("end"), F.size("_p").alias("passes"))
 
 
+def trim_tags(passes: DataFrame, tags: DataFrame, last: int) -> DataFrame:
+    """(id, pass, tag, start, end, removed): tags (id, pass, tag, start, end) of any pass in the coordinates of the untrimmed sequence.
+
+    Places count in the sequence as it was at the tag's pass, so the starts of
+    the passes before it are added. ``removed`` marks ids without a pass
+    ``last``: they were lost on the way.
+    """
+    by = Window.partitionBy("id").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = passes.select("id", "pass", F.coalesce(F.sum(F.col("start") - 1).over(by), F.lit(0)).alias("_by"))
+    here = passes.where(F.col("pass") == last).select("id").distinct().withColumn("_here", F.lit(True))
+    j = tags.join(shifts, ["id", "pass"]).join(here, "id", "left")
+    return j.select("id", "pass", "tag", (F.col("start") + F.col("_by")).alias("start"), (F.col("end") + F.col("_by")).alias("end"), F.col("_here").isNull().alias("removed"))
+
+
 def convert_coords(df: DataFrame, source: str, target: str) -> DataFrame:
     """(first, second) between 0/L, 1/L, 0/E, 1/E (origin / length or end) by way of 1-based closed; round trips hold."""
     base, form = source.split("/")

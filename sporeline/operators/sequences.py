@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sporeline.operators.features import reverse_complement
+from sporeline.functions.bases import peptide, reverse_complement
+from sporeline.functions.numbering import numbered
 
 
 def seq_lengths(seqs: DataFrame) -> DataFrame:
@@ -80,10 +80,8 @@ def extract_seqs(seqs: DataFrame, ids: DataFrame | None = None, min_len: int | N
 
 
 def renumber_ids(seqs: DataFrame, root: str, width: int = 4) -> DataFrame:
-    """Q10: records in line order with new ids root_0001, ... and the old id; numbered by partition counts, not in one task."""
-    ordered = seqs.orderBy("line_no")
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    rows = seqs.sparkSession.createDataFrame(numbered, ordered.schema.add("_n", "long"))
+    """Q10: records in line order with new ids root_0001, ... and the old id."""
+    rows = numbered(seqs, [F.col("line_no")], "_n")
     name = F.concat(F.lit(f"{root}_"), F.format_string(f"%0{width}d", F.col("_n")))
     return rows.withColumns({"old_id": F.col("id"), "id": name}).drop("_n")
 
@@ -202,6 +200,22 @@ def mask_percent(seqs: DataFrame, cutoff: float = 50) -> DataFrame:
     return seqs.where(F.length("seq") > 0).select("id", pct.alias("percent_n"), (pct > cutoff).alias("removed"))
 
 
+def tag_masked(cleaning: DataFrame, masked: DataFrame, cutoff: float = 50, rm_tag: str = "seq_masked", trim_tag: str = "mask_percentage") -> DataFrame:
+    """Q24: cleaning rows (id, rm_tag, trim_tag) with both tags appended, after '; ', where more than ``cutoff`` percent is masked.
+
+    ``masked`` is the result of ``mask_percent``; the trim tag carries the
+    whole part of the percentage. Sequences that it lacks stay as they are.
+    """
+    j = cleaning.join(masked.select("id", "percent_n"), "id", "left")
+    over = F.coalesce(F.col("percent_n") > cutoff, F.lit(False))
+
+    def appended(column: str, tag: Column) -> Column:
+        return F.when(over, F.when(F.col(column).rlike(r"\w"), F.concat(column, F.lit("; "), tag)).otherwise(tag)).otherwise(F.col(column))
+
+    share = F.concat(F.lit(f"{trim_tag}("), F.floor("percent_n").cast("string"), F.lit("%)"))
+    return j.withColumns({"rm_tag": appended("rm_tag", F.lit(rm_tag)), "trim_tag": appended("trim_tag", share)}).select(*cleaning.columns)
+
+
 def annotate_deflines(seqs: DataFrame, functions: DataFrame) -> DataFrame:
     """Q25: go_terms: and functional_description: on deflines, replaced where there; gene id is the id without its version."""
     rows = seqs.withColumn("_gene", F.regexp_replace("id", r"\.\d+$", "")).join(functions.select(F.col("id").alias("_gene"), "go_terms", "description"), "_gene", "left")
@@ -220,75 +234,45 @@ def trim_by_coords(reads: DataFrame, coords: DataFrame) -> DataFrame:
     return j.withColumns(cut).select(*reads.columns)
 
 
-_BASES = "TCAG"
-#: Fixed value: amino acids of the standard code, codons in the order of bases T, C, A, G.
-_AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-CODONS = {a + b + c: _AMINO[16 * i + 4 * j + k] for i, a in enumerate(_BASES) for j, b in enumerate(_BASES) for k, c in enumerate(_BASES)}
-
-
-def _peptide(seq: str) -> str:
-    return "".join(CODONS.get(seq[i : i + 3], "X") for i in range(0, len(seq) - 2, 3))
-
-
 def translate_cds(cds: DataFrame, strip_lower: bool = False, max_other: float = 100) -> DataFrame:
     """Q21: (id, protein, set_apart): sequences with more than max_other percent of letters outside ATCGN have no protein."""
-
-    @F.pandas_udf("string")
-    def translated(seqs: pd.Series) -> pd.Series:
-        return pd.Series([_peptide(s.upper()) for s in seqs], dtype=object)
-
     seq = F.regexp_replace("seq", "[a-z]", "") if strip_lower else F.col("seq")
     rows = cds.select("id", F.coalesce(seq, F.lit("")).alias("seq"))
     other = 100 * F.length(F.regexp_replace(F.upper("seq"), "[ATCGN]", "")) / F.greatest(F.length("seq"), F.lit(1))
-    return rows.select("id", F.when(other <= max_other, translated("seq")).alias("protein"), (other > max_other).alias("set_apart"))
+    return rows.select("id", F.when(other <= max_other, peptide(F.upper("seq"))).alias("protein"), (other > max_other).alias("set_apart"))
 
 
 def longest_orf(seqs: DataFrame) -> DataFrame:
-    """Q20: (id, frame, begin, protein, cds): all longest stop-free pieces over six frames; begin is 0-based on the strand of the frame."""
-    swap = str.maketrans("ACGT", "TGCA")
-
-    def orfs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, seq in zip(batch["id"], batch["seq"], strict=True):
-                best, found = 0, []
-                for sign, strand in ((1, (seq or "").upper()), (-1, (seq or "").upper()[::-1].translate(swap))):
-                    for shift in range(3):
-                        at = 0
-                        for piece in _peptide(strand[shift:]).split("*"):
-                            if len(piece) >= best and piece:
-                                found = found if len(piece) == best else []
-                                best = len(piece)
-                                begin = shift + 3 * at
-                                found.append((name, sign * (shift + 1), begin, piece, strand[begin : begin + 3 * best]))
-                            at += len(piece) + 1
-                rows += found
-            yield pd.DataFrame(rows, columns=["id", "frame", "begin", "protein", "cds"], dtype=object)
-
-    return seqs.select("id", "seq").mapInPandas(orfs, "id string, frame int, begin int, protein string, cds string")
+    """Q20: (id, frame, begin, protein, cds): all longest stop-free pieces over six frames; begin is 0-based on the strand of the frame. Ids are unique."""
+    plus = F.upper(F.coalesce("seq", F.lit("")))
+    minus = F.translate(F.reverse(plus), "ACGT", "TGCA")
+    frames = F.array(*[F.struct(F.lit(sign * (shift + 1)).alias("frame"), F.lit(shift).alias("shift"), strand.alias("strand")) for sign, strand in ((1, plus), (-1, minus)) for shift in range(3)])
+    each = seqs.select("id", F.explode(frames).alias("f")).select("id", "f.*")
+    each = each.withColumn("p", peptide(F.substring("strand", F.col("shift") + 1, F.length("strand"))))
+    pieces = F.split("p", r"\*")
+    best = each.select("id", "frame", "shift", "strand", pieces.alias("pieces"), F.array_max(F.transform(pieces, lambda x: F.length(x))).alias("m"))
+    top = best.groupBy("id").agg(F.max("m").alias("top")).where("top > 0")
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,piece:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        hit = F.array(F.struct(acc["at"].alias("at"), x.alias("piece")))
+        out = F.when(F.length(x) == F.col("top"), F.concat(acc["out"], hit)).otherwise(acc["out"])
+        return F.struct((acc["at"] + F.length(x) + 1).cast("int").alias("at"), out.alias("out"))
+
+    kept = best.where("m > 0").join(top, "id").where("m = top")
+    found = kept.select("id", "frame", "shift", "strand", F.explode(F.aggregate("pieces", zero, step, lambda acc: acc["out"])).alias("x"))
+    begin = F.col("shift") + 3 * F.col("x.at")
+    return found.select("id", "frame", begin.cast("int").alias("begin"), F.col("x.piece").alias("protein"), F.substring("strand", begin + 1, 3 * F.length("x.piece")).alias("cds"))
 
 
 def walk_start_stop(seqs: DataFrame, best_hits: DataFrame) -> DataFrame:
     """Q22: (id, start, stop, complete): from the best hit's ends in frame back to M and on to a stop; null where unknown. Places are 1-based."""
-
-    @F.pandas_udf("struct<start:int,stop:int>")
-    def walk(seq: pd.Series, begin: pd.Series, end: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s, b, e in zip(seq, begin, end, strict=True):
-            s, start, stop = s.upper(), None, None
-            for i in range(int(b) - 1, -1, -3):
-                aa = CODONS.get(s[i : i + 3])
-                if aa == "*":
-                    break
-                if aa == "M":
-                    start = i + 1
-                    break
-            for i in range(int(b) - 1 + (int(e) - int(b) + 1) // 3 * 3, len(s) - 2, 3):
-                if CODONS.get(s[i : i + 3]) == "*":
-                    stop = i + 3
-                    break
-            rows.append((start, stop))
-        return pd.DataFrame(rows, columns=["start", "stop"], dtype="Int32")
-
-    j = seqs.join(best_hits.select(F.col("query_id").alias("id"), "q_start", "q_end"), "id").withColumn("_w", walk("seq", "q_start", "q_end"))
-    return j.select("id", F.col("_w.start").alias("start"), F.col("_w.stop").alias("stop"), (F.col("_w.start").isNotNull() & F.col("_w.stop").isNotNull()).alias("complete"))
+    j = seqs.join(best_hits.select(F.col("query_id").alias("id"), "q_start", "q_end"), "id")
+    seq = F.upper("seq")
+    off = F.pmod(F.col("q_start") - 1, F.lit(3)).cast("int")
+    back = peptide(F.substring(seq, off + 1, (F.col("q_start") - 1 - off + 3).cast("int")))
+    j = j.withColumns({"_back": back, "_off": off, "_to": (F.col("q_start") - 1 + F.floor((F.col("q_end") - F.col("q_start") + 1) / 3) * 3).cast("int")})
+    j = j.withColumns({"_tail": F.regexp_extract("_back", r"([M*][^M*]*)$", 1), "_on": F.call_function("instr", peptide(F.substring(seq, F.col("_to") + 1, F.length("seq"))), F.lit("*"))})
+    start = F.when(F.col("_tail").startswith("M"), F.col("_off") + 3 * (F.length("_back") - F.length("_tail")) + 1).cast("int")
+    stop = F.when(F.col("_on") > 0, F.col("_to") + 3 * F.col("_on")).cast("int")
+    return j.select("id", start.alias("start"), stop.alias("stop"), (start.isNotNull() & stop.isNotNull()).alias("complete"))

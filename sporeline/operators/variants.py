@@ -29,10 +29,11 @@ def snp_similarity(reads: DataFrame, refs: list[str], target: str) -> DataFrame:
     return j.groupBy("contig_id", F.col("strain").alias("reference")).agg(F.count_if(F.col("s") == F.col("t")).alias("same"), F.count_if(F.col("s") != F.col("t")).alias("different"), F.count("*").alias("total"))
 
 
-def filter_genotypes(variants: DataFrame, pattern: dict[str, str]) -> DataFrame:
+def filter_genotypes(variants: DataFrame, pattern: dict[str, str], ploidy: int = 2) -> DataFrame:
     """V4: variants that fit: S=AA drops homozygous S, S=AB heterozygous S; strains whose patterns share a letter are dropped when equal.
 
-    ``genotypes`` is text 'S1=AA,S2=AB'.
+    ``genotypes`` is text 'S1=AA,S2=AB'. Zygosity is a rule for diploids only;
+    with another ``ploidy`` the comparison between strains alone holds.
     """
     calls = F.str_to_map("genotypes", F.lit(","), F.lit("="))
     hom = lambda c: F.substring(c, 1, 1) == F.substring(c, 2, 1)
@@ -41,7 +42,7 @@ def filter_genotypes(variants: DataFrame, pattern: dict[str, str]) -> DataFrame:
     for s in names:
         call = F.element_at(calls, s)
         same = pattern[s][0] == pattern[s][-1] and len(pattern[s]) > 1
-        if len(pattern[s]) > 1:
+        if len(pattern[s]) > 1 and ploidy == 2:
             keep = keep & F.coalesce(~hom(call) if same else hom(call), F.lit(True))
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
@@ -71,6 +72,14 @@ def allele_spectrum(variants: DataFrame) -> DataFrame:
     return variants.groupBy(F.array_join(F.array_sort(F.split("alleles", ",")), "").alias("alleles")).agg(F.count("*").alias("n"))
 
 
+def base_totals(seqs: DataFrame) -> DataFrame:
+    """V6: (base, n): how often each base stands in all sequences, upper case; sums are made where the rows lie."""
+    bases = "ACGTN"
+    text = F.upper("seq")
+    sums = seqs.agg(*[F.coalesce(F.sum(F.length("seq") - F.length(F.replace(text, F.lit(b)))), F.lit(0)).alias(b) for b in bases])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("n")) for b in bases])).alias("x")).select("x.*")
+
+
 def genotype_json(genotypes: DataFrame) -> DataFrame:
     """V7: (accession, genotype): one JSON object marker -> call, calls outside 0, 1, 2 as NA; of repeated markers the first line."""
     once = genotypes.groupBy("accession", "marker").agg(F.min_by("call", "line_no").alias("call"))

@@ -14,10 +14,24 @@ def contig_summary(ace_rows: DataFrame) -> DataFrame:
     return per.withColumn("span", F.col("last") - F.col("first"))
 
 
-def library_mix_stats(ace_rows: DataFrame) -> DataFrame:
-    """(libraries, contigs, reads, read_bases): contigs by the set of libraries present in them."""
+def named_libraries(reads: DataFrame, pattern: str) -> DataFrame:
+    """``reads`` (name, ...) with ``library``: what the pattern's first group shows in the name, in any case; null where it shows none."""
+    found = F.regexp_extract("name", f"(?i){pattern}", 1)
+    return reads.withColumn("library", F.when(found != "", found))
+
+
+def library_mix_stats(ace_rows: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(libraries, contigs, contig_bases, reads, read_bases): contigs by the set of libraries present in them; reads of no library count but show none."""
     per = ace_rows.groupBy("contig_id").agg(F.array_join(F.array_sort(F.collect_set("library")), "-").alias("libraries"), F.count("*").alias("reads"), F.sum("span").alias("bases"))
-    return per.groupBy("libraries").agg(F.count("*").alias("contigs"), F.sum("reads").alias("reads"), F.sum("bases").alias("read_bases"))
+    j = per.join(lengths, "contig_id", "left")
+    return j.groupBy("libraries").agg(F.count("*").alias("contigs"), F.sum("length").alias("contig_bases"), F.sum("reads").alias("reads"), F.sum("bases").alias("read_bases"))
+
+
+def library_reads(ace_rows: DataFrame, singletons: DataFrame) -> DataFrame:
+    """(library, reads, bases): reads in contigs of each library, those 'unmatched', and the 'singletons' (read_id, span)."""
+    placed = ace_rows.groupBy(F.coalesce("library", F.lit("unmatched")).alias("library")).agg(F.count("*").alias("reads"), F.sum("span").alias("bases"))
+    lone = singletons.agg(F.countDistinct("read_id").alias("reads"), F.coalesce(F.sum("span"), F.lit(0)).alias("bases"))
+    return placed.unionByName(lone.select(F.lit("singletons").alias("library"), "reads", "bases"))
 
 
 def build_overlap(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -74,15 +88,27 @@ def organism_report(organisms: DataFrame, libraries: DataFrame, clones: DataFram
 
 
 def build_report(members: DataFrame, cds: DataFrame, annotated: DataFrame) -> DataFrame:
-    """(build, unigenes, members, contigs, min_id, max_id, annotated, with_cds) per build."""
+    """(build, unigenes, members, contigs, min_id, max_id, annotated, cds, cds_with_domain, cds_without_domain) per build.
+
+    ``cds`` has unigene_id, domain (boolean), a row a coding sequence;
+    ``annotated`` has unigene_id. Each is counted per unigene before the join.
+    """
     per = members.groupBy("build", "unigene_id").agg(F.count("*").alias("n"))
-    j = per.join(cds.select("unigene_id").distinct().withColumn("c", F.lit(1)), "unigene_id", "left").join(annotated.select("unigene_id").distinct().withColumn("a", F.lit(1)), "unigene_id", "left")
+    coding = cds.groupBy("unigene_id").agg(F.count_if("domain").alias("w"), F.count_if(~F.col("domain")).alias("o"))
+    j = per.join(coding, "unigene_id", "left").join(annotated.select("unigene_id").distinct().withColumn("a", F.lit(1)), "unigene_id", "left")
+    zero = lambda c: F.sum(F.coalesce(c, F.lit(0)))
     return j.groupBy("build").agg(
         F.count("*").alias("unigenes"), F.sum("n").alias("members"), F.count_if(F.col("n") > 1).alias("contigs"), F.min("unigene_id").alias("min_id"), F.max("unigene_id").alias("max_id"),
-        F.count("a").alias("annotated"), F.count("c").alias("with_cds"),
+        F.count("a").alias("annotated"), (zero("w") + zero("o")).alias("cds"), zero("w").alias("cds_with_domain"), zero("o").alias("cds_without_domain"),
     )
 
 
+def annotated_by_target(members: DataFrame, annotated: DataFrame) -> DataFrame:
+    """(build, target, unigenes): unigenes of each build that a target database annotates; ``annotated`` has unigene_id, target."""
+    per = members.select("build", "unigene_id").distinct()
+    return per.join(annotated.select("unigene_id", "target").distinct(), "unigene_id").groupBy("build", "target").agg(F.count("*").alias("unigenes"))
+
+
 def integrity_check(levels: list[tuple[str, DataFrame, DataFrame, str]]) -> DataFrame:
     """(level, parents, childless): for (name, parents, children, key) how many parents have no child."""
     parts = []
@@ -92,6 +118,15 @@ def integrity_check(levels: list[tuple[str, DataFrame, DataFrame, str]]) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
+def field_gaps(level: str, rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(level, field, nulls, blanks): rows of a level whose field is null, or blank text; one pass over the rows."""
+    counts = []
+    for f in fields:
+        counts += [F.count_if(F.col(f).isNull()).alias(f"n_{f}"), F.count_if(F.trim(F.col(f).cast("string")) == "").alias(f"b_{f}")]
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"n_{f}").alias("nulls"), F.col(f"b_{f}").alias("blanks")) for f in fields])
+    return rows.agg(*counts).select(F.lit(level).alias("level"), F.explode(each).alias("x")).select("level", "x.*")
+
+
 def status_counts(rows: DataFrame, status: str = "status", flags: str = "flags") -> DataFrame:
     """(status, flags, rows) of a level, blanks as null."""
     blank = F.when(F.trim(F.col(status)) != "", F.col(status))
@@ -105,8 +140,8 @@ def preferred_protein(cds: DataFrame) -> DataFrame:
 
 
 def map_accessions(clones: DataFrame, genbank: DataFrame) -> DataFrame:
-    """(clone_id, rule, accession): the first rule that matches a clone's name: accession.version, accession, locus, primary id, clone."""
-    rules = [("accession.version", F.concat_ws(".", "accession", F.col("version").cast("string"))), ("accession", F.col("accession")), ("locus", F.col("locus")), ("primary id", F.col("primary_id").cast("string")), ("clone", F.col("clone"))]
+    """(clone_id, rule, accession): the first rule that matches a clone's name: accession.version, accession, locus, primary id, library-clone, clone."""
+    rules = [("accession.version", F.concat_ws(".", "accession", F.col("version").cast("string"))), ("accession", F.col("accession")), ("locus", F.col("locus")), ("primary id", F.col("primary_id").cast("string")), ("library-clone", F.concat("library", F.lit("-"), "clone")), ("clone", F.col("clone"))]
     keys = genbank.select("accession", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(n).alias("rule"), k.alias("key")) for i, (n, k) in enumerate(rules)])).alias("k")).select("accession", "k.*")
     j = clones.join(keys.where("key IS NOT NULL"), clones["name"] == F.col("key"))
     return j.groupBy("clone_id").agg(F.min(F.struct("rank", "rule", "accession")).alias("m")).select("clone_id", "m.rule", "m.accession")

@@ -42,9 +42,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "contig_reads": (("lineitem",), "SELECT concat('C', l_partkey) AS contig_id, {line} AS read_id, concat(l_returnflag, l_linestatus) AS library, cast(l_quantity AS bigint) AS span, cast((l_suppkey * 37) % 900 AS bigint) AS start, {line} AS line_no FROM lineitem"),
     "contig_lengths": (("part",), "SELECT concat('C', p_partkey) AS contig_id, cast(p_size * 100 AS bigint) AS length FROM part"),
-    "edges": (("lineitem",), "SELECT concat('O', l_orderkey) AS src, concat('P', l_partkey) AS dst, l_linenumber AS weight, {line} AS line_no FROM lineitem WHERE l_quantity <= 1"),
-    "old_builds": (("lineitem",), "SELECT DISTINCT l_partkey AS cluster_id, l_orderkey AS member_id FROM lineitem WHERE l_linenumber <= 2"),
-    "new_builds": (("lineitem",), "SELECT DISTINCT l_suppkey AS cluster_id, l_orderkey AS member_id FROM lineitem WHERE l_linenumber = 2"),
+    # every line of lineitem; 16 orders share 64 possible partners, so components stay small however long the table is
+    "edges": (("lineitem",), "SELECT concat('O', l_orderkey) AS src, concat('P', (l_orderkey - l_orderkey % 16) * 4 + l_partkey % 64) AS dst, l_linenumber AS weight, {line} AS line_no FROM lineitem"),
+    "old_builds": (("lineitem",), "SELECT DISTINCT l_partkey AS cluster_id, l_orderkey AS member_id FROM lineitem"),
+    "new_builds": (("lineitem",), "SELECT DISTINCT l_suppkey AS cluster_id, CASE WHEN l_orderkey % 10 = 3 THEN -l_orderkey ELSE l_orderkey END AS member_id FROM lineitem"),
     "domains": (
         ("lineitem",),
         """SELECT concat('Q', l_orderkey) AS id, l_returnflag AS method, cast((l_suppkey * 37) % 900 + 1 AS bigint) AS start, cast((l_suppkey * 37) % 900 + l_quantity AS bigint) AS "end", l_discount AS evalue,
@@ -62,9 +63,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "signals": (("lineitem",), "SELECT concat('T', l_partkey) AS template, cast(l_quantity AS bigint) AS signal FROM lineitem"),
     "members": (("embeddings",), "SELECT label AS family, concat('V', vec_id) AS member, concat('st', vec_id % 4) AS strain FROM embeddings"),
     "members_go": (("embeddings",), "SELECT concat('V', vec_id) AS member, concat('GO:', vec_id % 9) AS go_id FROM embeddings WHERE vec_id % 3 <> 0"),
+    # families of one label in 60 rows: their number grows with the table, their size does not
     "aligned": (
         ("embeddings",),
-        """SELECT label * 10 + vec_id % 9 AS family, concat('V', vec_id) AS member,
+        """SELECT (vec_id - vec_id % 60) * 10 + label AS family, concat('V', vec_id) AS member,
         concat(repeat('-', cast(vec_id % 7 AS int)), substring('ACGTACGGTACCATGCATTACGGATCCA', cast(vec_id % 7 + 1 AS int), cast(20 - vec_id % 5 AS int)), repeat('-', cast(vec_id % 5 + 8 - vec_id % 7 AS int))) AS seq FROM embeddings""",
     ),
     "libraries": (("nation",), "SELECT n_nationkey AS library_id, n_regionkey AS organism_id, n_name AS name FROM nation"),
@@ -95,3 +97,10 @@ def with_views(names: str, body: str) -> str:
     """DuckDB SQL: the named views as common table expressions before ``body``."""
     parts = [f"{n} AS ({VIEWS[n][1].format(**_FILL['duck'])})" for n in names.split()]
     return f"WITH {', '.join(parts)}{',' if body.lstrip().upper().startswith('WITH ') else ''} {body.lstrip()[5:] if body.lstrip().upper().startswith('WITH ') else body}"
+
+
+def peptide_sql(seq: str) -> str:
+    """DuckDB SQL for the amino acids of the codons of ``seq``; the same code table as functions.bases."""
+    place = [f"instr('TCAG', substr(x, {i}, 1))" for i in (1, 2, 3)]
+    amino = f"CASE WHEN {place[0]} * {place[1]} * {place[2]} = 0 THEN 'X' ELSE substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', 16 * ({place[0]} - 1) + 4 * ({place[1]} - 1) + {place[2]}, 1) END"
+    return f"array_to_string(list_transform(regexp_extract_all({seq}, '...'), lambda x: {amino}), '')"

@@ -50,7 +50,7 @@ def h6_hit_coverage(spark, d):
 
 
 def h7_annotate_hits(spark, d):
-    return H.annotate_hits(view(spark, d, "hits").where("pident > 95"), view(spark, d, "subjects").where("subject_length > 200")).select("query_id", "subject_id", "line_no", "description")
+    return H.annotate_hits(view(spark, d, "hits"), view(spark, d, "subjects")).select("query_id", "subject_id", "line_no", "description")
 
 
 def h7_annotate_records(spark, d):
@@ -61,8 +61,11 @@ def h7_annotate_records(spark, d):
 
 def h8_transfer(spark, d):
     hits = H.annotate_hits(view(spark, d, "hits"), view(spark, d, "subjects"))
-    sources = [("ATH", hits.where("gaps = 0"), 0.03), ("SWP", hits.where("gaps = 1"), 0.05), ("GB", hits.where("gaps = 2"), 0.2)]
-    return H.transfer_annotation(view(spark, d, "genes"), sources)
+    number = F.regexp_replace("subject_id", "S", "").cast("long")
+    ath = hits.where("gaps = 0").withColumn("description", F.when(number % 3 > 0, F.col("description")))  # the others are in no pathway
+    sources = [("ATH", ath, 0.03), ("SWP", hits.where("gaps = 1"), 0.05), ("GB", hits.where("gaps = 2"), 0.2)]
+    ec = view(spark, d, "subjects").select(F.explode(F.array(F.lit("ATH"), F.lit("SWP"))).alias("source"), "subject_id", F.explode(F.array(F.lit("1.1.1.1"), F.concat(F.lit("2.1.1."), F.col("subject_length")))).alias("ec"))
+    return H.transfer_annotation(view(spark, d, "genes"), sources, ec)
 
 
 def h9_gene_records(spark, d):
@@ -71,6 +74,25 @@ def h9_gene_records(spark, d):
     return H.gene_records(view(spark, d, "genes"), functions.where("id like '%7'"), hits, cut=2)
 
 
+def _parts(spark, d):
+    h = view(spark, d, "hits").where("mismatches < 6")
+    kind = F.when(F.col("mismatches") % 2 == 0, "intron").otherwise("CDS")
+    return h.select(F.concat("query_id", F.when(F.col("mismatches") == 3, ".1.1").when(F.col("mismatches") == 5, ".1").otherwise("")).alias("id"), kind.alias("type"), F.col("q_start").alias("start"), F.col("q_end").alias("end"))
+
+
+def h9_gene_parts(spark, d):
+    return H.gene_parts(view(spark, d, "genes").select("id"), _parts(spark, d).where("id NOT LIKE '%.1' OR type = 'CDS'"), cut=4)
+
+
+def h9_pathologic_records(spark, d):
+    g = view(spark, d, "genes")
+    genes = g.select(F.concat(F.lit("chr"), F.length("id")).alias("seqid"), "id", F.when(F.col("note") != "", F.col("note")).alias("name"), F.when(F.length("note") % 2 == 0, "-").otherwise("+").alias("strand"), F.lit(5).cast("long").alias("start"), F.lit(2000).cast("long").alias("end"))
+    named = g.select("id", F.concat(F.lit("f "), "id").alias("function"))
+    of = lambda c, x: view(spark, d, "hits").where(x).select(F.col("query_id").alias("id"), F.col("subject_id").alias(c))
+    found = H.pathologic_records(genes, named, h9_gene_parts(spark, d), of("ec", "gaps = 0"), of("synonym", "gaps = 1"), of("dblink", "gaps = 2"))
+    return found.select("seqid", "id", F.array_join(F.transform("fields", lambda f: F.concat_ws("=", f["key"], f["value"])), "|").alias("record"))
+
+
 def h10_full_length(spark, d):
     return H.full_length_hits(view(spark, d, "hits"), view(spark, d, "subjects")).select("query_id", "subject_id", "pident", "length", "subject_length", "description")
 
@@ -97,7 +119,7 @@ def h11_chimera_by_ends(spark, d):
 
 def h12_chimera_by_spans(spark, d):
     hits = view(spark, d, "hits").withColumn("query_id", F.col("subject_id")).withColumn("subject_id", F.lit("x"))
-    hits = hits.where("length between 100 and 130").withColumn("q_end", F.col("q_start") + 40)
+    hits = hits.withColumn("q_end", F.col("q_start") + 12)
     return H.chimera_by_spans(hits)
 
 
@@ -111,7 +133,11 @@ def h14_parent_allele(spark, d):
 
 
 def h15_kmer_candidates(spark, d):
-    return H.kmer_candidates(view(spark, d, "seqs"), 14, 56, 200)
+    return H.kmer_candidates(view(spark, d, "seqs"), 24, 96)
+
+
+def h15_equal_sequences(spark, d):
+    return H.equal_sequences(view(spark, d, "seqs"))
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "h" and "_" in k and callable(v)}
@@ -120,6 +146,9 @@ _ISL = """
 reach AS (SELECT *, max({e}) OVER (PARTITION BY {k} ORDER BY {s}, {e} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM {src}),
 grp AS (SELECT *, sum(CASE WHEN {s} <= r + {adj} THEN 0 ELSE 1 END) OVER (PARTITION BY {k} ORDER BY {s}, {e} ROWS UNBOUNDED PRECEDING) AS g FROM reach)"""
 
+_PARTS = """WITH p AS (SELECT query_id AS gene, q_start AS s, q_end AS e, mismatches IN (1, 3, 5) AS cds FROM hits WHERE mismatches < 6),
+        g AS (SELECT gene, min(s) FILTER (cds) AS cds_start, max(e) FILTER (cds) AS cds_end, string_agg(s || '-' || e, ',' ORDER BY s, e) FILTER (NOT cds) AS introns FROM p GROUP BY gene)"""
+
 SQL = {
     "h1_filter_hits": with_views("hits", "SELECT * FROM hits WHERE pident >= 90 AND length > 420 AND gaps <= 1"),
     "h1_filter_any": with_views("hits", "SELECT * FROM hits WHERE pident >= 99 OR mismatches = 7"),
@@ -136,15 +165,17 @@ SQL = {
         SELECT query_id, covered, regions, round(100.0::DOUBLE * covered / query_length, 4) AS coverage, round(identity, 4) AS identity FROM pairs JOIN lengths USING (query_id)
         WHERE 100.0 * covered / query_length > 60 AND identity > 60 AND regions - 1 <= 10""",
     ),
-    "h7_annotate_hits": with_views("hits subjects", "SELECT query_id, subject_id, line_no, description FROM hits LEFT JOIN (SELECT * FROM subjects WHERE subject_length > 200) USING (subject_id) WHERE pident > 95"),
+    "h7_annotate_hits": with_views("hits subjects", "SELECT query_id, subject_id, line_no, description FROM hits LEFT JOIN subjects USING (subject_id)"),
     "h7_annotate_records": with_views("hits subjects genes", f"SELECT g.id, concat_ws(' ', g.note, '(*GB) ' || b.subject_id || ' (e_value=' || b.mismatches || ') ' || coalesce(s.description, '')) AS note FROM genes g LEFT JOIN ({_best(order='query_id')}) b ON g.id = b.query_id LEFT JOIN subjects s USING (subject_id)"),
     "h8_transfer": with_views(
         "hits subjects genes",
-        "WITH a AS (SELECT * FROM hits JOIN subjects USING (subject_id)), " + ", ".join(f"b{i} AS ({_best(f'(SELECT * FROM a WHERE gaps = {i} AND evalue < {c})')})" for i, c in enumerate((0.03, 0.05, 0.2)))
-        + """ SELECT g.id, CASE WHEN b0.query_id IS NOT NULL THEN 'ATH' WHEN b1.query_id IS NOT NULL THEN 'SWP' WHEN b2.query_id IS NOT NULL THEN 'GB' END AS source,
+        "WITH a AS (SELECT hits.*, CASE WHEN gaps > 0 OR substr(subject_id, 2)::BIGINT % 3 > 0 THEN description END AS description FROM hits LEFT JOIN subjects USING (subject_id)), " + ", ".join(f"b{i} AS (SELECT * FROM ({_best(f'(SELECT * FROM a WHERE gaps = {i} AND evalue < {c})')}) WHERE description IS NOT NULL)" for i, c in enumerate((0.03, 0.05, 0.2)))
+        + """, c AS (SELECT g.id, CASE WHEN b0.query_id IS NOT NULL THEN 'ATH' WHEN b1.query_id IS NOT NULL THEN 'SWP' WHEN b2.query_id IS NOT NULL THEN 'GB' END AS source,
         CASE WHEN b0.query_id IS NOT NULL THEN b0.subject_id WHEN b1.query_id IS NOT NULL THEN b1.subject_id ELSE b2.subject_id END AS subject_id,
         CASE WHEN b0.query_id IS NOT NULL THEN b0.description WHEN b1.query_id IS NOT NULL THEN b1.description ELSE b2.description END AS description
-        FROM genes g LEFT JOIN b0 ON g.id = b0.query_id LEFT JOIN b1 ON g.id = b1.query_id LEFT JOIN b2 ON g.id = b2.query_id""",
+        FROM genes g LEFT JOIN b0 ON g.id = b0.query_id LEFT JOIN b1 ON g.id = b1.query_id LEFT JOIN b2 ON g.id = b2.query_id)
+        SELECT id, source, c.subject_id, coalesce(description, 'unknown') AS description, 'based on ' || source || ' match (' || c.subject_id || ')' AS comment,
+        CASE WHEN source IN ('ATH', 'SWP') THEN '1.1.1.1,2.1.1.' || subject_length END AS ec_numbers FROM c LEFT JOIN (SELECT subject_id, subject_length FROM subjects) x ON x.subject_id = c.subject_id""",
     ),
     "h9_gene_records": with_views(
         "hits subjects genes",
@@ -155,6 +186,11 @@ SQL = {
         CASE WHEN trim(note) <> '' THEN 'note' WHEN t.fn IS NOT NULL THEN 'table' WHEN b.description IS NOT NULL THEN 'hit' ELSE 'none' END AS function_source
         FROM genes g LEFT JOIN t USING (id) LEFT JOIN b ON b.query_id = g.id""",
     ),
+    "h9_gene_parts": with_views("hits genes", _PARTS + " SELECT id, cds_start, cds_end, introns FROM genes LEFT JOIN g ON g.gene = id"),
+    "h9_pathologic_records": with_views("hits genes", _PARTS + """, x AS (SELECT query_id AS gene, string_agg(DISTINCT 'EC=' || subject_id, '|' ORDER BY 'EC=' || subject_id) FILTER (gaps = 0) AS ec, string_agg(DISTINCT 'SYNONYM=' || subject_id, '|' ORDER BY 'SYNONYM=' || subject_id) FILTER (gaps = 1) AS sy, string_agg(DISTINCT 'DBLINK=' || subject_id, '|' ORDER BY 'DBLINK=' || subject_id) FILTER (gaps = 2) AS db FROM hits GROUP BY 1),
+        y AS (SELECT genes.id, note, coalesce(cds_start, 5) AS lo, coalesce(cds_end, 2000) AS hi, introns, ec, sy, db FROM genes LEFT JOIN g ON g.gene = id LEFT JOIN x ON x.gene = id)
+        SELECT 'chr' || length(id) AS seqid, id, concat_ws('|', 'ID=' || id, 'NAME=' || coalesce(nullif(note, ''), id), sy, 'STARTBASE=' || CASE WHEN length(note) % 2 = 0 THEN hi ELSE lo END, 'ENDBASE=' || CASE WHEN length(note) % 2 = 0 THEN lo ELSE hi END,
+        'INTRON=' || replace(introns, ',', '|INTRON='), 'FUNCTION=f ' || id, ec, db, 'PRODUCT-TYPE=P') AS record FROM y"""),
     "h10_full_length": with_views("hits subjects", f"SELECT query_id, subject_id, pident, length, subject_length, description FROM ({_best()}) JOIN subjects USING (subject_id) WHERE pident >= 80 AND length >= 0.99 * subject_length"),
     "h10_identity_histogram": with_views("hits", "SELECT (floor(pident / 10) * 10)::INTEGER AS bin, count(*) AS hits FROM hits GROUP BY 1"),
     "h10_organisms": with_views("hits subjects", "WITH e AS (SELECT regexp_extract(description, 'OS=([^=]+?)(?: [A-Z]{2}=|$)', 1) AS o, count(*) AS n, sum(pident) AS s FROM hits JOIN subjects USING (subject_id) GROUP BY 1) SELECT CASE WHEN n < 2400 THEN 'other' ELSE o END AS organism, sum(n)::BIGINT AS hits, round(sum(s) / sum(n), 4) AS mean_ident FROM e GROUP BY 1"),
@@ -167,7 +203,7 @@ SQL = {
     ),
     "h12_chimera_by_spans": with_views(
         "hits",
-        "WITH src AS (SELECT subject_id AS query_id, q_start AS s, q_start + 40 AS e FROM hits WHERE length BETWEEN 100 AND 130)," + _ISL.format(src="src", k="query_id", s="s", e="e", adj=0)
+        "WITH src AS (SELECT subject_id AS query_id, q_start AS s, q_start + 12 AS e FROM hits)," + _ISL.format(src="src", k="query_id", s="s", e="e", adj=0)
         + """, sp AS (SELECT query_id, g, min(s) AS s, max(e) AS e, count(*) AS n FROM grp GROUP BY ALL),
         w AS (SELECT *, lag(e) OVER (PARTITION BY query_id ORDER BY s) AS le, lag(n) OVER (PARTITION BY query_id ORDER BY s) AS ln FROM sp)
         SELECT query_id, le AS left_end, s AS right_start FROM w WHERE n >= 2 AND ln >= 2 AND s - le < 20""",
@@ -176,8 +212,8 @@ SQL = {
     "h14_parent_allele": with_views("hits", f"WITH b AS ({_best(key='query_id, gaps')}), r AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY pident DESC) AS k FROM b) SELECT query_id, string_agg('p' || gaps, ',' ORDER BY gaps) AS parents FROM r WHERE k = 1 GROUP BY query_id"),
     "h15_kmer_candidates": with_views(
         "seqs",
-        """WITH w AS (SELECT DISTINCT id, substr(seq, i, 14) AS word FROM (SELECT id, seq, unnest(range(1, length(seq) - 12)) AS i FROM seqs)),
-        u AS (SELECT word FROM w GROUP BY word HAVING count(*) BETWEEN 2 AND 200), k AS (SELECT * FROM w JOIN u USING (word))
-        SELECT x.id AS a, y.id AS b, count(*) * 14 AS score FROM k x JOIN k y ON x.word = y.word AND x.id < y.id GROUP BY ALL HAVING count(*) * 14 >= 56""",
+        """WITH q AS (SELECT min(id) AS id, seq FROM seqs GROUP BY seq), w AS (SELECT DISTINCT id, substr(seq, i, 24) AS word FROM (SELECT id, seq, unnest(range(1, length(seq) - 22)) AS i FROM q))
+        SELECT x.id AS a, y.id AS b, count(*) * 24 AS score FROM w x JOIN w y ON x.word = y.word AND x.id < y.id GROUP BY ALL HAVING count(*) * 24 >= 96""",
     ),
+    "h15_equal_sequences": with_views("seqs", "SELECT id, min(id) OVER (PARTITION BY seq) AS least FROM seqs"),
 }

@@ -45,7 +45,7 @@ def _agp(spark, d):
         F.col("ref").alias("objname"), F.col("start").alias("ostart"), F.col("end").alias("oend"), F.regexp_replace("id", "F", "").cast("long").alias("partnum"),
         F.when(gap, "N").otherwise(F.when(F.col("type") == "O", "W").otherwise("A")).alias("type"), gap.alias("is_gap"), F.when(~gap, F.col("id")).alias("ident"),
         F.when(~gap, F.lit(11).cast("long")).alias("cstart"), F.when(~gap, F.col("end") - F.col("start") + 11).alias("cend"), F.when(~gap, F.when(F.col("type") == "F", "-").otherwise("+")).alias("orient"),
-        F.when(gap, F.when(F.col("type") == "F", "contig").otherwise("fragment")).alias("gap_type"), F.when(gap, F.when(F.col("type") == "O", "yes").otherwise("no")).alias("linkage"),
+        F.when(gap, F.when(F.col("type") == "F", "contig").when(F.col("type") == "O", "fragment").otherwise("unlisted")).alias("gap_type"), F.when(gap, F.when(F.col("type") == "O", "yes").otherwise("no")).alias("linkage"),
     )
 
 
@@ -97,7 +97,38 @@ def i24_marker_midpoints(spark, d):
 
 
 def i25_flip_group(spark, d):
-    return FT.flip_linkage_group(view(spark, d, "marker_locations").groupBy("map", "linkage_group", "marker").agg(F.max("position").alias("position")))
+    rows = view(spark, d, "marker_locations").groupBy("map", "linkage_group", "marker").agg(F.max("position").alias("position"))
+    k = F.substring("marker", 2, 9).cast("int")
+    return FT.flip_linkage_group(rows.withColumns({"north": F.when(k % 3 == 0, F.lit(0.0)).when(k % 3 == 1, F.col("position") - 1), "south": F.col("position") + 1}))
+
+
+def _tpf(spark, d):
+    f = view(spark, d, "features")
+    return f.select(F.regexp_replace("id", "F", "").cast("long").alias("ord"), F.concat(F.lit("A"), F.regexp_replace("id", "F", "").cast("long") % 4000).alias("accession"), "ref")
+
+
+def _new_lines(spark, d):
+    return view(spark, d, "marks").select(F.regexp_replace("id", "M", "").cast("long").alias("ord"), F.concat(F.lit("N"), "id").alias("accession"), "ref")
+
+
+def i8_tpf_splice(spark, d):
+    return I.tpf_splice(_tpf(spark, d), "A100", "A900", _new_lines(spark, d))
+
+
+def i8_tpf_interval(spark, d):
+    return I.tpf_interval(_tpf(spark, d), "A100", "A900")
+
+
+def i8_tpf_index(spark, d):
+    return I.tpf_index(_tpf(spark, d), _new_lines(spark, d).select(F.regexp_replace("accession", "NM", "A").alias("accession")))
+
+
+def i21_trim_tags(spark, d):
+    f = view(spark, d, "hits")
+    passes = f.select(F.col("query_id").alias("id"), F.col("mismatches").alias("pass"), (F.col("gaps") + 1).cast("long").alias("start"), F.col("q_end").alias("end"), "line_no")
+    passes = passes.groupBy("id", "pass").agg(F.min_by("start", "line_no").alias("start"), F.max("end").alias("end"))
+    tags = passes.select("id", "pass", F.lit("vector").alias("tag"), (F.col("start") + 3).alias("start"), F.col("end"))
+    return I.trim_tags(passes, tags, 4)
 
 
 def g1_adjacency(spark, d):
@@ -141,8 +172,9 @@ def g8_relabel(spark, d):
 
 def g9_threshold_clusters(spark, d):
     pairs = view(spark, d, "edges").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("distance"))
+    likelihood = view(spark, d, "genes").select(F.regexp_replace("id", "Q", "O").alias("id"), (F.length("note") / 4).alias("likelihood"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    return G.threshold_clusters(pairs, ids, 3)
+    return G.threshold_clusters(pairs, ids, 3, likelihood)
 
 
 def g10_family_members(spark, d):
@@ -159,7 +191,27 @@ def g11_family_track(spark, d):
 
 def g13_cluster_sequences(spark, d):
     clusters = view(spark, d, "old_builds").select("cluster_id", F.col("member_id").cast("string").alias("id"))
-    return G.cluster_sequences(clusters, view(spark, d, "seqs")).select("cluster_id", "id", F.length("seq").alias("length"), "size")
+    quals = view(spark, d, "seqs").where("line_no % 2 = 0").select("id", F.array_repeat(F.lit(20), F.length("seq")).alias("qual"))
+    found = G.cluster_sequences(clusters, view(spark, d, "seqs"), quals)
+    return found.select("cluster_id", "id", F.length("seq").alias("length"), F.when(F.col("qual").isNotNull(), F.size("qual")).alias("n_qual"), "size")
+
+
+def g13_unlisted(spark, d):
+    return G.unlisted_members(view(spark, d, "old_builds").select("cluster_id", F.col("member_id").cast("string").alias("id")), view(spark, d, "seqs"))
+
+
+def g13_unigene_names(spark, d):
+    s = view(spark, d, "seqs").withColumn("cluster_id", (F.col("line_no") % 50).cast("string"))
+    k = F.col("line_no") % 3
+    named = G.unigene_names(s.where(k == 0).select("cluster_id", F.col("id").alias("contig"), "seq"), s.where(k == 1).select("cluster_id", "id", "seq"), s.where(k == 2).select("id", "seq"))
+    return named.select("unigene", "kind", F.md5("seq").alias("md5"))
+
+
+def g12_supported_orthologs(spark, d):
+    h = view(spark, d, "hits")
+    head = F.col("mismatches") == 1
+    lines = h.select(F.col("subject_id").alias("file"), "line_no", F.when(head, F.col("query_id")).alias("gene"), F.when(~head, F.col("query_id")).alias("ortholog"), (2 * (F.col("pident") - 50)).cast("int").alias("bootstrap"))
+    return G.supported_orthologs(lines)
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "ig" and k[1].isdigit() and callable(v)}
@@ -168,14 +220,14 @@ _AGP = """agp AS (SELECT ref AS objname, start AS ostart, "end" AS oend, substr(
   CASE WHEN right(id, 1) IN ('3', '7') THEN 'N' WHEN type = 'O' THEN 'W' ELSE 'A' END AS type, CASE WHEN right(id, 1) NOT IN ('3', '7') THEN id END AS ident,
   CASE WHEN right(id, 1) NOT IN ('3', '7') THEN 11 END AS cstart, CASE WHEN right(id, 1) NOT IN ('3', '7') THEN "end" - start + 11 END AS cend,
   CASE WHEN right(id, 1) NOT IN ('3', '7') THEN CASE WHEN type = 'F' THEN '-' ELSE '+' END END AS orient,
-  CASE WHEN right(id, 1) IN ('3', '7') THEN CASE WHEN type = 'F' THEN 'contig' ELSE 'fragment' END END AS gap_type,
+  CASE WHEN right(id, 1) IN ('3', '7') THEN CASE type WHEN 'F' THEN 'contig' WHEN 'O' THEN 'fragment' ELSE 'unlisted' END END AS gap_type,
   CASE WHEN right(id, 1) IN ('3', '7') THEN CASE WHEN type = 'O' THEN 'yes' ELSE 'no' END END AS linkage FROM features)"""
 _COMPONENTS = """e AS (SELECT src AS a, dst AS b FROM edges{w} UNION SELECT dst, src FROM edges{w}),
 r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a)"""
 
 
 def _components_sql(body, w=""):
-    return "WITH RECURSIVE " + with_views("edges", "SELECT 1")[5:].rsplit(" SELECT 1", 1)[0] + ", " + _COMPONENTS.format(w=w) + " " + body
+    return "WITH RECURSIVE " + with_views("edges genes", "SELECT 1")[5:].rsplit(" SELECT 1", 1)[0] + ", " + _COMPONENTS.format(w=w) + " " + body
 
 
 SQL = {
@@ -194,8 +246,8 @@ SQL = {
         SELECT ref AS seqid, id, start, "end", sid AS scaffold, coalesce(se >= "end", false) AS ok FROM w WHERE k = 1""",
     ),
     "i5_agp_to_features": with_views("features", "WITH " + _AGP + """ SELECT objname AS seqid, CASE WHEN is_gap THEN 'remark' WHEN type = 'W' THEN 'contig' ELSE 'supercontig' END AS type, ostart AS start, oend AS "end",
-        CASE WHEN orient = '-' THEN '-' WHEN is_gap THEN '.' ELSE '+' END AS strand, ident,
-        CASE WHEN is_gap THEN CASE gap_type WHEN 'contig' THEN 'gap between clone contigs' ELSE 'gap between two sequence contigs' END || ', linkage ' || linkage END AS note FROM agp"""),
+        CASE WHEN orient = '-' THEN '-' ELSE '+' END AS strand, CASE WHEN is_gap THEN gap_type || '_gap' ELSE ident END AS name, ident,
+        CASE WHEN is_gap THEN 'type: N, description: ' || CASE gap_type WHEN 'contig' THEN 'a gap between clone contigs (also called a "layout gap")' WHEN 'fragment' THEN 'gap between two sequence contigs (also called a "sequence gap")' ELSE 'none' END END AS note FROM agp"""),
     "i6_agp_to_tpf": with_views("features marks", "WITH " + _AGP + """, m AS (SELECT 'F' || substr(id, 2) AS ident, ref, start FROM marks)
         SELECT objname, partnum, CASE WHEN is_gap THEN 'GAP' ELSE agp.ident END AS accession,
         CASE WHEN is_gap THEN CASE gap_type WHEN 'contig' THEN 'TYPE-3' ELSE 'TYPE-2' END ELSE coalesce(m.ref, '?') END AS clone,
@@ -217,7 +269,15 @@ SQL = {
     "i24_marker_midpoints": with_views("marks marker_locations", """WITH l AS (SELECT marker, 'chr' || min(linkage_group) AS chr FROM marker_locations GROUP BY marker)
         SELECT m.id AS marker, m.ref AS chr, CASE WHEN (start + "end") % 2 = 0 THEN (start + "end") // 2 WHEN ((start + "end") // 2) % 2 = 0 THEN (start + "end") // 2 ELSE (start + "end") // 2 + 1 END / 1e6 AS position,
         CASE WHEN "end" - start > 200 THEN 'error' WHEN "end" - start < 100 THEN 'warn' ELSE 'ok' END AS span_check FROM marks m JOIN l ON l.marker = m.id AND l.chr = m.ref"""),
-    "i25_flip_group": with_views("marker_locations", "WITH l AS (SELECT map, linkage_group, marker, max(position) AS position FROM marker_locations GROUP BY ALL) SELECT map, linkage_group, marker, max(position) OVER (PARTITION BY map, linkage_group) - position AS position FROM l"),
+    "i25_flip_group": with_views("marker_locations", "WITH l AS (SELECT map, linkage_group, marker, max(position) AS position FROM marker_locations GROUP BY ALL), m AS (SELECT *, max(position) OVER (PARTITION BY map, linkage_group) AS top, CASE WHEN substr(marker, 2)::INTEGER % 3 = 1 THEN position - 1 END AS n FROM l) SELECT map, linkage_group, marker, top - position AS position, CASE WHEN n <> 0 THEN top - n END AS north, CASE WHEN position + 1 <> 0 THEN top - (position + 1) END AS south FROM m"),
+    "i8_tpf_splice": with_views("features marks", """WITH t AS (SELECT substr(id, 2)::BIGINT AS ord, 'A' || (substr(id, 2)::BIGINT % 4000) AS accession, ref FROM features), n AS (SELECT substr(id, 2)::BIGINT AS ord, 'N' || id AS accession, ref FROM marks),
+        e AS (SELECT min(ord) FILTER (accession = 'A100') AS lo, min(ord) FILTER (accession = 'A900') AS hi FROM t), s AS (SELECT count(*) AS n, min(ord) AS base FROM n)
+        SELECT CASE WHEN ord <= lo THEN ord ELSE ord - (hi - lo - 1) + s.n END AS ord, accession, ref FROM t, e, s WHERE ord <= lo OR ord >= hi UNION ALL SELECT lo + 1 + ord - base, accession, ref FROM n, e, s"""),
+    "i8_tpf_interval": with_views("features", "WITH t AS (SELECT substr(id, 2)::BIGINT AS ord, 'A' || (substr(id, 2)::BIGINT % 4000) AS accession, ref FROM features) SELECT * FROM t WHERE ord BETWEEN (SELECT min(ord) FROM t WHERE accession = 'A100') AND (SELECT min(ord) FROM t WHERE accession = 'A900')"),
+    "i8_tpf_index": with_views("features marks", "SELECT 'A' || substr(m.id, 2) AS accession, t.ord FROM marks m LEFT JOIN (SELECT 'A' || (substr(id, 2)::BIGINT % 4000) AS accession, min(substr(id, 2)::BIGINT) AS ord FROM features GROUP BY 1) t ON t.accession = 'A' || substr(m.id, 2)"),
+    "i21_trim_tags": with_views("hits", """WITH p AS (SELECT query_id AS id, mismatches AS pass, min_by(gaps + 1, line_no)::BIGINT AS start, max(q_end) AS e FROM hits GROUP BY ALL),
+        s AS (SELECT *, coalesce(sum(start - 1) OVER (PARTITION BY id ORDER BY pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM p)
+        SELECT id, pass, 'vector' AS tag, start + 3 + b AS start, e + b AS "end", id NOT IN (SELECT id FROM p WHERE pass = 4) AS removed FROM s"""),
     "g1_adjacency": with_views("edges", """WITH b AS (SELECT src AS node, dst AS other, weight, line_no FROM edges UNION ALL SELECT dst, src, weight, line_no FROM edges),
         l AS (SELECT node, other, max_by(weight, line_no) AS weight FROM b GROUP BY ALL) SELECT node, count(*) AS degree, min(other) AS first, min_by(weight, other) AS weight FROM l GROUP BY node"""),
     "g2_components": _components_sql("SELECT node, min(reached) AS component FROM r GROUP BY node"),
@@ -226,12 +286,16 @@ SQL = {
     "g8_relabel": with_views("old_builds", "SELECT 'N' || (cluster_id % 50) AS cluster_id, member_id FROM old_builds"),
     "g9_threshold_clusters": _components_sql(
         """, c AS (SELECT node, min(reached) AS k FROM r GROUP BY node), a AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)
-        SELECT a.id, CASE WHEN c.k IS NULL THEN 'SG-' || a.id ELSE 'CL-' || c.k END AS cluster FROM a LEFT JOIN c ON c.node = a.id""", " WHERE weight <= 3"
+        , cn AS (SELECT k, row_number() OVER (ORDER BY k) AS n FROM (SELECT DISTINCT k FROM c)), sn AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM a WHERE id NOT IN (SELECT node FROM c))
+        SELECT a.id, CASE WHEN c.k IS NULL THEN 'SG-' || sn.n ELSE 'CL-' || cn.n END AS cluster, length(g.note) / 4.0::DOUBLE AS likelihood FROM a LEFT JOIN c ON c.node = a.id LEFT JOIN cn ON cn.k = c.k LEFT JOIN sn ON sn.id = a.id LEFT JOIN genes g ON 'O' || substr(g.id, 2) = a.id""", " WHERE weight <= 3"
     ).replace(" , c AS", ", c AS"),
     "g10_family_members": with_views("members", "SELECT family, 'g' || member AS gene, strain AS taxon, count(*) OVER (PARTITION BY family) AS n_members, (SELECT count(DISTINCT strain) FROM members x WHERE x.family = m.family AND strain <> 'st3') AS n_taxa FROM members m WHERE strain <> 'st3'"),
     "g11_family_track": with_views("members features", """WITH m AS (SELECT family || '_' || right(member, 1) AS family, member AS gene, strain AS species FROM members), f AS (SELECT 'V' || substr(id, 2) AS gene, ref, start, "end" FROM features),
         x AS (SELECT m.family, f.* FROM m JOIN f USING (gene) WHERE species = 'st1'), n AS (SELECT family, count(*) AS n FROM m GROUP BY family)
         SELECT x.ref, x.start, x."end", x.gene, family, m.gene AS member, m.species FROM x JOIN n USING (family) JOIN m USING (family) WHERE n.n <= 20 AND m.gene <> x.gene
         UNION ALL SELECT x.ref, x.start, x."end", x.gene, family, NULL, 'large family' FROM x JOIN n USING (family) WHERE n.n > 20"""),
-    "g13_cluster_sequences": with_views("old_builds seqs", "SELECT cluster_id, member_id::VARCHAR AS id, length(seq) AS length, count(*) OVER (PARTITION BY cluster_id) AS size FROM old_builds LEFT JOIN seqs ON seqs.id = member_id::VARCHAR"),
+    "g13_cluster_sequences": with_views("old_builds seqs", "SELECT cluster_id, member_id::VARCHAR AS id, length(seq) AS length, CASE WHEN line_no % 2 = 0 THEN length(seq) END AS n_qual, count(*) OVER (PARTITION BY cluster_id) AS size FROM old_builds LEFT JOIN seqs ON seqs.id = member_id::VARCHAR"),
+    "g13_unlisted": with_views("old_builds seqs", "SELECT cluster_id, member_id::VARCHAR AS id FROM old_builds WHERE member_id::VARCHAR NOT IN (SELECT id FROM seqs)"),
+    "g13_unigene_names": with_views("seqs", "SELECT CASE line_no % 3 WHEN 0 THEN (line_no % 50) || '-' || id WHEN 1 THEN (line_no % 50) || '-S-' || id ELSE 'X-S-' || id END AS unigene, CASE line_no % 3 WHEN 0 THEN 'contig' WHEN 1 THEN 'singlet' ELSE 'singleton' END AS kind, md5(seq) AS md5 FROM seqs"),
+    "g12_supported_orthologs": with_views("hits", "WITH l AS (SELECT subject_id AS file, line_no, CASE WHEN mismatches = 1 THEN query_id END AS gene, CASE WHEN mismatches <> 1 THEN query_id END AS ortholog, (2 * (pident - 50))::INTEGER AS bootstrap FROM hits), f AS (SELECT *, last_value(gene IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS g FROM l) SELECT file AS family, g AS gene, ortholog, bootstrap FROM f WHERE ortholog IS NOT NULL AND bootstrap >= 60"),
 }

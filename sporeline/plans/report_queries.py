@@ -29,6 +29,10 @@ def a2_go_distribution(spark, d):
     return A.go_distribution(t.where("sample = 'N'"), t.where("sample <> 'N' AND term <> 'GO:3'"), 1, 5)
 
 
+def a2_go_table(spark, d):
+    return A.go_table(a2_go_distribution(spark, d), ["reference", "A", "R"])
+
+
 def a3_family_go(spark, d):
     return A.family_go(view(spark, d, "members"), view(spark, d, "members_go"))
 
@@ -81,6 +85,18 @@ def e3_strain_expression(spark, d):
     return E.strain_expression(counts, lengths, strains).withColumn("rpkm", F.round("rpkm", 3))
 
 
+def _strain_contigs(spark, d):
+    counts = view(spark, d, "contig_reads").groupBy("contig_id", "library").agg(F.count("*").alias("n"))
+    lengths = view(spark, d, "contig_lengths")
+    reference = F.concat(F.lit("R"), F.substring("contig_id", 2, 2))
+    placed = lengths.select("contig_id", reference.alias("reference"), F.concat(F.lit("st"), (F.col("length") / 100 % 5).cast("int")).alias("strain"))
+    return E.strain_contigs(counts, lengths.groupBy(reference.alias("reference")).agg(F.max("length").alias("length")), placed)
+
+
+def e3_strain_contigs(spark, d):
+    return _strain_contigs(spark, d).withColumns({"rpkm": F.round("rpkm", 3), "r": F.round("r", 3)})
+
+
 def e3_dominant_contigs(spark, d):
     return E.dominant_contigs(_composition(spark, d), 0.0009).withColumn("share", F.round("share", 6))
 
@@ -105,8 +121,18 @@ def w1_contig_summary(spark, d):
     return W.contig_summary(view(spark, d, "contig_reads"))
 
 
+def _named_reads(spark, d):
+    rows = view(spark, d, "contig_reads").withColumn("name", F.concat(F.lit("r_"), F.lower("library"), F.lit("."), "read_id"))
+    return W.named_libraries(rows, "_(AF|NO|RF)").withColumn("library", F.upper("library"))
+
+
 def w2_library_mix(spark, d):
-    return W.library_mix_stats(view(spark, d, "contig_reads"))
+    return W.library_mix_stats(_named_reads(spark, d), view(spark, d, "contig_lengths"))
+
+
+def w2_library_reads(spark, d):
+    lone = view(spark, d, "clones").select(F.col("clone_id").alias("read_id"), (F.col("clone_id") % 700).alias("span"))
+    return W.library_reads(_named_reads(spark, d), lone)
 
 
 def w3_build_overlap(spark, d):
@@ -143,7 +169,14 @@ def w7_organism_report(spark, d):
 
 def w8_build_report(spark, d):
     m = view(spark, d, "ests").select((F.col("read_id") % 4).alias("build"), "unigene_id")
-    return W.build_report(m, view(spark, d, "cds").where("length > 49"), view(spark, d, "cds").where("length < 2"))
+    cds = view(spark, d, "cds").select("unigene_id", (F.col("length") > 30).alias("domain"))
+    return W.build_report(m, cds, view(spark, d, "cds").where("length < 2"))
+
+
+def w8_annotated_by_target(spark, d):
+    m = view(spark, d, "ests").select((F.col("read_id") % 4).alias("build"), "unigene_id")
+    hits = view(spark, d, "hits").select(F.regexp_replace("subject_id", "S", "").cast("long").alias("unigene_id"), F.when(F.col("gaps") == 0, "ath").when(F.col("gaps") == 1, "gb").otherwise("swp").alias("target"), "pident")
+    return W.annotated_by_target(m, hits.where("pident > 90"))
 
 
 def w9_integrity(spark, d):
@@ -151,6 +184,11 @@ def w9_integrity(spark, d):
     return W.integrity_check([("organism", o, li, "organism_id"), ("library", li, c, "library_id"), ("clone", c, r, "clone_id"), ("read", r, e, "read_id")])
 
 
+def w9_field_gaps(spark, d):
+    rows = view(spark, d, "pedigrees").withColumn("extra", F.when(F.length("pedigree") % 3 == 0, F.lit(None)).when(F.length("pedigree") % 3 == 1, "  ").otherwise("x"))
+    return W.field_gaps("clone", rows, ["accession", "pedigree", "extra"])
+
+
 def w9_status_counts(spark, d):
     return W.status_counts(view(spark, d, "ests"))
 
@@ -161,9 +199,9 @@ def w10_preferred_protein(spark, d):
 
 def w11_map_accessions(spark, d):
     c = view(spark, d, "clones")
-    g = c.select(F.concat(F.lit("AC"), "clone_id").alias("accession"), (F.col("clone_id") % 3).alias("version"), F.concat(F.lit("LOC"), "clone_id").alias("locus"), F.col("clone_id").alias("primary_id"), F.col("clone_name").alias("clone"))
-    k = F.col("clone_id") % 6
-    name = F.when(k == 0, F.concat(F.lit("AC"), "clone_id", F.lit("."), F.col("clone_id") % 3)).when(k == 1, F.concat(F.lit("AC"), "clone_id")).when(k == 2, F.concat(F.lit("LOC"), "clone_id")).when(k == 3, F.col("clone_id").cast("string")).when(k == 4, F.col("clone_name")).otherwise("none")
+    g = c.select(F.concat(F.lit("AC"), "clone_id").alias("accession"), (F.col("clone_id") % 3).alias("version"), F.concat(F.lit("LOC"), "clone_id").alias("locus"), F.col("clone_id").alias("primary_id"), F.col("library_id").cast("string").alias("library"), F.col("clone_name").alias("clone"))
+    k = F.col("clone_id") % 7
+    name = F.when(k == 0, F.concat(F.lit("AC"), "clone_id", F.lit("."), F.col("clone_id") % 3)).when(k == 1, F.concat(F.lit("AC"), "clone_id")).when(k == 2, F.concat(F.lit("LOC"), "clone_id")).when(k == 3, F.col("clone_id").cast("string")).when(k == 4, F.col("clone_name")).when(k == 5, F.concat(F.col("library_id").cast("string"), F.lit("-"), "clone_name")).otherwise("none")
     return W.map_accessions(c.select("clone_id", name.alias("name")), g)
 
 
@@ -220,6 +258,10 @@ def v4_filter_genotypes(spark, d):
     return V.filter_genotypes(view(spark, d, "variants"), {"S1": "AA", "S2": "BC"}).select("seq_id", "pos", "genotypes")
 
 
+def v4_filter_haploid(spark, d):
+    return V.filter_genotypes(view(spark, d, "variants"), {"S1": "AB", "S2": "BC"}, ploidy=1).select("seq_id", "pos", "genotypes")
+
+
 def v5_variant_density(spark, d):
     return V.variant_density(view(spark, d, "variants"), view(spark, d, "seqs")).withColumns({c: F.round(c, 6) for c in ("gc", "changes_per_100", "snps_per_100", "indels_per_100")})
 
@@ -228,6 +270,10 @@ def v6_allele_spectrum(spark, d):
     return V.allele_spectrum(view(spark, d, "variants"))
 
 
+def v6_base_totals(spark, d):
+    return V.base_totals(view(spark, d, "seqs"))
+
+
 def v7_genotype_json(spark, d):
     return V.genotype_json(view(spark, d, "genotypes"))
 
@@ -284,13 +330,27 @@ SQL = {
         s AS (SELECT contig_id, length, 'R' || substr(contig_id, 2, 2) AS reference, 'st' || ((length // 100) % 5) AS strain FROM contig_lengths),
         p AS (SELECT reference, strain, sum(n)::BIGINT AS n, round(avg(n * 1e9::DOUBLE / (total * length)), 3) AS rpkm FROM c JOIN t USING (library) JOIN s USING (contig_id) GROUP BY ALL)
         SELECT r.reference, x.strain, p.n, p.rpkm FROM (SELECT DISTINCT reference FROM s) r CROSS JOIN (SELECT DISTINCT strain FROM s) x LEFT JOIN p ON p.reference = r.reference AND p.strain = x.strain"""),
+    "e3_strain_contigs": with_views("contig_reads contig_lengths", """WITH c AS (SELECT contig_id, library, count(*) AS n FROM contig_reads GROUP BY ALL), t AS (SELECT library, sum(n)::BIGINT AS total FROM c GROUP BY library),
+        s AS (SELECT contig_id, 'R' || substr(contig_id, 2, 2) AS reference, 'st' || ((length // 100) % 5) AS strain FROM contig_lengths), l AS (SELECT 'R' || substr(contig_id, 2, 2) AS reference, max(length) AS length FROM contig_lengths GROUP BY 1),
+        w AS (SELECT * FROM c JOIN s USING (contig_id) JOIN l USING (reference) JOIN t USING (library)), p AS (SELECT reference, strain, sum(n) AS n FROM w GROUP BY ALL),
+        r AS (SELECT reference, sum(p.n * log10(p.n::DOUBLE / sn / (rn::DOUBLE / whole))) AS r FROM p JOIN (SELECT strain, sum(n) AS sn FROM p GROUP BY 1) USING (strain) JOIN (SELECT reference, sum(n) AS rn FROM p GROUP BY 1) USING (reference), (SELECT sum(n) AS whole FROM p) GROUP BY reference)
+        SELECT reference, strain, contig_id, library, n, total, round(n * 1e9::DOUBLE / (total * length), 3) AS rpkm, round(r, 3) AS r FROM w JOIN r USING (reference)
+        UNION ALL SELECT x.reference, y.strain, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT reference FROM w) x CROSS JOIN (SELECT DISTINCT strain FROM w) y WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.reference = x.reference AND p.strain = y.strain)"""),
+    "a2_go_table": with_views(
+        "domains",
+        """WITH t AS (SELECT method AS sample, right(id, 1)::INTEGER AS k, count(*) AS n FROM domains GROUP BY ALL), r AS (SELECT CASE sample WHEN 'N' THEN 'reference' ELSE sample END AS sample, k, n FROM t WHERE sample = 'N' OR k <> 3),
+        tot AS (SELECT sample, sum(n) AS total FROM r GROUP BY sample), w AS (SELECT k FROM r WHERE sample = 'reference' AND k % 2 = 1 AND n >= 5),
+        p AS (SELECT tot.sample, 'GO:' || w.k AS term, round(100.0::DOUBLE * coalesce(r.n, 0) / total, 4) AS percent FROM tot CROSS JOIN w LEFT JOIN r ON r.sample = tot.sample AND r.k = w.k AND r.n >= 5)
+        SELECT term, max(percent) FILTER (sample = 'reference') AS reference, max(percent) FILTER (sample = 'A') AS "A", max(percent) FILTER (sample = 'R') AS "R" FROM p GROUP BY term""",
+    ),
     "e3_dominant_contigs": with_views("contig_reads", "WITH " + _COMP + " SELECT contig_id, library, round(n::DOUBLE / total, 6) AS share FROM g WHERE n::DOUBLE / total > 0.0009"),
     "e4_replicate_stats": with_views("signals", "SELECT template, count(signal) AS n, round(avg(signal), 4) AS mean, round(quantile_cont(signal, 0.5), 4) AS median, round(stddev_samp(signal), 4) AS sd, round(CASE WHEN avg(signal) > 0 THEN stddev_samp(signal) / avg(signal) END, 4) AS cv FROM signals GROUP BY template"),
     "e5_read_placement": with_views("reads", """WITH p AS (SELECT read_id::VARCHAR AS read_id, status AS library, CASE WHEN read_id % 3 > 0 THEN 'c1_' || (read_id % 97) END AS s1 FROM reads),
         q AS (SELECT *, CASE WHEN s1 LIKE '%1%' THEN 'step2_' || s1 END AS s2 FROM p), r AS (SELECT *, CASE WHEN s2 IS NOT NULL AND s1 LIKE '%2%' THEN 'c3_' || s1 END AS s3 FROM q)
         SELECT read_id, coalesce(library, 'NA') AS library, coalesce(s1, 'NA') AS step1, coalesce(s2, 'NA') AS step2, coalesce(s3, 'NA') AS step3, CASE WHEN s3 LIKE '%12%' THEN 'allele' ELSE 'NA' END AS allele, CASE WHEN s3 LIKE '%12%' THEN s1 ELSE 'NA' END AS note FROM r"""),
     "w1_contig_summary": with_views("contig_reads", "SELECT contig_id, count(*) AS reads, least(min(start), 0) AS first, max(start + span) AS last, max(start + span) - least(min(start), 0) AS span FROM contig_reads GROUP BY contig_id"),
-    "w2_library_mix": with_views("contig_reads", "WITH c AS (SELECT contig_id, string_agg(DISTINCT library, '-' ORDER BY library) AS libraries, count(*) AS n, sum(span) AS b FROM contig_reads GROUP BY contig_id) SELECT libraries, count(*) AS contigs, sum(n)::BIGINT AS reads, sum(b)::BIGINT AS read_bases FROM c GROUP BY libraries"),
+    "w2_library_mix": with_views("contig_reads contig_lengths", "WITH c AS (SELECT contig_id, coalesce(string_agg(DISTINCT library, '-' ORDER BY library) FILTER (library IN ('AF', 'NO', 'RF')), '') AS libraries, count(*) AS n, sum(span) AS b FROM contig_reads GROUP BY contig_id) SELECT libraries, count(*) AS contigs, sum(length)::BIGINT AS contig_bases, sum(n)::BIGINT AS reads, sum(b)::BIGINT AS read_bases FROM c LEFT JOIN contig_lengths USING (contig_id) GROUP BY libraries"),
+    "w2_library_reads": with_views("contig_reads clones", "SELECT CASE WHEN library IN ('AF', 'NO', 'RF') THEN library ELSE 'unmatched' END AS library, count(*) AS reads, sum(span)::BIGINT AS bases FROM contig_reads GROUP BY 1 UNION ALL SELECT 'singletons', count(DISTINCT clone_id), sum(clone_id % 700)::BIGINT FROM clones"),
     "w3_build_overlap": with_views("old_builds new_builds", "SELECT o.cluster_id AS old_cluster, n.cluster_id AS new_cluster, count(*) AS shared, max(os.s) AS old_size, max(ns.s) AS new_size FROM old_builds o JOIN new_builds n USING (member_id) JOIN (SELECT cluster_id, count(*) AS s FROM old_builds GROUP BY 1) os ON os.cluster_id = o.cluster_id JOIN (SELECT cluster_id, count(*) AS s FROM new_builds GROUP BY 1) ns ON ns.cluster_id = n.cluster_id GROUP BY ALL"),
     "w3_split_clusters": with_views("old_builds new_builds", "SELECT o.cluster_id AS old_cluster, count(DISTINCT n.cluster_id) AS parts FROM old_builds o JOIN new_builds n USING (member_id) GROUP BY 1 HAVING parts > 1"),
     "w3_dropped_members": with_views("old_builds new_builds", "SELECT member_id, cluster_id FROM old_builds WHERE member_id NOT IN (SELECT member_id FROM new_builds)"),
@@ -298,11 +358,13 @@ SQL = {
     "w5_membership_map": with_views("libraries clones reads ests", "SELECT name, clone_name, read_id, est_id, unigene_id FROM libraries LEFT JOIN clones USING (library_id) LEFT JOIN reads USING (clone_id) LEFT JOIN (SELECT * FROM ests WHERE flags = 0) e USING (read_id) WHERE name ILIKE '%1%'"),
     "w6_unigene_dump": with_views("seqs", "SELECT line_no AS unigene_id, md5(CASE WHEN line_no % 2 = 0 THEN seq ELSE substr(seq, 6, 50) END) AS md5, CASE WHEN line_no % 3 = 0 THEN 'hit ' || line_no END AS note FROM seqs"),
     "w7_organism_report": with_views("organisms libraries clones reads ests", "SELECT organism, count(DISTINCT library_id) AS libraries, count(DISTINCT clone_id) AS clones, count(DISTINCT read_id) AS reads, count(DISTINCT est_id) AS ests FROM organisms LEFT JOIN libraries USING (organism_id) LEFT JOIN clones USING (library_id) LEFT JOIN reads USING (clone_id) LEFT JOIN ests USING (read_id) GROUP BY organism"),
-    "w8_build_report": with_views("ests cds", "WITH p AS (SELECT read_id % 4 AS build, unigene_id, count(*) AS n FROM ests GROUP BY ALL) SELECT build, count(*) AS unigenes, sum(n)::BIGINT AS members, count(*) FILTER (n > 1) AS contigs, min(unigene_id) AS min_id, max(unigene_id) AS max_id, count(*) FILTER (unigene_id IN (SELECT unigene_id FROM cds WHERE length < 2)) AS annotated, count(*) FILTER (unigene_id IN (SELECT unigene_id FROM cds WHERE length > 49)) AS with_cds FROM p GROUP BY build"),
+    "w8_build_report": with_views("ests cds", "WITH p AS (SELECT read_id % 4 AS build, unigene_id, count(*) AS n FROM ests GROUP BY ALL) SELECT build, count(*) AS unigenes, sum(n)::BIGINT AS members, count(*) FILTER (n > 1) AS contigs, min(unigene_id) AS min_id, max(unigene_id) AS max_id, count(*) FILTER (unigene_id IN (SELECT unigene_id FROM cds WHERE length < 2)) AS annotated, sum(coalesce(c.w + c.o, 0))::BIGINT AS cds, sum(coalesce(c.w, 0))::BIGINT AS cds_with_domain, sum(coalesce(c.o, 0))::BIGINT AS cds_without_domain FROM p LEFT JOIN (SELECT unigene_id, count(*) FILTER (length > 30) AS w, count(*) FILTER (length <= 30) AS o FROM cds GROUP BY 1) c USING (unigene_id) GROUP BY build"),
+    "w8_annotated_by_target": with_views("ests hits", "SELECT build, target, count(*) AS unigenes FROM (SELECT DISTINCT read_id % 4 AS build, unigene_id FROM ests) JOIN (SELECT DISTINCT substr(subject_id, 2)::BIGINT AS unigene_id, CASE gaps WHEN 0 THEN 'ath' WHEN 1 THEN 'gb' ELSE 'swp' END AS target FROM hits WHERE pident > 90) USING (unigene_id) GROUP BY ALL"),
+    "w9_field_gaps": with_views("pedigrees", "SELECT 'clone' AS level, 'accession' AS field, count(*) FILTER (accession IS NULL) AS nulls, count(*) FILTER (trim(accession) = '') AS blanks FROM pedigrees UNION ALL SELECT 'clone', 'pedigree', count(*) FILTER (pedigree IS NULL), count(*) FILTER (trim(pedigree) = '') FROM pedigrees UNION ALL SELECT 'clone', 'extra', count(*) FILTER (length(pedigree) % 3 = 0), count(*) FILTER (length(pedigree) % 3 = 1) FROM pedigrees"),
     "w9_integrity": with_views("organisms libraries clones reads ests", " UNION ALL ".join(f"SELECT '{n}' AS level, {_COUNTS.format(p=p, c=c, k=k)}" for n, p, c, k in (("organism", "organisms", "libraries", "organism_id"), ("library", "libraries", "clones", "library_id"), ("clone", "clones", "reads", "clone_id"), ("read", "reads", "ests", "read_id")))),
     "w9_status_counts": with_views("ests", "SELECT nullif(trim(status), '') AS status, flags, count(*) AS rows FROM ests GROUP BY ALL"),
     "w10_preferred_protein": with_views("cds", "SELECT cds_id, unigene_id, length, row_number() OVER (PARTITION BY unigene_id ORDER BY length DESC, cds_id DESC) = 1 AS preferred FROM cds"),
-    "w11_map_accessions": with_views("clones", "SELECT clone_id, CASE clone_id % 6 WHEN 0 THEN 'accession.version' WHEN 1 THEN 'accession' WHEN 2 THEN 'locus' WHEN 3 THEN 'primary id' ELSE 'clone' END AS rule, 'AC' || clone_id AS accession FROM clones WHERE clone_id % 6 < 5"),
+    "w11_map_accessions": with_views("clones", "SELECT clone_id, CASE clone_id % 7 WHEN 0 THEN 'accession.version' WHEN 1 THEN 'accession' WHEN 2 THEN 'locus' WHEN 3 THEN 'primary id' WHEN 5 THEN 'library-clone' ELSE 'clone' END AS rule, 'AC' || clone_id AS accession FROM clones WHERE clone_id % 7 < 6"),
     "w11_partial": with_views("clones", "WITH x AS (SELECT clone_id, lower(regexp_replace(clone_name, '[^A-Za-z0-9]', '', 'g')) AS n FROM clones), y AS (SELECT 'AC' || clone_id AS a, 'lib' || n AS m FROM x WHERE clone_id % 2 = 0) SELECT clone_id, min(a) AS accession FROM x JOIN y ON length(n) >= 12 AND (starts_with(m, n) OR ends_with(m, n) OR starts_with(n, m) OR ends_with(n, m)) GROUP BY clone_id"),
     "w12_rewrite_paths": with_views("clones", "SELECT clone_id, CASE WHEN clone_id % 2 = 0 THEN '/export/' ELSE '/database/' END || clone_name AS path FROM clones"),
     "w13_refresh_sequences": with_views("seqs", "SELECT id AS read, 'GB' || id AS gb, CASE WHEN length(id) < 3 THEN 'NEW1' WHEN id LIKE '1%' AND id <= '15' THEN 'NEW2' ELSE md5(seq) END AS seq, CASE WHEN length(id) < 3 THEN 'n1' WHEN id LIKE '1%' AND id <= '15' THEN 'n2' ELSE 'q' END AS qual FROM seqs"),
@@ -312,10 +374,12 @@ SQL = {
     "v2_snp_by_strain": with_views("hits", "WITH " + _SNP + ", n AS (SELECT contig_id, pos, strain, base, count(*) AS n FROM sr GROUP BY ALL) SELECT contig_id, pos, strain, string_agg('{' || base || '}x' || n, '+' ORDER BY base) AS alleles FROM n GROUP BY ALL"),
     "v3_snp_similarity": with_views("hits", "WITH " + _SNP + ", s AS (SELECT contig_id, pos, strain, string_agg(DISTINCT base, '' ORDER BY base) AS b FROM sr GROUP BY ALL), f AS (SELECT contig_id, pos FROM s GROUP BY ALL HAVING count(*) = 3) SELECT contig_id, r.strain AS reference, count(*) FILTER (r.b = t.b) AS same, count(*) FILTER (r.b <> t.b) AS different, count(*) AS total FROM s r JOIN s t USING (contig_id, pos) JOIN f USING (contig_id, pos) WHERE r.strain <> 's2' AND t.strain = 's2' GROUP BY ALL"),
     "v4_filter_genotypes": with_views("variants", "SELECT seq_id, pos, genotypes FROM variants WHERE genotypes LIKE '%S1=AB%' AND genotypes LIKE '%S2=BB%'"),
+    "v4_filter_haploid": with_views("variants", "SELECT seq_id, pos, genotypes FROM variants WHERE split_part(split_part(genotypes, 'S1=', 2), ',', 1) <> split_part(genotypes, 'S2=', 2)"),
     "v5_variant_density": with_views("variants seqs", f"""WITH n AS (SELECT seq_id, count(*) AS c, count(*) FILTER (alleles NOT LIKE '%*%') AS s, count(*) FILTER (alleles LIKE '%*%') AS i FROM variants GROUP BY seq_id),
         j AS (SELECT id, length(seq) AS length, 100.0::DOUBLE * length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq) AS g, coalesce(c, 0) AS changes, coalesce(s, 0) AS snps, coalesce(i, 0) AS indels FROM seqs LEFT JOIN n ON n.seq_id = id WHERE length(seq) > 0)
         SELECT id, length, {_SIG.format(x='g')} AS gc, changes, snps, indels, """ + ", ".join(f"{_SIG.format(x=f'(100.0::DOUBLE * {c} / length)')} AS {c}_per_100" for c in ("changes", "snps", "indels")) + " FROM j"),
     "v6_allele_spectrum": with_views("variants", "SELECT array_to_string(list_sort(string_split(alleles, ',')), '') AS alleles, count(*) AS n FROM variants GROUP BY 1"),
+    "v6_base_totals": with_views("seqs", "SELECT b AS base, sum(length(seq) - length(replace(seq, b, '')))::BIGINT AS n FROM seqs, (VALUES ('A'), ('C'), ('G'), ('T'), ('N')) v(b) GROUP BY b"),
     "v7_genotype_json": with_views("genotypes", """WITH o AS (SELECT accession, marker, min_by(call, line_no) AS call FROM genotypes GROUP BY ALL) SELECT accession, '{' || string_agg('"' || marker || '":"' || CASE WHEN call IN ('0', '1', '2') THEN call ELSE 'NA' END || '"', ',' ORDER BY marker) || '}' AS genotype FROM o GROUP BY accession"""),
     "v7_match_accessions": with_views("clones", """WITH k AS (SELECT lower('STOCK' || (clone_id % 900)) AS k, clone_id FROM clones UNION SELECT 'syn' || clone_id, clone_id FROM clones WHERE clone_id % 4 = 0), p AS (SELECT k, count(*) AS n, min(clone_id) AS s FROM k GROUP BY k),
         a AS (SELECT CASE WHEN clone_id % 2 = 0 THEN 'Syn' || clone_id ELSE 'stock' || clone_id END AS accession FROM clones) SELECT accession, CASE WHEN n = 1 THEN s END AS stock_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS status FROM a LEFT JOIN p ON lower(accession) = k"""),

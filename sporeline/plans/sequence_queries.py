@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sporeline.operators import sequences as Q
-from sporeline.plans.adapters import view, with_views
+from sporeline.plans.adapters import peptide_sql, view, with_views
 
 
 def q1_seq_lengths(spark, d):
@@ -132,6 +132,13 @@ def q24_mask_percent(spark, d):
     return Q.mask_percent(view(spark, d, "seqs"), 20)
 
 
+def q24_tag_masked(spark, d):
+    masked = Q.mask_percent(view(spark, d, "seqs"), 20)
+    k = F.col("line_no") % 3
+    cleaning = view(spark, d, "seqs").select("id", F.when(k == 0, "short").otherwise("").alias("rm_tag"), F.when(k == 1, "vector").otherwise(" ").alias("trim_tag"))
+    return Q.tag_masked(cleaning, masked, 20)
+
+
 def q25_annotate_deflines(spark, d):
     s = view(spark, d, "seqs").withColumns({"id": F.concat("id", F.lit(".1")), "descr": F.concat("descr", F.lit(" go_terms:GO:1,GO:2"))})
     fn = view(spark, d, "seqs").where("line_no % 2 = 0").select("id", F.concat(F.lit("GO:"), "id").alias("go_terms"), F.concat(F.lit("protein "), "id").alias("description"))
@@ -187,6 +194,20 @@ SQL = {
     "q19_sequence_tags": with_views("seqs", f"""WITH {_RG}, u AS (SELECT id, 'start' AS side, start AS a FROM rg UNION ALL SELECT id, 'end', "end" FROM rg) SELECT 'f' || u.id AS id, side, substr(seq, greatest(a - 40, 1), least(a + 40, length(seq) - 1) - greatest(a - 40, 1) + 1) AS tag FROM u JOIN seqs USING (id)"""),
     "q23_end_samples": with_views("seqs", "WITH n AS (SELECT *, (CASE WHEN length(seq) < 600 THEN length(seq) // 2 ELSE 300 END)::BIGINT AS n FROM seqs WHERE length(seq) > 300) SELECT id || ':5' AS id, md5(substr(seq, 1, n)) AS md5 FROM n UNION ALL SELECT id || ':3', md5(substr(seq, length(seq) - n + 1, n)) FROM n"),
     "q24_mask_percent": with_views("seqs", f"SELECT id, round(100.0::DOUBLE * ({_N.format('seq', 'N')}) / length(seq), 2) AS percent_n, round(100.0::DOUBLE * ({_N.format('seq', 'N')}) / length(seq), 2) > 20 AS removed FROM seqs WHERE length(seq) > 0"),
+    "q24_tag_masked": with_views("seqs", f"""WITH p AS (SELECT id, line_no % 3 AS k, CASE WHEN length(seq) > 0 THEN round(100.0::DOUBLE * ({_N.format('seq', 'N')}) / length(seq), 2) END AS n FROM seqs)
+        SELECT id, CASE WHEN n > 20 THEN CASE WHEN k = 0 THEN 'short; seq_masked' ELSE 'seq_masked' END ELSE CASE WHEN k = 0 THEN 'short' ELSE '' END END AS rm_tag,
+        CASE WHEN n > 20 THEN CASE WHEN k = 1 THEN 'vector; ' ELSE '' END || 'mask_percentage(' || floor(n)::BIGINT || '%)' ELSE CASE WHEN k = 1 THEN 'vector' ELSE ' ' END END AS trim_tag FROM p"""),
+    "q20_longest_orf": with_views("seqs", """WITH st AS (SELECT id, seq AS plus, reverse(translate(seq, 'ACGT', 'TGCA')) AS minus FROM seqs),
+        fr AS (SELECT id, CASE WHEN k < 3 THEN k + 1 ELSE -(k - 2) END AS frame, k % 3 AS shift, CASE WHEN k < 3 THEN plus ELSE minus END AS strand FROM st, range(6) r(k)),
+        pr AS (SELECT *, string_split(""" + peptide_sql("substr(strand, shift + 1)") + """, '*') AS pieces FROM fr),
+        e AS (SELECT id, frame, shift, strand, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM pr), t AS (SELECT *, length(pieces[i]) AS n FROM e), b AS (SELECT id, max(n) AS top FROM t GROUP BY id),
+        h AS (SELECT t.*, coalesce(list_sum(list_transform(pieces[1:i - 1], lambda y: length(y) + 1)), 0) AS gone FROM t JOIN b USING (id) WHERE n = top AND n > 0)
+        SELECT id, frame::INTEGER AS frame, (shift + 3 * gone)::INTEGER AS begin, pieces[i] AS protein, substr(strand, (shift + 3 * gone + 1)::BIGINT, 3 * n) AS cds FROM h"""),
+    "q21_translate": with_views("seqs", "SELECT id, CASE WHEN o <= 5 THEN " + peptide_sql("seq") + " END AS protein, o > 5 AS set_apart FROM (SELECT id, coalesce(seq, '') AS seq, 100.0::DOUBLE * length(regexp_replace(coalesce(seq, ''), '[ATCGN]', '', 'g')) / greatest(length(seq), 1) AS o FROM seqs)"),
+    "q22_walk_start_stop": with_views("seqs", f"""WITH {_RG}, j AS (SELECT s.id, s.seq, rg.start AS b, (rg.start - 1) % 3 AS off, rg.start - 1 + 30 AS t FROM seqs s JOIN rg USING (id)),
+        p AS (SELECT *, """ + peptide_sql("substr(seq, (off + 1)::BIGINT, (b - 1 - off + 3)::BIGINT)") + " AS back, " + peptide_sql("substr(seq, (t + 1)::BIGINT)") + """ AS fore FROM j),
+        q AS (SELECT *, regexp_extract(back, '([M*][^M*]*)$', 1) AS tail FROM p), r AS (SELECT id, CASE WHEN tail LIKE 'M%' THEN (off + 3 * (length(back) - length(tail)) + 1)::INTEGER END AS start, CASE WHEN instr(fore, '*') > 0 THEN (t + 3 * instr(fore, '*'))::INTEGER END AS stop FROM q)
+        SELECT id, start, stop, start IS NOT NULL AND stop IS NOT NULL AS complete FROM r"""),
     "q25_annotate_deflines": with_views("seqs", """SELECT id || '.1' AS id, CASE WHEN line_no % 2 = 0 THEN descr || ' go_terms:GO:' || id || ' functional_description:"protein ' || id || '"' ELSE descr END AS descr FROM seqs"""),
     "q26_trim_by_coords": with_views("seqs", f"""WITH {_RG} SELECT s.id, substr(seq, start + 1, "end" % 13 + 5) AS seq FROM seqs s JOIN rg USING (id)"""),
 }

@@ -57,6 +57,12 @@ def s3_fastq(spark, d):
     return _summed(S.read_fastq(spark, path, "illumina"))
 
 
+def s3_fastq_default(spark, d):
+    path = _folder(spark)
+    S.write_fastq(_reads(spark, d).withColumn("qual", F.when(F.col("line_no") % 2 == 0, F.col("qual"))), path, default=15)
+    return _summed(S.read_fastq(spark, path))
+
+
 def s3_read_qual(spark, d):
     path = _lines(_reads(spark, d), F.concat(F.lit(">"), "id", F.lit("\n"), F.array_join(F.col("qual").cast("array<string>"), " ")))
     return S.read_qual(spark, path).select("id", F.size("qual").cast("long").alias("n"))
@@ -128,6 +134,10 @@ def s12_read_tab(spark, d):
     return T.read_tab_checked(spark, path, ["id", "text"])
 
 
+def s12_read_tab_width(spark, d):
+    return T.read_tab_checked(spark, _lines(view(spark, d, "subjects"), "subject_id", F.lit("x"), "description"))
+
+
 def s13_read_deflines(spark, d):
     p = view(spark, d, "subjects")
     n = F.col("subject_length") / 10 % 4
@@ -158,7 +168,8 @@ def s15_read_metrics(spark, d):
 def s16_parse_signalp(spark, d):
     p = view(spark, d, "subjects")
     yes = F.col("subject_length") > 250
-    text = F.concat(F.lit(">"), "subject_id", F.when(yes, "\n# Most likely cleavage site between pos. 21 and 22\nPrediction: Signal peptide\nMax cleavage site probability: 0.9 between pos. 23 and 24").otherwise("\nPrediction: Non-secretory protein\nMax cleavage site probability: 0.0 between pos. 1 and 2"))
+    score = F.when(F.col("subject_length") % 20 == 0, "\n  D     1-21    0.512   0.43   YES").when(F.col("subject_length") % 30 == 0, "\n  D     1-21    0.112   0.43   NO").otherwise("")
+    text = F.concat(F.lit(">"), "subject_id", score, F.when(yes, "\n# Most likely cleavage site between pos. 21 and 22\nPrediction: Signal peptide\nMax cleavage site probability: 0.9 between pos. 23 and 24").otherwise("\nPrediction: Non-secretory protein\nMax cleavage site probability: 0.0 between pos. 1 and 2"))
     return T.parse_signalp(spark, _lines(p, text))
 
 
@@ -172,7 +183,9 @@ def s17_read_repeatmasker(spark, d):
 def s18_read_dbest(spark, d):
     p = view(spark, d, "subjects")
     text = F.concat(F.lit("IDENTIFIERS\n\ndbEST Id:       "), F.regexp_replace("subject_id", "S", ""), F.lit("\nEST name:       "), "subject_id", F.lit("\nGenBank Acc:    AC1\n\nCLONE INFO\nClone Id:       c\n\nSEQUENCE\n                ACGT\n                GG\nLIBRARY\nLib Name:       lib\nOrganism:       Solanum\n||"))
-    return S.read_dbest(spark, _lines(p, text))
+    found = S.read_dbest(spark, _lines(p, text))
+    shown = F.transform("sections", lambda s: F.concat(s["section"], F.lit("["), F.array_join(F.transform(s["labels"], lambda x: F.concat_ws("=", x["label"], x["value"])), ";"), F.lit("]")))
+    return found.withColumn("sections", F.array_join(shown, "|"))
 
 
 def s19_write_pathologic(spark, d):
@@ -180,8 +193,7 @@ def s19_write_pathologic(spark, d):
     fields = F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value")) for k, c in (("ID", "id"), ("STARTBASE", "start"), ("ENDBASE", "end"))])
     path = _folder(spark)
     T.write_pathologic(f.select(F.col("ref").alias("seqid"), fields.alias("fields")), path)
-    lines = spark.read.text(path).groupBy("seqid").agg(F.count("*").alias("lines"), F.count_if(F.col("value").startswith("ID\t")).alias("genes"))
-    return lines
+    return spark.read.text(path).groupBy("seqid", "value").agg(F.count("*").alias("lines"))
 
 
 def t1_stream_best_hits(spark, d):
@@ -207,6 +219,7 @@ SQL = {
     "s1_read_fasta": with_views("seqs", "SELECT id, descr, seq FROM seqs"),
     "s2_write_fasta": with_views("seqs", "SELECT id, length(seq) AS length FROM seqs"),
     "s3_fastq": with_views("seqs", f"SELECT id, md5(seq) AS md5, length(seq) AS n, ({_Q})::BIGINT AS total FROM seqs WHERE length(seq) > 0"),
+    "s3_fastq_default": with_views("seqs", f"SELECT id, md5(seq) AS md5, length(seq) AS n, (CASE WHEN line_no % 2 = 0 THEN {_Q} ELSE 15 * length(seq) END)::BIGINT AS total FROM seqs WHERE length(seq) > 0"),
     "s3_read_qual": with_views("seqs", "SELECT id, length(seq) AS n FROM seqs WHERE length(seq) > 0"),
     "s4_fasta_qual": with_views("seqs", f"SELECT id, md5(seq) AS md5, length(seq) AS n, (CASE WHEN line_no % 2 = 0 THEN {_Q} ELSE 15 * length(seq) END)::BIGINT AS total FROM seqs WHERE length(seq) > 0"),
     "s5_read_m8": with_views("hits", "SELECT query_id, subject_id, pident, length::INTEGER AS length, mismatches, gaps, q_start::INTEGER AS q_start, q_end::INTEGER AS q_end, s_start::INTEGER AS s_start, s_end::INTEGER AS s_end, evalue, score FROM hits"),
@@ -218,12 +231,13 @@ SQL = {
     "s10_read_uniprot": with_views("subjects", "SELECT subject_id AS id, 'DE' AS key, description AS value FROM subjects UNION SELECT subject_id, 'DR', 'GO; GO:' || subject_length FROM subjects"),
     "s11_read_frg": with_views("subjects", "SELECT subject_id AS id, tag, CASE tag WHEN 'act' THEN 'A' WHEN 'acc' THEN subject_id WHEN 'seq' THEN 'ACGTAC' WHEN 'clr' THEN CASE WHEN subject_length > 250 THEN '1,5' ELSE '0,6' END END AS value FROM subjects, (VALUES ('act'), ('acc'), ('seq'), ('clr')) v(tag) WHERE subject_length >= 50"),
     "s12_read_tab": with_views("subjects", "SELECT subject_id AS id, description AS text FROM subjects"),
+    "s12_read_tab_width": with_views("subjects", "SELECT subject_id AS c1, 'x' AS c2, description AS c3 FROM subjects"),
     "s13_read_deflines": with_views("subjects", "SELECT subject_id, description FROM subjects"),
     "s14_genotype_matrix": with_views("marks", "SELECT id AS accession, 'm' || i AS marker, (i % 3)::VARCHAR AS chromosome, (i * 1.5)::DOUBLE AS position, substr('AHB-', ((start + i) % 4 + 1)::BIGINT, 1) AS call FROM marks, range(6) r(i)"),
     "s15_read_metrics": with_views("subjects", "SELECT subject_id AS file, 'numReads' AS metric, subject_length::VARCHAR AS run_1, CASE WHEN subject_length > 250 THEN subject_length::VARCHAR ELSE 'NA' END AS run_2 FROM subjects UNION ALL SELECT subject_id, 'name', 'x', CASE WHEN subject_length > 250 THEN 'x' ELSE 'NA' END FROM subjects"),
-    "s16_parse_signalp": with_views("subjects", "SELECT subject_id AS id, CASE WHEN subject_length > 250 THEN 21 END AS nn_site, CASE WHEN subject_length > 250 THEN 23 END AS hmm_site FROM subjects"),
+    "s16_parse_signalp": with_views("subjects", "SELECT subject_id AS id, CASE WHEN subject_length > 250 AND subject_length % 20 = 0 THEN 21 END AS nn_site, CASE WHEN subject_length > 250 THEN 23 END AS hmm_site FROM subjects"),
     "s17_read_repeatmasker": with_views("marks", "SELECT ref AS seqid, 'repeat_region' AS type, start, \"end\", 220.0::DOUBLE AS score, CASE WHEN start % 2 = 0 THEN '-' ELSE '+' END AS strand, 'rep' AS target, 10 AS t_start, 90 AS t_end FROM marks"),
-    "s18_read_dbest": with_views("subjects", "SELECT substr(subject_id, 2) AS id, subject_id AS name, 'AC1' AS accession, 'c' AS clone, 'lib' AS library, 'Solanum' AS organism, 'ACGTGG' AS seq FROM subjects"),
-    "s19_write_pathologic": with_views("features", "SELECT ref AS seqid, count(*) * 4 AS lines, count(*) AS genes FROM features GROUP BY ref"),
+    "s18_read_dbest": with_views("subjects", "SELECT substr(subject_id, 2) AS id, subject_id AS name, 'AC1' AS accession, 'c' AS clone, 'lib' AS library, 'Solanum' AS organism, 'ACGTGG' AS seq, 'IDENTIFIERS[dbEST Id=' || substr(subject_id, 2) || ';EST name=' || subject_id || ';GenBank Acc=AC1]|CLONE INFO[Clone Id=c]|SEQUENCE[]|LIBRARY[Lib Name=lib;Organism=Solanum]' AS sections FROM subjects"),
+    "s19_write_pathologic": with_views("features", """SELECT ref AS seqid, value, count(*) AS lines FROM (SELECT ref, unnest(['ID' || chr(9) || id, 'STARTBASE' || chr(9) || start, 'ENDBASE' || chr(9) || "end", '//']) AS value FROM features) GROUP BY ALL"""),
     "t1_stream_best_hits": with_views("hits", "SELECT query_id, subject_id, score, line_no FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, line_no) AS rn FROM hits WHERE pident >= 60) WHERE rn = 1"),
 }

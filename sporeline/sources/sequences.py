@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,16 @@ def records(spark: SparkSession, path: str, separator: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): lines with their place in the whole input, counted by partition, not in one task."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
-    return spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1], x[0][1])), "file string, line_no long, value string")
+    """(file, line_no, value): lines with their place in the whole input, files by name, from 0.
+
+    A line is numbered by its place in its file block and the sizes of the
+    blocks before it; blocks are few, and lines stay where they are read.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
+    before = F.sum("_n").over(Window.orderBy("file", "_block")) - F.col("_n")  # one row a block
+    blocks = blocks.select("file", "_block", "_low", before.alias("_before"))
+    return lines.join(blocks, ["file", "_block"]).select("file", (F.col("_before") + F.col("_at") - F.col("_low")).alias("line_no"), "value")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -79,8 +86,9 @@ def read_fastq(spark: SparkSession, path: str, variant: str = "sanger") -> DataF
     return rows.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("descr"), "seq", decode_quality(F.col("q"), variant).alias("qual"))
 
 
-def write_fastq(reads: DataFrame, path: str, variant: str = "sanger") -> None:
-    """S3: four lines a read."""
+def write_fastq(reads: DataFrame, path: str, variant: str = "sanger", default: int = 15) -> None:
+    """S3: four lines a read; a read without quality gets the fixed ``default`` at every base."""
+    reads = reads.withColumn("qual", F.coalesce("qual", F.array_repeat(F.lit(default), F.length("seq"))))
     head = F.concat(F.lit("@"), F.concat_ws(" ", "id", F.when(F.col("descr") != "", F.col("descr"))))
     reads.select(F.concat_ws("\n", head, "seq", F.lit("+"), encode_quality(F.col("qual"), variant)).alias("value")).write.mode("overwrite").text(path)
 
@@ -190,8 +198,25 @@ def read_deflines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dbest(spark: SparkSession, path: str) -> DataFrame:
-    """(id, name, accession, clone, library, organism, seq) from labelled blocks."""
+    """(id, name, accession, clone, library, organism, seq, sections) from labelled blocks.
+
+    ``sections`` holds the whole entry: each section's name and its labels
+    with their values, in order; a line without a label goes on from the one
+    before it.
+    """
     rows = records(spark, path, "\nIDENTIFIERS").where(F.col("value").contains("dbEST Id"))
     label = lambda n: F.trim(F.regexp_extract("value", rf"(?m)^{n}:[ \t]*(.*)$", 1))
     seq = F.regexp_replace(F.regexp_extract("value", r"(?s)\nSEQUENCE\s*\n(.*?)(?:\n[A-Z]|\|\||$)", 1), r"\s", "")
-    return rows.select(label("dbEST Id").alias("id"), label("EST name").alias("name"), label("GenBank Acc").alias("accession"), label("Clone Id").alias("clone"), label("Lib Name").alias("library"), label("Organism").alias("organism"), seq.alias("seq"))
+    return rows.select(label("dbEST Id").alias("id"), label("EST name").alias("name"), label("GenBank Acc").alias("accession"), label("Clone Id").alias("clone"), label("Lib Name").alias("library"), label("Organism").alias("organism"), seq.alias("seq"), _sections(F.concat(F.lit("IDENTIFIERS"), F.regexp_replace("value", r"^IDENTIFIERS", ""))).alias("sections"))
+
+
+def _sections(entry: Column) -> Column:
+    """array<struct<section, labels array<struct<label, value>>>> of a labelled block; sections begin with a line of capitals."""
+    parts = F.split(F.regexp_replace(entry, r"\s*\|\|\s*$", ""), r"\n(?=[A-Z][A-Z ]*[ \t]*(?:\n|$))")
+
+    def labels(text: Column) -> Column:
+        body = F.regexp_replace(text, r"^[^\n]*\n?", "")
+        each = F.regexp_extract_all(body, F.lit(r"(?m)^([^:\n\s][^:\n]*:[^\n]*(?:\n[ \t]+[^:\n]*$)*)"), F.lit(1))
+        return F.transform(each, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("label"), F.trim(F.regexp_replace(F.regexp_replace(x, r"^[^:]*:", ""), r"\s+", " ")).alias("value")))
+
+    return F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, "\n", 1)).alias("section"), labels(x).alias("labels")))

@@ -81,16 +81,24 @@ def write_tpf(tpf: DataFrame, path: str) -> None:
     tpf.orderBy("ord").select(F.concat_ws("\t", "accession", "clone", "contig", "orient").alias("value")).write.mode("overwrite").text(path)
 
 
-def read_tab_checked(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
-    """String columns by header; another header, or a row of another width, fails the job."""
+def read_tab_checked(spark: SparkSession, path: str, header: list[str] | None = None) -> DataFrame:
+    """String columns by header; another header, or a row of another width, fails the job.
+
+    Without a header the first row sets the width and the columns are c1, c2, ...
+    """
     lines = spark.read.text(path).where(F.length("value") > 0)
     part = F.split("value", "\t")
-    seen = lines.where(part[0] == header[0]).limit(1).select(part.alias("h")).collect()  # the header line
-    if not seen or seen[0]["h"] != header:
-        raise ValueError(f"expected the header {header}, found {seen[0]['h'] if seen else None}")
-    checked = F.when(F.size(part) == len(header), part).otherwise(F.raise_error(F.concat(F.lit("wrong number of columns: "), "value")))
-    rows = lines.where(F.col("value") != "\t".join(header)).select(checked.alias("p"))
-    return rows.select(*[F.col("p")[i].alias(n) for i, n in enumerate(header)])
+    if header is None:
+        first = lines.limit(1).collect()
+        names = [f"c{i + 1}" for i in range(len(first[0]["value"].split("\t")) if first else 1)]
+        body = lines
+    else:
+        seen = lines.where(part[0] == header[0]).limit(1).select(part.alias("h")).collect()  # the header line
+        if not seen or seen[0]["h"] != header:
+            raise ValueError(f"expected the header {header}, found {seen[0]['h'] if seen else None}")
+        names, body = header, lines.where(F.col("value") != "\t".join(header))
+    checked = F.when(F.size(part) == len(names), part).otherwise(F.raise_error(F.concat(F.lit("wrong number of columns: "), "value")))
+    return body.select(checked.alias("p")).select(*[F.col("p")[i].alias(n) for i, n in enumerate(names)])
 
 
 def read_genotype_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -120,13 +128,14 @@ def read_metrics_blocks(spark: SparkSession, runs: dict[str, str]) -> DataFrame:
 
 
 def parse_signalp(spark: SparkSession, path: str) -> DataFrame:
-    """(id, nn_site, hmm_site), null when the block calls no signal peptide; the first block of an id."""
+    """(id, nn_site, hmm_site); the network's site is null unless its D score says YES, the model's unless it predicts a signal peptide; the first block of an id."""
     rows = records(spark, path, "\n>").where(F.length(F.trim("value")) > 0)
     ident = F.regexp_extract("value", r"^>?(\S+)", 1)
     nn = F.regexp_extract("value", r"Most likely cleavage site between pos\.\s+(\d+) and", 1)
     hmm = F.regexp_extract("value", r"Max cleavage site probability: [\d.]+ between pos\.\s+(\d+) and", 1)
     signal = F.col("value").contains("Prediction: Signal peptide")
-    found = rows.select(ident.alias("id"), F.when(nn != "", nn.cast("int")).alias("nn_site"), F.when(signal & (hmm != ""), hmm.cast("int")).alias("hmm_site"))
+    scored = F.regexp_extract("value", r"(?m)^\s+D\s+\S+\s+\S+\s+\S+\s+(\S+)", 1) == "YES"
+    found = rows.select(ident.alias("id"), F.when(scored & (nn != ""), nn.cast("int")).alias("nn_site"), F.when(signal & (hmm != ""), hmm.cast("int")).alias("hmm_site"))
     return found.groupBy("id").agg(F.first("nn_site").alias("nn_site"), F.first("hmm_site").alias("hmm_site"))
 
 

@@ -67,8 +67,12 @@ def test_coordinates_round_trip(spark):
 def test_tpf_splice_renumbers(spark):
     tpf = spark.createDataFrame([(i, f"A{i}") for i in range(1, 6)], "ord long, accession string")
     new = spark.createDataFrame([(1, "N1"), (2, "N2"), (3, "N3")], "ord long, accession string")
-    got = I.tpf_splice(tpf, "A2", "A3", new).orderBy("ord").collect()
-    assert [(r.ord, r.accession) for r in got] == list(enumerate(["A1", "N1", "N2", "N3", "A4", "A5"], 1))
+    splice = lambda a, b: [(r.ord, r.accession) for r in I.tpf_splice(tpf, a, b, new).orderBy("ord").collect()]
+    # the named lines stay, those between them go
+    assert splice("A2", "A4") == list(enumerate(["A1", "A2", "N1", "N2", "N3", "A4", "A5"], 1))
+    assert splice("A2", "A3") == list(enumerate(["A1", "A2", "N1", "N2", "N3", "A3", "A4", "A5"], 1))
+    assert splice("A4", "A2") == splice("A2", "B") == list(enumerate(["A1", "A2", "A3", "A4", "A5"], 1))
+    assert [r.accession for r in I.tpf_interval(tpf, "A2", "A4").orderBy("ord").collect()] == ["A2", "A3", "A4"]
 
 
 def test_reverse_complement_twice_is_identity(spark):

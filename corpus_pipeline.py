@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sporeline.functions.columns import fresh
 from sporeline.functions.storage import materialize
 from sporeline.llm.bpe import encode, vocabulary
 from sporeline.llm.decontam import drop_contaminated
@@ -19,31 +20,56 @@ from sporeline.llm.secrets import redact, scan_secrets
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the threshold table keeps."""
-    return quality(docs, out="_quality").where("_quality.kept").drop("_quality")
+    """Documents that the threshold table keeps.
+
+    Null, empty and short texts go. Repeated rows stay repeated, other columns
+    pass through, and an empty table gives an empty one.
+    """
+    verdict = fresh(docs, "_quality")
+    return quality(docs, out=verdict).where(F.col(verdict)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class of near-duplicates."""
+    """The document of least id of each class of near-duplicates.
+
+    Null and empty texts are one class. Rows without an id stay only where
+    their class has no id; of rows equal in id and text one stays. Other
+    columns pass through; an empty table gives an empty one.
+    """
     return one_of_each_class(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; rows without an id stay. Repeated rows stay
+    repeated, other columns pass through, and an empty table gives an empty one.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts masked and ``n_chars`` brought up to date."""
-    scanned = scan_secrets(docs).withColumn("_masked", redact(F.col("text"), F.col("findings")))
-    masked = scanned.withColumn("text", F.coalesce("_masked", "text"))
+    """All documents, secrets in their texts masked and ``n_chars`` brought up to date.
+
+    The ledger takes the documents in two deliveries, by source, and scans no
+    text twice. Rows without findings, null and empty texts stay as they are,
+    repeated rows are masked each, other columns pass through, and an empty
+    table gives an empty one.
+    """
+    blob, found, masked = (fresh(docs, name) for name in ("_blob", "_findings", "_masked"))
+    scanned = scan_secrets(docs, source_col="source", blob_col=blob, findings_col=found).withColumn(masked, redact(F.col("text"), F.col(found)))
+    changed = {"text": F.coalesce(masked, "text")}
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.col("_masked").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col(masked).isNotNull(), F.length(masked).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return scanned.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and token ids of each document's whole text."""
+    """doc_id, n_tokens and token ids of each document's whole text.
+
+    Null and empty texts have no tokens; repeated rows are encoded each; an
+    empty table gives an empty one.
+    """
     import public_tokenizers
 
     shared = vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -72,14 +72,19 @@ def uncontained_cds(features: DataFrame) -> DataFrame:
     return cds.join(exon, inside, "left_anti")
 
 
-def nest_components(scaffolds: DataFrame, contigs: DataFrame) -> DataFrame:
-    """I4: contigs with the scaffold that contains them: the last that starts at or before them on the sequence.
+def nest_components(scaffolds: DataFrame, contigs: DataFrame, width: int = 100_000) -> DataFrame:
+    """I4: (seqid, id, start, end, scaffold, ok): each contig with the last scaffold that starts at or before it; ok where it ends inside.
 
-    Both have seqid, id, start, end; ``ok`` is false where that scaffold ends before the contig, or there is none.
+    A sequence is cut into bins of ``width``: each bin's last scaffold is
+    handed on over the bins, so no task sorts a whole sequence.
     """
     rows = scaffolds.select("seqid", "id", "start", "end", F.lit(0).alias("_kind")).unionByName(contigs.select("seqid", "id", "start", "end", F.lit(1).alias("_kind")))
-    by = Window.partitionBy("seqid").orderBy("start", "_kind", "id")
-    host = F.last(F.when(F.col("_kind") == 0, F.struct("id", "end")), ignorenulls=True).over(by)
+    rows = rows.withColumn("_bin", F.floor(F.col("start") / width))
+    lasts = rows.groupBy("seqid", "_bin").agg(F.max_by(F.struct("id", "end"), F.when(F.col("_kind") == 0, F.struct("start", "id"))).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy("seqid").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(lasts.select("seqid", "_bin", before.alias("_before")), ["seqid", "_bin"])
+    by = Window.partitionBy("seqid", "_bin").orderBy("start", "_kind", "id")
+    host = F.coalesce(F.last(F.when(F.col("_kind") == 0, F.struct("id", "end")), ignorenulls=True).over(by), F.col("_before"))
     placed = rows.withColumn("_host", host).where("_kind = 1")
     return placed.select("seqid", "id", "start", "end", F.col("_host.id").alias("scaffold"), F.coalesce(F.col("_host.end") >= F.col("end"), F.lit(False)).alias("ok"))
 
@@ -118,11 +123,23 @@ def agp_to_tpf(agp: DataFrame, local_ids: DataFrame, contigs: DataFrame) -> Data
     return comp.unionByName(gaps)
 
 
-def tiling_groups(tiles: DataFrame) -> DataFrame:
-    """(ref, start, end, tiles): tiles grouped while each starts before the group's end so far."""
-    by = Window.partitionBy("ref").orderBy("start", "end", "id")
-    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = tiles.withColumn("_new", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("_g", F.sum("_new").over(by))
+def tiling_groups(tiles: DataFrame, width: int = 100_000) -> DataFrame:
+    """(ref, start, end, tiles): tiles grouped while each starts before the group's end so far.
+
+    A reference is cut into bins of ``width``; the farthest end and the number
+    of groups so far are handed on over the bins, so no task sorts a whole
+    reference.
+    """
+    rows = tiles.withColumn("_bin", F.floor(F.col("start") / width))
+    over = Window.partitionBy("ref").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("ref", "_bin").agg(F.max("end").alias("_top"))
+    rows = rows.join(tops.select("ref", "_bin", F.max("_top").over(over).alias("_before")), ["ref", "_bin"])
+    by = Window.partitionBy("ref", "_bin").orderBy("start", "end", "id")
+    reach = F.greatest("_before", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = rows.withColumn("_new", F.when(F.col("start") < reach, 0).otherwise(1))
+    counts = marked.groupBy("ref", "_bin").agg(F.sum("_new").alias("_n"))
+    marked = marked.join(counts.select("ref", "_bin", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base")), ["ref", "_bin"])
+    marked = marked.withColumn("_g", F.col("_base") + F.sum("_new").over(by))
     return marked.groupBy("ref", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("tiles")).drop("_g")
 
 

@@ -113,11 +113,18 @@ def mask_regions(seqs: DataFrame, regions: DataFrame, base: str = "N") -> DataFr
     return j.withColumn("seq", masked).select(*seqs.columns)
 
 
-def features_outside(features: DataFrame, regions: DataFrame) -> DataFrame:
-    """Q12: features without those that have an end inside a region of their sequence (ref, start, end)."""
-    r = regions.select(F.col("ref").alias("_ref"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    inside = F.col("start").between(F.col("_s"), F.col("_e")) | F.col("end").between(F.col("_s"), F.col("_e"))
-    return features.join(r, (F.col("ref") == F.col("_ref")) & inside, "left_anti")
+def features_outside(features: DataFrame, regions: DataFrame, width: int = 10_000) -> DataFrame:
+    """Q12: features without those that have an end inside a region of their sequence (ref, start, end).
+
+    Regions are cut into bins of ``width``, so each end meets only the regions
+    of its bin, by an equality join.
+    """
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))
+    r = regions.select(F.col("ref").alias("_ref"), F.col("start").alias("_s"), F.col("end").alias("_e"), bins.alias("_bin"))
+    for end in ("start", "end"):
+        inside = (F.col("ref") == F.col("_ref")) & (F.floor(F.col(end) / width) == F.col("_bin")) & F.col(end).between(F.col("_s"), F.col("_e"))
+        features = features.join(r, inside, "left_anti")
+    return features
 
 
 def apply_moves(seqs: DataFrame, moves: DataFrame) -> DataFrame:

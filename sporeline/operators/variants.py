@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def snp_reads(snps: DataFrame, ace_rows: DataFrame) -> DataFrame:
-    """V1: (contig_id, pos, read_id, strain, base) of every read that covers a SNP; reads have start, end, seq on the contig."""
-    j = snps.select("contig_id", "pos").join(ace_rows, "contig_id").where("pos BETWEEN start AND end")
+def snp_reads(snps: DataFrame, ace_rows: DataFrame, width: int = 1000) -> DataFrame:
+    """V1: (contig_id, pos, read_id, strain, base) of every read that covers a SNP; reads have start, end, seq on the contig.
+
+    Reads are cut into bins of ``width``, so a SNP meets only the reads of its
+    bin, by an equality join, however long its contig is.
+    """
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))
+    reads = ace_rows.where("start <= end").withColumn("_bin", bins)
+    j = snps.select("contig_id", "pos", F.floor(F.col("pos") / width).alias("_bin")).join(reads, ["contig_id", "_bin"]).where("pos BETWEEN start AND end")
     return j.select("contig_id", "pos", "read_id", "strain", F.expr("substring(seq, cast(pos - start + 1 as int), 1)").alias("base"))
 
 

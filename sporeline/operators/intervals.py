@@ -176,6 +176,61 @@ def tpf_splice(tpf: DataFrame, first: str, last: str, new: DataFrame) -> DataFra
     return kept.withColumn("ord", moved).select(*tpf.columns).unionByName(added.select(*tpf.columns))
 
 
+#: Fixed value: the length that a gap of unknown size is given.
+UNKNOWN_GAP = 100
+
+
+def place_bacs(hits: DataFrame, agp: DataFrame, tpf: DataFrame, id_map: DataFrame | None = None, width: int = 100_000) -> DataFrame:
+    """(objname, start, end, type, ident, cstart, cend, orient, status): the lines of each chromosome with BACs sorted in.
+
+    ``hits`` has bac_id, scaffold, bac_start, length, s_start, s_end; ``tpf``
+    ident, scaffold, ord; ``id_map`` old (an id without its chromosome
+    prefix), new. A BAC lies where its scaffold's first contig starts plus its
+    own place; one on an unknown scaffold is left out. Contigs and gaps inside
+    a BAC go. A line that ends before the farthest line so far is CONTAINED in
+    it, one that only starts before its end is its CONTAINED TURNOUT, where
+    either is a BAC. A BAC's orientation is that of the contigs on both sides,
+    or of one where the other side has none or begins with an unknown gap,
+    turned when the hit is reversed, else ERROR. Unknown gaps become
+    UNKNOWN_GAP long and what follows is shifted. Lines of one chromosome are
+    sorted together: an assembly has few.
+    """
+    if id_map is not None:
+        key = F.regexp_replace("bac_id", r"^\D\d\d", "")
+        hits = hits.withColumn("_k", key).join(id_map.select(F.col("old").alias("_k"), "new"), "_k", "left").withColumn("bac_id", F.coalesce("new", "bac_id")).drop("_k", "new")
+    bare = F.regexp_replace("ident", r"\.\d+$", "")
+    lines = agp.select("objname", F.col("ostart").alias("start"), F.col("oend").alias("end"), "type", bare.alias("ident"), "cstart", "cend", "orient")
+    first = tpf.join(lines.select("ident", "objname", "start"), "ident").groupBy("scaffold").agg(F.min_by(F.struct("objname", "start"), F.struct("ord", "ident")).alias("f"))
+    j = hits.join(first, "scaffold")
+    low, high = F.least("s_start", "s_end"), F.greatest("s_start", "s_end")
+    bacs = j.select(
+        F.col("f.objname").alias("objname"), (low + F.col("f.start") - 1).alias("start"), (high + F.col("f.start") - 1).alias("end"), F.lit("O").alias("type"), F.col("bac_id").alias("ident"),
+        F.col("bac_start").alias("cstart"), (F.col("length") + F.col("bac_start") - 1).alias("cend"), F.when(F.col("s_end") < F.col("s_start"), "REV").otherwise("").alias("orient"),
+    )
+    over = bacs.select(F.col("objname").alias("_o"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_bin"))
+    inside = (F.col("objname") == F.col("_o")) & (F.floor(F.col("start") / width) == F.col("_bin")) & (F.col("start") > F.col("_s")) & (F.col("end") < F.col("_e"))
+    rows = lines.join(over, inside, "left_anti").unionByName(bacs)
+    by = Window.partitionBy("objname").orderBy("start", "end", F.coalesce("ident", F.lit("")))
+    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    solid = F.col("type").isin("W", "O")
+    contig = F.when(F.col("type") == "W", F.col("orient"))
+    rows = rows.withColumns({
+        "_far": F.max(F.when(solid, F.struct("end", "ident", "type"))).over(before), "_left": F.last(contig, ignorenulls=True).over(before), "_right": F.first(contig, ignorenulls=True).over(after),
+        "_prev": F.lag("type").over(by), "_next": F.lead("type").over(by),
+        "_shift": F.coalesce(F.sum(F.when(F.col("type") == "U", UNKNOWN_GAP - (F.col("end") - F.col("start") + 1)).otherwise(0)).over(before), F.lit(0)),
+    })
+    bac = F.col("type") == "O"
+    mixed = solid & (bac | (F.col("_far.type") == "O"))
+    status = F.when(mixed & (F.col("_far.end") > F.col("end")), F.concat(F.lit("CONTAINED\t"), "_far.ident")).when(mixed & (F.col("_far.end") > F.col("start")), F.concat(F.lit("CONTAINED TURNOUT\t"), "_far.ident"))
+    side = (
+        F.when(F.col("_left") == F.col("_right"), F.col("_left")).when(F.col("_right").isNull() | (F.col("_next") == "U"), F.col("_left")).when(F.col("_left").isNull() | (F.col("_prev") == "U"), F.col("_right"))
+    )
+    turned = F.when(F.col("orient") != "REV", side).when(side == "+", "-").when(side == "-", "+")
+    orient = F.when(bac, F.coalesce(turned, F.lit("ERROR"))).otherwise(F.col("orient"))
+    end = F.when(F.col("type") == "U", F.col("start") + UNKNOWN_GAP - 1).otherwise(F.col("end"))
+    return rows.select("objname", (F.col("start") + F.col("_shift")).alias("start"), (end + F.col("_shift")).alias("end"), "type", "ident", "cstart", "cend", orient.alias("orient"), status.alias("status"))
+
+
 def lift_to_object(places: DataFrame, agp: DataFrame) -> DataFrame:
     """Component places (ident, start, end) in object coordinates, by orientation."""
     comp = agp.where("NOT is_gap").select("objname", "ostart", "oend", "cstart", "cend", "orient", "ident")

@@ -63,6 +63,21 @@ def i7_tiling_groups(spark, d):
     return I.tiling_groups(view(spark, d, "features"))
 
 
+def i9_place_bacs(spark, d):
+    lines = _agp(spark, d)
+    k = F.col("partnum") % 10
+    lines = lines.withColumn("type", F.when(k == 3, "U").when(k == 7, "N").otherwise("W"))
+    tpf = lines.where("NOT is_gap").select("ident", F.concat(F.lit("sc"), F.col("partnum") % 400).alias("scaffold"), F.col("partnum").alias("ord"))
+    m = view(spark, d, "marks").withColumn("n", F.regexp_replace("id", "M", "").cast("long"))
+    span = F.col("n") * 31 % 5000 + 1
+    hits = m.select(
+        F.concat(F.lit("C01"), "id").alias("bac_id"), F.concat(F.lit("sc"), F.col("n") % 500).alias("scaffold"), F.lit(1).cast("long").alias("bac_start"), (F.col("end") - F.col("start") + 1).alias("length"),
+        F.when(F.col("n") % 2 == 0, span).otherwise(span + 2000).alias("s_start"), F.when(F.col("n") % 2 == 0, span + 2000).otherwise(span).alias("s_end"),
+    )
+    ids = m.where("n % 3 = 0").select(F.col("id").alias("old"), F.concat(F.lit("LE"), "id").alias("new"))
+    return I.place_bacs(hits, lines, tpf, ids)
+
+
 def i10_lift_to_object(spark, d):
     places = view(spark, d, "features").select(F.col("id").alias("ident"), (F.col("start") * 0 + 15).alias("start"), (F.col("start") * 0 + 40).alias("end"))
     return I.lift_to_object(places, _agp(spark, d))
@@ -298,4 +313,16 @@ SQL = {
     "g13_unlisted": with_views("old_builds seqs", "SELECT cluster_id, member_id::VARCHAR AS id FROM old_builds WHERE member_id::VARCHAR NOT IN (SELECT id FROM seqs)"),
     "g13_unigene_names": with_views("seqs", "SELECT CASE line_no % 3 WHEN 0 THEN (line_no % 50) || '-' || id WHEN 1 THEN (line_no % 50) || '-S-' || id ELSE 'X-S-' || id END AS unigene, CASE line_no % 3 WHEN 0 THEN 'contig' WHEN 1 THEN 'singlet' ELSE 'singleton' END AS kind, md5(seq) AS md5 FROM seqs"),
     "g12_supported_orthologs": with_views("hits", "WITH l AS (SELECT subject_id AS file, line_no, CASE WHEN mismatches = 1 THEN query_id END AS gene, CASE WHEN mismatches <> 1 THEN query_id END AS ortholog, (2 * (pident - 50))::INTEGER AS bootstrap FROM hits), f AS (SELECT *, last_value(gene IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS g FROM l) SELECT file AS family, g AS gene, ortholog, bootstrap FROM f WHERE ortholog IS NOT NULL AND bootstrap >= 60"),
+    "i9_place_bacs": with_views("features marks", "WITH " + _AGP + """, l AS (SELECT objname, ostart AS s, oend AS e, CASE partnum % 10 WHEN 3 THEN 'U' WHEN 7 THEN 'N' ELSE 'W' END AS type, ident, cstart, cend, orient, partnum FROM agp),
+        f AS (SELECT 'sc' || (partnum % 400) AS scaffold, min_by(objname, partnum) AS o, min_by(s, partnum) AS b FROM l WHERE ident IS NOT NULL GROUP BY 1),
+        h AS (SELECT *, substr(id, 2)::BIGINT AS n, (substr(id, 2)::BIGINT * 31) % 5000 + 1 AS sp FROM marks),
+        bac AS (SELECT f.o AS objname, sp + b - 1 AS s, sp + 2000 + b - 1 AS e, 'O' AS type, CASE WHEN n % 3 = 0 THEN 'LE' || id ELSE 'C01' || id END AS ident, 1::BIGINT AS cstart, "end" - start + 1 AS cend, CASE WHEN n % 2 = 0 THEN '' ELSE 'REV' END AS orient FROM h JOIN f ON f.scaffold = 'sc' || (n % 500)),
+        r AS (SELECT objname, s, e, type, ident, cstart, cend, orient FROM l WHERE NOT EXISTS (SELECT 1 FROM bac WHERE bac.objname = l.objname AND l.s > bac.s AND l.e < bac.e) UNION ALL SELECT * FROM bac),
+        w AS (SELECT *, max(CASE WHEN type IN ('W', 'O') THEN {'e': e, 'i': ident, 't': type} END) OVER b AS far, last_value(CASE WHEN type = 'W' THEN orient END IGNORE NULLS) OVER b AS lf, first_value(CASE WHEN type = 'W' THEN orient END IGNORE NULLS) OVER (PARTITION BY objname ORDER BY s, e, coalesce(ident, '') ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rt,
+          lag(type) OVER (PARTITION BY objname ORDER BY s, e, coalesce(ident, '')) AS pv, lead(type) OVER (PARTITION BY objname ORDER BY s, e, coalesce(ident, '')) AS nx, coalesce(sum(CASE WHEN type = 'U' THEN 100 - (e - s + 1) ELSE 0 END) OVER b, 0)::BIGINT AS shift
+          FROM r WINDOW b AS (PARTITION BY objname ORDER BY s, e, coalesce(ident, '') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        o AS (SELECT *, CASE WHEN lf = rt THEN lf WHEN rt IS NULL OR nx = 'U' THEN lf WHEN lf IS NULL OR pv = 'U' THEN rt END AS side, type IN ('W', 'O') AND (type = 'O' OR far.t = 'O') AS mx FROM w)
+        SELECT objname, s + shift AS start, CASE WHEN type = 'U' THEN s + 99 ELSE e END + shift AS "end", type, ident, cstart, cend,
+        CASE WHEN type = 'O' THEN coalesce(CASE WHEN orient <> 'REV' THEN side WHEN side = '+' THEN '-' WHEN side = '-' THEN '+' END, 'ERROR') ELSE orient END AS orient,
+        CASE WHEN mx AND far.e > e THEN 'CONTAINED' || chr(9) || far.i WHEN mx AND far.e > s THEN 'CONTAINED TURNOUT' || chr(9) || far.i END AS status FROM o"""),
 }

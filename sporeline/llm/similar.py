@@ -5,13 +5,14 @@ band form a bucket. A bucket's members are not paired with each other: they are
 paired with one hub, the node whose buckets are largest, which of many near
 copies is the one that most resemble. Pairs are verified exactly, and links
 become classes. A bucket whose members other than the hub are in one class is
-closed, for no link in it can change a class. What is left in open buckets is
-signed anew with more rows a band, so that a bucket of texts that only share a
-passage falls apart and those that resemble each other stay together, and goes
-through the same round. Buckets still open at the last level have their hub
-retired and the next ones tried, GROWTH times as many in each round, against
-members of other classes only, until every bucket is closed: there every pair
-of different classes is a candidate of long bands, and is verified.
+closed, for no link in it can change a class. In an open one the hub is retired.
+Open buckets of up to SMALL members go on as they are. The members of larger
+ones are signed anew with more rows a band, so that a bucket of texts that
+only share a passage falls apart and those that resemble each other stay
+together, and go through the same round. After the last level the next hubs
+are tried, GROWTH times as many in each round, against members of other classes
+only, until every bucket is closed: then every pair of different classes that
+shares a small bucket, or one of the longest bands, has been verified.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from sporeline.operators.graph import connected_components
 
 #: Hubs of a bucket in the first round of the last level, second, ...: 1, GROWTH, GROWTH ** 2, ...
 GROWTH = 64
+#: Members of an open bucket that is not split by longer bands.
+SMALL = 16
 
 
 def fingerprint(text: Column) -> Column:
@@ -67,8 +70,9 @@ def linked_classes(bands: DataFrame, bodies: DataFrame, sign: list[Callable], si
         rest = members.join(hubs.select("band", "fp"), ["band", "fp"], "left_anti").join(classes, "fp")
         mixed = _mixed(rest.select("band", F.xxhash64("class").alias("of")))
         if level < len(sign):
-            left = rest.join(mixed, "band", "left_semi").select("fp", F.xxhash64("class").alias("of")).distinct()
-            following = materialize(_signed(left.join(bodies, "fp"), sign[level]))
+            left = rest.join(mixed.where(F.col("n") > SMALL), "band", "left_semi").select("fp", F.xxhash64("class").alias("of")).distinct()
+            kept = rest.join(mixed.where(F.col("n") <= SMALL), "band", "left_semi").select("band", "fp", "weight")
+            following = materialize(kept.unionByName(_signed(left.join(bodies, "fp"), sign[level])))
             level += 1
         else:
             following = materialize(rest.join(mixed, "band", "left_semi").select("band", "fp", "weight"))

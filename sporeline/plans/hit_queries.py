@@ -203,7 +203,7 @@ SQL = {
     ),
     "h12_chimera_by_spans": with_views(
         "hits",
-        "WITH src AS (SELECT subject_id AS query_id, q_start AS s, q_start + 12 AS e FROM hits)," + _ISL.format(src="src", k="query_id", s="s", e="e", adj=0)
+        "WITH src AS (SELECT subject_id AS query_id, q_start AS s, q_start + 12 AS e FROM hits WHERE length >= 100)," + _ISL.format(src="src", k="query_id", s="s", e="e", adj=0)
         + """, sp AS (SELECT query_id, g, min(s) AS s, max(e) AS e, count(*) AS n FROM grp GROUP BY ALL),
         w AS (SELECT *, lag(e) OVER (PARTITION BY query_id ORDER BY s) AS le, lag(n) OVER (PARTITION BY query_id ORDER BY s) AS ln FROM sp)
         SELECT query_id, le AS left_end, s AS right_start FROM w WHERE n >= 2 AND ln >= 2 AND s - le < 20""",

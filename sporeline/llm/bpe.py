@@ -171,7 +171,11 @@ def digest(ids):
 
 
 def op3_bpe_tree(spark, sf_dir: str) -> DataFrame:
-    """The contract's columns for every row of ``documents``."""
+    """The contract's columns for every row of ``documents``.
+
+    Nulls, empty and very long texts, repeated rows, further columns and empty
+    tables are taken as ``encode`` says.
+    """
     import public_tokenizers
 
     shared = vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -220,6 +220,10 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
 
 
 def op6_cgk_decontamination(spark, sf_dir: str) -> DataFrame:
-    """Every (document, benchmark item) pair found: doc_id, item_id, distance, n_words."""
+    """Every (document, benchmark item) pair found: doc_id, item_id, distance, n_words.
+
+    Nulls, empty and very long texts, repeated rows, further columns and empty
+    tables are taken as ``contaminated`` says.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -245,7 +245,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op4_bootstrapped_pii(spark, sf_dir: str) -> DataFrame:
-    """The contract's columns for every row of ``documents``; counts are of base spans."""
+    """The contract's columns for every row of ``documents``; counts are of base spans.
+
+    Nulls, empty and very long texts, repeated rows, further columns and empty
+    tables are taken as ``personal_data`` says.
+    """
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     names = F.array(*[F.lit(k) for k in KINDS])
     written = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")

@@ -156,7 +156,11 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """The contract's columns for every row of ``documents``."""
+    """The contract's columns for every row of ``documents``.
+
+    Nulls, empty and very long texts, repeated rows, further columns and empty
+    tables are taken as ``quality`` says.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality(docs).select("doc_id", *[F.col("quality")[n].alias(n) for n in names])

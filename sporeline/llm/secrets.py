@@ -171,6 +171,9 @@ def op5_secret_ledger(spark, sf_dir: str) -> DataFrame:
 
     The documents of half of the sources are the first delivery to an empty
     ledger, the others the second, of which only unseen blobs are scanned.
+
+    Nulls, empty and very long texts, repeated rows, further columns and empty
+    tables are taken as ``scan_secrets`` says.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     found = scan_secrets(docs, source_col="source").select("doc_id", "blob", "findings")

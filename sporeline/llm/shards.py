@@ -64,7 +64,11 @@ def proportional_shards(docs: DataFrame, n_shards: int, seed: int = 17, id_col:
 
 
 def op1_interleaved_shards(spark, sf_dir: str) -> DataFrame:
-    """The contract's columns for every row of ``documents``, law ``rows``, 24 shards."""
+    """The contract's columns for every row of ``documents``, law ``rows``, 24 shards.
+
+    Nulls, empty and very long texts, repeated rows, further columns and empty
+    tables are taken as ``proportional_shards`` says.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", "source",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),

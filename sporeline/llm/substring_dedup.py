@@ -293,5 +293,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op8_paragraph_minhash(spark, sf_dir: str) -> DataFrame:
-    """Every paragraph of ``documents`` that stands in two documents or more: doc_id, unit, paragraph, n_words, class, keep."""
+    """Every paragraph of ``documents`` that stands in two documents or more: doc_id, unit, paragraph, n_words, class, keep.
+
+    Nulls, empty and very long texts, repeated rows, further columns and empty
+    tables are taken as ``repeated_paragraphs`` says.
+    """
     return repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"))

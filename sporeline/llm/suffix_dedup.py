@@ -210,6 +210,10 @@ def _word_count(text) -> "F.Column":
 
 
 def op2_sparse_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Repeated passages of all ``documents``: doc_id, start_word, end_word, n_words."""
+    """Repeated passages of all ``documents``: doc_id, start_word, end_word, n_words.
+
+    Nulls, empty and very long texts, repeated rows, further columns and empty
+    tables are taken as ``repeated_passages`` says.
+    """
     found = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.withColumn("n_words", F.col("end_word") - F.col("start_word"))

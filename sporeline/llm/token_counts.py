@@ -41,8 +41,9 @@ def word_count(text: Column) -> Column:
 def measured(docs: DataFrame, counters: dict, text_col: str = "text", also: dict | None = None) -> DataFrame:
     """(source, lang, counts, one column for each of ``also``): each row's tokens by counter, in their order.
 
-    Null and empty texts have no tokens. Rows are counted here once and can be
-    summed many times.
+    Null and empty texts have no tokens, long ones are counted whole. Repeated
+    rows each get a row, other columns are not used, and an empty table gives
+    an empty one. Rows are counted here once and can be summed many times.
     """
     counts = F.array(*[F.coalesce(c(F.col(text_col)), F.lit(0)).cast("long") for c in counters.values()])
     return docs.select("source", "lang", counts.alias("counts"), *[v.alias(k) for k, v in (also or {}).items()])
@@ -107,6 +108,9 @@ def op7_token_rollups(spark, sf_dir: str) -> DataFrame:
 
     Batch 1 inserts every document, batch 2 deletes every copy of a text but
     the one of least doc_id, and batch 1 is delivered again, to no effect.
+
+    Nulls, empty and very long texts, repeated rows, further columns and empty
+    tables are taken as ``measured`` says.
     """
     import uuid
 

@@ -327,3 +327,39 @@ def test_prune_by_overlaps(spark, strains):
         sliced.setdefault(r.family, {})[r.member] = r.seq
     for f, rows in sliced.items():
         assert set(rows) <= got[f] and len({len(s) for s in rows.values()}) == 1
+
+
+def test_feature_table(spark):
+    import re
+
+    described = {r.subject_id[1:]: r.description for r in view(spark, FOLDER, "subjects").collect()}
+    genes = {}
+    for r in view(spark, FOLDER, "hits").collect():
+        genes.setdefault(r.query_id, set()).add(("CDS" if r.mismatches == 2 else "exon", r.q_start, r.q_end))
+    want = set()
+    for g, parts in genes.items():
+        minus = int(g[1:]) % 2 == 0
+        ends = lambda a, b, m=minus: (b, a) if m else (a, b)
+        first, last = ends(min(p[1] for p in parts), max(p[2] for p in parts))
+        want.add((g, "", 0, 0, f"{first}\t{last}\tgene"))
+        m = f"{g}.1"
+        for kind, k, name in (("exon", 1, "mRNA"), ("CDS", 3, "CDS")):
+            mine = sorted((p for p in parts if p[0] == kind), key=lambda p: -p[1] if minus else p[1])
+            assert len({p[1] for p in mine}) == len(mine) or kind == "exon"
+            for i, (_, a, b) in enumerate(mine):
+                a, b = ends(a, b)
+                want.add((g, m, k, i, f"{'<' if kind == 'CDS' and i == 0 else ''}{a}\t{b}" + (f"\t{name}" if i == 0 else "")))
+        text = described.get(g[1:])
+        quals = [("protein_id", f"gnl|WGS:X|{g}.x.1"), ("transcript_id", f"gnl|WGS:X|mRNA:{g}.x.1")]
+        if text is not None:
+            tokens = re.findall(r"\w+|\W+", f"{text} Unknown Protein (EC 1.2.3) ".strip())
+            low = [t.lower() if re.search("[A-Z][a-z]{2,}", t) else t for t in tokens]
+            clean = "".join({"unknown": "hypothetical", "probable": "putative", "possible": "putative", "predicted": "putative", "potential": "putative"}.get(t, t) for t in low)
+            quals += [("product", clean.replace(" (EC 1.2.3)", "").strip()), ("db_xref", "InterPro:IPR000001"), ("inference", "protein motif:InterPro:IPR000001"), ("note", "similar to Q9X")]
+        quals += [("go_process", "growth|0001||ISS"), ("db_xref", "X:1")]
+        for k, more in ((2, []), (4, [("EC_number", "1.2.3")] if text is not None else [])):
+            want |= {(g, m, k, i, f"\t\t\t{a}\t{b}") for i, (a, b) in enumerate(quals + more)}
+    # of two exons with one start either may come first
+    got = {tuple(r) for r in query(spark, "i20_feature_table")}
+    loose = lambda rows: {(g, m, k, i if k != 1 else -1, v.removesuffix("\tmRNA") if k == 1 else v) for g, m, k, i, v in rows}
+    assert loose(got) == loose(want)

@@ -34,10 +34,10 @@ MIN_WORDS = 8
 #: Passages: words, places of which one at least is chosen, and the least number of different shingles.
 PIECE, GAP, LEAST_SHINGLES = 16, 35, 8
 #: (bands, rows a band) of each level. A pair at the threshold shares a band with probability
-#: 1 - (1 - 0.8) ** 3 = 0.992 and, in large buckets that stay open, 1 - (1 - 0.8 ** 9) ** 28 = 0.982, then
-#: 1 - (1 - 0.8 ** 20) ** 200 = 0.90. Passages are of one size, so the next similarity under 1 is 11 / 13,
+#: 1 - (1 - 0.8) ** 3 = 0.992 and, in large buckets that stay open,
+#: 1 - (1 - 0.8 ** 14) ** 64 = 0.944. Passages are of one size, so the next similarity under 1 is 11 / 13,
 #: which two bands catch with probability 0.976.
-LEVELS = ((3, 1), (28, 9), (200, 20))
+LEVELS = ((3, 1), (64, 14))
 PASSAGE_BANDS = 2
 LINE, PASSAGE = 0, 1
 UNITS = ("line", "passage")
@@ -277,7 +277,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pd.DataFrame({"fp": batch["fp"], "bands": first(batch["body"].tolist())})
 
-    classes = linked_classes(nodes.mapInPandas(banded, "fp binary, bands array<long>"), nodes, [signer(1), signer(2)], similar_sets)
+    classes = linked_classes(nodes.mapInPandas(banded, "fp binary, bands array<long>"), nodes, [signer(1)], similar_sets)
     each = left.unionByName(fetched.select(*place)).distinct()
     each = each.select(_name("t_hi", "t_lo").alias("name"), "kind", "number", "n_words", _name("hi", "lo").alias("fp"))
     rows = each.join(slim, "name").join(classes, "fp", "left").withColumn("class", F.coalesce("class", "fp"))

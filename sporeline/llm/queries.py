@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sporeline.llm import bpe, decontam, near_dedup, pii, quality, secrets, shards, substring_dedup, suffix_dedup, token_counts
+from sporeline.llm import bpe, decontam, near_dedup, pii, quality, resampling, secrets, shards, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_interleaved_shards": shards.op1_interleaved_shards,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_paragraph_minhash": substring_dedup.op8_paragraph_minhash,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op12_target_resampling": resampling.op12_target_resampling,
 }
 
 SQL = {
     "op1_interleaved_shards": shards.OP1_SQL,
     "op5_secret_ledger": secrets.OP5_SQL,
     "op9_quality_rules": quality.OP9_SQL,
+    "op12_target_resampling": resampling.OP12_SQL,
 }

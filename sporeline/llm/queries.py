@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sporeline.llm import bpe, decontam, near_dedup, pii, quality, resampling, secrets, shards, substring_dedup, suffix_dedup, token_counts
+from sporeline.llm import bpe, conversation_repair, decontam, near_dedup, pii, quality, resampling, secrets, shards, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_interleaved_shards": shards.op1_interleaved_shards,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op12_target_resampling": resampling.op12_target_resampling,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op5_secret_ledger": secrets.OP5_SQL,
     "op9_quality_rules": quality.OP9_SQL,
     "op12_target_resampling": resampling.OP12_SQL,
+    "op13_conversation_repair": conversation_repair.OP13_SQL,
 }

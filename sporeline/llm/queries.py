@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sporeline.llm import bpe, conversation_repair, decontam, near_dedup, pii, quality, resampling, secrets, shards, substring_dedup, suffix_dedup, token_counts
+from sporeline.llm import bpe, conversation_repair, decontam, near_dedup, pii, quality, resampling, secrets, shards, substring_dedup, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_interleaved_shards": shards.op1_interleaved_shards,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_paragraph_minhash": substring_dedup.op8_paragraph_minhash,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_token_files": token_files.op11_token_files,
     "op12_target_resampling": resampling.op12_target_resampling,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }

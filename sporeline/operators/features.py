@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sporeline.functions.bases import peptide, reverse_complement
+from sporeline.functions.bases import peptide
+from sporeline.operators import chunks as C
 
 
 def marker_conflicts(genome: DataFrame, maps: DataFrame) -> DataFrame:
@@ -121,13 +122,8 @@ def add_functions(genes: DataFrame, specific: DataFrame, general: DataFrame, not
 
 
 def spliced_sequences(features: DataFrame, seqs: DataFrame, kind: str = "CDS") -> DataFrame:
-    """(parent, seq, regions): pieces of each mRNA cut, put together in order, reverse-complemented on the minus strand."""
-    pieces = features.where(F.col("type") == kind).join(seqs.select(F.col("id").alias("seqid"), "seq"), "seqid")
-    cut = F.expr("substring(seq, cast(start as int), cast(end - start + 1 as int))")
-    per = pieces.groupBy("parent", "strand").agg(F.array_sort(F.collect_list(F.struct("start", "end", cut.alias("piece")))).alias("p"))
-    whole = F.array_join(F.col("p.piece"), "")
-    regions = F.array_join(F.transform("p", lambda x: F.concat_ws("..", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return per.select("parent", F.when(F.col("strand") == "-", reverse_complement(whole)).otherwise(whole).alias("seq"), regions.alias("regions"))
+    """(parent, seq, regions): pieces of each mRNA cut, put together in order, reverse-complemented on the minus strand. Ids of sequences are unique."""
+    return C.spliced(features, C.chunked(seqs), kind)
 
 
 def spliced_proteins(features: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -190,19 +186,22 @@ def trim_models(features: DataFrame, trims: DataFrame) -> DataFrame:
 
 
 def move_features(features: DataFrame, moves: DataFrame) -> DataFrame:
-    """Features shifted by the edits of their sequence in order: (seqid, ord, loc, shift), shift > 0 inserts after loc, < 0 deletes from loc.
+    """Features shifted by the edits of their sequence in order: (seqid, ord, loc, shift), as Q13 applies them.
 
-    ``valid`` is false where an edit falls inside the feature or deletes an end.
+    An insert before a feature's first base or further up shifts it, one inside
+    makes it longer and invalid. A deletion whose last base is not beyond the
+    feature's first shifts it, one that reaches it otherwise makes it invalid.
     """
     listed = moves.groupBy("seqid").agg(F.array_sort(F.collect_list(F.struct("ord", "loc", "shift"))).alias("_m"))
     zero = F.struct(F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), F.lit(True).alias("ok"))
 
     def step(acc: Column, m: Column) -> Column:
-        last = F.when(m["shift"] < 0, m["loc"] - m["shift"] - 1).otherwise(m["loc"])
-        before, after = acc["e"] < m["loc"], acc["s"] > last
-        s = F.when(after, acc["s"] + m["shift"]).otherwise(acc["s"])
-        e = F.when(after, acc["e"] + m["shift"]).otherwise(acc["e"])
-        return F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"), (acc["ok"] & (before | after)).alias("ok"))
+        grows = m["shift"] > 0
+        up = F.when(grows, m["loc"] <= acc["s"]).otherwise(m["loc"] - 1 <= acc["s"])
+        below = F.when(grows, m["loc"] > acc["e"]).otherwise(m["loc"] + m["shift"] > acc["e"])
+        s = F.when(up, acc["s"] + m["shift"]).otherwise(acc["s"])
+        e = F.when(up | (grows & ~below), acc["e"] + m["shift"]).otherwise(acc["e"])
+        return F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"), (acc["ok"] & (up | below | (m["shift"] == 0))).alias("ok"))
 
     empty = F.array().cast("array<struct<ord:bigint,loc:bigint,shift:bigint>>")
     listed = listed.withColumn("_m", F.col("_m").cast("array<struct<ord:bigint,loc:bigint,shift:bigint>>"))

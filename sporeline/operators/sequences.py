@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sporeline.functions.bases import peptide, reverse_complement
 from sporeline.functions.numbering import numbered
+from sporeline.operators import chunks as C
 
 
 def seq_lengths(seqs: DataFrame) -> DataFrame:
@@ -58,11 +59,9 @@ def edit_records(seqs: DataFrame, id: Callable | None = None, descr: Callable |
 
 
 def subsequence(seqs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Q8: (id:start-end, seq) for ranges (id, start, end), closed and 1-based; start > end takes the reverse complement."""
-    j = ranges.join(seqs.select("id", "seq"), "id")
-    cut = F.expr("substring(seq, cast(least(start, end) as int), cast(abs(end - start) + 1 as int))")
+    """Q8: (id:start-end, seq) for ranges (id, start, end), closed and 1-based; start > end takes the reverse complement. Ids are unique."""
     name = F.concat("id", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
-    return j.select(name.alias("id"), F.when(F.col("start") > F.col("end"), reverse_complement(cut)).otherwise(cut).alias("seq"))
+    return C.cut_whole(C.chunked(seqs), ranges.select("id", "start", "end"), []).select(name.alias("id"), "seq")
 
 
 def extract_seqs(seqs: DataFrame, ids: DataFrame | None = None, min_len: int | None = None, pattern: str | None = None, invert: bool = False) -> DataFrame:
@@ -87,30 +86,20 @@ def renumber_ids(seqs: DataFrame, root: str, width: int = 4) -> DataFrame:
 
 
 def apply_snps(seqs: DataFrame, snps: DataFrame, strict: bool = False) -> DataFrame:
-    """Q11: (id, seq, applied, rejected): bases replaced at (id, pos, ref, alt); strict skips places whose base is not ref."""
-    listed = snps.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "ref", "alt"))).alias("_s"))
-    zero = F.struct(F.col("seq").alias("seq"), F.lit(0).alias("ok"), F.lit(0).alias("bad"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fits = (F.substring(acc["seq"], s["pos"].cast("int"), F.lit(1)) == s["ref"]) if strict else (s["pos"] <= F.length(acc["seq"]))
-        done = F.overlay(acc["seq"], s["alt"], s["pos"].cast("int"), F.lit(1))
-        return F.struct(F.when(fits, done).otherwise(acc["seq"]).alias("seq"), (acc["ok"] + fits.cast("int")).alias("ok"), (acc["bad"] + (~fits).cast("int")).alias("bad"))
-
-    j = seqs.join(listed, "id", "left").withColumn("_t", F.coalesce(F.aggregate("_s", zero, step), zero))
-    return j.select("id", F.col("_t.seq").alias("seq"), F.col("_t.ok").alias("applied"), F.col("_t.bad").alias("rejected"))
+    """Q11: (id, seq, applied, rejected): bases replaced at (id, pos, ref, alt); strict skips places whose base is not ref. See ``chunks.apply_snps``."""
+    done = C.apply_snps(C.chunked(seqs), snps, strict)
+    counts = done.groupBy("id").agg(*[F.sum(c).cast("int").alias(c) for c in ("applied", "rejected")])
+    return C.whole(done, ["id"]).join(counts, "id")
 
 
 def mask_regions(seqs: DataFrame, regions: DataFrame, base: str = "N") -> DataFrame:
-    """Q12: sequences with regions (id, start, end) overwritten; regions are clamped to the sequence."""
-    listed = regions.groupBy("id").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"))).alias("_r"))
+    """Q12: sequences with regions (id, start, end) overwritten; regions are clamped to the sequence. Ids are unique."""
+    return _changed(seqs, C.mask_regions(C.chunked(seqs), regions, base))
 
-    def step(acc: Column, r: Column) -> Column:
-        s, e = F.greatest(r["s"], F.lit(1)), F.least(r["e"], F.length(acc))
-        return F.when(s <= e, F.overlay(acc, F.repeat(F.lit(base), e - s + 1), s, e - s + 1)).otherwise(acc)
 
-    j = seqs.join(listed, "id", "left")
-    masked = F.when(F.col("_r").isNotNull(), F.aggregate("_r", F.col("seq"), step)).otherwise(F.col("seq"))
-    return j.withColumn("seq", masked).select(*seqs.columns)
+def _changed(seqs: DataFrame, made: DataFrame) -> DataFrame:
+    """``seqs`` with the sequences of a chunk table."""
+    return seqs.drop("seq").join(C.whole(made, ["id"]), "id").select(*seqs.columns)
 
 
 def features_outside(features: DataFrame, regions: DataFrame, width: int = 10_000) -> DataFrame:
@@ -128,17 +117,8 @@ def features_outside(features: DataFrame, regions: DataFrame, width: int = 10_00
 
 
 def apply_moves(seqs: DataFrame, moves: DataFrame) -> DataFrame:
-    """Q13: edits (id, ord, loc, shift) in order: shift > 0 inserts that many N after loc, < 0 deletes from loc."""
-    listed = moves.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "loc", "shift"))).alias("_m"))
-
-    def step(acc: Column, m: Column) -> Column:
-        loc, n = m["loc"].cast("int"), m["shift"].cast("int")
-        grown = F.concat(F.substring(acc, F.lit(1), loc), F.repeat(F.lit("N"), F.greatest(n, F.lit(0))), F.substring(acc, loc + 1, F.length(acc)))
-        cut = F.concat(F.substring(acc, F.lit(1), loc - 1), F.substring(acc, loc - n, F.length(acc)))
-        return F.when(n > 0, grown).otherwise(cut)
-
-    j = seqs.join(listed, "id", "left")
-    return j.withColumn("seq", F.when(F.col("_m").isNotNull(), F.aggregate("_m", F.col("seq"), step)).otherwise(F.col("seq"))).select(*seqs.columns)
+    """Q13: edits (id, ord, loc, shift) in order: shift > 0 inserts that many N before loc, < 0 deletes the bases before it. Ids are unique. See ``chunks.apply_moves``."""
+    return _changed(seqs, C.apply_moves(C.chunked(seqs), moves))
 
 
 def primers_to_fasta(primers: DataFrame) -> DataFrame:
@@ -185,12 +165,8 @@ def end_n_trims(seqs: DataFrame) -> DataFrame:
 
 
 def sequence_tags(features: DataFrame, seqs: DataFrame, half: int = 40) -> DataFrame:
-    """Q19: (id, side, tag): bases around each feature's start and end; the right clamp keeps length - 1."""
-    j = features.join(seqs.select(F.col("id").alias("ref"), "seq"), "ref")
-    rows = j.select("id", "seq", F.explode(F.array(F.struct(F.lit("start").alias("side"), F.col("start").alias("at")), F.struct(F.lit("end").alias("side"), F.col("end").alias("at")))).alias("x"))
-    lo = F.greatest(F.col("x.at") - half, F.lit(1))
-    hi = F.least(F.col("x.at") + half, F.length("seq") - 1)
-    return rows.select("id", F.col("x.side").alias("side"), F.substring("seq", lo.cast("int"), (hi - lo + 1).cast("int")).alias("tag"))
+    """Q19: (id, side, tag): 2 * half bases around each feature's start and end; the right clamp keeps length - 1. Ids of sequences are unique."""
+    return C.sequence_tags(features, C.chunked(seqs), half)
 
 
 def end_samples(seqs: DataFrame, size: int = 300) -> DataFrame:

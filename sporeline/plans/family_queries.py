@@ -299,8 +299,8 @@ _MOVED = with_views(
     "features marks",
     """WITH mv AS (SELECT ref, min(start) AS a, max(start) AS b FROM marks GROUP BY ref),
         x AS (SELECT id, f.ref, f.start AS s, f."end" AS e, a, b FROM features f LEFT JOIN mv USING (ref)),
-        y AS (SELECT id, ref, CASE WHEN s > a THEN s + 100 ELSE s END AS s, CASE WHEN s > a THEN e + 100 ELSE e END AS e, (a IS NULL OR e < a OR s > a) AS ok, b FROM x),
-        moved AS (SELECT id, ref AS seqid, CASE WHEN s > b + 49 THEN s - 50 ELSE s END AS start, CASE WHEN s > b + 49 THEN e - 50 ELSE e END AS "end", ok AND (b IS NULL OR e < b OR s > b + 49) AS valid FROM y) SELECT""",
+        y AS (SELECT id, ref, CASE WHEN a <= s THEN s + 100 ELSE s END AS s, CASE WHEN a <= e THEN e + 100 ELSE e END AS e, (a IS NULL OR a <= s OR a > e) AS ok, b FROM x),
+        moved AS (SELECT id, ref AS seqid, CASE WHEN b - 1 <= s THEN s - 50 ELSE s END AS start, CASE WHEN b - 1 <= s THEN e - 50 ELSE e END AS "end", ok AND (b IS NULL OR b - 1 <= s OR b - 50 > e) AS valid FROM y) SELECT""",
 )[5:].rsplit(" SELECT", 1)[0]
 
 SQL = {

@@ -184,14 +184,14 @@ SQL = {
     ),
     "q12_mask_regions": with_views("seqs", f"""WITH {_RG} SELECT s.id, md5(CASE WHEN start IS NULL THEN seq ELSE substr(seq, 1, least(start, "end") - 1) || repeat('N', abs("end" - start) + 1) || substr(seq, greatest(start, "end") + 1) END) AS md5 FROM seqs s LEFT JOIN rg USING (id)"""),
     "q12_features_outside": with_views("features marks", """SELECT id FROM features f WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.ref = f.ref AND (f.start BETWEEN m.start AND m."end" OR f."end" BETWEEN m.start AND m."end"))"""),
-    "q13_apply_moves": with_views("seqs", f"WITH {_RG}, g AS (SELECT id, substr(seq, 1, 10) || 'NNNNN' || substr(seq, 11) AS s FROM seqs WHERE id IN (SELECT id FROM rg)) SELECT q.id, md5(coalesce(substr(s, 1, 19) || substr(s, 27), seq)) AS md5 FROM seqs q LEFT JOIN g USING (id)"),
+    "q13_apply_moves": with_views("seqs", f"WITH {_RG}, g AS (SELECT id, substr(seq, 1, 9) || 'NNNNN' || substr(seq, 10) AS s FROM seqs WHERE id IN (SELECT id FROM rg)) SELECT q.id, md5(coalesce(substr(s, 1, 12) || substr(s, 20), seq)) AS md5 FROM seqs q LEFT JOIN g USING (id)"),
     "q14_primers": with_views("seqs", "SELECT id, CASE WHEN line_no % 3 > 0 AND length(seq) > 0 THEN substr(seq, 1, 20) || repeat('n', 20) || right(seq, 20) ELSE substr(seq, 1, 20) END AS seq FROM seqs"),
     "q15_ungap": with_views("aligned", "SELECT family, member, regexp_replace(seq, '[-.]', '', 'g') AS seq FROM aligned"),
     "q16_read_quality": with_views("seqs", f"SELECT id, length(seq) AS length, {_N.format('seq', 'N')} AS n_count, {_q16(15)}, {_q16(20)}, {_q16(25)} FROM seqs WHERE length(seq) > 0"),
     "q17_pair_quality": with_views("seqs", """WITH p AS (SELECT id AS pair, line_no * 37 % 101 >= 60 AS a, CASE WHEN line_no % 5 > 0 THEN line_no * 53 % 101 >= 60 END AS b FROM seqs)
         SELECT pair, CASE WHEN b IS NULL THEN 'ABSENT' WHEN a AND b THEN 'BOTH POOR' WHEN a THEN 'PAIR1 POOR' WHEN b THEN 'PAIR2 POOR' ELSE 'GOOD' END AS tag FROM p"""),
     "q18_end_n_trims": with_views("seqs", "SELECT id, length(regexp_extract(seq, '^(N*)', 1)) AS leading, length(regexp_extract(seq, '(N*)$', 1)) AS trailing FROM seqs"),
-    "q19_sequence_tags": with_views("seqs", f"""WITH {_RG}, u AS (SELECT id, 'start' AS side, start AS a FROM rg UNION ALL SELECT id, 'end', "end" FROM rg) SELECT 'f' || u.id AS id, side, substr(seq, greatest(a - 40, 1), least(a + 40, length(seq) - 1) - greatest(a - 40, 1) + 1) AS tag FROM u JOIN seqs USING (id)"""),
+    "q19_sequence_tags": with_views("seqs", f"""WITH {_RG}, u AS (SELECT id, 'start' AS side, start AS a FROM rg UNION ALL SELECT id, 'end', "end" FROM rg) SELECT 'f' || u.id AS id, side, substr(seq, greatest(a - 40, 1), least(a + 39, length(seq) - 1) - greatest(a - 41, 0)) AS tag FROM u JOIN seqs USING (id)"""),
     "q23_end_samples": with_views("seqs", "WITH n AS (SELECT *, (CASE WHEN length(seq) < 600 THEN length(seq) // 2 ELSE 300 END)::BIGINT AS n FROM seqs WHERE length(seq) > 300) SELECT id || ':5' AS id, md5(substr(seq, 1, n)) AS md5 FROM n UNION ALL SELECT id || ':3', md5(substr(seq, length(seq) - n + 1, n)) FROM n"),
     "q24_mask_percent": with_views("seqs", f"SELECT id, round(100.0::DOUBLE * ({_N.format('seq', 'N')}) / length(seq), 2) AS percent_n, round(100.0::DOUBLE * ({_N.format('seq', 'N')}) / length(seq), 2) > 20 AS removed FROM seqs WHERE length(seq) > 0"),
     "q24_tag_masked": with_views("seqs", f"""WITH p AS (SELECT id, line_no % 3 AS k, CASE WHEN length(seq) > 0 THEN round(100.0::DOUBLE * ({_N.format('seq', 'N')}) / length(seq), 2) END AS n FROM seqs)

@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -36,11 +38,11 @@ from sporeline.functions.storage import discard, materialize, shared_dir
 MAGIC, VERSION = b"TOKZ", 1
 HEAD, TAIL = struct.Struct("<4sBBHII32s"), struct.Struct("<QQI4s")
 #: Bytes of frames in a file, about; and of one batch of rows that a reader hands on.
-FILE_BYTES, BATCH_BYTES = 16 << 20, 4 << 20
+FILE_BYTES, BATCH_BYTES = 8 << 20, 4 << 20
 #: The dictionary's sample: documents, expected; letters of each; bytes of the dictionary.
 SAMPLE, SAMPLE_LETTERS, DICTIONARY_BYTES = 2000, 8192, 1 << 16
-#: Words that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 500_000, 64
+#: Words that a worker remembers, about 200 bytes each, and the longest of them; letters of texts split at once; new words in one call.
+REMEMBERED, LONGEST, TEXTS_AT_ONCE, PER_CALL = 500_000, 64, 1 << 20, 1000
 #: Totals of so many files are broadcast, at 24 bytes each; more are joined by a shuffle.
 FILES_BROADCAST = 500_000
 
@@ -48,9 +50,13 @@ FILES_BROADCAST = 500_000
 class WordCodec:
     """A tokenizer whose tokens neither hold white space nor look across it: words are encoded once and remembered.
 
-    The words of a batch that are new are encoded in one call, parted by a
-    character that is a token of its own. Where the library writes capitals
-    small, texts that are all ASCII are written small first.
+    A word of small Latin letters passes the library's normaliser and
+    pre-tokenizer unchanged but for the bytes' names, which are looked up
+    letter by letter, and goes to its model at once; a point or comma after
+    such a word is a token of its own. Other new words are encoded in one
+    call, parted by a character that is a token of its own. Where the library
+    writes capitals small, texts of Latin-1 alone, whose letters are neither
+    joined nor parted by that, are written small first.
     """
 
     def __init__(self, model: bytes):
@@ -59,39 +65,88 @@ class WordCodec:
 
         self.tokenizer = Tokenizer.from_str(model.decode())
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        normal = self.tokenizer.normalizer
+        self.pack = struct.Struct("<H" if self.kind.itemsize == 2 else "<I").pack
+        normal, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        same = lambda c: normal is None or normal.normalize_str(c) == c
         self.small = normal is not None and normal.normalize_str("AZ") == "az"
-        mark = self._encode(["\0"])[0]
+        named = {c: split.pre_tokenize_str(c) for c in map(chr, range(0x61, 0x250)) if c.isalpha() and same(c)} if split is not None else {}
+        self.names = {ord(c): p[0][0] for c, p in named.items() if len(p) == 1}
+        self.plain = all(self.names.get(c) == chr(c) for c in range(0x61, 0x7B))
+        self.latin = re.compile(f"[{''.join(map(chr, self.names))}]+" if self.names else "(?!)").fullmatch
+        mark = self._ids("\0")
         self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[str, bytes] = {"": b""}
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _small_latin(self, word: str) -> bool:
+        if word.isascii():
+            return self.plain and word.isalpha() and word.islower()
+        return self.latin(word) is not None
+
+    def _word(self, word: str) -> bytes:
+        pack = self.pack
+        return b"".join([pack(t.id) for t in self.model.tokenize(word if word.isascii() else word.translate(self.names))])
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "\0" not in w] if self.mark is not None else []
-        rest = words if self.mark is None else [w for w in words if "\0" in w]
-        if plain:
-            ids = np.array(self._encode([" \0 ".join(plain)])[0], self.kind)
-            cut = np.flatnonzero(ids == self.mark) * ids.itemsize
-            raw, begins, ends = ids.tobytes(), [0, *(cut + ids.itemsize).tolist()], [*cut.tolist(), ids.nbytes]
-            self.known.update(zip(plain, (raw[a:b] for a, b in zip(begins, ends, strict=True)), strict=True))
-        self.known.update((w, np.array(x, self.kind).tobytes()) for w, x in zip(rest, self._encode(rest), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Serialised ids of each whole text."""
-        parts = [(t.lower() if self.small and t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*parts).difference(self.known))
-        self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        else:
-            for w in new:
-                if len(w) > LONGEST:
-                    del self.known[w]
-        return out
+        known, rest, latin = self.known, [], self._small_latin
+        point = {p: self._ids(p).tobytes() for p in ".,"}
+        for w in words:
+            if latin(w):
+                known[w] = self._word(w)
+            elif w[-1] in point and latin(w[:-1]):
+                known[w] = (known.get(w[:-1]) or self._word(w[:-1])) + point[w[-1]]
+            else:
+                rest.append(w)
+        marked = [] if self.mark is None else [w for w in rest if "\0" not in w]
+        for k in range(0, len(marked), PER_CALL):
+            part = marked[k : k + PER_CALL]
+            ids = self._ids(" \0 ".join(part))
+            raw, size, at = ids.tobytes(), ids.itemsize, np.flatnonzero(ids == self.mark)
+            begins, ends = [0, *((at + 1) * size).tolist()], [*(at * size).tolist(), len(raw)]
+            known.update(zip(part, (raw[a:b] for a, b in zip(begins, ends, strict=True)), strict=True))
+        for w in rest:
+            if w not in known:
+                known[w] = self._ids(w).tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Serialised ids of each whole text, some texts at a time."""
+        for some in _runs(texts, TEXTS_AT_ONCE):
+            parts = [(t.lower() if self.small and _narrow(t) else t).replace("\n", " ").split(" ") for t in some]
+            new = list(set().union(*parts).difference(self.known))
+            self._learn(new)
+            for p in parts:
+                yield b"".join(map(self.known.__getitem__, p))
+            if len(self.known) > REMEMBERED:
+                self.known = {"": b""}
+            elif max(map(len, new), default=0) > LONGEST:
+                for w in new:
+                    if len(w) > LONGEST:
+                        del self.known[w]
+
+
+def _narrow(text: str) -> bool:
+    """Whether all characters are of Latin-1."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
+def _runs(texts: list[str], letters: int) -> Iterator[list[str]]:
+    """Runs of texts of about so many letters; a longer text is a run of its own."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > letters:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
 
 
 _made: dict[int, WordCodec] = {}
@@ -149,8 +204,8 @@ def frames(docs: DataFrame, shared: Broadcast, dictionary: Broadcast, end_id: in
         made, packer = codec(shared), zstandard.ZstdCompressor(level=3, dict_data=_tools(dictionary.value))
         end = np.array([end_id], made.kind).tobytes()
         for texts in batches:
-            raw = [x + end for x in made.encode(_whole(texts))]
-            yield pd.DataFrame({"n": [len(x) // made.kind.itemsize for x in raw], "frame": [packer.compress(x) for x in raw]})
+            rows = [(len(x) // made.kind.itemsize + 1, packer.compress(x + end)) for x in made.encode(_whole(texts))]
+            yield pd.DataFrame(rows, columns=["n", "frame"]).astype({"n": "int64"})
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), packed(F.col(f"`{text_col}`")).alias("x"))
     return rows.select("id", "x.n", "x.frame")
@@ -206,10 +261,14 @@ def write_token_files(
     shared = model(spark, path)
     trained = train(docs, shared, end_id, id_col, text_col)
     dictionary, hashed = spark.sparkContext.broadcast(trained), hashlib.sha256(trained).digest()
-    encoded = materialize(frames(docs, shared, dictionary, end_id, id_col, text_col))
+    with _small_batches(spark):
+        encoded = materialize(frames(docs, shared, dictionary, end_id, id_col, text_col))
+
+    width = WordCodec(shared.value).kind.itemsize
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, number, width, rows, held = TaskContext.get().partitionId(), 0, codec(shared).kind.itemsize, [], 0
+        _made.clear()  # words are no longer needed
+        part, number, rows, held = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             for known, key, n, frame in zip(batch["known"], batch["id"], batch["n"], batch["frame"], strict=True):
                 rows.append((int(key) if known else None, int(n), bytes(frame)))
@@ -223,12 +282,24 @@ def write_token_files(
     # the place in the written table parts rows of one id, so no id is one range
     keyed = encoded.select(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"), "n", "frame", F.monotonically_increasing_id().alias("_at"))
     placed = keyed.repartitionByRange("known", "id", "_at").sortWithinPartitions("known", "id", "_at").drop("_at")
-    files = placed.mapInPandas(build, "file binary")
-    _write(files, f"{folder}/files")
+    with _small_batches(spark):
+        _write(placed.mapInPandas(build, "file binary"), f"{folder}/files")
     _write(spark.createDataFrame([(bytearray(trained),)], "file binary"), f"{folder}/dictionary")
     discard(encoded)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While texts and frames pass to Python, fewer rows at a time than Spark's 10,000: less memory beside each worker's words."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _write(files: DataFrame, folder: str) -> None:
     """One file for each row; the text writer takes bytes as they are and ends each file with a newline."""
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
@@ -247,6 +318,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     dictionary = _dictionary(spark, folder)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _made.clear()
         for batch in batches:
             for content in batch["content"]:
                 file = TokenFile(bytes(content), dictionary.value)

@@ -37,7 +37,7 @@ def test_words_equal_whole_texts(library, monkeypatch):
         monkeypatch.setattr(T, "REMEMBERED", limit)
         for k in range(0, len(texts), 500):
             mine = texts[k : k + 500]
-            for text, raw in zip(mine, made.encode([t or "" for t in mine]), strict=True):
+            for text, raw in zip(mine, list(made.encode([t or "" for t in mine])), strict=True):
                 assert [*np.frombuffer(raw, made.kind).tolist(), 1] == library(text), text
 
 

@@ -13,11 +13,12 @@ from pyspark.sql.types import StructType
 class Batches:
     """Rows of one schema, kept as committed batches.
 
-    A writer puts a batch's rows into a folder of its own and then creates the
-    batch's mark, a small file that names the folder, with the order not to
-    overwrite. The file system gives the mark to one writer, so of two writers
-    of a batch one wins, and a folder without a mark, left by a writer that
-    failed or lost, is never read. Marks are one small file a batch.
+    A writer puts a batch's rows into a folder of its own, writes a small file
+    that names the folder, and gives that file the batch's mark as its name,
+    with the order not to overwrite. The file system gives the mark to one
+    writer, whole, so of two writers of a batch one wins, and what a writer
+    that failed or lost has left is never read. Marks are one small file a
+    batch.
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema: str):
@@ -37,17 +38,31 @@ class Batches:
             return False
         name = uuid.uuid4().hex
         rows.write.parquet(f"{self.folder}/rows/{name}")
+        draft = self._path("drafts", name)
+        file = self.fs.create(draft, False)
+        file.write(bytearray(name.encode()))
+        file.close()
+        self.fs.mkdirs(mark.getParent())
         try:
-            file = self.fs.create(mark, False)
+            self._publish(draft, mark)
         except Exception:
             if not self.fs.exists(mark):
                 raise
             self.fs.delete(self._path("rows", name), True)
             return False
-        file.write(bytearray(name.encode()))
-        file.close()
+        finally:
+            self.fs.delete(draft, False)
         return True
 
+    def _publish(self, draft, mark) -> None:
+        """Give the draft the mark's name, unless that is taken: a link on a local disk, whose rename would overwrite, else a rename."""
+        jvm = self.spark._jvm
+        if self.fs.getScheme() == "file":
+            disk = lambda path: jvm.java.io.File(path.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(disk(mark), disk(draft))
+        elif not self.fs.rename(draft, mark):
+            raise FileExistsError(str(mark))
+
     def read(self) -> DataFrame:
         """Rows of all committed batches; an empty table before the first."""
         if not self.fs.exists(self._path("marks")):

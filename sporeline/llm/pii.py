@@ -27,8 +27,6 @@ from sporeline.functions.storage import discard, materialize
 from sporeline.llm.wordhash import U, chunks, mix, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds end sooner when no pattern is new; each one reaches a step further from the seeds.
-ROUNDS = 8
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.5
 #: Bits of the filter that spares most of the corpus's word pairs the count; 2 MB however many patterns there are.
@@ -205,7 +203,8 @@ def learn_patterns(edges: DataFrame, texts: DataFrame) -> DataFrame:
     graph = materialize(graph.join(likely, ["kind", "pattern"]))
     trusted = graph.where("seed").select("kind", "instance", F.lit(1.0).alias("trust")).distinct()
     active, before = None, -1
-    for _ in range(ROUNDS):
+    # trust only grows and patterns are finite; each round reaches a step further from the seeds
+    while True:
         last = active
         scored = graph.join(trusted, ["kind", "instance"]).groupBy("kind", "pattern").agg(
             (F.sum(F.col("n") * F.col("trust")) / F.first("total")).alias("confidence"), F.count("*").alias("support")

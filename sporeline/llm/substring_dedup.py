@@ -31,7 +31,8 @@ from sporeline.llm.wordhash import U, chunks, minimum_places, mix, seeded, word_
 WORDS = 5
 THRESHOLD = 0.8
 MIN_WORDS = 8
-#: Passages: words, places of which one at least is chosen, and the least number of different shingles.
+#: Passages: words, places of which one at least is chosen, and the least number of different shingles of one that can
+#: resemble another: with fewer (a few words over and over) only equal ones meet.
 PIECE, GAP, LEAST_SHINGLES = 16, 35, 8
 #: (bands, rows a band) of each level. A pair at the threshold shares a band with probability
 #: 1 - (1 - 0.8) ** 3 = 0.992 and, in large buckets that stay open,
@@ -39,8 +40,7 @@ PIECE, GAP, LEAST_SHINGLES = 16, 35, 8
 #: which two bands catch with probability 0.976.
 LEVELS = ((3, 1), (64, 14))
 PASSAGE_BANDS = 2
-LINE, PASSAGE = 0, 1
-UNITS = ("line", "passage")
+LINE, PASSAGE, MONOTONE = 0, 1, 2
 
 
 class Paragraphs:
@@ -65,8 +65,8 @@ class Paragraphs:
         place = minimum_places(middle | U(1), text_of, GAP, PIECE)
         width = PIECE - WORDS + 1
         grid = np.sort(self.shingles[place[:, None] + np.arange(width)], axis=1) if len(place) else np.zeros((0, width), dtype=U)
-        place = place[1 + (np.diff(grid, axis=1) != 0).sum(axis=1) >= LEAST_SHINGLES]
-        self.kind = np.repeat(np.array([LINE, PASSAGE]), [len(new), len(place)])
+        varied = 1 + (np.diff(grid, axis=1) != 0).sum(axis=1) >= LEAST_SHINGLES
+        self.kind = np.concatenate([np.full(len(new), LINE), np.where(varied, PASSAGE, MONOTONE)])
         self.text = np.concatenate([text_of[new], text_of[place]])
         self.begin = np.concatenate([new, place])
         self.n_words = np.concatenate([size, np.full(len(place), PIECE)])
@@ -86,7 +86,7 @@ class Paragraphs:
         # places count from the paragraph's start: a sum of word times odd power would need a pass a paragraph
         powers = seeded(at, seed)
         out = np.zeros(len(self.begin), dtype=U)
-        for kind in (LINE, PASSAGE):
+        for kind in (LINE, PASSAGE, MONOTONE):
             mine = np.flatnonzero(self.kind == kind)
             if len(mine):
                 begin, n = self.begin[mine], self.n_words[mine]
@@ -101,10 +101,11 @@ class Paragraphs:
         bands, owners = [], []
         for k in range(LEVELS[0][0]):
             low = self._spans(seeded(self.shingles, 100 + k), np.minimum, WORDS - 1, 2**64 - 1)
-            mine = np.flatnonzero((self.kind == LINE) | (k < PASSAGE_BANDS))
+            mine = np.flatnonzero((self.kind == LINE) | ((self.kind == PASSAGE) & (k < PASSAGE_BANDS)))
             bands.append(seeded(low[mine] + self.kind[mine].astype(U), 200 + k))
             owners.append(mine)
-        return np.concatenate(bands), np.concatenate(owners)
+        equal = np.flatnonzero(self.kind == MONOTONE)
+        return np.concatenate([*bands, seeded(self.hi[equal], 300)]), np.concatenate([*owners, equal])
 
 
 def shared_keys(bands: np.ndarray, owners: np.ndarray, names: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +164,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         halves, wanted, copied = _halves(batch["name"].tolist()), batch["wanted"].tolist(), batch["copied"].to_numpy()
         for at, raws in chunks(batch["text"].tolist(), 1 << 22):
             found = Paragraphs(raws)
-            packed = found.number * 2 + found.kind + (found.text.astype(np.int64) << 32)
+            packed = found.number * 4 + found.kind + (found.text.astype(np.int64) << 32)
             mine = [np.asarray(w, dtype=np.int64) + (i << 32) for i, w in enumerate(wanted[at : at + len(raws)])]
             body = np.isin(packed, np.concatenate(mine))
             o = np.flatnonzero(body | copied[at + found.text])
@@ -239,7 +240,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ``unit`` is "line" or "passage"; ``paragraph`` is the line's number or the
     passage's first word, both from 0. ``class`` is the least fingerprint of
-    its class in hex; lines and passages are never of one class. One row of
+    its class in hex; lines and passages are never of one class, and a passage
+    of fewer than LEAST_SHINGLES different shingles only with its equals. One row of
     each class has ``keep``, of its least (id, unit, paragraph). Lines of fewer
     than MIN_WORDS words, null and empty texts have no paragraphs, texts of
     fewer than PIECE + GAP - 1 words no passages. Words are runs of anything but
@@ -261,8 +263,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scanned = scanned.withColumns(dict(zip(("a", "b", "c", "d"), apart, strict=True)))
     left = materialize(scanned.where("sure OR a <> b OR c <> d").select(*place).distinct())
 
-    packed = (F.col("number").cast("long") * 2 + F.col("kind")).alias("at")
-    read = left.groupBy("hi", "lo").agg(F.min(F.struct("t_hi", "t_lo", packed)).alias("x")).select("x.*")
+    packed = (F.col("number").cast("long") * 4 + F.col("kind")).alias("at")
+    read = left.where(F.col("kind") != MONOTONE).groupBy("hi", "lo").agg(F.min(F.struct("t_hi", "t_lo", packed)).alias("x")).select("x.*")
     wanted = read.groupBy(_name("t_hi", "t_lo").alias("name")).agg(F.collect_list("at").alias("wanted"))
     empty = F.array().cast("array<bigint>")
     wanted = of_text.where("n > 1").select("name", F.lit(True).alias("copied")).join(wanted, "name", "full")
@@ -281,7 +283,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each = left.unionByName(fetched.select(*place)).distinct()
     each = each.select(_name("t_hi", "t_lo").alias("name"), "kind", "number", "n_words", _name("hi", "lo").alias("fp"))
     rows = each.join(slim, "name").join(classes, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
-    unit = F.when(F.col("kind") == LINE, UNITS[LINE]).otherwise(UNITS[PASSAGE])
+    unit = F.when(F.col("kind") == LINE, "line").otherwise("passage")
     rows = materialize(rows.select("id", "doc", unit.alias("unit"), F.col("number").alias("paragraph"), F.col("n_words").cast("long").alias("n_words"), "class"))
     # rows without an id come last; the text's name tells them apart
     order = F.struct(F.col("id").isNull().alias("none"), "id", "unit", "paragraph", "doc")

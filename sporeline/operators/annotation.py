@@ -15,7 +15,9 @@ def domains_to_go(domains: DataFrame, methods: list[str] | None = None, min_len:
         rows = rows.where(F.col("end") - F.col("start") >= min_len)
     if max_eval is not None:
         rows = rows.where(F.col("evalue") <= max_eval)
-    each = rows.select("id", F.explode(F.split("go", "; ")).alias("g"))
+    # terms are parted by commas too, but only before the name of an ontology, for descriptions hold commas
+    parted = F.regexp_replace("go", ", (Molecular Function|Biological Process|Cellular Component):", "; $1:")
+    each = rows.select("id", F.explode(F.split(parted, "; ")).alias("g"))
     pattern = r"^([^:]+): (.*) \((GO:\d+)\)$"
     terms = each.where(F.col("g").rlike(pattern)).select("id", *[F.regexp_extract("g", pattern, i).alias(n) for n, i in (("ontology", 1), ("go_id", 3), ("term", 2))]).distinct()
     if layout == "long":

@@ -103,13 +103,13 @@ def sequence_regions(declared: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def mark_partial(features: DataFrame, five: DataFrame, three: DataFrame) -> DataFrame:
-    """Genes and mRNAs whose id is in either list get a ``partial`` attribute with 5' and / or 3'."""
+    """Genes and mRNAs whose id is in either list get 5' and / or 3' added to their ``partial`` attribute."""
     gene = F.regexp_replace(F.element_at("attrs", "ID")[0], r"^(gene:|mRNA:)|(\.\d+)$", "")
     rows = features.withColumn("_id", gene)
     for name, ids in (("_5", five), ("_3", three)):
         rows = rows.join(ids.select(F.col("id").alias("_id"), F.lit(name[1] + "'").alias(name)).distinct(), "_id", "left")
     ends = F.array_compact(F.array("_5", "_3"))
-    marked = F.when(F.col("type").isin("gene", "mRNA") & (F.size(ends) > 0), F.map_concat(F.map_filter("attrs", lambda k, v: k != "partial"), F.create_map(F.lit("partial"), ends)))
+    marked = F.when(F.col("type").isin("gene", "mRNA") & (F.size(ends) > 0), F.map_concat(F.map_filter("attrs", lambda k, v: k != "partial"), F.create_map(F.lit("partial"), F.concat(F.coalesce(F.try_element_at("attrs", F.lit("partial")), F.array().cast("array<string>")), ends))))
     return rows.withColumn("attrs", F.coalesce(marked, "attrs")).select(*features.columns)
 
 
@@ -175,14 +175,14 @@ def rebuild_models(features: DataFrame) -> DataFrame:
 
 
 def trim_models(features: DataFrame, trims: DataFrame) -> DataFrame:
-    """Genes shrunk by (gene, five, three), five rounded up to a codon; children clamped, empty ones dropped."""
+    """Genes shrunk by (gene, five, three), five rounded up to a codon; children clamped, those of no more than one base dropped."""
     genes = features.where("type = 'gene'").join(trims, "gene", "left")
     five = F.ceil(F.coalesce("five", F.lit(0)) / 3) * 3
     three = F.coalesce("three", F.lit(0))
     minus = F.col("strand") == "-"
     spans = genes.select("gene", (F.col("start") + F.when(minus, three).otherwise(five)).alias("_s"), (F.col("end") - F.when(minus, five).otherwise(three)).alias("_e"))
     j = features.join(spans, "gene").withColumns({"start": F.greatest("start", "_s"), "end": F.least("end", "_e")})
-    return j.where("start <= end").select(*features.columns)
+    return j.where("start < end").select(*features.columns)
 
 
 def move_features(features: DataFrame, moves: DataFrame) -> DataFrame:
@@ -299,14 +299,14 @@ def feature_table(genes: DataFrame, mrnas: DataFrame, parts: DataFrame, go: Data
 
     ``genes`` has seqid, gene, strand, start, end; ``mrnas`` gene, mrna, name,
     strand, note, partial, terms; ``parts`` mrna, type (exon or CDS), start,
-    end. Pieces run along the strand; '<' and '>' mark partial coding ends.
+    end. Pieces run along the strand, by start, then end; '<' and '>' mark partial coding ends.
     """
     minus = F.col("strand") == "-"
     first, last = F.when(minus, F.col("end")).otherwise(F.col("start")), F.when(minus, F.col("start")).otherwise(F.col("end"))
     places = mrnas.join(genes.select("gene", "seqid"), "gene")
     head = genes.select("seqid", "gene", F.struct(F.lit("").alias("mrna"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("i")).alias("ord"), F.concat_ws("\t", first.cast("string"), last.cast("string"), F.lit("gene")).alias("value"))
     j = places.select("seqid", "gene", "mrna", "strand", "partial").join(parts, "mrna")
-    n = F.row_number().over(Window.partitionBy("mrna", "type").orderBy(F.when(minus, -F.col("start")).otherwise(F.col("start")))) - 1
+    n = F.row_number().over(Window.partitionBy("mrna", "type").orderBy(F.when(minus, -F.col("start")).otherwise(F.col("start")), F.when(minus, -F.col("end")).otherwise(F.col("end")))) - 1
     total = F.count("*").over(Window.partitionBy("mrna", "type"))
     j = j.withColumns({"_n": n.cast("long"), "_all": total})
     cds = F.col("type") == "CDS"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sporeline.functions.numbering import numbered
 from sporeline.functions.storage import discard, materialize
+from sporeline.operators.forests import nearest_greater, roots_of, rooted, spanning_forest, subtree_least
 
 
 def adjacency(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str = "weight", order: str = "line_no") -> DataFrame:
@@ -61,15 +62,31 @@ def _components_of(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.join(found.select(F.col("node").alias(a), "component"), a)
 
 
-def _bounded(rows: DataFrame, limit: int) -> DataFrame:
-    """Fails when a component has more rows than one task may take: such rules need tighter thresholds, not cut groups."""
-    largest = rows.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    if largest > limit:
-        raise ValueError(f"the largest component has {largest} edges; filter hits more strictly or raise the limit of {limit}")
-    return rows
+#: Edges of a component that one task takes; larger components go by rounds of joins. The result does not hang on it.
+ONE_TASK = 200_000
 
 
-def star_clusters(hits: DataFrame, limit: int = 2_000_000) -> DataFrame:
+def _by_size(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of components of up to ``limit`` rows, and of larger ones where there are any."""
+    rows = materialize(rows)
+    large = materialize(rows.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("component"))
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, "component", "left_anti"), rows.join(large, "component", "left_semi")
+
+
+def _numbers(names: DataFrame) -> DataFrame:
+    """(name, n): distinct names numbered in their order."""
+    return materialize(numbered(names.distinct(), [F.col("name")], "n"))
+
+
+def _ends(rows: DataFrame, numbers: DataFrame, a: str, b: str) -> DataFrame:
+    """``rows`` with the numbers of the names ``a`` and ``b`` as u < v."""
+    j = rows.join(numbers.select(F.col("name").alias(a), F.col("n").alias("_a")), a).join(numbers.select(F.col("name").alias(b), F.col("n").alias("_b")), b)
+    return j.withColumns({"u": F.least("_a", "_b"), "v": F.greatest("_a", "_b")}).drop("_a", "_b")
+
+
+def star_clusters(hits: DataFrame, limit: int = ONE_TASK) -> DataFrame:
     """(cluster, member): queries in line order; each that is no member yet takes its subjects, which stop being seeds.
 
     ``cluster`` is the seed with prefix singlet_ or cluster_ by size. The rule
@@ -92,12 +109,74 @@ def star_clusters(hits: DataFrame, limit: int = 2_000_000) -> DataFrame:
 
     linked = hits.where("query_id <> subject_id")
     own = hits.where("query_id = subject_id").join(linked.select("query_id").union(linked.select("subject_id")).distinct(), "query_id", "left_anti")
-    rows = _bounded(_components_of(linked.select("query_id", "subject_id", "line_no"), "query_id", "subject_id"), limit)
-    grouped = rows.groupBy("component").applyInPandas(rule, "cluster string, member string")
+    small, large = _by_size(_components_of(linked.select("query_id", "subject_id", "line_no"), "query_id", "subject_id"), limit)
+    grouped = small.groupBy("component").applyInPandas(rule, "cluster string, member string")
+    if large is not None:
+        grouped = grouped.unionByName(_stars_by_rounds(large, limit))
     return grouped.unionByName(own.select(F.concat(F.lit("singlet_"), "query_id").alias("cluster"), F.col("query_id").alias("member")).distinct())
 
 
-def greedy_clusters(hits: DataFrame, max_members: int | None = None, limit: int = 2_000_000) -> DataFrame:
+def _stars_by_rounds(rows: DataFrame, limit: int) -> DataFrame:
+    """The clusters of ``star_clusters``: a query is a seed once every earlier query that has it as a subject is known to be none.
+
+    In a round all queries that wait for no earlier one become seeds, and the
+    queries that they take are out. What still waits when it is no more than
+    ``limit`` links is settled in one task.
+    """
+    turn = rows.groupBy("query_id").agg(F.min("line_no").alias("line")).select("query_id", F.struct("line", F.col("query_id").alias("q")).alias("at"))
+    turn = materialize(turn)
+    links = materialize(rows.select("query_id", "subject_id").distinct().join(turn, "query_id"))
+    later = turn.select(F.col("query_id").alias("subject_id"), F.col("at").alias("_at"))
+    waits = materialize(links.join(later, "subject_id").where("at < _at").select("query_id", "subject_id"))
+    waiting = materialize(turn.select("query_id"))
+    seeds: list[DataFrame] = []
+    while not waiting.isEmpty():
+        if waits.count() <= limit:
+            seeds.append(materialize(_settle(waiting.join(turn, "query_id"), waits)))
+            break
+        free = materialize(waiting.join(waits.select(F.col("subject_id").alias("query_id")), "query_id", "left_anti"))
+        taken = waits.join(free, "query_id").select(F.col("subject_id").alias("query_id")).distinct()
+        decided = materialize(free.unionByName(taken))
+        left = materialize(waiting.join(decided, "query_id", "left_anti"))
+        still = materialize(waits.join(decided, "query_id", "left_anti").join(decided.select(F.col("query_id").alias("subject_id")), "subject_id", "left_anti"))
+        seeds.append(free)
+        discard(waiting, waits, decided)
+        waiting, waits = left, still
+    every = seeds[0]
+    for more in seeds[1:]:
+        every = every.unionByName(more)
+    others = links.join(every, "query_id").join(every.select(F.col("query_id").alias("subject_id")), "subject_id", "left_anti")
+    homes = others.groupBy("subject_id").agg(F.min_by("query_id", "at").alias("seed")).select("seed", F.col("subject_id").alias("member"))
+    members = materialize(homes.unionByName(every.select(F.col("query_id").alias("seed"), F.col("query_id").alias("member"))))
+    sizes = members.groupBy("seed").agg(F.count("*").alias("n"))
+    named = members.join(sizes, "seed").select(F.concat(F.when(F.col("n") == 1, "singlet_").otherwise("cluster_"), "seed").alias("cluster"), "member")
+    discard(turn, links, waits, waiting, *seeds)
+    return named
+
+
+def _settle(waiting: DataFrame, waits: DataFrame) -> DataFrame:
+    """Seeds among the last waiting queries (query_id, at), in one task; queries that wait for nothing are seeds where they lie."""
+    import pandas as pd
+
+    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+        before: dict[str, list[str]] = {}
+        for q, s in pdf[["query_id", "subject_id"]].itertuples(index=False):
+            before.setdefault(s, []).append(q)
+        order = {q: (line, q) for q, line in pdf[["query_id", "query_line"]].itertuples(index=False)} | {s: (line, s) for s, line in pdf[["subject_id", "subject_line"]].itertuples(index=False)}
+        seeds: set[str] = set()
+        for q in sorted(order, key=order.get):
+            if not any(b in seeds for b in before.get(q, ())):
+                seeds.add(q)
+        return pd.DataFrame({"query_id": sorted(seeds)}, dtype=object)
+
+    line = lambda c: waiting.select(F.col("query_id").alias(f"{c}_id"), F.col("at.line").alias(f"{c}_line"))
+    ends = waits.select("query_id").unionByName(waits.select(F.col("subject_id").alias("query_id")))
+    alone = waiting.select("query_id").join(ends, "query_id", "left_anti")
+    rest = waits.join(line("query"), "query_id").join(line("subject"), "subject_id")
+    return alone.unionByName(rest.groupBy(F.lit(0).alias("_all")).applyInPandas(rule, "query_id string"))
+
+
+def greedy_clusters(hits: DataFrame, max_members: int | None = None, limit: int = ONE_TASK) -> DataFrame:
     """(cluster, member, size): in line order a subject joins its query's cluster while that is below ``max_members``, else opens its own.
 
     Clusters are named cluster_1, cluster_2, ... by size, largest first, ties by least member.
@@ -118,12 +197,61 @@ def greedy_clusters(hits: DataFrame, max_members: int | None = None, limit: int
                     of[subject], size[subject] = subject, 1
         return pd.DataFrame({"seed": list(of.values()), "member": list(of.keys())})
 
-    rows = _bounded(_components_of(hits.select("query_id", "subject_id", "line_no"), "query_id", "subject_id"), limit)
-    found = materialize(rows.groupBy("component").applyInPandas(rule, "seed string, member string"))
+    small, large = _by_size(_components_of(hits.select("query_id", "subject_id", "line_no"), "query_id", "subject_id"), limit)
+    found = small.groupBy("component").applyInPandas(rule, "seed string, member string")
+    found = materialize(found if large is None else found.unionByName(_greedy_by_rounds(large, max_members, limit)))
     sizes = found.groupBy("seed").agg(F.count("*").alias("size"), F.min("member").alias("least"))
     return found.join(_numbered(sizes, ["size", "least"], "cluster_"), "seed").select("cluster", "member", "size")
 
 
+def _greedy_by_rounds(rows: DataFrame, max_members: int | None, limit: int) -> DataFrame:
+    """(seed, member) of ``greedy_clusters``: nodes point to the query of the line that they first stand in, queries of such a line to themselves.
+
+    A tree's first ``max_members`` nodes in line order are its root's cluster,
+    for a node's parent always comes before it. Of the others, those whose
+    parent is in the cluster are roots of what is left; so every tree gives a
+    cluster in each round. The last ``limit`` nodes are settled in one task.
+    """
+    import pandas as pd
+
+    def rest_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        of, size = {}, {}
+        for node, to in pdf.sort_values(["line", "role", "node"])[["node", "to"]].itertuples(index=False):
+            home = of.get(to, node)
+            if home == node or size[home] >= max_members:
+                home = node
+            of[node] = home
+            size[home] = size.get(home, 0) + 1
+        return pd.DataFrame({"seed": list(of.values()), "member": list(of.keys())}, dtype=object)
+
+    asks = rows.select(F.col("query_id").alias("node"), F.struct(F.col("line_no").alias("line"), F.lit(0).alias("role"), F.col("query_id").alias("to")).alias("x"))
+    meets = rows.select(F.col("subject_id").alias("node"), F.struct(F.col("line_no").alias("line"), F.lit(1).alias("role"), F.col("query_id").alias("to")).alias("x"))
+    trees = materialize(asks.unionByName(meets).groupBy("node").agg(F.min("x").alias("x")).select("node", "x.to", "x.line", "x.role"))
+    out: list[DataFrame] = []
+    while not trees.isEmpty():
+        if max_members is not None and trees.count() <= limit:
+            out.append(materialize(trees.groupBy(F.lit(0).alias("_all")).applyInPandas(rest_of, "seed string, member string")))
+            break
+        homes = roots_of(trees.select("node", "to"))
+        if max_members is None:
+            out.append(materialize(homes.select(F.col("root").alias("seed"), F.col("node").alias("member"))))
+            discard(homes)
+            break
+        ordered = materialize(numbered(trees.join(homes.select("node", "root"), "node"), [F.col(c) for c in ("root", "line", "role", "node")], "_n"))
+        starts = ordered.groupBy("root").agg(F.min("_n").alias("_low"))
+        placed = materialize(ordered.join(starts, "root").withColumn("_in", F.col("_n") - F.col("_low") < max_members))
+        inside = materialize(placed.where("_in").select(F.col("root").alias("seed"), F.col("node").alias("member")))
+        out.append(inside)
+        parents = inside.select(F.col("member").alias("to"), F.lit(True).alias("_cut"))
+        left = placed.where("NOT _in").join(parents, "to", "left").select("node", F.when(F.col("_cut"), F.col("node")).otherwise(F.col("to")).alias("to"), "line", "role")
+        last, trees = trees, materialize(left)
+        discard(last, homes, ordered, placed)
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
 def _numbered(groups: DataFrame, by: list[str], prefix: str) -> DataFrame:
     """``groups`` with a name by rank, largest first."""
     ranked = numbered(groups, [F.col(by[0]).desc(), *[F.col(c) for c in by[1:]]], "_rank")
@@ -144,7 +272,7 @@ def size_histogram(members: DataFrame, bins: int = 20) -> DataFrame:
     return binned.groupBy("bin").agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count("*").alias("clusters"))
 
 
-def articulation_points(edges: DataFrame, limit: int = 2_000_000) -> DataFrame:
+def articulation_points(edges: DataFrame, limit: int = ONE_TASK) -> DataFrame:
     """(component, node): nodes whose loss parts their component."""
     import pandas as pd
 
@@ -177,14 +305,50 @@ def articulation_points(edges: DataFrame, limit: int = 2_000_000) -> DataFrame:
         return pd.DataFrame([(pdf["component"].iloc[0], n) for n in sorted(cut)], columns=["component", "node"], dtype=object)
 
     pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
-    rows = _bounded(_components_of(pairs, "src", "dst"), limit)
-    return rows.groupBy("component").applyInPandas(rule, "component string, node string")
+    small, large = _by_size(_components_of(pairs, "src", "dst"), limit)
+    found = small.groupBy("component").applyInPandas(rule, "component string, node string")
+    return found if large is None else found.unionByName(_articulation_by_rounds(large))
 
 
-def assembly_order(edges: DataFrame, limit: int = 2_000_000) -> DataFrame:
+def _articulation_by_rounds(pairs: DataFrame) -> DataFrame:
+    """(component, node) of pairs (component, src, dst), by the blocks of any spanning forest (Tarjan and Vishkin).
+
+    Tree edges, named by their lower node, are of one block when an edge
+    outside the tree closes a ring over both: when it links nodes neither of
+    which lies above the other, or leads out of the subtree of a node's parent.
+    A node is an articulation point when its tree edges are of several blocks.
+    """
+    numbers = _numbers(pairs.select(F.col("src").alias("name")).unionByName(pairs.select(F.col("dst").alias("name"))))
+    all_edges = materialize(_ends(pairs, numbers, "src", "dst").select("u", "v"))
+    forest = materialize(spanning_forest(all_edges.withColumn("key", F.struct("u", "v"))).select("u", "v"))
+    roots = connected_components(forest, src="u", dst="v").select(F.col("component").alias("root")).distinct()
+    nodes = materialize(rooted(forest, materialize(roots)).select("node", "parent", "root", "spot", "size"))
+    at = lambda c: nodes.select(F.col("node").alias(c), F.col("spot").alias(f"{c}_spot"), F.col("size").alias(f"{c}_size"))
+    others = materialize(all_edges.join(forest, ["u", "v"], "left_anti").join(at("u"), "u").join(at("v"), "v"))
+    reach = others.select(F.col("u").alias("node"), F.col("v_spot").alias("to")).unionByName(others.select(F.col("v").alias("node"), F.col("u_spot").alias("to"))).unionByName(nodes.select("node", F.col("spot").alias("to")))
+    reach = materialize(reach.groupBy("node").agg(F.min("to").alias("low"), (-F.max("to")).alias("high")))
+    low, high = (subtree_least(nodes, reach.select("node", F.col(c).alias("value"))).withColumnRenamed("least", c) for c in ("low", "high"))
+    first = F.when(F.col("u_spot") < F.col("v_spot"), F.col("u_spot") + F.col("u_size") <= F.col("v_spot")).otherwise(F.col("v_spot") + F.col("v_size") <= F.col("u_spot"))
+    rings = others.where(first).select("u", "v")
+    top = at("parent").join(nodes.where("parent IS NOT NULL").select(F.col("node").alias("parent")), "parent")
+    inner = nodes.join(top, "parent").join(low, "node").join(high, "node")
+    leads = inner.where((F.col("low") < F.col("parent_spot")) | (-F.col("high") >= F.col("parent_spot") + F.col("parent_size"))).select(F.col("node").alias("u"), F.col("parent").alias("v"))
+    lower = nodes.where("parent IS NOT NULL").select("node")
+    blocks = materialize(connected_components(rings.unionByName(leads), nodes=lower, src="u", dst="v"))
+    touching = blocks.select("node", "component").unionByName(nodes.where("parent IS NOT NULL").join(blocks, "node").select(F.col("parent").alias("node"), "component"))
+    cut = touching.groupBy("node").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("node")
+    name = lambda c: numbers.select(F.col("n").alias(c), F.col("name").alias(f"{c}_name"))
+    out = materialize(nodes.join(cut, "node").select("node", "root").join(name("node"), "node").join(name("root"), "root").select(F.col("root_name").alias("component"), F.col("node_name").alias("node")))
+    discard(numbers, all_edges, forest, nodes, others, reach, blocks)
+    return out
+
+
+def assembly_order(edges: DataFrame, limit: int = ONE_TASK) -> DataFrame:
     """(component, node, joined_to, weight, place): maximum spanning tree grown from the heaviest edge.
 
-    Of equally heavy edges the one of least ends is taken. The first node has no ``joined_to``.
+    Of equally heavy edges the one of the lesser lower end, then the lesser
+    higher end, is taken; of repeated edges the heaviest counts. The walk
+    begins at the lower end of the first edge, which has no ``joined_to``.
     """
     import heapq
 
@@ -193,24 +357,53 @@ def assembly_order(edges: DataFrame, limit: int = 2_000_000) -> DataFrame:
     def rule(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, list] = {}
         for a, b, w in pdf[["src", "dst", "weight"]].itertuples(index=False):
-            near.setdefault(a, []).append((-w, a, b))
-            near.setdefault(b, []).append((-w, b, a))
-        root = min((x for row in near.values() for x in row), key=lambda x: (x[0], x[1], x[2]))[1]
+            near.setdefault(a, []).append((-w, a, b, b))
+            near.setdefault(b, []).append((-w, a, b, a))
+        root = min(x for row in near.values() for x in row)[1]
         rows, seen, heap = [(root, None, None)], {root}, list(near[root])
         heapq.heapify(heap)
         while heap:
-            w, a, b = heapq.heappop(heap)
-            if b in seen:
+            w, a, b, new = heapq.heappop(heap)
+            if new in seen:
                 continue
-            seen.add(b)
-            rows.append((b, a, float(-w)))
-            for x in near[b]:
+            seen.add(new)
+            rows.append((new, a if new == b else b, float(-w)))
+            for x in near[new]:
                 heapq.heappush(heap, x)
         out = pd.DataFrame(rows, columns=["node", "joined_to", "weight"])
         return out.assign(component=pdf["component"].iloc[0], place=range(len(out)))[["component", "node", "joined_to", "weight", "place"]]
 
-    rows = _bounded(_components_of(edges.select("src", "dst", "weight").where("src <> dst"), "src", "dst"), limit)
-    return rows.groupBy("component").applyInPandas(rule, "component string, node string, joined_to string, weight double, place int")
+    best = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max(F.col("weight").cast("double")).alias("weight"))
+    small, large = _by_size(_components_of(best, "src", "dst"), limit)
+    found = small.groupBy("component").applyInPandas(rule, "component string, node string, joined_to string, weight double, place long")
+    return found if large is None else found.unionByName(_order_by_rounds(large))
+
+
+def _order_by_rounds(edges: DataFrame) -> DataFrame:
+    """The order of ``assembly_order`` for edges (component, src, dst, weight), without a queue.
+
+    A node is joined along the edge to its parent in the tree, whose key is
+    the edge's rank. The walk leaves a part that it has entered by an edge only
+    when the part's own edges are used up, so a node comes after the nearest
+    node above it that was joined by a later edge, as its child, by key: the
+    walk is that other tree's, children in the order of keys.
+    """
+    numbers = _numbers(edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))))
+    keyed = materialize(numbered(_ends(edges, numbers, "src", "dst").select("u", "v", "weight"), [F.col("weight").desc(), F.col("u"), F.col("v")], "key"))
+    forest = materialize(spanning_forest(keyed))
+    parts = materialize(connected_components(forest, src="u", dst="v"))
+    roots = materialize(forest.join(parts.withColumnRenamed("node", "u"), "u").groupBy("component").agg(F.min_by("u", "key").alias("root")))
+    nodes = rooted(forest, roots.select("root")).withColumns({"u": F.least("node", "parent"), "v": F.greatest("node", "parent")})
+    nodes = materialize(nodes.join(forest, ["u", "v"], "left").select("node", "parent", F.when(F.col("parent").isNull(), 2**62).otherwise(F.col("key")).alias("key")))
+    above = nearest_greater(nodes)
+    order = above.join(nodes.select("node", "key"), "node").select(F.col("above").alias("u"), F.col("node").alias("v"), "key")
+    places = rooted(materialize(order), roots.select("root"), order="key").select("node", "place")
+    name = lambda c: numbers.select(F.col("n").alias(c), F.col("name").alias(f"{c}_name"))
+    j = nodes.join(places, "node").join(parts, "node").join(keyed.select("key", "weight"), "key", "left")
+    j = j.join(name("node"), "node").join(name("component"), "component").join(name("parent"), "parent", "left")
+    out = materialize(j.select(F.col("component_name").alias("component"), F.col("node_name").alias("node"), F.col("parent_name").alias("joined_to"), "weight", "place"))
+    discard(numbers, keyed, forest, parts, roots, nodes, above)
+    return out
 
 
 def relabel_clusters(clusters: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -59,10 +59,11 @@ def hit_coverage(hits: DataFrame, lengths: DataFrame, min_cov: float = 75, min_i
     """H6: (query_id, subject_id, covered, regions, coverage, identity) of pairs that pass.
 
     Query ranges that overlap or adjoin are one region, whose identity is the
-    highest of its hits; identity is the mean over regions.
+    highest of its hits that lie in no other hit's range (of equal ranges the
+    highest counts); identity is the mean over regions.
     """
     ranges = hits.select("query_id", "subject_id", F.least("q_start", "q_end").alias("start"), F.greatest("q_start", "q_end").alias("end"), "pident")
-    regions = merge_ranges(ranges, ["query_id", "subject_id"], adjoin=1, aggs=[F.max("pident").alias("ident")])
+    regions = merge_ranges(ranges, ["query_id", "subject_id"], adjoin=1, aggs=[F.max(F.when(~F.col("_inside"), F.col("pident"))).alias("ident")], ties=[F.col("pident").desc()])
     pairs = regions.groupBy("query_id", "subject_id").agg(
         F.sum(F.col("end") - F.col("start") + 1).alias("covered"), F.count("*").alias("regions"), F.avg("ident").alias("identity")
     )
@@ -111,21 +112,39 @@ def transfer_annotation(genes: DataFrame, sources: list[tuple[str, DataFrame, fl
     return rows.join(listed, ["source", "subject_id"], "left").select("id", "source", "subject_id", "description", "comment", "ec_numbers")
 
 
-def gene_records(genes: DataFrame, functions: DataFrame, hits: DataFrame, cut: int = 8) -> DataFrame:
-    """H9: (id, function, function_source) by own note, table of functions, best described hit, else ORF.
+#: Words of functions that say nothing.
+UNKNOWN_FUNCTION = "unknown|hypothetical|uncharacterized|unnamed|ORF"
 
-    ``genes`` has id, note; a table id matches when the gene's id equals it
-    after losing 0 to ``cut`` trailing characters, and the longest match wins.
+
+def gene_records(genes: DataFrame, functions: DataFrame, hits: DataFrame, cut: int = 8, synonyms: DataFrame | None = None) -> DataFrame:
+    """H9: (id, function, function_source): the first function that says something of: the gene's own, the table's, the best described hit's; else ORF.
+
+    ``genes`` has id, note and, where they are known, function and name. The
+    table's function is that of the gene's id, else of its name, else of its
+    ``synonyms`` (id, synonym), else the note stands for it. A table id matches
+    when the gene's id equals it after losing 0 to ``cut`` trailing
+    characters, and the longest match wins; of several functions of a name the
+    least counts.
     """
-    keys = F.transform(F.sequence(F.lit(0), F.lit(cut)), lambda k: F.substring("id", F.lit(1), F.length("id") - k))
-    short = genes.select("id", F.explode(F.array_distinct(keys)).alias("key")).where("key <> ''")
+    has = lambda c: F.col(c) if c in genes.columns else F.lit(None).cast("string")
+    own = genes.select("id", "note", has("function").alias("own"), has("name").alias("name"))
     named = functions.groupBy(F.col("id").alias("key")).agg(F.min("function").alias("function"))
-    table = short.join(named, "key").groupBy("id").agg(F.max_by("function", F.length("key")).alias("by_table"))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(cut)), lambda k: F.substring("id", F.lit(1), F.length("id") - k))
+    short = own.select("id", F.explode(F.array_distinct(keys)).alias("key")).where("key <> ''")
+    table = short.join(named, "key").groupBy("id").agg(F.max_by("function", F.length("key")).alias("by_id"))
+    joined = own.join(table, "id", "left").join(named.select(F.col("key").alias("name"), F.col("function").alias("by_name")), "name", "left")
+    if synonyms is None:
+        joined = joined.withColumn("by_synonym", F.lit(None).cast("string"))
+    else:
+        others = synonyms.join(named.withColumnRenamed("key", "synonym"), "synonym").groupBy("id").agg(F.min("function").alias("by_synonym"))
+        joined = joined.join(others, "id", "left")
     best = best_hit(hits.where("description IS NOT NULL")).select(F.col("query_id").alias("id"), F.col("description").alias("by_hit"))
-    joined = genes.join(table, "id", "left").join(best, "id", "left")
-    note = F.when(F.trim("note") != "", F.col("note"))
-    source = F.when(note.isNotNull(), "note").when(F.col("by_table").isNotNull(), "table").when(F.col("by_hit").isNotNull(), "hit").otherwise("none")
-    return joined.select("id", F.coalesce(note, "by_table", "by_hit", F.lit("ORF")).alias("function"), source.alias("function_source"))
+    joined = joined.join(best, "id", "left")
+    listed = F.coalesce("by_id", "by_name", "by_synonym")
+    note = F.when(listed.isNull() & (F.trim("note") != ""), F.col("note"))
+    ranked = (("own", F.col("own")), ("table", listed), ("note", note), ("hit", F.col("by_hit")))
+    told = F.coalesce(*[F.when(~text.rlike(f"(?i){UNKNOWN_FUNCTION}"), F.struct(text.alias("text"), F.lit(source).alias("source"))) for source, text in ranked])
+    return joined.select("id", F.coalesce(told["text"], F.lit("ORF")).alias("function"), F.coalesce(told["source"], F.lit("none")).alias("function_source"))
 
 
 def gene_parts(genes: DataFrame, parts: DataFrame, cut: int = 8) -> DataFrame:

@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_ranges(ranges: DataFrame, keys: list[str], adjoin: int = 0, aggs: list[Column] | None = None) -> DataFrame:
+def merge_ranges(ranges: DataFrame, keys: list[str], adjoin: int = 0, aggs: list[Column] | None = None, ties: list[Column] | None = None) -> DataFrame:
     """Union of the ranges (start, end) of each key: one row a region, with ``aggs`` over its ranges.
 
-    ``adjoin`` = 1 joins ranges that touch without overlap.
+    ``adjoin`` = 1 joins ranges that touch without overlap. ``aggs`` can name
+    ``_inside``: whether a range lies in another one; of equal ranges the first
+    by ``ties`` does not.
     """
-    by = Window.partitionBy(*keys).orderBy("start", "end")
+    by = Window.partitionBy(*keys).orderBy("start", F.col("end").desc(), *(ties or []))
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.withColumn("_new", F.when(F.col("start") <= reach + adjoin, 0).otherwise(1))
+    marked = ranges.withColumns({"_new": F.when(F.col("start") <= reach + adjoin, 0).otherwise(1), "_inside": F.coalesce(F.col("end") <= reach, F.lit(False))})
     marked = marked.withColumn("_region", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     merged = marked.groupBy(*keys, "_region").agg(F.min("start").alias("start"), F.max("end").alias("end"), *(aggs or []))
     return merged.drop("_region")
@@ -26,8 +28,10 @@ def overlap_join(a: DataFrame, b: DataFrame, mode: str = "strict", width: int =
     that spreads a chromosome over tasks; a pair is kept in its first common
     bin only. A range over many bins goes to bins 64 times as wide, each side
     meeting the other at both widths, so that no range makes many rows.
-    'strict' is open at both ends (equal ranges do not match, nor ranges that
-    share one place); 'closed' counts a common place as overlap.
+    'strict' wants an end of ``a`` between the ends of ``b``, or ``b`` between
+    the ends of ``a``, ends not counted: equal ranges do not match, nor a
+    longer ``a`` that shares an end with ``b``. 'closed' counts a common place
+    as overlap.
     """
     left = a.select(*[F.col(c).alias(f"{c}_a") for c in a.columns])
     right = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns])
@@ -40,7 +44,8 @@ def overlap_join(a: DataFrame, b: DataFrame, mode: str = "strict", width: int =
         return df.where(long if own else ~long).select("*", F.explode(F.sequence(F.floor(F.col(f"start_{s}") / w), F.floor(F.col(f"end_{s}") / w))).alias("_bin"))
 
     if mode == "strict":
-        test = (F.col("start_a") < F.col("end_b")) & (F.col("start_b") < F.col("end_a")) & ~((F.col("start_a") == F.col("start_b")) & (F.col("end_a") == F.col("end_b")))
+        between = lambda c: (F.col(c) > F.col("start_b")) & (F.col(c) < F.col("end_b"))
+        test = between("start_a") | between("end_a") | ((F.col("start_a") < F.col("start_b")) & (F.col("end_a") > F.col("end_b")))
     else:
         test = (F.col("start_a") <= F.col("end_b")) & (F.col("start_b") <= F.col("end_a"))
     out = None
@@ -56,11 +61,10 @@ def overlap_join(a: DataFrame, b: DataFrame, mode: str = "strict", width: int =
 
 
 def overlap_summary(features: DataFrame, marks: DataFrame, mode: str = "strict") -> DataFrame:
-    """(ref, features, features_hit, bases): bases are end - start summed over overlapping pairs' common part."""
+    """(ref, features, features_hit, bases): of features that marks overlap; bases are the feature's end - start, summed over pairs."""
     total = features.groupBy("ref").agg(F.count("*").alias("features"))
-    pairs = overlap_join(features, marks, mode)
-    common = F.least("end_a", "end_b") - F.greatest("start_a", "start_b")
-    hit = pairs.groupBy(F.col("ref_a").alias("ref")).agg(F.countDistinct("id_a").alias("features_hit"), F.sum(common).alias("bases"))
+    pairs = overlap_join(marks, features, mode)
+    hit = pairs.groupBy(F.col("ref_b").alias("ref")).agg(F.countDistinct("id_b").alias("features_hit"), F.sum(F.col("end_b") - F.col("start_b")).alias("bases"))
     return total.join(hit, "ref", "left").select("ref", "features", F.coalesce("features_hit", F.lit(0)).alias("features_hit"), F.coalesce("bases", F.lit(0)).alias("bases"))
 
 
@@ -112,35 +116,50 @@ def agp_to_features(agp: DataFrame) -> DataFrame:
     return agp.select(F.col("objname").alias("seqid"), kind.alias("type"), F.col("ostart").alias("start"), F.col("oend").alias("end"), strand.alias("strand"), name.alias("name"), "ident", note.alias("note"))
 
 
+#: The type that a gap of each name has in a tiling path file.
+GAP_TYPES = {
+    "fragment": "TYPE-2", "centromere": "CENTROMERE", "telomere": "TELOMERE", "heterochromatin": "HETEROCHROMATIN",
+    "short-arm": "SHORT-ARM", "repeat": "TYPE-2", "contig": "TYPE-3", "clone": "TYPE-2",
+}
+
+
 def agp_to_tpf(agp: DataFrame, local_ids: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Component lines with local ids (?) and PLUS / MINUS, gap lines with mapped type, size and method, in order."""
+    """Component lines with local ids (?) and PLUS / MINUS, gap lines with type, size and method, in order.
+
+    Linkage, yes or no, decides a gap's type; without it a gap of known size (N)
+    has the type of its name. Only N gaps have a size, and a method unless
+    they are not linked. Gaps of other names than GAP_TYPES are left out.
+    """
     comp = agp.where("NOT is_gap").join(local_ids, "ident", "left").join(contigs, "ident", "left")
     orient = F.when(F.col("orient") == "-", "MINUS").otherwise("PLUS")
     comp = comp.select("objname", "partnum", F.coalesce("ident", F.lit("?")).alias("accession"), F.coalesce("local_id", F.lit("?")).alias("clone"), F.coalesce("contig", F.lit("?")).alias("contig"), orient.alias("orient"))
-    kind = F.when(F.col("gap_type") == "contig", "TYPE-3").when(F.col("gap_type") == "centromere", "CENTROMERE").otherwise("TYPE-2")
-    size = F.when(F.col("type") == "U", "UNKNOWN").otherwise((F.col("oend") - F.col("ostart") + 1).cast("string"))
-    gaps = agp.where("is_gap").select("objname", "partnum", F.lit("GAP").alias("accession"), kind.alias("clone"), size.alias("contig"), F.when(F.col("linkage") == "yes", "PAIRED ENDS").otherwise("").alias("orient"))
+    named = F.create_map(*[F.lit(x) for pair in GAP_TYPES.items() for x in pair])[F.col("gap_type")]
+    sized = F.coalesce(F.col("type") == "N", F.lit(False))
+    kind = F.when(F.col("linkage") == "yes", "TYPE-2").when(F.col("linkage") == "no", "TYPE-3").when(sized, named).otherwise("")
+    size = F.when(sized, (F.col("oend") - F.col("ostart") + 1).cast("string")).otherwise("")
+    method = F.when(sized & F.coalesce(F.col("linkage") != "no", F.lit(True)), "PAIRED ENDS").otherwise("")
+    gaps = agp.where("is_gap").where(named.isNotNull()).select("objname", "partnum", F.lit("GAP").alias("accession"), kind.alias("clone"), size.alias("contig"), method.alias("orient"))
     return comp.unionByName(gaps)
 
 
 def tiling_groups(tiles: DataFrame, width: int = 100_000) -> DataFrame:
-    """(ref, start, end, tiles): tiles grouped while each starts before the group's end so far.
+    """(ref, start, end, tiles): tiles grouped while each starts before the end of the tile before; a group ends where its last tile does.
 
-    A reference is cut into bins of ``width``; the farthest end and the number
-    of groups so far are handed on over the bins, so no task sorts a whole
-    reference.
+    A reference is cut into bins of ``width``; the last tile's end and the
+    number of groups so far are handed on over the bins, so no task sorts a
+    whole reference.
     """
     rows = tiles.withColumn("_bin", F.floor(F.col("start") / width))
+    place = F.struct("start", "end", "id")
     over = Window.partitionBy("ref").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    tops = rows.groupBy("ref", "_bin").agg(F.max("end").alias("_top"))
-    rows = rows.join(tops.select("ref", "_bin", F.max("_top").over(over).alias("_before")), ["ref", "_bin"])
+    tops = rows.groupBy("ref", "_bin").agg(F.max_by("end", place).alias("_top"))
+    rows = rows.join(tops.select("ref", "_bin", F.last("_top").over(over).alias("_before")), ["ref", "_bin"])
     by = Window.partitionBy("ref", "_bin").orderBy("start", "end", "id")
-    reach = F.greatest("_before", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    marked = rows.withColumn("_new", F.when(F.col("start") < reach, 0).otherwise(1))
+    marked = rows.withColumn("_new", F.when(F.col("start") < F.coalesce(F.lag("end").over(by), "_before"), 0).otherwise(1))
     counts = marked.groupBy("ref", "_bin").agg(F.sum("_new").alias("_n"))
     marked = marked.join(counts.select("ref", "_bin", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base")), ["ref", "_bin"])
     marked = marked.withColumn("_g", F.col("_base") + F.sum("_new").over(by))
-    return marked.groupBy("ref", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("tiles")).drop("_g")
+    return marked.groupBy("ref", "_g").agg(F.min("start").alias("start"), F.max_by("end", place).alias("end"), F.count("*").alias("tiles")).drop("_g")
 
 
 def tpf_index(tpf: DataFrame, ids: DataFrame) -> DataFrame:
@@ -241,19 +260,41 @@ def lift_to_object(places: DataFrame, agp: DataFrame) -> DataFrame:
     return j.select(*[F.col(c) for c in places.columns if c not in ("start", "end")], "objname", F.col("start").alias("cstart"), F.col("end").alias("cend"), start.alias("start"), end.alias("end"))
 
 
-def split_component(agp: DataFrame, regions: DataFrame) -> DataFrame:
-    """Components cut in two around a masked object range (objname, mstart, mend), a gap between; empty parts dropped."""
-    j = agp.join(regions, "objname", "left")
-    hit = (~F.col("is_gap")) & (F.col("mstart") <= F.col("oend")) & (F.col("mend") >= F.col("ostart"))
+def split_component(agp: DataFrame, regions: DataFrame, width: int = 100_000) -> DataFrame:
+    """(objname, ostart, oend, is_gap, type, gap_type, linkage, ident, cstart, cend, orient): components cut around masked object ranges (objname, mstart, mend).
+
+    A range is cut out as a linked fragment gap of unknown size. In the
+    component's own direction, what lies before it gets the suffix a and keeps
+    its first place, what lies behind it gets the suffix b and is counted from
+    1; a further range cuts the part with b again. Ranges that touch count as
+    one; empty parts are dropped.
+    """
+    masks = merge_ranges(regions.select("objname", F.col("mstart").alias("start"), F.col("mend").alias("end")), ["objname"], adjoin=1)
+    rows = agp.select("*", F.monotonically_increasing_id().alias("_row"))
+    lines = rows.where("NOT is_gap").select(F.col("objname").alias("ref"), F.col("ostart").alias("start"), F.col("oend").alias("end"), "_row")
+    met = overlap_join(lines, masks.withColumnRenamed("objname", "ref"), "closed", width)
+    cuts = met.groupBy(F.col("_row_a").alias("_row")).agg(F.sort_array(F.collect_list(F.struct(F.greatest("start_a", "start_b").alias("s"), F.least("end_a", "end_b").alias("e")))).alias("_m"))
+    j = rows.join(cuts, "_row", "left").withColumn("_n", F.coalesce(F.size("_m"), F.lit(0)))
     minus = F.col("orient") == "-"
-    lo, hi = F.greatest("ostart", "mstart"), F.least("oend", "mend")
-    left = F.struct(F.col("ostart").alias("s"), (lo - 1).alias("e"), F.lit(False).alias("gap"))
-    gap = F.struct(lo.alias("s"), hi.alias("e"), F.lit(True).alias("gap"))
-    right = F.struct((hi + 1).alias("s"), F.col("oend").alias("e"), F.lit(False).alias("gap"))
-    whole = F.struct(F.col("ostart").alias("s"), F.col("oend").alias("e"), F.col("is_gap").alias("gap"))
-    j = j.select("*", F.explode(F.when(hit, F.array(left, gap, right)).otherwise(F.array(whole))).alias("p")).where("p.s <= p.e")
-    cstart = F.when(minus, F.col("cstart") + F.col("oend") - F.col("p.e")).otherwise(F.col("cstart") + F.col("p.s") - F.col("ostart"))
-    return j.select("objname", F.col("p.s").alias("ostart"), F.col("p.e").alias("oend"), F.col("p.gap").alias("is_gap"), F.when(~F.col("p.gap"), F.col("ident")).alias("ident"), F.when(~F.col("p.gap"), cstart).alias("cstart"), F.when(~F.col("p.gap"), cstart + F.col("p.e") - F.col("p.s")).alias("cend"), F.when(~F.col("p.gap"), F.col("orient")).alias("orient"))
+
+    def part(i: Column) -> Column:
+        """The i-th of _n + 1 parts along the object."""
+        begin = F.when(i == 0, F.col("ostart")).otherwise(F.get("_m", i - 1)["e"] + 1)
+        end = F.when(i == F.col("_n"), F.col("oend")).otherwise(F.get("_m", i)["s"] - 1)
+        k = F.when(minus, F.col("_n") - i).otherwise(i)  # its place along the component
+        suffix = F.concat(F.repeat(F.lit("b"), k), F.when(k < F.col("_n"), "a").otherwise(""))
+        return F.struct(begin.alias("s"), end.alias("e"), F.lit(False).alias("gap"), F.concat("ident", suffix).alias("ident"), F.when(k == 0, F.col("cstart")).otherwise(1).alias("c"))
+
+    none = F.lit(None)
+    gap = lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.lit(True).alias("gap"), none.cast("string").alias("ident"), none.cast("long").alias("c"))
+    pieces = F.concat(F.transform(F.sequence(F.lit(0), F.col("_n")), part), F.transform("_m", gap))
+    cut = j.where("_n > 0").select("objname", "type", "orient", F.explode(pieces).alias("p")).where("p.s <= p.e")
+    of_gap = lambda text: F.when(F.col("p.gap"), text)
+    cut = cut.select(
+        "objname", F.col("p.s").alias("ostart"), F.col("p.e").alias("oend"), F.col("p.gap").alias("is_gap"), of_gap("U").otherwise(F.col("type")).alias("type"), of_gap("fragment").alias("gap_type"), of_gap("yes").alias("linkage"),
+        F.col("p.ident").alias("ident"), F.col("p.c").alias("cstart"), (F.col("p.c") + F.col("p.e") - F.col("p.s")).alias("cend"), F.when(~F.col("p.gap"), F.col("orient")).alias("orient"),
+    )
+    return j.where("_n = 0").select(*cut.columns).unionByName(cut)
 
 
 def compose_trims(passes: DataFrame) -> DataFrame:

@@ -4,16 +4,31 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def contig_summary(ace_rows: DataFrame) -> DataFrame:
-    """(contig_id, reads, first, last, span); the minimum starts at 0, as in the reports this follows."""
-    per = ace_rows.groupBy("contig_id").agg(F.count("*").alias("reads"), F.least(F.min("start"), F.lit(0)).alias("first"), F.max(F.col("start") + F.col("span")).alias("last"))
+    """(contig_id, reads, first, last, span, trimmed_end) of reads (contig_id, start, span, start_trim, end_trim).
+
+    ``first`` and ``last`` are the ends of the reads with what was trimmed off
+    them, ``span`` lies between; ``trimmed_end`` is the last end without. As in
+    the reports this follows, minimum and maxima start at 0.
+    """
+    end = F.col("start") + F.col("span")
+    per = ace_rows.groupBy("contig_id").agg(
+        F.count("*").alias("reads"), F.least(F.min(F.col("start") - F.col("start_trim")), F.lit(0)).alias("first"),
+        F.greatest(F.max(end + F.col("end_trim")), F.lit(0)).alias("last"), F.greatest(F.max(end), F.lit(0)).alias("trimmed_end"),
+    )
     return per.withColumn("span", F.col("last") - F.col("first"))
 
 
+def contig_read_list(ace_rows: DataFrame) -> DataFrame:
+    """(contig_id, place, read_id, orient, start, end, start_trim, end_trim): the reads of each contig by start, places from 1; ties by id."""
+    by = Window.partitionBy("contig_id").orderBy("start", "read_id")
+    return ace_rows.select("contig_id", F.row_number().over(by).cast("long").alias("place"), "read_id", "orient", "start", (F.col("start") + F.col("span")).alias("end"), "start_trim", "end_trim")
+
+
 def named_libraries(reads: DataFrame, pattern: str) -> DataFrame:
     """``reads`` (name, ...) with ``library``: what the pattern's first group shows in the name, in any case; null where it shows none."""
     found = F.regexp_extract("name", f"(?i){pattern}", 1)

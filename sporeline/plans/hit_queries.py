@@ -160,7 +160,7 @@ SQL = {
     "h6_hit_coverage": with_views(
         "hits lengths",
         "WITH " + _ISL.format(src="hits", k="query_id", s="q_start", e="q_end", adj=1).lstrip() + """,
-        reg AS (SELECT query_id, g, min(q_start) AS s, max(q_end) AS e, max(pident) AS ident FROM grp GROUP BY ALL),
+        reg AS (SELECT query_id, g, min(q_start) AS s, max(q_end) AS e, max(pident) FILTER (NOT EXISTS (SELECT 1 FROM hits x WHERE x.query_id = grp.query_id AND x.q_start <= grp.q_start AND x.q_end >= grp.q_end AND x.q_end - x.q_start > grp.q_end - grp.q_start)) AS ident FROM grp GROUP BY ALL),
         pairs AS (SELECT query_id, sum(e - s + 1)::BIGINT AS covered, count(*) AS regions, avg(ident) AS identity FROM reg GROUP BY query_id)
         SELECT query_id, covered, regions, round(100.0::DOUBLE * covered / query_length, 4) AS coverage, round(identity, 4) AS identity FROM pairs JOIN lengths USING (query_id)
         WHERE 100.0 * covered / query_length > 60 AND identity > 60 AND regions - 1 <= 10""",
@@ -182,8 +182,8 @@ SQL = {
         f"""WITH f AS (SELECT replace(subject_id, 'S', 'Q') AS k, min(description) AS fn FROM subjects WHERE subject_id LIKE '%7' GROUP BY 1),
         t AS (SELECT id, max_by(fn, length(k)) AS fn FROM (SELECT DISTINCT id, substr(id, 1, (length(id) - c)::BIGINT) AS k FROM genes, range(3) r(c)) JOIN f USING (k) WHERE k <> '' GROUP BY id),
         b AS ({_best('(SELECT * FROM hits JOIN subjects USING (subject_id) WHERE pident > 90)')})
-        SELECT g.id, coalesce(nullif(trim(note), ''), t.fn, b.description, 'ORF') AS function,
-        CASE WHEN trim(note) <> '' THEN 'note' WHEN t.fn IS NOT NULL THEN 'table' WHEN b.description IS NOT NULL THEN 'hit' ELSE 'none' END AS function_source
+        SELECT g.id, coalesce(t.fn, nullif(trim(note), ''), b.description, 'ORF') AS function,
+        CASE WHEN t.fn IS NOT NULL THEN 'table' WHEN trim(note) <> '' THEN 'note' WHEN b.description IS NOT NULL THEN 'hit' ELSE 'none' END AS function_source
         FROM genes g LEFT JOIN t USING (id) LEFT JOIN b ON b.query_id = g.id""",
     ),
     "h9_gene_parts": with_views("hits genes", _PARTS + " SELECT id, cds_start, cds_end, introns FROM genes LEFT JOIN g ON g.gene = id"),

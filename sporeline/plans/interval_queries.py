@@ -246,11 +246,11 @@ def _components_sql(body, w=""):
 
 
 SQL = {
-    "i1_overlap_join": with_views("features marks", """SELECT a.id AS id_a, b.id AS id_b FROM features a JOIN marks b ON a.ref = b.ref AND a.start < b."end" AND b.start < a."end" AND NOT (a.start = b.start AND a."end" = b."end")"""),
+    "i1_overlap_join": with_views("features marks", """SELECT a.id AS id_a, b.id AS id_b FROM features a JOIN marks b ON a.ref = b.ref AND a.start < b."end" AND b.start < a."end" AND NOT (a.start <= b.start AND a."end" >= b."end" AND (a.start = b.start OR a."end" = b."end"))"""),
     "i1_overlap_closed": with_views("features marks", """SELECT a.id AS id_a, b.id AS id_b FROM features a JOIN marks b ON a.ref = b.ref AND a.start <= b."end" AND b.start <= a."end" """),
     "i2_overlap_summary": with_views(
         "features marks",
-        """WITH p AS (SELECT a.ref, a.id, least(a."end", b."end") - greatest(a.start, b.start) AS n FROM features a JOIN marks b ON a.ref = b.ref AND a.start < b."end" AND b.start < a."end" AND NOT (a.start = b.start AND a."end" = b."end"))
+        """WITH p AS (SELECT a.ref, a.id, a."end" - a.start AS n FROM features a JOIN marks b ON a.ref = b.ref AND a.start < b."end" AND b.start < a."end" AND NOT (b.start <= a.start AND b."end" >= a."end" AND (a.start = b.start OR a."end" = b."end")))
         SELECT f.ref, f.n AS features, coalesce(p.h, 0) AS features_hit, coalesce(p.b, 0)::BIGINT AS bases FROM (SELECT ref, count(*) AS n FROM features GROUP BY ref) f LEFT JOIN (SELECT ref, count(DISTINCT id) AS h, sum(n) AS b FROM p GROUP BY ref) p USING (ref)""",
     ),
     "i3_uncontained_cds": with_views("hits", "SELECT query_id AS gene, q_start AS start, q_end AS \"end\", line_no FROM hits c WHERE mismatches % 2 = 1 AND NOT EXISTS (SELECT 1 FROM hits x WHERE x.mismatches % 2 = 0 AND x.query_id = c.query_id AND x.q_start <= c.q_start AND c.q_end <= x.q_end)"),
@@ -265,19 +265,21 @@ SQL = {
         CASE WHEN is_gap THEN 'type: N, description: ' || CASE gap_type WHEN 'contig' THEN 'a gap between clone contigs (also called a "layout gap")' WHEN 'fragment' THEN 'gap between two sequence contigs (also called a "sequence gap")' ELSE 'none' END END AS note FROM agp"""),
     "i6_agp_to_tpf": with_views("features marks", "WITH " + _AGP + """, m AS (SELECT 'F' || substr(id, 2) AS ident, ref, start FROM marks)
         SELECT objname, partnum, CASE WHEN is_gap THEN 'GAP' ELSE agp.ident END AS accession,
-        CASE WHEN is_gap THEN CASE gap_type WHEN 'contig' THEN 'TYPE-3' ELSE 'TYPE-2' END ELSE coalesce(m.ref, '?') END AS clone,
+        CASE WHEN is_gap THEN CASE linkage WHEN 'yes' THEN 'TYPE-2' ELSE 'TYPE-3' END ELSE coalesce(m.ref, '?') END AS clone,
         CASE WHEN is_gap THEN (oend - ostart + 1)::VARCHAR ELSE coalesce(m.start::VARCHAR, '?') END AS contig,
-        CASE WHEN is_gap THEN CASE linkage WHEN 'yes' THEN 'PAIRED ENDS' ELSE '' END WHEN orient = '-' THEN 'MINUS' ELSE 'PLUS' END AS orient FROM agp LEFT JOIN m ON agp.ident = m.ident"""),
-    "i7_tiling_groups": with_views("features", """WITH w AS (SELECT *, max("end") OVER (PARTITION BY ref ORDER BY start, "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM features),
+        CASE WHEN is_gap THEN CASE linkage WHEN 'yes' THEN 'PAIRED ENDS' ELSE '' END WHEN orient = '-' THEN 'MINUS' ELSE 'PLUS' END AS orient FROM agp LEFT JOIN m ON agp.ident = m.ident WHERE NOT is_gap OR gap_type <> 'unlisted'"""),
+    "i7_tiling_groups": with_views("features", """WITH w AS (SELECT *, lag("end") OVER (PARTITION BY ref ORDER BY start, "end", id) AS r FROM features),
         g AS (SELECT *, sum(CASE WHEN start < r THEN 0 ELSE 1 END) OVER (PARTITION BY ref ORDER BY start, "end", id ROWS UNBOUNDED PRECEDING) AS g FROM w)
-        SELECT ref, min(start) AS start, max("end") AS "end", count(*) AS tiles FROM g GROUP BY ref, g"""),
+        SELECT ref, min(start) AS start, max_by("end", {'s': start, 'e': "end", 'i': id}) AS "end", count(*) AS tiles FROM g GROUP BY ref, g"""),
     "i10_lift_to_object": with_views("features", "WITH " + _AGP + """ SELECT ident, objname, 15 AS cstart, 40 AS cend, CASE WHEN orient = '-' THEN oend - 29 ELSE ostart + 4 END AS start, CASE WHEN orient = '-' THEN oend - 4 ELSE ostart + 29 END AS "end" FROM agp WHERE NOT is_gap AND cend >= 40"""),
     "i10_split_component": with_views("features marks", "WITH " + _AGP + """, rg AS (SELECT ref AS objname, min(start) AS ms, min(start) + 5000 AS me FROM marks GROUP BY ref),
         j AS (SELECT *, coalesce(NOT is_gap AND ms <= oend AND me >= ostart, false) AS hit FROM agp LEFT JOIN rg USING (objname)),
-        p AS (SELECT *, ostart AS s, oend AS e, is_gap AS gp FROM j WHERE NOT hit UNION ALL SELECT *, ostart, greatest(ostart, ms) - 1, false FROM j WHERE hit UNION ALL SELECT *, greatest(ostart, ms), least(oend, me), true FROM j WHERE hit UNION ALL SELECT *, least(oend, me) + 1, oend, false FROM j WHERE hit)
-        SELECT objname, s AS ostart, e AS oend, gp AS is_gap, CASE WHEN NOT gp THEN ident END AS ident,
-        CASE WHEN NOT gp THEN CASE WHEN orient = '-' THEN cstart + oend - e ELSE cstart + s - ostart END END AS cstart,
-        CASE WHEN NOT gp THEN CASE WHEN orient = '-' THEN cstart + oend - e ELSE cstart + s - ostart END + e - s END AS cend, CASE WHEN NOT gp THEN orient END AS orient FROM p WHERE s <= e"""),
+        p AS (SELECT *, ostart AS s, oend AS e, 'w' AS side FROM j WHERE NOT hit UNION ALL SELECT *, ostart, greatest(ostart, ms) - 1, 'l' FROM j WHERE hit UNION ALL SELECT *, greatest(ostart, ms), least(oend, me), 'g' FROM j WHERE hit UNION ALL SELECT *, least(oend, me) + 1, oend, 'r' FROM j WHERE hit),
+        q AS (SELECT *, (side = 'l') = (orient <> '-') AS lower FROM p)
+        SELECT objname, s AS ostart, e AS oend, is_gap OR side = 'g' AS is_gap, CASE side WHEN 'g' THEN 'U' ELSE type END AS type, CASE side WHEN 'g' THEN 'fragment' ELSE gap_type END AS gap_type, CASE side WHEN 'g' THEN 'yes' ELSE linkage END AS linkage,
+        CASE WHEN side = 'w' THEN ident WHEN side = 'g' THEN NULL WHEN lower THEN ident || 'a' ELSE ident || 'b' END AS ident,
+        CASE WHEN side = 'w' THEN cstart WHEN side = 'g' THEN NULL WHEN lower THEN cstart ELSE 1 END AS cstart,
+        CASE WHEN side = 'w' THEN cend WHEN side = 'g' THEN NULL WHEN lower THEN cstart ELSE 1 END + CASE side WHEN 'w' THEN 0 ELSE e - s END AS cend, CASE side WHEN 'g' THEN NULL ELSE orient END AS orient FROM q WHERE s <= e"""),
     "i21_compose_trims": with_views("hits", "WITH w AS (SELECT query_id, gaps::BIGINT AS g, q_end, row_number() OVER (PARTITION BY query_id ORDER BY line_no DESC) AS k, sum(gaps) OVER (PARTITION BY query_id) AS t, count(*) OVER (PARTITION BY query_id) AS n FROM hits) SELECT query_id AS id, (t + 1)::BIGINT AS start, (t - g + q_end)::BIGINT AS \"end\", n::INTEGER AS passes FROM w WHERE k = 1"),
     "i22_convert_coords": with_views("features", "SELECT id, start - 1 AS first, \"end\" - start + 1 AS second FROM features"),
     "i23_marker_conflicts": with_views("marker_locations", "WITH g AS (SELECT marker, min(linkage_group)::VARCHAR AS chr FROM marker_locations GROUP BY marker), u AS (SELECT marker, 'genome' AS map, chr FROM g UNION SELECT marker, map, linkage_group::VARCHAR FROM marker_locations) SELECT marker, string_agg(map || ':' || chr, ',' ORDER BY map || ':' || chr) AS locations FROM u GROUP BY marker HAVING count(DISTINCT chr) > 1"),

@@ -118,7 +118,16 @@ def e5_read_placement(spark, d):
 
 
 def w1_contig_summary(spark, d):
-    return W.contig_summary(view(spark, d, "contig_reads"))
+    return W.contig_summary(_trimmed_reads(spark, d))
+
+
+def _trimmed_reads(spark, d):
+    trims = {"start_trim": F.col("start") % 7, "end_trim": F.col("span") % 5, "orient": F.when(F.col("span") % 2 == 0, "+").otherwise("-")}
+    return view(spark, d, "contig_reads").withColumns(trims)
+
+
+def w1_contig_read_list(spark, d):
+    return W.contig_read_list(_trimmed_reads(spark, d))
 
 
 def _named_reads(spark, d):
@@ -348,7 +357,8 @@ SQL = {
     "e5_read_placement": with_views("reads", """WITH p AS (SELECT read_id::VARCHAR AS read_id, status AS library, CASE WHEN read_id % 3 > 0 THEN 'c1_' || (read_id % 97) END AS s1 FROM reads),
         q AS (SELECT *, CASE WHEN s1 LIKE '%1%' THEN 'step2_' || s1 END AS s2 FROM p), r AS (SELECT *, CASE WHEN s2 IS NOT NULL AND s1 LIKE '%2%' THEN 'c3_' || s1 END AS s3 FROM q)
         SELECT read_id, coalesce(library, 'NA') AS library, coalesce(s1, 'NA') AS step1, coalesce(s2, 'NA') AS step2, coalesce(s3, 'NA') AS step3, CASE WHEN s3 LIKE '%12%' THEN 'allele' ELSE 'NA' END AS allele, CASE WHEN s3 LIKE '%12%' THEN s1 ELSE 'NA' END AS note FROM r"""),
-    "w1_contig_summary": with_views("contig_reads", "SELECT contig_id, count(*) AS reads, least(min(start), 0) AS first, max(start + span) AS last, max(start + span) - least(min(start), 0) AS span FROM contig_reads GROUP BY contig_id"),
+    "w1_contig_summary": with_views("contig_reads", "SELECT contig_id, count(*) AS reads, least(min(start - start % 7), 0) AS first, max(start + span + span % 5) AS last, max(start + span) AS trimmed_end, max(start + span + span % 5) - least(min(start - start % 7), 0) AS span FROM contig_reads GROUP BY contig_id"),
+    "w1_contig_read_list": with_views("contig_reads", """SELECT contig_id, row_number() OVER (PARTITION BY contig_id ORDER BY start, read_id) AS place, read_id, CASE WHEN span % 2 = 0 THEN '+' ELSE '-' END AS orient, start, start + span AS "end", start % 7 AS start_trim, span % 5 AS end_trim FROM contig_reads"""),
     "w2_library_mix": with_views("contig_reads contig_lengths", "WITH c AS (SELECT contig_id, coalesce(string_agg(DISTINCT library, '-' ORDER BY library) FILTER (library IN ('AF', 'NO', 'RF')), '') AS libraries, count(*) AS n, sum(span) AS b FROM contig_reads GROUP BY contig_id) SELECT libraries, count(*) AS contigs, sum(length)::BIGINT AS contig_bases, sum(n)::BIGINT AS reads, sum(b)::BIGINT AS read_bases FROM c LEFT JOIN contig_lengths USING (contig_id) GROUP BY libraries"),
     "w2_library_reads": with_views("contig_reads clones", "SELECT CASE WHEN library IN ('AF', 'NO', 'RF') THEN library ELSE 'unmatched' END AS library, count(*) AS reads, sum(span)::BIGINT AS bases FROM contig_reads GROUP BY 1 UNION ALL SELECT 'singletons', count(DISTINCT clone_id), sum(clone_id % 700)::BIGINT FROM clones"),
     "w3_build_overlap": with_views("old_builds new_builds", "SELECT o.cluster_id AS old_cluster, n.cluster_id AS new_cluster, count(*) AS shared, max(os.s) AS old_size, max(ns.s) AS new_size FROM old_builds o JOIN new_builds n USING (member_id) JOIN (SELECT cluster_id, count(*) AS s FROM old_builds GROUP BY 1) os ON os.cluster_id = o.cluster_id JOIN (SELECT cluster_id, count(*) AS s FROM new_builds GROUP BY 1) ns ON ns.cluster_id = n.cluster_id GROUP BY ALL"),

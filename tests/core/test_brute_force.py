@@ -176,6 +176,8 @@ def plain_nj(names, d):
         pairs = [(len(order) - 2) * d[frozenset((x, y))] - total[x] - total[y] for x, y in itertools.combinations(order, 2)]
         low = min(pairs)
         near = [p for p, v in zip(itertools.combinations(order, 2), pairs, strict=True) if v - low < 1e-9]
+        if len(order) == 4:  # of the last four, a pair and the other two give one tree, and tie always
+            near = near[:1] if len(near) == 2 and not set(near[0]) & set(near[1]) else near
         if len(near) > 1:
             return None  # a tie: any of them is right
         x, y = near[0]
@@ -196,11 +198,14 @@ def plain_nj(names, d):
 def test_trees(spark, distances):
     got = {r.family: r.newick for r in query(spark, "p10_trees")}
     assert set(got) == set(distances)
+    plain = 0
     for f, d in distances.items():
         names = sorted({x for p in d for x in p})
         assert sorted(P.leaves(P.parse_newick(got[f]))) == names
         want = plain_nj(names, d)
         assert want is None or set(P.splits(got[f])) == want
+        plain += want is not None
+    assert plain
     rng = random.Random(4)
     for _ in range(50):
         names = [f"m{i}" for i in range(rng.randint(4, 9))]
@@ -344,8 +349,7 @@ def test_feature_table(spark):
         want.add((g, "", 0, 0, f"{first}\t{last}\tgene"))
         m = f"{g}.1"
         for kind, k, name in (("exon", 1, "mRNA"), ("CDS", 3, "CDS")):
-            mine = sorted((p for p in parts if p[0] == kind), key=lambda p: -p[1] if minus else p[1])
-            assert len({p[1] for p in mine}) == len(mine) or kind == "exon"
+            mine = sorted((p for p in parts if p[0] == kind), key=lambda p: (-p[1], -p[2]) if minus else (p[1], p[2]))
             for i, (_, a, b) in enumerate(mine):
                 a, b = ends(a, b)
                 want.add((g, m, k, i, f"{'<' if kind == 'CDS' and i == 0 else ''}{a}\t{b}" + (f"\t{name}" if i == 0 else "")))
@@ -359,7 +363,4 @@ def test_feature_table(spark):
         quals += [("go_process", "growth|0001||ISS"), ("db_xref", "X:1")]
         for k, more in ((2, []), (4, [("EC_number", "1.2.3")] if text is not None else [])):
             want |= {(g, m, k, i, f"\t\t\t{a}\t{b}") for i, (a, b) in enumerate(quals + more)}
-    # of two exons with one start either may come first
-    got = {tuple(r) for r in query(spark, "i20_feature_table")}
-    loose = lambda rows: {(g, m, k, i if k != 1 else -1, v.removesuffix("\tmRNA") if k == 1 else v) for g, m, k, i, v in rows}
-    assert loose(got) == loose(want)
+    assert {tuple(r) for r in query(spark, "i20_feature_table")} == want

@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_without_sql_runs(spark, name):
-    assert registry.QUERIES[name](spark, FOLDER).count() >= 0
+    assert registry.QUERIES[name](spark, FOLDER).count() > 0
 
 
 def test_entry(spark):

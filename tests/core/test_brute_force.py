@@ -92,20 +92,19 @@ def test_articulation_points(spark, edges):
 def test_assembly_order(spark, edges):
     best = {}
     for _, a, b, w in edges:
-        best[a, b] = max(w, best.get((a, b), w))
+        key = min(a, b), max(a, b)
+        best[key] = max(w, best.get(key, w))
     near, of = components(best)
     want = set()
     for root in set(of.values()):
-        mine = [(-w, a, b) for (a, b), w in best.items() if of[a] == root]
-        both = mine + [(w, b, a) for w, a, b in mine]
-        first = min(both)[1]
-        seen, place = {first}, 0
-        want.add((root, first, None, None, 0))
-        while fringe := [x for x in both if x[1] in seen and x[2] not in seen]:
-            w, a, b = min(fringe)
-            seen.add(b)
+        mine = sorted((-w, a, b) for (a, b), w in best.items() if of[a] == root)
+        seen, place = {mine[0][1]}, 0
+        want.add((root, mine[0][1], None, None, 0))
+        while fringe := [x for x in mine if (x[1] in seen) != (x[2] in seen)]:
+            w, a, b = fringe[0]
             place += 1
-            want.add((root, b, a, float(-w), place))
+            want.add((root, b, a, float(-w), place) if a in seen else (root, a, b, float(-w), place))
+            seen |= {a, b}
     assert {tuple(r) for r in query(spark, "g7_assembly_order")} == want
 
 

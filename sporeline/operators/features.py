@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sporeline.functions.bases import peptide
+from sporeline.functions.storage import materialize
 from sporeline.operators import chunks as C
 
 
@@ -209,15 +210,23 @@ def move_features(features: DataFrame, moves: DataFrame) -> DataFrame:
     return j.withColumns({"start": F.col("_t.s"), "end": F.col("_t.e"), "valid": F.col("_t.ok")}).select(*features.columns, "valid")
 
 
-def invalid_families(moved: DataFrame, depth: int = 3) -> DataFrame:
-    """Ids (id) of moved features (id, parent, valid) that an edit cut, of all above them and of all below those, up to ``depth`` levels."""
-    links = moved.where("parent IS NOT NULL").select("id", "parent")
-    out = moved.where("NOT valid").select("id").distinct()
-    for _ in range(depth - 1):
-        out = out.unionByName(links.join(out, "id", "left_semi").select(F.col("parent").alias("id"))).distinct()
-    for _ in range(depth - 1):
-        out = out.unionByName(links.join(out.select(F.col("id").alias("parent")), "parent", "left_semi").select("id")).distinct()
-    return out
+def invalid_families(moved: DataFrame) -> DataFrame:
+    """Ids (id) of moved features (id, parent, valid; a row a parent) that an edit cut, of all above them and of all below those."""
+    links = materialize(moved.where("parent IS NOT NULL").select("id", "parent").distinct())
+    cut = materialize(moved.where("NOT valid").select("id").distinct())
+    above = _reached(cut, links, "id", "parent")
+    return _reached(above, links, "parent", "id")
+
+
+def _reached(start: DataFrame, links: DataFrame, near: str, far: str) -> DataFrame:
+    """(id): ``start`` and all that links lead to, however far: each round follows what the last one found, until nothing is new."""
+    found, front = start, start
+    while True:
+        step = links.join(front.select(F.col("id").alias(near)), near, "left_semi").select(F.col(far).alias("id")).distinct()
+        new = materialize(step.join(found, "id", "left_anti"))
+        if new.isEmpty():
+            return found
+        found, front = materialize(found.unionByName(new)), new
 
 
 def region_lengths(regions: DataFrame, moves: DataFrame) -> DataFrame:

@@ -10,13 +10,24 @@ from sporeline.functions.storage import discard, materialize
 from sporeline.operators.forests import nearest_greater, roots_of, rooted, spanning_forest, subtree_least
 
 
-def adjacency(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str = "weight", order: str = "line_no") -> DataFrame:
-    """Symmetric neighbour list and degree of each node; of repeated edges the last weight wins."""
+#: Neighbours in one row of a neighbour list.
+LIST_PART = 10_000
+
+
+def adjacency(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str = "weight", order: str = "line_no", size: int = LIST_PART) -> DataFrame:
+    """G1: (node, part, degree, neighbours): symmetric neighbour lists by name; of repeated edges the last weight wins.
+
+    A list is cut into parts 0, 1, ... of ``size`` neighbours, which are told
+    apart by a sort by range, so a hub's list is in no single row or task.
+    """
     both = edges.select(F.col(src).alias("node"), F.col(dst).alias("other"), weight, order).unionByName(
         edges.select(F.col(dst).alias("node"), F.col(src).alias("other"), weight, order)
     )
     last = both.where("node <> other").groupBy("node", "other").agg(F.max_by(weight, order).alias("weight"))
-    return last.groupBy("node").agg(F.count("*").alias("degree"), F.sort_array(F.collect_list(F.struct("other", "weight"))).alias("neighbours"))
+    placed = numbered(last, [F.col("node"), F.col("other")], "_n")
+    per = placed.groupBy("node").agg(F.min("_n").alias("_low"), F.count("*").alias("degree"))
+    parts = placed.join(per, "node").withColumn("part", F.expr(f"cast((_n - _low) div {size} as int)"))
+    return parts.groupBy("node", "part", "degree").agg(F.sort_array(F.collect_list(F.struct("other", "weight"))).alias("neighbours"))
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:

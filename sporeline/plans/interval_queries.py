@@ -147,7 +147,7 @@ def i21_trim_tags(spark, d):
 
 
 def g1_adjacency(spark, d):
-    return G.adjacency(view(spark, d, "edges")).select("node", "degree", F.col("neighbours")[0]["other"].alias("first"), F.col("neighbours")[0]["weight"].alias("weight"))
+    return G.adjacency(view(spark, d, "edges")).where("part = 0").select("node", "degree", F.col("neighbours")[0]["other"].alias("first"), F.col("neighbours")[0]["weight"].alias("weight"))
 
 
 def g2_components(spark, d):

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from sporeline.functions.storage import shared_dir
 from sporeline.plans.adapters import view, with_views
+from sporeline.plans.interval_queries import SQL as INTERVAL_SQL
 from sporeline.sources import sequences as S
 from sporeline.sources import tables as T
+from sporeline.streaming.clusters import ClusterLog, stream_clusters
 from sporeline.streaming.hits import stream_best_hits
 
 
@@ -212,10 +214,21 @@ def t1_stream_best_hits(spark, d):
     return updates.groupBy("query_id").agg(F.max_by(F.struct("subject_id", "score", "line_no"), "batch").alias("b")).select("query_id", "b.*")
 
 
+def t1_stream_clusters(spark, d):
+    """The stream reads the hit files as they lie; after its last batch the log holds the components of all hits."""
+    path, out = _folder(spark), _folder(spark)
+    view(spark, d, "edges").select("src", "dst").repartition(3).write.parquet(path)
+    stream = spark.readStream.schema("src string, dst string").option("maxFilesPerTrigger", 1).parquet(path)
+    log = ClusterLog(spark, f"{out}-log")
+    stream_clusters(stream, log, f"{out}-state").awaitTermination()
+    return log.members()
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "st" and k[1].isdigit() and callable(v)}
 
 _Q = "list_sum(list_transform(range(1, length(seq) + 1), lambda i: (i * 7 + line_no) % 41))"
 SQL = {
+    "t1_stream_clusters": INTERVAL_SQL["g2_components"],
     "s1_read_fasta": with_views("seqs", "SELECT id, descr, seq FROM seqs"),
     "s2_write_fasta": with_views("seqs", "SELECT id, length(seq) AS length FROM seqs"),
     "s3_fastq": with_views("seqs", f"SELECT id, md5(seq) AS md5, length(seq) AS n, ({_Q})::BIGINT AS total FROM seqs WHERE length(seq) > 0"),

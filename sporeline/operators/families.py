@@ -424,32 +424,71 @@ def splits(newick: str) -> list[str]:
     return sorted(found)
 
 
+#: Replicates of a family that one task works out.
+REPLICATE_BLOCK = 250
+
+
+class SitePatterns:
+    """An alignment as its distinct columns: for each pair of members, which columns both have, and which are transitions or transversions."""
+
+    def __init__(self, rows: list[str]):
+        sites = np.stack([np.frombuffer(r.upper().encode(), np.uint8) for r in rows])
+        patterns, self.of_site = np.unique(sites, axis=1, return_inverse=True)
+        self.of_site = self.of_site.ravel()
+        self.size = patterns.shape[1]
+        self.first, self.second = np.tril_indices(len(rows), -1)
+        x, y = patterns[self.first], patterns[self.second]
+        known = np.isin(x, (65, 67, 71, 84)) & np.isin(y, (65, 67, 71, 84))
+        same_ring = np.isin(x, (65, 71)) == np.isin(y, (65, 71))
+        self.both = known.astype(np.float64)
+        self.transitions = (known & (x != y) & same_ring).astype(np.float64)
+        self.transversions = (known & (x != y) & ~same_ring).astype(np.float64)
+
+    def distances(self, weights: np.ndarray, model: str) -> np.ndarray:
+        """(replicates, pairs): distances of columns counted ``weights`` times; 1 where they are not defined."""
+        n, ts, tv = (weights @ m.T for m in (self.both, self.transitions, self.transversions))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p, q = ts / n, tv / n
+            if model == "uncorrected":
+                d = p + q
+            elif model == "jukes-cantor":
+                d = np.where(p + q < 0.75, -0.75 * np.log(1 - 4 / 3 * (p + q)), np.nan)
+            else:
+                d = np.where((1 - 2 * p - q > 0) & (1 - 2 * q > 0), -0.5 * np.log(1 - 2 * p - q) - 0.25 * np.log(1 - 2 * q), np.nan)
+        return np.where(np.isnan(d), 1.0, d)
+
+
 def bootstrap_support(aligned: DataFrame, replicates: int = 100, seed: int = 1, model: str = "uncorrected") -> DataFrame:
     """(family, split, support): percent of replicates, by resampled columns, whose tree has the split.
 
-    Work is grouped by family and replicate; the resampling is seeded by both,
-    so a lost task gives the same trees again.
+    A replicate is a count for each distinct column, so an alignment is sent
+    once for REPLICATE_BLOCK replicates and all their distances are three
+    products of matrices. The resampling is seeded by family and replicate, so
+    a lost task gives the same trees again.
     """
     import zlib
 
     def rule(pdf: pd.DataFrame) -> pd.DataFrame:
-        family, rep = pdf["family"].iloc[0], int(pdf["replicate"].iloc[0])
+        family, block = pdf["family"].iloc[0], int(pdf["block"].iloc[0])
         pdf = pdf.sort_values("member")
-        cols = np.array([list(s) for s in pdf["seq"]])
-        pick = np.random.default_rng([seed, rep, zlib.crc32(str(family).encode())]).integers(0, cols.shape[1], cols.shape[1])
-        rows = ["".join(r) for r in cols[:, pick]]
-        names = pdf["member"].tolist()
-        d = np.zeros((len(names), len(names)))
-        for i in range(len(names)):
-            for j in range(i):
-                x = distance_of(rows[i], rows[j], model)
-                d[i, j] = d[j, i] = 1.0 if x is None else x
-        found = splits(build_tree(names, d)) if len(names) > 3 else []
-        return pd.DataFrame([(family, s) for s in found], columns=["family", "split"], dtype=object)
+        names, rows = pdf["member"].tolist(), pdf["seq"].tolist()
+        found: dict[str, int] = {}
+        if len(names) > 3 and len(rows[0]):
+            made = SitePatterns(rows)
+            reps = range(block * REPLICATE_BLOCK + 1, min((block + 1) * REPLICATE_BLOCK, replicates) + 1)
+            picks = (np.random.default_rng([seed, rep, zlib.crc32(str(family).encode())]).integers(0, len(rows[0]), len(rows[0])) for rep in reps)
+            weights = np.stack([np.bincount(made.of_site[p], minlength=made.size) for p in picks]).astype(np.float64)
+            for row in made.distances(weights, model):
+                d = np.zeros((len(names), len(names)))
+                d[made.first, made.second] = d[made.second, made.first] = row
+                for split in splits(build_tree(names, d)):
+                    found[split] = found.get(split, 0) + 1
+        return pd.DataFrame([(family, s, n) for s, n in found.items()], columns=["family", "split", "n"])
 
     kind = aligned.schema["family"].dataType.simpleString()
-    reps = aligned.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return reps.groupBy("family", "replicate").applyInPandas(rule, f"family {kind}, split string").groupBy("family", "split").agg((100 * F.count("*") / replicates).alias("support"))
+    blocks = aligned.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // REPLICATE_BLOCK))))
+    counted = blocks.groupBy("family", "block").applyInPandas(rule, f"family {kind}, split string, n long")
+    return counted.groupBy("family", "split").agg((100 * F.sum("n") / replicates).alias("support"))
 
 
 def filter_support(trees_: DataFrame, support: DataFrame, cutoff: float) -> DataFrame:

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sporeline.functions.storage import materialize
+from sporeline.functions.storage import discard, materialize
+from sporeline.operators.graph import connected_components
 from sporeline.operators.intervals import merge_ranges
 
 COMPARE = {"<": "__lt__", "<=": "__le__", "=": "__eq__", ">=": "__ge__", ">": "__gt__"}
@@ -248,17 +249,12 @@ def parent_allele_by_hit(hits: DataFrame, by: str = "pident") -> DataFrame:
     return ranked.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("parent")), ",").alias("parents"))
 
 
-def kmer_candidates(seqs: DataFrame, k: int = 9, min_score: int = 75) -> DataFrame:
-    """(a, b, score): pairs of different sequences by shared words, score = shared distinct words times k.
+def _word_lists(seqs: DataFrame, k: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables (id, words) of different sequences with ``least`` words or more, and (word, id) of their rarest words.
 
-    Equal sequences are one, under its least id (``equal_sequences`` gives the
-    membership), so copies make no pairs. No word is left out for being
-    frequent. A pair must share ``t`` words to reach the score; of a sequence
-    of n words only its n - t + 1 rarest are joined, for two sequences that
-    share t words share one of those; candidates' scores are then counted on
-    their whole word lists. Sequences shorter than k have no words.
+    Two sequences that share ``least`` words share one of the n - least + 1
+    rarest of either. Words of one sequence only are left out.
     """
-    least = max(1, -(-min_score // k))
     n = F.length("seq") - k + 1
     words = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substring("seq", i, F.lit(k)))))
     whole = seqs.where(F.length("seq") >= k).groupBy("seq").agg(F.min("id").alias("id")).select("id", words.alias("words"))
@@ -267,11 +263,75 @@ def kmer_candidates(seqs: DataFrame, k: int = 9, min_score: int = 75) -> DataFra
     usual = rows.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     ranked = rows.join(usual, "word", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "word"))).alias("by"))
     rare = F.slice("by", F.lit(1), F.size("by") - least + 1)
-    rare = materialize(ranked.select("id", F.explode(rare).alias("x")).where("x.n > 1").select("id", "x.word"))
-    pairs = rare.select("word", F.col("id").alias("a")).join(rare.select("word", F.col("id").alias("b")), "word").where("a < b").select("a", "b").distinct()
+    return whole, materialize(ranked.select("id", F.explode(rare).alias("x")).where("x.n > 1").select("x.word", "id"))
+
+
+def _shared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """(a, b, n) of pairs (a, b): the words that both have, on their whole lists."""
     both = pairs.join(whole.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").join(whole.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
-    scored = both.select("a", "b", (F.size(F.array_intersect("wa", "wb")) * k).cast("long").alias("score"))
-    return scored.where(F.col("score") >= min_score)
+    return both.select("a", "b", F.size(F.array_intersect("wa", "wb")).cast("long").alias("n"))
+
+
+def kmer_candidates(seqs: DataFrame, k: int = 9, min_score: int = 75) -> DataFrame:
+    """(a, b, score): pairs of different sequences by shared words, score = shared distinct words times k.
+
+    Equal sequences are one, under its least id (``equal_sequences`` gives the
+    membership), so copies make no pairs. No word is left out for being
+    frequent. Sequences shorter than k have no words. The result grows with
+    the square of a group of alike sequences; ``kmer_classes`` gives the groups
+    without their pairs.
+    """
+    least = max(1, -(-min_score // k))
+    whole, rare = _word_lists(seqs, k, least)
+    pairs = rare.select("word", F.col("id").alias("a")).join(rare.select("word", F.col("id").alias("b")), "word").where("a < b").select("a", "b").distinct()
+    return _shared(pairs, whole).select("a", "b", (F.col("n") * k).alias("score")).where(F.col("score") >= min_score)
+
+
+#: Hubs of a word in the first round, second, ...: 1, HUBS, HUBS ** 2, ...
+HUBS = 8
+
+
+def kmer_classes(seqs: DataFrame, k: int = 9, min_score: int = 75) -> DataFrame:
+    """(id, class): sequences joined by pairs of ``min_score`` or more, named by the least id; sequences without such a pair are their own class.
+
+    A word's sequences are not paired with each other but with a hub, the one
+    whose words are shared most; the pairs' scores are exact. A word whose
+    sequences are then of one class is closed, for no pair of it can change a
+    class; in an open one the hub is done with, and more hubs come in the next
+    round, until all words are closed. So every pair of different classes that
+    shares one of its rarest words has been scored, and none within a class
+    but those with hubs.
+    """
+    least = max(1, -(-min_score // k))
+    whole, rare = _word_lists(seqs, k, least)
+    weights = rare.join(rare.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("id").agg(F.sum("n").alias("weight"))
+    members = materialize(rare.join(weights, "id"))
+    discard(rare)
+    classes = materialize(whole.select("id", F.col("id").alias("class")))
+    cells, tested = 1, []
+    while not members.isEmpty():
+        classed = members.join(classes, "id")
+        cell = F.pmod(F.xxhash64("word", "id"), F.lit(cells))
+        hubs = materialize(classed.groupBy("word", cell.alias("cell")).agg(F.max_by(F.struct("id", "class"), F.struct("weight", "id")).alias("hub")).select("word", F.col("hub.id").alias("hub"), F.col("hub.class").alias("hub_class")))
+        pairs = classed.join(hubs, "word").where("class <> hub_class").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        if tested:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
+        found = materialize(_shared(pairs, whole))
+        tested.append(found.select("a", "b"))
+        ends = found.where(F.col("n") * k >= min_score)
+        if not ends.isEmpty():
+            side = lambda c, name: classes.select(F.col("id").alias(c), F.col("class").alias(name))
+            joined = connected_components(ends.join(side("a", "u"), "a").join(side("b", "v"), "b").select("u", "v"), src="u", dst="v")
+            last, classes = classes, materialize(classes.join(joined.withColumnRenamed("node", "class"), "class", "left").select("id", F.coalesce("component", "class").alias("class")))
+            discard(last)
+        rest = members.join(hubs.select("word", F.col("hub").alias("id")), ["word", "id"], "left_anti")
+        open_ = rest.join(classes, "id").groupBy("word").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("word")
+        last, members = members, materialize(rest.join(open_, "word").select("word", "id", "weight"))
+        discard(last, hubs)
+        cells *= HUBS
+    out = seqs.groupBy("seq").agg(F.min("id").alias("least"))
+    named = seqs.join(out, "seq").join(classes.withColumnRenamed("id", "least"), "least", "left")
+    return named.select("id", F.coalesce("class", "least").alias("class"))
 
 
 def equal_sequences(seqs: DataFrame) -> DataFrame:

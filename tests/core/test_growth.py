@@ -81,3 +81,29 @@ def test_stream_fills_the_log(spark, tmp_path):
     # a stream that begins again delivers the same batches under the same numbers
     stream_clusters(stream(), log, str(tmp_path / "other")).awaitTermination()
     assert {r.node: r.component for r in log.members().collect()} == plain(edges)
+
+
+def test_word_classes_equal_components_of_pairs(spark, monkeypatch):
+    """Chains of overlapping sequences, a group that shares one passage, copies, and sequences alike in too few words."""
+    from sporeline.operators import hits as H
+
+    rng = random.Random(9)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    chain, stem = dna(400), dna(30)
+    seqs = [chain[i : i + 60] for i in range(0, 340, 25)] + [stem + dna(40) for _ in range(40)] + [stem[:14] + dna(40) for _ in range(10)] + [dna(50) for _ in range(10)] + ["", "ACGT", None]
+    seqs += seqs[:3] + [seqs[20]]
+    rng.shuffle(seqs)
+    rows = [(f"s{i:03d}", s) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "id string, seq string")
+    least = {}
+    for i, s in rows:
+        least.setdefault(s, i)
+    names = {i: s for s, i in least.items() if s}
+    words = {i: {s[j : j + 9] for j in range(len(s) - 8)} for i, s in names.items()}
+    links = [(a, b) for a in words for b in words if a < b and 9 * len(words[a] & words[b]) >= 75]
+    of = plain(links)
+    for hubs in (8, 1000):
+        monkeypatch.setattr(H, "HUBS", hubs)
+        got = {r.id: r["class"] for r in H.kmer_classes(df.where("seq IS NOT NULL")).collect()}
+        assert got == {i: of.get(least[s], least[s]) for i, s in rows if s is not None}
+    assert len(set(of.values())) >= 2 and len(links) > 700

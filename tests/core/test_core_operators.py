@@ -40,10 +40,9 @@ def test_articulation_points_and_spanning_tree(spark):
     assert [(r.node, r.joined_to, r.weight) for r in tree] == [("b", None, None), ("c", "b", 5.0), ("d", "c", 3.0), ("e", "d", 4.0), ("a", "c", 2.0)]
 
 
-def test_component_limit_fails_instead_of_cutting(spark):
+def test_larger_components_go_by_rounds_and_are_not_cut(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
-    with pytest.raises(ValueError):
-        G.articulation_points(e, limit=1)
+    assert [tuple(r) for r in G.articulation_points(e, limit=1).collect()] == [tuple(r) for r in G.articulation_points(e).collect()] == [("a", "b")]
 
 
 def test_overlap_join_of_long_ranges_equals_brute_force(spark):
@@ -53,7 +52,8 @@ def test_overlap_join_of_long_ranges_equals_brute_force(spark):
     schema = "ref string, id int, start long, end long"
     for mode in ("strict", "closed"):
         got = I.overlap_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), mode).select("id_a", "id_b").collect()
-        test = (lambda x, y: x[2] < y[3] and y[2] < x[3] and x[2:] != y[2:]) if mode == "strict" else (lambda x, y: x[2] <= y[3] and y[2] <= x[3])
+        inner = lambda p, y: y[2] < p < y[3]
+        test = (lambda x, y: inner(x[2], y) or inner(x[3], y) or (x[2] < y[2] and x[3] > y[3])) if mode == "strict" else (lambda x, y: x[2] <= y[3] and y[2] <= x[3])
         assert sorted(map(tuple, got)) == sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and test(x, y))
 
 

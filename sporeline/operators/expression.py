@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from sporeline.functions.storage import materialize
 
 
+def library_counts(contig_reads: DataFrame, read_library: DataFrame) -> DataFrame:
+    """(contig_id, library, n) of libraries that a contig has; a read in several libraries belongs to its first line's. A written table."""
+    first = read_library.groupBy("read_id").agg(F.min_by("library", "line_no").alias("library"))
+    return materialize(contig_reads.select("contig_id", "read_id").join(first, "read_id").groupBy("contig_id", "library").agg(F.count("*").alias("n")))
+
+
 def library_composition(contig_reads: DataFrame, read_library: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """(contig_id, library, n, total, ppm or rpkm), zero rows included; a read in several libraries belongs to its first line's.
 
@@ -15,8 +21,7 @@ def library_composition(contig_reads: DataFrame, read_library: DataFrame, length
     equality join on the read. Each contig's counts become one map, and the
     libraries, one row with all of them, give it its zeros: no grid is joined.
     """
-    first = read_library.groupBy("read_id").agg(F.min_by("library", "line_no").alias("library"))
-    counts = materialize(contig_reads.select("contig_id", "read_id").join(first, "read_id").groupBy("contig_id", "library").agg(F.count("*").alias("n")))
+    counts = library_counts(contig_reads, read_library)
     totals = counts.groupBy("library").agg(F.sum("n").alias("total"))
     listed = totals.agg(F.sort_array(F.collect_list(F.struct("library", "total"))).alias("all"))  # one row: the width of the report
     per = counts.groupBy("contig_id").agg(F.map_from_entries(F.collect_list(F.struct("library", "n"))).alias("own"))
@@ -28,12 +33,13 @@ def library_composition(contig_reads: DataFrame, read_library: DataFrame, length
     return rows.select("contig_id", "library", "n", "total", (F.col("n") * 1e9 / (F.col("total") * F.col("length"))).alias("rpkm"))
 
 
-def stekel_r(composition: DataFrame, min_reads: int = 51, max_share: float = 0.2) -> DataFrame:
-    """(contig_id, r); null for all unless every library has ``min_reads`` and no contig takes more than ``max_share`` of one."""
-    composition = materialize(composition)  # read four times below
+def stekel_r(counts: DataFrame, min_reads: int = 51, max_share: float = 0.2) -> DataFrame:
+    """(contig_id, r) from a written table (contig_id, library, n), zero rows or not; null for all unless every library has ``min_reads`` and no contig takes more than ``max_share`` of one."""
+    totals = counts.groupBy("library").agg(F.sum("n").alias("total"))
+    composition = counts.join(totals, "library")
     size = composition.groupBy("library").agg(F.max("total").alias("t"), F.max(F.col("n") / F.col("total")).alias("share"))
     valid = size.agg(((F.min("t") >= min_reads) & (F.max("share") <= max_share)).alias("valid"))
-    whole = composition.select("library", "total").distinct().agg(F.sum("total").alias("whole"))
+    whole = counts.agg(F.sum("n").alias("whole"))
     sums = composition.groupBy("contig_id").agg(F.sum("n").alias("x"))
     rows = composition.where("n > 0").join(sums, "contig_id").crossJoin(F.broadcast(whole))  # one row
     part = F.col("n") * F.log10(F.col("n") / (F.col("total") * F.col("x") / F.col("whole")))

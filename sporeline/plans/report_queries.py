@@ -75,7 +75,8 @@ def e1_rpkm(spark, d):
 
 
 def e2_stekel_r(spark, d):
-    return E.stekel_r(_composition(spark, d)).withColumn("r", F.round("r", 4))
+    v = view(spark, d, "contig_reads")
+    return E.stekel_r(E.library_counts(v, v.select("read_id", "library", "line_no"))).withColumn("r", F.round("r", 4))
 
 
 def e3_strain_expression(spark, d):

@@ -6,7 +6,6 @@ import random
 import pytest
 
 from sporeline.operators import families as P
-from sporeline.operators import graph as G
 from sporeline.operators import hits as H
 from sporeline.plans import registry
 from sporeline.plans.adapters import view

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sporeline.operators import chunks as C
 from sporeline.operators import features as FT
-from sporeline.operators import sequences as Q
 from sporeline.sources.sequences import read_fasta
 
 FLIP = str.maketrans("ACGTacgt", "TGCAtgca")

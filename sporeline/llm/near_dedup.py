@@ -27,11 +27,10 @@ from sporeline.llm.wordhash import U, chunks, counted, mix, seeded, shingles, wo
 
 WORDS = 5
 THRESHOLD = 0.8
-#: (bands, rows a band) of each level. A pair at the threshold shares a band with probability
-#: 1 - (1 - 0.8 ** 5) ** 20 = 0.9996 and, in large buckets that stay open, 1 - (1 - 0.8 ** 10) ** 40 = 0.989, then
-#: 1 - (1 - 0.8 ** 14) ** 100 = 0.989: 0.978 in all, where every bucket that a pair shares is large and open. Ten rows
-#: leave texts that share half their shingles (a common passage) 0.5 ** 10 = 0.001 a band.
-LEVELS = ((20, 5), (40, 10), (100, 14))
+#: (bands, rows a band) of each level: one. A pair at the threshold shares a band with probability
+#: 1 - (1 - 0.8 ** 8) ** 24 = 0.988, whatever the size of its buckets; texts that share half their shingles (a common
+#: passage) do with 0.5 ** 8 = 0.004 a band.
+LEVELS = ((24, 8),)
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -139,7 +138,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = slim.select(F.col("id").cast(kind).alias("id"), "fp", "bands", F.monotonically_increasing_id().alias("row"))
     texts_of = slim.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("low"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     texts = named.groupBy("fp").agg(F.first("text").alias("body"))
-    linked = linked_classes(texts_of.select("fp", "bands"), texts, [signer(1), signer(2)], similar_texts)
+    linked = linked_classes(texts_of.select("fp", "bands"), texts, [signer(level) for level in range(1, len(LEVELS))], similar_texts)
     sized = texts_of.select("fp", "low", "n").join(linked, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
     heads = sized.groupBy("class").agg(F.min("low").alias("head"), F.sum("n").alias("class_size"))
     by_text = sized.join(heads, "class").select("fp", "class", "head", "class_size")

@@ -9,26 +9,26 @@ from tests.llm.test_operators import jp, table, words
 
 
 def test_links_in_large_buckets(spark):
-    """120 texts that share more than half their shingles, and a near copy of each at 0.80 to 0.85."""
+    """40 texts that share more than half their shingles, and a near copy of each at 0.80 to 0.85."""
     rng = random.Random(21)
-    base = words(rng, 500)
+    base = words(rng, 300)
     texts, pairs = [], []
-    for _ in range(120):
+    for _ in range(40):
         own = list(base)
-        for k in rng.sample(range(500), 22):
+        for k in rng.sample(range(300), 13):
             own[k] = rng.choice(words(rng, 3))
         near = list(own)
         while jp(" ".join(own), " ".join(near)) > 0.85:
-            near[rng.randrange(500)] = words(rng, 1)[0]
+            near[rng.randrange(300)] = words(rng, 1)[0]
         while jp(" ".join(own), " ".join(near)) < 0.8:
-            k = next(i for i in range(500) if near[i] != own[i])
+            k = next(i for i in range(300) if near[i] != own[i])
             near[k] = own[k]
         pairs.append((len(texts), len(texts) + 1))
         texts += [" ".join(own), " ".join(near)]
     got = {r.doc_id: r["class"] for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
     # other pairs are under the threshold, but chains of links may join them; no class without a link
-    assert len(set(got.values())) > 90
+    assert len(set(got.values())) > 25
 
 
 def test_one_row_of_each_class_is_kept(spark, tmp_path):

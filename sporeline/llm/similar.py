@@ -18,6 +18,7 @@ shares a small bucket, or one of the longest bands, has been verified.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,8 +59,9 @@ def linked_classes(bands: DataFrame, bodies: DataFrame, sign: list[Callable], si
         heads = hubs.select("band", F.col("fp").alias("hub"), F.col("class").alias("hub_class"))
         pairs = heads.join(classed, "band").where("hub_class <> class")
         pairs = pairs.select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b")).distinct()
-        for known in tested:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        if tested:  # one join for the pairs of all rounds
+            known = reduce(DataFrame.unionByName, [t.select("a", "b") for t in tested])
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
         found = materialize(_verified(pairs, bodies, similar))
         tested.append(found)
         links = found.where("linked")

@@ -288,7 +288,7 @@ def kmer_candidates(seqs: DataFrame, k: int = 9, min_score: int = 75) -> DataFra
 
 
 #: Hubs of a word in the first round, second, ...: 1, HUBS, HUBS ** 2, ...
-HUBS = 8
+HUBS = 64
 
 
 def kmer_classes(seqs: DataFrame, k: int = 9, min_score: int = 75) -> DataFrame:

@@ -136,10 +136,6 @@ def h15_kmer_candidates(spark, d):
     return H.kmer_candidates(view(spark, d, "seqs"), 24, 96)
 
 
-def h15_kmer_classes(spark, d):
-    return H.kmer_classes(view(spark, d, "seqs"), 24, 96)
-
-
 def h15_equal_sequences(spark, d):
     return H.equal_sequences(view(spark, d, "seqs"))
 
@@ -219,12 +215,5 @@ SQL = {
         """WITH q AS (SELECT min(id) AS id, seq FROM seqs GROUP BY seq), w AS (SELECT DISTINCT id, substr(seq, i, 24) AS word FROM (SELECT id, seq, unnest(range(1, length(seq) - 22)) AS i FROM q))
         SELECT x.id AS a, y.id AS b, count(*) * 24 AS score FROM w x JOIN w y ON x.word = y.word AND x.id < y.id GROUP BY ALL HAVING count(*) * 24 >= 96""",
     ),
-    "h15_kmer_classes": with_views(
-        "seqs",
-        """WITH q AS (SELECT min(id) AS id, seq FROM seqs GROUP BY seq), w AS (SELECT DISTINCT id, substr(seq, i, 24) AS word FROM (SELECT id, seq, unnest(range(1, length(seq) - 22)) AS i FROM q)),
-        p AS (SELECT x.id AS a, y.id AS b FROM w x JOIN w y ON x.word = y.word AND x.id <> y.id GROUP BY ALL HAVING count(*) * 24 >= 96),
-        r AS (SELECT id, id AS reached FROM q UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.reached), c AS (SELECT id, min(reached) AS class FROM r GROUP BY id)
-        SELECT s.id, c.class FROM seqs s JOIN q ON s.seq = q.seq JOIN c ON c.id = q.id""",
-    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "h15_equal_sequences": with_views("seqs", "SELECT id, min(id) OVER (PARTITION BY seq) AS least FROM seqs"),
 }

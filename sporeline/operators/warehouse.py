@@ -195,17 +195,24 @@ def map_accessions_partial(clones: DataFrame, genbank: DataFrame, least: int = 6
     """(clone_id, accession) where one cleaned name begins or ends with the other, of ``least`` characters or more; the least accession.
 
     Names are reduced to lower-case letters and digits. Prefixes and suffixes
-    of the longer name are keys of an equality join, so no pair is made to be tested.
+    of the longer name are keys of an equality join, so no pair is made to be
+    tested; only ends as long as some name of the other side are made. Equal
+    names count once, so a common name does not multiply. Ends are many more
+    bytes than their table shows, so these joins are never broadcast.
     """
     clean = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
     mine = clones.select("clone_id", clean(F.col("name")).alias("x")).where(F.length("x") >= least)
-    theirs = genbank.select("accession", clean(F.col("clone")).alias("y")).where(F.length("y") >= least)
-
-    def ends(c: str) -> Column:
-        sizes = F.sequence(F.lit(least), F.length(c))
-        return F.explode(F.array_distinct(F.concat(F.transform(sizes, lambda n: F.substring(c, F.lit(1), n)), F.transform(sizes, lambda n: F.substring(c, F.length(c) - n + 1, n)))))
-
-    inside = mine.join(theirs.select("accession", ends("y").alias("x")), "x")
-    around = mine.select("clone_id", ends("x").alias("y")).join(theirs, "y")
-    both = inside.select("clone_id", "accession").unionByName(around.select("clone_id", "accession"))
-    return both.groupBy("clone_id").agg(F.min("accession").alias("accession"))
+    theirs = genbank.select("accession", clean(F.col("clone")).alias("y")).where(F.length("y") >= least).groupBy("y").agg(F.min("accession").alias("accession"))
+    names = mine.select("x").distinct()
+
+    def ends(c: str, other: DataFrame, key: str) -> DataFrame:
+        """Rows of (c, ...) with each end of ``c`` that is as long as a name of ``other``."""
+        sizes = F.broadcast(other.agg(F.collect_set(F.length(key)).alias("_sizes")))  # one row, a number for each length
+        cut = F.explode(F.array_distinct(F.flatten(F.transform(F.filter("_sizes", lambda n: n <= F.length(c)), lambda n: F.array(F.substring(c, F.lit(1), n), F.substring(c, F.length(c) - n + 1, n))))))
+        rows = theirs if c == "y" else names
+        return rows.crossJoin(sizes).select("*", cut.alias("_end")).drop("_sizes")
+
+    inside = names.join(ends("y", names, "x").groupBy(F.col("_end").alias("x")).agg(F.min("accession").alias("accession")).hint("merge"), "x")
+    around = ends("x", theirs, "y").join(theirs.hint("merge"), F.col("_end") == theirs["y"]).select("x", "accession")
+    best = inside.select("x", "accession").unionByName(around).groupBy("x").agg(F.min("accession").alias("accession"))
+    return mine.join(best.hint("merge"), "x").select("clone_id", "accession")

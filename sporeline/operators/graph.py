@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,38 +37,46 @@ def adjacency(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node that can be reached; ``nodes`` adds unlinked ones.
 
-    Alternates large-star and small-star steps, which need a number of rounds
-    that grows with the logarithm of the nodes. Each round is written to the
-    shared folder, so a lost executor costs one round. A hub meets its
-    neighbours through map-side minima and skew-split joins, never in one task.
+    In each round every node points to the least of itself and its neighbours,
+    the pointers are followed to their ends, and edges are renamed by them;
+    those inside one group go. Only nodes that are the least around them stay,
+    and of two rounds one at least halves them, so the rounds grow with the
+    logarithm of the nodes and later ones work on what is left only. Each is
+    written to the shared folder, so a lost executor costs one round. A hub
+    meets its neighbours through map-side minima and skew-split joins, never in
+    one task.
     """
-    current = materialize(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct())
-    for _ in range(max_rounds):
-        if _settled(current):
-            break
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        last, current = current, materialize(small.where("u <> v").distinct())
+    current = materialize(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v"))
+    rounds: list[DataFrame] = []
+    while not current.isEmpty():
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        pointers = current.unionByName(current.select("v", F.col("v").alias("u"))).groupBy("u").agg(F.min("v").alias("to"))
+        to = _followed(materialize(pointers))
+        rounds.append(to)
+        named = current.join(to, "u").select("v", F.col("to").alias("a")).join(to.select(F.col("u").alias("v"), F.col("to").alias("b")), "v")
+        last, current = current, materialize(named.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
         discard(last)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = current.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    found = current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
+    discard(current)
+    found = edges.select(F.col(src).alias("node"), F.col(src).alias("component")).limit(0)
+    for k, to in enumerate(reversed(rounds)):
+        later = found.select(F.col("node").alias("to"), F.col("component").alias("_end"))
+        found = to.select(F.col("u").alias("node"), F.col("to").alias("component")) if k == 0 else to.join(later, "to", "left").select(F.col("u").alias("node"), F.coalesce("_end", "to").alias("component"))
     if nodes is None:
         return found
     name = nodes.columns[0]
     return nodes.select(F.col(name).alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether every node has one edge and no edge leads to a node that has one: then all edges lead to roots."""
-    per = edges.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
-    onward = per.select(F.col("v").alias("u")).join(per.select("u"), "u", "left_semi")
-    return per.where("n > 1").select("u").unionByName(onward).isEmpty()
+def _followed(pointers: DataFrame) -> DataFrame:
+    """Pointers (u, to; to <= u, every ``to`` is a u) followed to nodes that point to themselves, twice as far in each step."""
+    while True:
+        moving = pointers.where("u <> to")
+        onward = moving.select(F.col("u").alias("to"), F.col("to").alias("_next"))
+        if moving.join(onward, "to", "left_semi").isEmpty():
+            return pointers
+        last, pointers = pointers, materialize(pointers.join(onward, "to", "left").select("u", F.coalesce("_next", "to").alias("to")))
+        discard(last)
 
 
 def _components_of(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -86,6 +98,30 @@ def _by_size(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
     return rows.join(large, "component", "left_anti"), rows.join(large, "component", "left_semi")
 
 
+def _each_component(rows: DataFrame, columns: list[str], order: list[str], rule: Callable[[str, list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """What ``rule`` gives for the name and the rows (``columns``, by ``order``) of each component.
+
+    Spark brings a component together and sorts it; a task walks over its
+    sorted rows and holds one component at a time, so many small components
+    cost no call each.
+    """
+    import pandas as pd
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = (r for b in batches for r in zip(*(b[c].tolist() for c in ["component", *columns]), strict=True))
+        out: list[tuple] = []
+        for component, group in groupby(every, key=itemgetter(0)):
+            out += rule(component, [r[1:] for r in group])
+            if len(out) >= 20_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    names = [part.split()[0] for part in schema.split(",")]
+    return rows.repartition("component").sortWithinPartitions("component", *order).select("component", *columns).mapInPandas(walk, schema)
+
+
 def _numbers(names: DataFrame) -> DataFrame:
     """(name, n): distinct names numbered in their order."""
     return materialize(numbered(names.distinct(), [F.col("name")], "n"))
@@ -103,11 +139,10 @@ def star_clusters(hits: DataFrame, limit: int = ONE_TASK) -> DataFrame:
     ``cluster`` is the seed with prefix singlet_ or cluster_ by size. The rule
     never crosses a component, so it runs for each component apart.
     """
-    import pandas as pd
-
-    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no", kind="stable")
-        subjects = pdf.groupby("query_id", sort=False)["subject_id"].agg(list)
+    def rule(_: str, pairs: list[tuple]) -> list[tuple]:
+        subjects: dict[str, list[str]] = {}
+        for query, subject in pairs:
+            subjects.setdefault(query, []).append(subject)
         taken, rows = set(), []
         for query, others in subjects.items():
             if query in taken:
@@ -116,15 +151,18 @@ def star_clusters(hits: DataFrame, limit: int = ONE_TASK) -> DataFrame:
             taken.update(members)
             name = f"{'singlet' if len(members) == 1 else 'cluster'}_{query}"
             rows += [(name, m) for m in members]
-        return pd.DataFrame(rows, columns=["cluster", "member"])
+        return rows
 
     linked = hits.where("query_id <> subject_id")
-    own = hits.where("query_id = subject_id").join(linked.select("query_id").union(linked.select("subject_id")).distinct(), "query_id", "left_anti")
     small, large = _by_size(_components_of(linked.select("query_id", "subject_id", "line_no"), "query_id", "subject_id"), limit)
-    grouped = small.groupBy("component").applyInPandas(rule, "cluster string, member string")
+    grouped = _each_component(small, ["query_id", "subject_id"], ["line_no", "query_id", "subject_id"], rule, "cluster string, member string")
     if large is not None:
         grouped = grouped.unionByName(_stars_by_rounds(large, limit))
-    return grouped.unionByName(own.select(F.concat(F.lit("singlet_"), "query_id").alias("cluster"), F.col("query_id").alias("member")).distinct())
+    own = materialize(hits.where("query_id = subject_id").select("query_id").distinct())
+    if own.isEmpty():
+        return grouped
+    own = own.join(linked.select("query_id").union(linked.select("subject_id")), "query_id", "left_anti")
+    return grouped.unionByName(own.select(F.concat(F.lit("singlet_"), "query_id").alias("cluster"), F.col("query_id").alias("member")))
 
 
 def _stars_by_rounds(rows: DataFrame, limit: int) -> DataFrame:
@@ -192,11 +230,9 @@ def greedy_clusters(hits: DataFrame, max_members: int | None = None, limit: int
 
     Clusters are named cluster_1, cluster_2, ... by size, largest first, ties by least member.
     """
-    import pandas as pd
-
-    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+    def rule(_: str, pairs: list[tuple]) -> list[tuple]:
         of, size = {}, {}
-        for query, subject in pdf.sort_values("line_no", kind="stable")[["query_id", "subject_id"]].itertuples(index=False):
+        for query, subject in pairs:
             if query not in of:
                 of[query], size[query] = query, 1
             home = of[query]
@@ -206,10 +242,10 @@ def greedy_clusters(hits: DataFrame, max_members: int | None = None, limit: int
                     size[home] += 1
                 else:
                     of[subject], size[subject] = subject, 1
-        return pd.DataFrame({"seed": list(of.values()), "member": list(of.keys())})
+        return [(seed, member) for member, seed in of.items()]
 
     small, large = _by_size(_components_of(hits.select("query_id", "subject_id", "line_no"), "query_id", "subject_id"), limit)
-    found = small.groupBy("component").applyInPandas(rule, "seed string, member string")
+    found = _each_component(small, ["query_id", "subject_id"], ["line_no", "query_id", "subject_id"], rule, "seed string, member string")
     found = materialize(found if large is None else found.unionByName(_greedy_by_rounds(large, max_members, limit)))
     sizes = found.groupBy("seed").agg(F.count("*").alias("size"), F.min("member").alias("least"))
     return found.join(_numbered(sizes, ["size", "least"], "cluster_"), "seed").select("cluster", "member", "size")
@@ -285,11 +321,9 @@ def size_histogram(members: DataFrame, bins: int = 20) -> DataFrame:
 
 def articulation_points(edges: DataFrame, limit: int = ONE_TASK) -> DataFrame:
     """(component, node): nodes whose loss parts their component."""
-    import pandas as pd
-
-    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+    def rule(component: str, pairs: list[tuple]) -> list[tuple]:
         near: dict[str, list[str]] = {}
-        for a, b in pdf[["src", "dst"]].itertuples(index=False):
+        for a, b in pairs:
             near.setdefault(a, []).append(b)
             near.setdefault(b, []).append(a)
         order, low, cut = {}, {}, set()
@@ -313,11 +347,11 @@ def articulation_points(edges: DataFrame, limit: int = ONE_TASK) -> DataFrame:
                 low[node] = min(low[node], order[child])
         if branches > 1:
             cut.add(root)
-        return pd.DataFrame([(pdf["component"].iloc[0], n) for n in sorted(cut)], columns=["component", "node"], dtype=object)
+        return [(component, n) for n in sorted(cut)]
 
     pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
     small, large = _by_size(_components_of(pairs, "src", "dst"), limit)
-    found = small.groupBy("component").applyInPandas(rule, "component string, node string")
+    found = _each_component(small, ["src", "dst"], ["src", "dst"], rule, "component string, node string")
     return found if large is None else found.unionByName(_articulation_by_rounds(large))
 
 
@@ -363,11 +397,9 @@ def assembly_order(edges: DataFrame, limit: int = ONE_TASK) -> DataFrame:
     """
     import heapq
 
-    import pandas as pd
-
-    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+    def rule(component: str, pairs: list[tuple]) -> list[tuple]:
         near: dict[str, list] = {}
-        for a, b, w in pdf[["src", "dst", "weight"]].itertuples(index=False):
+        for a, b, w in pairs:
             near.setdefault(a, []).append((-w, a, b, b))
             near.setdefault(b, []).append((-w, a, b, a))
         root = min(x for row in near.values() for x in row)[1]
@@ -381,12 +413,11 @@ def assembly_order(edges: DataFrame, limit: int = ONE_TASK) -> DataFrame:
             rows.append((new, a if new == b else b, float(-w)))
             for x in near[new]:
                 heapq.heappush(heap, x)
-        out = pd.DataFrame(rows, columns=["node", "joined_to", "weight"])
-        return out.assign(component=pdf["component"].iloc[0], place=range(len(out)))[["component", "node", "joined_to", "weight", "place"]]
+        return [(component, *row, place) for place, row in enumerate(rows)]
 
     best = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max(F.col("weight").cast("double")).alias("weight"))
     small, large = _by_size(_components_of(best, "src", "dst"), limit)
-    found = small.groupBy("component").applyInPandas(rule, "component string, node string, joined_to string, weight double, place long")
+    found = _each_component(small, ["src", "dst", "weight"], ["src", "dst"], rule, "component string, node string, joined_to string, weight double, place long")
     return found if large is None else found.unionByName(_order_by_rounds(large))
 
 

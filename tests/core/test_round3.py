@@ -4,6 +4,7 @@ import contextlib
 import io
 import random
 
+from sporeline.operators import graph as G
 from sporeline.operators import warehouse as W
 
 
@@ -31,3 +32,19 @@ def test_partial_accessions_with_repeated_names(spark):
     # ends are far more bytes than the table that they come from: only the row of lengths may be broadcast
     joins = [line for line in plan(found).splitlines() if "BroadcastHashJoin" in line]
     assert not joins
+
+
+def test_components_of_sorted_chains_and_hubs_settle_in_few_rounds(spark):
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(200)]
+    saw = [(f"s{i + j:03}", f"s{900 - i:03}") for i in range(60) for j in (0, 1)]
+    hub = [(f"h{i:03}", "h999") for i in range(80)] + [("x", "x")]
+    found = G.connected_components(spark.createDataFrame(chain + saw + hub, "src string, dst string"), max_rounds=5)
+    want = {n: n[0] + "000" for pair in chain + saw + hub for n in pair if n != "x"}
+    assert found.count() == len(want) and {r.node: r.component for r in found.collect()} == want
+
+
+def test_many_small_components_are_walked_not_called(spark):
+    rows = [(f"q{i}", f"s{i}_{j}", 10 * i + j) for i in range(50) for j in range(3)]
+    found = G.star_clusters(spark.createDataFrame(rows, "query_id string, subject_id string, line_no long"))
+    assert "FlatMapGroupsInPandas" not in plan(found)
+    assert {tuple(r) for r in found.collect()} == {(f"cluster_q{i}", m) for i in range(50) for m in (f"q{i}", *(f"s{i}_{j}" for j in range(3)))}

@@ -6,6 +6,7 @@ import random
 
 from sporeline.operators import graph as G
 from sporeline.operators import warehouse as W
+from sporeline.plans import registry
 
 
 def plan(df) -> str:
@@ -48,3 +49,8 @@ def test_many_small_components_are_walked_not_called(spark):
     found = G.star_clusters(spark.createDataFrame(rows, "query_id string, subject_id string, line_no long"))
     assert "FlatMapGroupsInPandas" not in plan(found)
     assert {tuple(r) for r in found.collect()} == {(f"cluster_q{i}", m) for i in range(50) for m in (f"q{i}", *(f"s{i}_{j}" for j in range(3)))}
+
+
+def test_bacs_are_placed_without_pairs_or_open_frames(spark):
+    registry_plan = plan(registry.QUERIES["i9_place_bacs"](spark, "/root/testdata/sf0.001"))
+    assert "LeftAnti" not in registry_plan and "unboundedfollowing" not in registry_plan.lower()

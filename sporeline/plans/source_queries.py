@@ -198,12 +198,23 @@ def s19_write_pathologic(spark, d):
     return spark.read.text(path).groupBy("seqid", "value").agg(F.count("*").alias("lines"))
 
 
+#: Rows of one hit file, so that a task that writes or reads one has so many, however long the table is.
+HIT_FILE = 1_000_000
+
+
+def _hit_files(rows: DataFrame, batches: int) -> int:
+    """How many hit files: a multiple of ``batches``, each of HIT_FILE rows at most."""
+    return batches * -(-max(rows.count(), 1) // (batches * HIT_FILE))
+
+
 def t1_stream_best_hits(spark, d):
     """The stream reads the hit files as they lie; its last state is the batch answer."""
     path, out = _folder(spark), _folder(spark)
-    view(spark, d, "hits").repartition(4).write.parquet(path)
+    hits = view(spark, d, "hits")
+    files = _hit_files(hits, 4)
+    hits.repartition(files).write.parquet(path)
     schema = spark.read.parquet(path).schema
-    stream = stream_best_hits(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), [("pident", ">=", 60)])
+    stream = stream_best_hits(spark.readStream.schema(schema).option("maxFilesPerTrigger", files // 4).parquet(path), [("pident", ">=", 60)])
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/{number}")
@@ -217,8 +228,10 @@ def t1_stream_best_hits(spark, d):
 def t1_stream_clusters(spark, d):
     """The stream reads the hit files as they lie; after its last batch the log holds the components of all hits."""
     path, out = _folder(spark), _folder(spark)
-    view(spark, d, "edges").select("src", "dst").repartition(3).write.parquet(path)
-    stream = spark.readStream.schema("src string, dst string").option("maxFilesPerTrigger", 1).parquet(path)
+    edges = view(spark, d, "edges").select("src", "dst")
+    files = _hit_files(edges, 3)
+    edges.repartition(files).write.parquet(path)
+    stream = spark.readStream.schema("src string, dst string").option("maxFilesPerTrigger", files // 3).parquet(path)
     log = ClusterLog(spark, f"{out}-log")
     stream_clusters(stream, log, f"{out}-state").awaitTermination()
     return log.members()

@@ -6,7 +6,7 @@ import random
 
 from sporeline.operators import graph as G
 from sporeline.operators import warehouse as W
-from sporeline.plans import registry
+from sporeline.plans import registry, source_queries
 
 
 def plan(df) -> str:
@@ -54,3 +54,8 @@ def test_many_small_components_are_walked_not_called(spark):
 def test_bacs_are_placed_without_pairs_or_open_frames(spark):
     registry_plan = plan(registry.QUERIES["i9_place_bacs"](spark, "/root/testdata/sf0.001"))
     assert "LeftAnti" not in registry_plan and "unboundedfollowing" not in registry_plan.lower()
+
+
+def test_hit_files_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(source_queries, "HIT_FILE", 100)
+    assert [source_queries._hit_files(spark.range(n), 4) for n in (0, 1, 400, 401, 4000)] == [4, 4, 4, 8, 40]

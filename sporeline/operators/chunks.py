@@ -9,12 +9,15 @@ than a chunk but for results that a caller asks to be whole. Ids are unique.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sporeline.functions.bases import reverse_complement
+from sporeline.functions.storage import materialize
 
 SIZE = 1 << 14
 
@@ -245,28 +248,42 @@ def apply_moves(chunks: DataFrame, moves: DataFrame, base: str = "N", size: int
     A shift > 0 inserts that many ``base`` before place ``loc``, a shift < 0
     deletes the bases just before ``loc``, a shift of 0 does nothing. An edit
     that reaches outside the sequence fails the job. The edits of a sequence
-    are folded in one task, as numbers; bases are moved by chunk.
+    are folded in one task, as numbers, in sorted partitions without a call a
+    sequence; bases are moved by chunk.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["ord", "loc", "shift"])
-        length = int(rows["length"].iloc[0])
-        made = Pieces(length)
-        for loc, shift in zip(rows["loc"].tolist(), rows["shift"].tolist(), strict=True):
-            at = int(loc) - 1 + min(int(shift), 0)
-            if shift and not (0 <= at and loc - 1 <= length):
-                raise ValueError(f"edit at {loc} by {shift} reaches outside a sequence of {length} bases")
-            if shift > 0:
-                made.insert(at, int(shift))
-            elif shift < 0:
-                made.delete(at, -int(shift))
-            length += int(shift)
-        pieces = pd.DataFrame(made.all() or [(-1, 0)], columns=["source", "n"])
-        return pieces.assign(id=rows["id"].iloc[0], at=pieces["n"].cumsum() - pieces["n"])[["id", "at", "source", "n"]]
+    columns = ["id", "ord", "loc", "shift", "length"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = (r for batch in batches for r in zip(*(batch[c].tolist() for c in columns), strict=True))
+        out: list[tuple] = []
+        for name, rows in groupby(every, key=itemgetter(0)):
+            made = None
+            for _, _, loc, shift, length in rows:
+                if made is None:
+                    made, now = Pieces(length), length
+                at = loc - 1 + min(shift, 0)
+                if shift and not (0 <= at and loc - 1 <= now):
+                    raise ValueError(f"edit at {loc} by {shift} reaches outside a sequence of {now} bases")
+                if shift > 0:
+                    made.insert(at, shift)
+                elif shift < 0:
+                    made.delete(at, -shift)
+                now += shift
+            at = 0
+            for source, n in made.all() or [(-1, 0)]:
+                out.append((name, at, source, n))
+                at += n
+            if len(out) >= 20_000:
+                yield pd.DataFrame(out, columns=["id", "at", "source", "n"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["id", "at", "source", "n"])
 
     asked = moves.select("id", F.col("ord").cast("long").alias("ord"), F.col("loc").cast("long").alias("loc"), F.col("shift").cast("long").alias("shift"))
     kind = chunks.schema["id"].dataType.simpleString()
-    table = asked.join(lengths(chunks), "id").groupBy("id").applyInPandas(fold, f"id {kind}, at long, source long, n long")
+    placed = asked.join(lengths(chunks), "id").repartition("id").sortWithinPartitions("id", "ord", "loc", "shift").select(*columns)
+    table = materialize(placed.mapInPandas(fold, f"id {kind}, at long, source long, n long"))
     kept = table.where("source >= 0").select("id", "at", (F.col("source") + 1).alias("start"), (F.col("source") + F.col("n")).alias("end"))
     old = cut(chunks, kept.withColumnRenamed("at", "_to").withColumn("_id", F.col("id")), ["_id", "_to"], size).where("bases <> ''")
     old = old.select(F.col("_id").alias("id"), (F.col("_to") + F.col("at")).alias("at"), "bases")

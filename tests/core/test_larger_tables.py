@@ -1,10 +1,12 @@
 """Faults of queries on larger tables: a call a group, pairs of whole lists, arrays of a whole group."""
 
 import random
+import time
 
 from pyspark.sql.group import GroupedData
 
 from sporeline.operators import chunks as C
+from sporeline.operators import hits as H
 
 
 def test_moves_of_many_sequences_need_no_call_each(spark, monkeypatch):
@@ -18,3 +20,22 @@ def test_moves_of_many_sequences_need_no_call_each(spark, monkeypatch):
     got = C.apply_moves(C.chunked(spark.createDataFrame(list(seqs.items()), "id string, seq string"), 16), spark.createDataFrame(edits, "id string, ord int, loc int, shift int"), size=16)
     want = {i: (s[:9] + "NNNNN" + s[9:]) for i, s in seqs.items()}
     assert {r.id: r.seq for r in C.whole(got, ["id"]).collect()} == {i: s[:12] + s[19:] for i, s in want.items()}
+
+
+def test_pairs_by_words_of_long_sequences(spark):
+    """A sequence of 400,000 bases and pieces of it around the borders of its parts; a walk to each place from the first would take minutes."""
+    rng = random.Random(4)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    long = dna(400_000)
+    seqs = [long] + [long[i : i + 60] + dna(20) for i in (0, 226, 256, 16_340, 16_384, 163_810, 399_940)] + [dna(80), long[5:16], "ACGT" * 30, "TACG" * 9, "", "ACG"]
+    seqs += seqs[2:4]
+    rows = [(f"s{i:02}", s) for i, s in enumerate(seqs)]
+    least = {}
+    for i, s in rows:
+        least.setdefault(s, i)
+    words = {i: {s[j : j + 12] for j in range(len(s) - 11)} for s, i in least.items()}
+    want = {(a, b, 12 * len(words[a] & words[b])) for a in words for b in words if a < b and 12 * len(words[a] & words[b]) >= 48}
+    begun = time.monotonic()
+    got = {tuple(r) for r in H.kmer_candidates(spark.createDataFrame(rows, "id string, seq string"), 12, 48).collect()}
+    assert got == want and len(want) >= 9
+    assert time.monotonic() - begun < 60

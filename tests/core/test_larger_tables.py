@@ -7,6 +7,7 @@ from pyspark.sql.group import GroupedData
 
 from sporeline.operators import chunks as C
 from sporeline.operators import hits as H
+from sporeline.operators import intervals as I
 
 
 def test_moves_of_many_sequences_need_no_call_each(spark, monkeypatch):
@@ -39,3 +40,25 @@ def test_pairs_by_words_of_long_sequences(spark):
     got = {tuple(r) for r in H.kmer_candidates(spark.createDataFrame(rows, "id string, seq string"), 12, 48).collect()}
     assert got == want and len(want) >= 9
     assert time.monotonic() - begun < 60
+
+
+def test_overlaps_counted_as_pairs_are(spark):
+    """Points, shared starts and ends, equal ranges, copies, nulls; no pairs are made."""
+    rng = random.Random(8)
+    spans = lambda n, name: [(rng.choice(["a", "b"]), s, s + rng.choice([0, 0, 1, 2, 5, 40]), f"{name}{i}") for i in range(n) for s in [rng.randrange(1, 60)]]
+    kind = "ref string, start long, end long, id string"
+    features = spans(250, "f") + [("c", 1, 5, "f"), (None, 1, 9, "g"), ("a", None, 9, "h")]
+    marks = spans(250, "m") + [(None, 1, 9, "n"), ("a", 2, None, "o"), ("d", 1, 4, "p")]
+    f, m = spark.createDataFrame(features, kind), spark.createDataFrame(marks, kind)
+    tests = {
+        "strict": lambda sa, ea, sb, eb: sb < sa < eb or sb < ea < eb or (sa < sb and ea > eb),
+        "closed": lambda sa, ea, sb, eb: sa <= eb and sb <= ea,
+    }
+    for mode, test in tests.items():
+        for width in (7, 1000):
+            got = {r.id: r.marked for r in I.overlap_counts(f, m, mode, width).collect()}
+            assert got == {i: sum(r is not None and r == q and None not in (s, e, x, y) and test(x, y, s, e) for q, x, y, _ in marks) for r, s, e, i in features}
+        total = {r.ref: (r.features, r.features_hit) for r in I.overlap_summary(f, m, mode).collect()}
+        assert total == {k: (sum(r == k for r, *_ in features), sum(r == k and got[i] > 0 for r, _, _, i in features)) for k in ("a", "b", "c", None)}
+    summary = I.overlap_summary(f, m)
+    assert "id_a" not in summary._jdf.queryExecution().optimizedPlan().toString()

@@ -6,6 +6,7 @@ import time
 from pyspark.sql.group import GroupedData
 
 from sporeline.operators import chunks as C
+from sporeline.operators import features as FT
 from sporeline.operators import hits as H
 from sporeline.operators import intervals as I
 
@@ -62,3 +63,24 @@ def test_overlaps_counted_as_pairs_are(spark):
         assert total == {k: (sum(r == k for r, *_ in features), sum(r == k and got[i] > 0 for r, _, _, i in features)) for k in ("a", "b", "c", None)}
     summary = I.overlap_summary(f, m)
     assert "id_a" not in summary._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ids_are_numbered_without_one_task_a_type(spark):
+    rng = random.Random(6)
+    lines = list(range(1, 121))
+    rng.shuffle(lines)
+    rows = [(f"c{n % 3}", "src", rng.choice(["gene", "mRNA", None]), n, {} if n % 4 == 0 else {"ID": [f"x{n % 30}"]}, n) for n in lines]
+    found = FT.unique_ids(spark.createDataFrame(rows, "seqid string, source string, type string, start long, attrs map<string, array<string>>, line_no long"))
+    seen, want = {}, {}
+    lone = {}
+    for seqid, _, kind, _, attrs, n in sorted(rows, key=lambda r: r[-1]):
+        if attrs:
+            root = attrs["ID"][0]
+        else:
+            lone[kind] = lone.get(kind, 0) + 1
+            root = "_".join(x for x in (seqid, kind, str(lone[kind])) if x is not None)
+        seen[root] = seen.get(root, 0) + 1
+        want[n] = root if seen[root] == 1 else f"{root}_{seen[root]}"
+    assert {r.line_no: r.attrs["ID"][0] for r in found.collect()} == want
+    windows = [w for w in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [row_number" in w]
+    assert windows and not any("[type" in w.split("windowspec")[1] for w in windows)

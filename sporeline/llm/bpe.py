@@ -111,10 +111,12 @@ def vocabulary(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     return spark.sparkContext.broadcast((ranks, pattern))
 
 
-def encode(docs: DataFrame, shared: Broadcast, text_col: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, shared: Broadcast, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the token ids of the whole text in ``out`` (array<int>).
 
-    Null and empty texts have no tokens. A column named ``out`` is replaced,
+    With ``decoded``, that column holds the bytes that the ids stand for, made
+    in the worker that has the ids, so that a task needs one worker and not two
+    at once. Null and empty texts have no tokens. A column named ``out`` is replaced,
     others pass through; repeated rows are encoded each; an empty table gives
     an empty one. Row order is not kept.
     """
@@ -124,15 +126,28 @@ def encode(docs: DataFrame, shared: Broadcast, text_col: str = "text", out: str
         made = codec(shared)
         return pd.Series([made.encode(t) for t in texts], dtype=object)
 
-    @F.pandas_udf("array<int>")
-    def joined(pieces: pd.Series, ids: pd.Series) -> pd.Series:
+    kind = "struct<ids:array<int>,bytes:binary>" if decoded else "struct<ids:array<int>>"
+
+    def result(made: Codec, ids: list[np.ndarray]) -> pd.DataFrame:
+        found = {"ids": pd.Series(ids, dtype=object)}
+        if decoded:
+            found["bytes"] = pd.Series([made.decode(i) for i in ids], dtype=object)
+        return pd.DataFrame(found)
+
+    @F.pandas_udf(kind)
+    def encoded(texts: pd.Series) -> pd.DataFrame:
         made = codec(shared)
-        return pd.Series([_tree(made, list(zip(p, i, strict=True))) for p, i in zip(pieces, ids, strict=True)], dtype=object)
+        return result(made, [made.encode(t) for t in texts])
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        made, rows = codec(shared), pdf.sort_values("_i")
+        found = result(made, [_tree(made, list(zip(rows["_piece"], rows["_ids"], strict=True)))])
+        return found.assign(_key=pdf["_key"].iloc[0])[["_key", *found.columns]]
 
-    own = [c for c in docs.columns if c != out]
+    own = [c for c in docs.columns if c not in (out, decoded)]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), text.alias("_text"))
-    plain = rows.where(F.length("_text") <= SEGMENT).select("_row", ids_of("_text").alias("_ids"))
+    plain = rows.where(F.length("_text") <= SEGMENT).select("_row", encoded("_text").alias("_ids"))
 
     # a long text is named by its content, so a task that runs again after a loss gives its segments the same name
     long = rows.where(F.length("_text") > SEGMENT).withColumn("_key", F.unhex(F.md5(F.col("_text").cast("binary"))))
@@ -140,10 +155,12 @@ def encode(docs: DataFrame, shared: Broadcast, text_col: str = "text", out: str
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("_text", i * SEGMENT + 1, F.lit(SEGMENT)))
     pieces = long.select("_key", "_text").dropDuplicates(["_key"]).select("_key", F.posexplode(cut).alias("_i", "_piece")).repartition("_key", "_i")
     pieces = pieces.select("_key", "_i", "_piece", ids_of("_piece").alias("_ids"))
-    whole = pieces.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_i", "_piece", "_ids"))).alias("_all"))
-    whole = whole.select("_key", joined(F.col("_all._piece"), F.col("_all._ids")).alias("_ids"))
+    # a call a text, of two pieces or more: a worker holds one long text at a time, not a batch of them
+    whole = pieces.groupBy("_key").applyInPandas(joined, f"_key binary, ids array<int>{', bytes binary' if decoded else ''}")
+    whole = whole.select("_key", F.struct(*[c for c in whole.columns if c != "_key"]).alias("_ids"))
     whole = long.select("_key", "_row").join(whole, "_key").select("_row", "_ids")
-    return plain.unionByName(whole).select(*[F.col("_row")[c].alias(c) for c in own], F.col("_ids").alias(out))
+    more = [F.col("_ids.bytes").alias(decoded)] if decoded else []
+    return plain.unionByName(whole).select(*[F.col("_row")[c].alias(c) for c in own], F.col("_ids.ids").alias(out), *more)
 
 
 def _tree(made: Codec, parts: list[tuple[str, np.ndarray]]) -> np.ndarray:
@@ -180,5 +197,5 @@ def op3_bpe_tree(spark, sf_dir: str) -> DataFrame:
 
     shared = vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ids = encode(docs, shared)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.col("ids")).alias("ids_sha256"), F.sha2(decode(F.col("ids"), shared), 256).alias("decoded_sha256"))
+    ids = encode(docs, shared, decoded="decoded")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -7,12 +7,15 @@ bounded by the clustering that makes them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sporeline.functions.numbering import numbered
+from sporeline.functions.storage import materialize
 
 
 def _identity(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -215,12 +218,35 @@ def distance_of(x: str, y: str, model: str) -> float | None:
         return None
 
 
+def _by_model(n: np.ndarray, ts: np.ndarray, tv: np.ndarray, model: str) -> np.ndarray:
+    """Distances of ``n`` compared columns with so many transitions and transversions; NaN where they are not defined."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p, q = ts / n, tv / n
+        if model == "uncorrected":
+            return p + q
+        if model == "jukes-cantor":
+            return np.where(p + q < 0.75, -0.75 * np.log(1 - 4 / 3 * (p + q)), np.nan)
+        return np.where((1 - 2 * p - q > 0) & (1 - 2 * q > 0), -0.5 * np.log(1 - 2 * p - q) - 0.25 * np.log(1 - 2 * q), np.nan)
+
+
+def distances_of(left: list[str], right: list[str], model: str) -> np.ndarray:
+    """``distance_of`` of many pairs, their columns laid end to end; NaN for None."""
+    rows = [(x.upper().encode(), y.upper().encode()) for x, y in zip(left, right, strict=True)]
+    size = np.array([min(len(x), len(y)) for x, y in rows], dtype=np.int64)
+    p, q = (np.frombuffer(b"".join(r[k][:n] for r, n in zip(rows, size, strict=True)), np.uint8) for k in (0, 1))
+    ends = np.cumsum(size)
+    total = lambda marks: np.diff(np.concatenate([[0], np.cumsum(marks)])[np.concatenate([[0], ends])]).astype(np.float64)
+    known = np.isin(p, (65, 67, 71, 84)) & np.isin(q, (65, 67, 71, 84))
+    same_ring = np.isin(p, (65, 71)) == np.isin(q, (65, 71))
+    return _by_model(total(known), total(known & (p != q) & same_ring), total(known & (p != q) & ~same_ring), model)
+
+
 def pair_distances(aligned: DataFrame, model: str = "uncorrected") -> DataFrame:
     """(family, a, b, distance) under uncorrected, jukes-cantor or kimura; null where it is not defined."""
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([distance_of(x, y, model) for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series(distances_of(a.tolist(), b.tolist(), model))
 
     left = aligned.select("family", F.col("member").alias("a"), F.col("seq").alias("sa"))
     right = aligned.select("family", F.col("member").alias("b"), F.col("seq").alias("sb"))
@@ -236,11 +262,12 @@ def nearest_member(distances: DataFrame) -> DataFrame:
 
 
 def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
-    names = sorted(set(pdf["a"]) | set(pdf["b"]))
+    left, right = pdf["a"].tolist(), pdf["b"].tolist()
+    names = sorted({*left, *right})
     at = {m: i for i, m in enumerate(names)}
+    i, j = [at[m] for m in left], [at[m] for m in right]
     d = np.zeros((len(names), len(names)))
-    for r in pdf.itertuples():
-        d[at[r.a], at[r.b]] = d[at[r.b], at[r.a]] = r.distance
+    d[i, j] = d[j, i] = pdf["distance"].to_numpy()
     return names, d
 
 
@@ -271,15 +298,113 @@ def build_tree(names: list[str], d: np.ndarray, method: str = "nj") -> str:
     return f"({labels[0]}:{d[0, 1] / 2:.6f},{labels[1]}:{d[0, 1] / 2:.6f});"
 
 
+#: Numbers of the distance matrices that are joined at once.
+CELLS = 500_000
+
+
+def joins(d: np.ndarray, method: str = "nj") -> Iterator[tuple[np.ndarray, ...]]:
+    """(first, second, the others, branch to the first, to the second) of each step of ``build_tree`` for many matrices (trees, n, n) at once.
+
+    The joined pair goes behind the others. After the last step of neighbour
+    joining two labels are left; their distance is halved on both branches.
+    """
+    b, n, _ = d.shape
+    each, sizes, heights = np.arange(b), np.ones((b, n)), np.zeros((b, n))
+    while n > 2 or (method == "upgma" and n > 1):
+        total = d.sum(axis=2)
+        q = d.copy() if method == "upgma" else (n - 2) * d - total[:, :, None] - total[:, None, :]
+        q[:, *np.tril_indices(n)] = np.inf
+        i, j = np.divmod(q.reshape(b, -1).argmin(axis=1), n)
+        apart = d[each, i, j]
+        if method == "upgma":
+            h = apart / 2
+            li, lj = h - heights[each, i], h - heights[each, j]
+            si, sj = sizes[each, i][:, None], sizes[each, j][:, None]
+            row = (si * d[each, i] + sj * d[each, j]) / (si + sj)
+        else:
+            li, h = apart / 2 + (total[each, i] - total[each, j]) / (2 * (n - 2)), np.zeros(b)
+            lj = apart - li
+            row = (d[each, i] + d[each, j] - apart[:, None]) / 2
+        keep = np.arange(n - 2)[None, :] + (np.arange(n - 2)[None, :] >= i[:, None])
+        keep += keep >= j[:, None]
+        yield i, j, keep, li, lj
+        of = each[:, None]
+        sizes = np.column_stack([sizes[of, keep], sizes[each, i] + sizes[each, j]])
+        heights = np.column_stack([heights[of, keep], h])
+        less = np.zeros((b, n - 1, n - 1))
+        less[:, :-1, :-1] = d[each[:, None, None], keep[:, :, None], keep[:, None, :]]
+        less[:, -1, :-1] = less[:, :-1, -1] = row[of, keep]
+        d, n = less, n - 1
+    if method != "upgma":
+        half = d[:, 0, 1] / 2
+        yield np.zeros(b, dtype=np.int64), np.ones(b, dtype=np.int64), np.zeros((b, 0), dtype=np.int64), half, half
+
+
+def newicks(names: list[list[str]], d: np.ndarray, method: str = "nj") -> list[str]:
+    """``build_tree`` of many matrices of one size."""
+    labels = [list(x) for x in names]
+    for i, j, keep, li, lj in joins(d, method):
+        for t, (a, b, rest, x, y) in enumerate(zip(i.tolist(), j.tolist(), keep.tolist(), li.tolist(), lj.tolist(), strict=True)):
+            old = labels[t]
+            labels[t] = [old[k] for k in rest] + [f"({old[a]}:{x:.6f},{old[b]}:{y:.6f})"]
+    return [x[0] + ";" for x in labels]
+
+
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each run of equal keys in sorted batches, one run held at a time."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        new = np.zeros(len(batch), dtype=bool)
+        for k in keys:
+            new[1:] |= batch[k].to_numpy()[1:] != batch[k].to_numpy()[:-1]
+            new[0] |= bool(held) and held[-1][k].iloc[-1] != batch[k].iloc[0]
+        cuts = [0, *np.flatnonzero(new).tolist(), len(batch)]
+        for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if k and held:
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            if x < y:
+                held.append(batch.iloc[x:y])
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
 def trees(distances: DataFrame, method: str = "nj") -> DataFrame:
     """P10: (family, newick) of families whose distances are all defined."""
+    return trees_by(distances, [method]).select("family", "newick")
 
-    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [] if pdf["distance"].isna().any() else [(pdf["family"].iloc[0], build_tree(*_matrix(pdf), method))]
-        return pd.DataFrame(rows, columns=["family", "newick"], dtype=object)
+
+def trees_by(distances: DataFrame, methods: list[str]) -> DataFrame:
+    """P10: (family, method, newick), a row a method, from one pass over the distances.
+
+    Families are walked in sorted partitions, without a call a family;
+    matrices of one size are joined together, up to CELLS numbers at a time.
+    """
+
+    def rule(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: dict[int, list[tuple]] = {}
+
+        def made(n: int) -> pd.DataFrame:
+            families, names, ds = zip(*waiting.pop(n), strict=True)
+            parts = [pd.DataFrame({"family": families, "method": m, "newick": newicks(names, np.stack(ds), m)}) for m in methods]
+            return pd.concat(parts)
+
+        for pdf in _runs(batches, ["family"]):
+            if pdf["distance"].isna().any():
+                continue
+            names, d = _matrix(pdf)
+            held = waiting.setdefault(len(names), [])
+            held.append((pdf["family"].iloc[0], names, d))
+            if len(held) * len(names) ** 2 >= CELLS:
+                yield made(len(names))
+        for n in list(waiting):
+            yield made(n)
 
     kind = distances.schema["family"].dataType.simpleString()
-    return distances.groupBy("family").applyInPandas(rule, f"family {kind}, newick string")
+    rows = distances.where("family IS NOT NULL").repartition("family").sortWithinPartitions("family", "a", "b").select("family", "a", "b", "distance")
+    return rows.mapInPandas(rule, f"family {kind}, method string, newick string")
 
 
 def _graph(newick: str) -> tuple[dict[int, list[tuple[int, float]]], dict[int, str]]:
@@ -447,17 +572,83 @@ class SitePatterns:
     def distances(self, weights: np.ndarray, model: str) -> np.ndarray:
         """(replicates, pairs): distances of columns counted ``weights`` times; 1 where they are not defined."""
         n, ts, tv = (weights @ m.T for m in (self.both, self.transitions, self.transversions))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p, q = ts / n, tv / n
-            if model == "uncorrected":
-                d = p + q
-            elif model == "jukes-cantor":
-                d = np.where(p + q < 0.75, -0.75 * np.log(1 - 4 / 3 * (p + q)), np.nan)
-            else:
-                d = np.where((1 - 2 * p - q > 0) & (1 - 2 * q > 0), -0.5 * np.log(1 - 2 * p - q) - 0.25 * np.log(1 - 2 * q), np.nan)
+        d = _by_model(n, ts, tv, model)
         return np.where(np.isnan(d), 1.0, d)
 
 
+def tree_sides(d: np.ndarray) -> np.ndarray:
+    """(trees, n - 2): the inner branches of the neighbour-joining trees of ``d``, as bits of the leaves on the side without leaf 0; 0 where there is none or it stands twice. n < 64."""
+    b, n, _ = d.shape
+    each, every = np.arange(b), (1 << n) - 1
+    bits = np.tile(1 << np.arange(n, dtype=np.int64), (b, 1))
+    found = []
+    for i, j, keep, _, _ in joins(d):
+        side = bits[each, i] | bits[each, j]
+        bits = np.column_stack([bits[each[:, None], keep], side])
+        side = np.where(side & 1, every ^ side, side)
+        found.append(np.where(side & (side - 1) == 0, 0, side))  # one leaf is no inner branch, nor is all but leaf 0 ...
+    sides = np.sort(np.stack(found, axis=1), axis=1)
+    sides[sides == every ^ 1] = 0  # ... whose other side is leaf 0 alone
+    sides[:, 1:][sides[:, 1:] == sides[:, :-1]] = 0
+    return sides
+
+
+_U32, _U64 = np.uint32, np.uint64
+
+
+def _times(a: tuple[np.ndarray, np.ndarray], b: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Product of 128-bit numbers (high, low)."""
+    low32 = _U64(0xFFFFFFFF)
+    x0, x1, y0, y1 = a[1] & low32, a[1] >> _U64(32), _U64(b[1] & 0xFFFFFFFF), _U64(b[1] >> 32)
+    cross = (x0 * y0 >> _U64(32)) + (x1 * y0 & low32) + x0 * y1
+    return x1 * y1 + (x1 * y0 >> _U64(32)) + (cross >> _U64(32)) + a[0] * _U64(b[1]) + a[1] * _U64(b[0]), a[1] * _U64(b[1])
+
+
+def _plus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    low = a[1] + b[1]
+    return a[0] + b[0] + (low < a[1]), low
+
+
+def draws(seed: int, reps: np.ndarray, family: int, n: int) -> np.ndarray:
+    """(replicates, n): ``default_rng([seed, rep, family]).integers(0, n, n)`` of each replicate, worked out together: making a generator costs more than a tree."""
+    plain = lambda rep: np.random.default_rng([seed, int(rep), family]).integers(0, n, n)
+    if n < 2 or n >= 1 << 32 or not 0 <= seed < 1 << 32:
+        return np.stack([plain(r) for r in reps])
+    mult = 0x43B0D7E5
+
+    def hashed(x: np.ndarray, factor: int = 0x931E8875) -> np.ndarray:
+        nonlocal mult
+        x = x ^ _U32(mult)
+        mult = mult * factor & 0xFFFFFFFF
+        x = x * _U32(mult)
+        return x ^ (x >> _U32(16))
+
+    words = np.zeros((4, len(reps)), dtype=_U32)
+    words[0], words[1], words[2] = seed, reps, family
+    pool = [hashed(w) for w in words]
+    for source in range(4):
+        for target in range(4):
+            if source != target:
+                mixed = _U32(0xCA01F9DD) * pool[target] - _U32(0x4973F715) * hashed(pool[source])
+                pool[target] = mixed ^ (mixed >> _U32(16))
+    mult = 0x8B51F9DD
+    state = [hashed(pool[k % 4], 0x58F38DED).astype(_U64) for k in range(8)]
+    a, b, c, e = (state[k] | (state[k + 1] << _U64(32)) for k in (0, 2, 4, 6))
+    step, factor = ((c << _U64(1)) | (e >> _U64(63)), (e << _U64(1)) | _U64(1)), (2549297995355413924, 4865540595714422341)
+    at = _plus(_times(_plus(step, (a, b)), factor), step)
+    out = np.empty((len(reps), n + n % 2), dtype=_U64)
+    for k in range(0, n, 2):
+        at = _plus(_times(at, factor), step)
+        x, turn = at[0] ^ at[1], at[0] >> _U64(58)
+        x = (x >> turn) | (x << ((_U64(64) - turn) & _U64(63)))
+        out[:, k], out[:, k + 1] = x & _U64(0xFFFFFFFF), x >> _U64(32)
+    scaled = out[:, :n] * _U64(n)
+    picks = (scaled >> _U64(32)).astype(np.int64)
+    for r in np.flatnonzero(((scaled & _U64(0xFFFFFFFF)) < _U64(n)).any(axis=1)):  # a draw that may be thrown again
+        picks[r] = plain(reps[r])
+    return picks
+
+
 def bootstrap_support(aligned: DataFrame, replicates: int = 100, seed: int = 1, model: str = "uncorrected") -> DataFrame:
     """(family, split, support): percent of replicates, by resampled columns, whose tree has the split.
 
@@ -468,27 +659,60 @@ def bootstrap_support(aligned: DataFrame, replicates: int = 100, seed: int = 1,
     """
     import zlib
 
-    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
-        family, block = pdf["family"].iloc[0], int(pdf["block"].iloc[0])
-        pdf = pdf.sort_values("member")
-        names, rows = pdf["member"].tolist(), pdf["seq"].tolist()
+    def counted(held: list[tuple]) -> Iterator[tuple]:
+        """(family, split, n) of (family, names, distances of replicates) of one number of members."""
+        sides = tree_sides(np.concatenate([d for _, _, d in held]))
+        at = 0
+        for family, names, d in held:
+            found, times = np.unique(sides[at : at + len(d)], return_counts=True)
+            at += len(d)
+            for side, n in zip(found.tolist(), times.tolist(), strict=True):
+                if side:
+                    yield family, ",".join(m for k, m in enumerate(names) if side >> k & 1), n
+
+    def plain(family, names: list[str], d: np.ndarray) -> list[tuple]:
+        """The same for names that repeat or are too many for one number."""
         found: dict[str, int] = {}
-        if len(names) > 3 and len(rows[0]):
+        for one in d:
+            for split in splits(build_tree(names, one)):
+                found[split] = found.get(split, 0) + 1
+        return [(family, s, n) for s, n in found.items()]
+
+    def rule(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = lambda rows: pd.DataFrame(rows, columns=["family", "split", "n"])
+        waiting: dict[int, list[tuple]] = {}
+        for pdf in _runs(batches, ["family", "block"]):
+            family, block = pdf["family"].iloc[0], int(pdf["block"].iloc[0])
+            names, rows = pdf["member"].tolist(), pdf["seq"].tolist()
+            n, columns = len(names), len(rows[0])
+            if n < 4 or not columns:
+                continue
             made = SitePatterns(rows)
-            reps = range(block * REPLICATE_BLOCK + 1, min((block + 1) * REPLICATE_BLOCK, replicates) + 1)
-            picks = (np.random.default_rng([seed, rep, zlib.crc32(str(family).encode())]).integers(0, len(rows[0]), len(rows[0])) for rep in reps)
-            weights = np.stack([np.bincount(made.of_site[p], minlength=made.size) for p in picks]).astype(np.float64)
-            for row in made.distances(weights, model):
-                d = np.zeros((len(names), len(names)))
-                d[made.first, made.second] = d[made.second, made.first] = row
-                for split in splits(build_tree(names, d)):
-                    found[split] = found.get(split, 0) + 1
-        return pd.DataFrame([(family, s, n) for s, n in found.items()], columns=["family", "split", "n"])
+            last = min((block + 1) * REPLICATE_BLOCK, replicates)
+            step = max(1, CELLS // n**2)
+            for first in range(block * REPLICATE_BLOCK + 1, last + 1, step):
+                reps = np.arange(first, min(first + step - 1, last) + 1)
+                picks = made.of_site[draws(seed, reps, zlib.crc32(str(family).encode()), columns)]
+                weights = np.bincount((picks + np.arange(len(reps))[:, None] * made.size).ravel(), minlength=len(reps) * made.size)
+                d = np.zeros((len(reps), n, n))
+                d[:, made.first, made.second] = d[:, made.second, made.first] = made.distances(weights.reshape(len(reps), made.size).astype(np.float64), model)
+                if n > 63 or len(set(names)) < n:
+                    yield table(plain(family, names, d))
+                    continue
+                held = waiting.setdefault(n, [])
+                held.append((family, names, d))
+                if sum(x.size for _, _, x in held) >= CELLS:
+                    yield table(list(counted(waiting.pop(n))))
+        for held in waiting.values():
+            yield table(list(counted(held)))
 
     kind = aligned.schema["family"].dataType.simpleString()
-    blocks = aligned.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // REPLICATE_BLOCK))))
-    counted = blocks.groupBy("family", "block").applyInPandas(rule, f"family {kind}, split string, n long")
-    return counted.groupBy("family", "split").agg((100 * F.sum("n") / replicates).alias("support"))
+    blocks = aligned.where("family IS NOT NULL").select("family", "member", "seq", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // REPLICATE_BLOCK))).alias("block"))
+    # a given number of partitions: these rows are few bytes and much work, and would be dealt to few tasks by size
+    tasks = int(aligned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = blocks.repartition(tasks, "family", "block").sortWithinPartitions("family", "block", "member")
+    found = rows.mapInPandas(rule, f"family {kind}, split string, n long")
+    return found.groupBy("family", "split").agg((100 * F.sum("n") / replicates).alias("support"))
 
 
 def filter_support(trees_: DataFrame, support: DataFrame, cutoff: float) -> DataFrame:
@@ -514,15 +738,21 @@ def canonical(newick: str, label: dict[str, str], cutoffs: tuple[float, ...]) ->
     return text(parse_newick(newick))
 
 
-def topotypes(trees_: DataFrame, members: DataFrame, cutoffs: tuple[float, ...] = (0.05,)) -> DataFrame:
-    """(family, topology, topotype, families): topologies numbered by how many families have them, ties by text."""
+def topologies(trees_: DataFrame, members: DataFrame, cutoffs: tuple[float, ...] = (0.05,)) -> DataFrame:
+    """``trees_`` with ``topology`` in place of the tree: its canonical text."""
 
     @F.pandas_udf("string")
     def shape(newick: pd.Series, names: pd.Series, strains: pd.Series) -> pd.Series:
         return pd.Series([canonical(t, dict(zip(n, s, strict=True)), cutoffs) for t, n, s in zip(newick, names, strains, strict=True)], dtype=object)
 
     labels = members.groupBy("family").agg(F.collect_list(F.struct("member", "strain")).alias("m"))
-    shaped = trees_.join(labels, "family").select("family", shape("newick", F.col("m.member"), F.col("m.strain")).alias("topology"))
+    own = [c for c in trees_.columns if c != "newick"]
+    return trees_.join(labels, "family").select(*own, shape("newick", F.col("m.member"), F.col("m.strain")).alias("topology"))
+
+
+def topotypes(trees_: DataFrame, members: DataFrame, cutoffs: tuple[float, ...] = (0.05,)) -> DataFrame:
+    """(family, topology, topotype, families): topologies numbered by how many families have them, ties by text."""
+    shaped = materialize(topologies(trees_, members, cutoffs))  # read for the counts and for the rows
     n = shaped.groupBy("topology").agg(F.count("*").alias("families"))
     ranked = numbered(n, [F.col("families").desc(), F.col("topology")], "topotype")
     return shaped.join(ranked, "topology").select("family", "topology", "topotype", "families")

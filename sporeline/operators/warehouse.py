@@ -49,11 +49,31 @@ def library_reads(ace_rows: DataFrame, singletons: DataFrame) -> DataFrame:
     return placed.unionByName(lone.select(F.lit("singletons").alias("library"), "reads", "bases"))
 
 
+#: Pairs of clusters that one task makes and counts.
+PAIRS = 500_000
+
+
+def _shared_members(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
+    """(old_cluster, new_cluster, old_size, new_size), a row for each member that both hold, dealt by ``keys``.
+
+    The pairs are counted from the members before they are made, so that their
+    partitions grow in number and not in size. Sizes come along from the
+    narrow tables, so that the pairs are neither sorted nor joined for them.
+    """
+    size = lambda df, name: df.groupBy("cluster_id").agg(F.count("*").alias(f"{name}_size"))
+    side = lambda df, name: df.join(size(df, name), "cluster_id").select("member_id", F.col("cluster_id").alias(f"{name}_cluster"), f"{name}_size")
+    times = lambda df, name: df.groupBy("member_id").agg(F.count("*").alias(name))
+    made = times(old, "a").join(times(new, "b"), "member_id").agg(F.sum(F.col("a") * F.col("b"))).head()[0] or 0
+    tasks = max(int(made) // PAIRS + 1, int(old.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left, right = (side(df, name).repartition(tasks, "member_id") for df, name in ((old, "old"), (new, "new")))
+    return left.join(right.hint("shuffle_merge"), "member_id").drop("member_id").repartition(tasks, *keys)
+
+
 def build_overlap(old: DataFrame, new: DataFrame) -> DataFrame:
     """(old_cluster, new_cluster, shared, old_size, new_size) over clusters that share members."""
-    sized = lambda df, name: df.groupBy("cluster_id").agg(F.count("*").alias(f"{name}_size")).withColumnRenamed("cluster_id", f"{name}_cluster")
-    j = old.select(F.col("cluster_id").alias("old_cluster"), "member_id").join(new.select(F.col("cluster_id").alias("new_cluster"), "member_id"), "member_id")
-    return j.groupBy("old_cluster", "new_cluster").agg(F.count("*").alias("shared")).join(sized(old, "old"), "old_cluster").join(sized(new, "new"), "new_cluster")
+    j = _shared_members(old, new, "old_cluster", "new_cluster")
+    counted = j.groupBy("old_cluster", "new_cluster").agg(F.count("*").alias("shared"), F.first("old_size").alias("old_size"), F.first("new_size").alias("new_size"))
+    return counted.select("old_cluster", "new_cluster", "shared", "old_size", "new_size")
 
 
 def split_clusters(overlap: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql.group import GroupedData
 
 from sporeline.operators import families as P
+from sporeline.operators import warehouse as W
 
 
 def matrices(n, seed):
@@ -62,3 +63,21 @@ def test_families_need_no_call_each(spark, monkeypatch):
         if pairs is not None:
             assert [got[f, m] for m in ("nj", "upgma")] == [P.build_tree(*P._matrix(pairs), m) for m in ("nj", "upgma")]
     assert len(got) == 60
+
+
+def test_pairs_of_clusters_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(W, "PAIRS", 50)
+    rng = random.Random(6)
+    old, new = ({(rng.randrange(12), rng.randrange(90)) for _ in range(400)} for _ in range(2))
+    frames = [spark.createDataFrame(sorted(x), "cluster_id long, member_id long") for x in (old, new)]
+    want = {}
+    for a, m in old:
+        for b, k in new:
+            if m == k:
+                want[a, b] = want.get((a, b), 0) + 1
+    size = lambda rows, c: sum(x == c for x, _ in rows)
+    got = W.build_overlap(*frames)
+    assert {tuple(r) for r in got.collect()} == {(a, b, n, size(old, a), size(new, b)) for (a, b), n in want.items()}
+    assert W._shared_members(*frames, "old_cluster", "new_cluster").rdd.getNumPartitions() == sum(want.values()) // 50 + 1
+    assert {tuple(r) for r in W.split_clusters(got).collect()} == {(a, n) for a in range(12) if (n := sum(x == a for x, _ in want)) > 1}
+    assert W.build_overlap(frames[0].limit(0), frames[1]).count() == 0

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.group import GroupedData
 
 from sporeline.operators import families as P
+from sporeline.operators import features as FT
 from sporeline.operators import warehouse as W
 
 
@@ -81,3 +83,27 @@ def test_pairs_of_clusters_are_dealt_by_their_number(spark, monkeypatch):
     assert W._shared_members(*frames, "old_cluster", "new_cluster").rdd.getNumPartitions() == sum(want.values()) // 50 + 1
     assert {tuple(r) for r in W.split_clusters(got).collect()} == {(a, n) for a in range(12) if (n := sum(x == a for x, _ in want)) > 1}
     assert W.build_overlap(frames[0].limit(0), frames[1]).count() == 0
+
+
+def most_rows_of_a_task(df):
+    return max(df.groupBy(F.spark_partition_id()).count().collect(), key=lambda r: r["count"])["count"]
+
+
+def test_models_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(FT, "ROWS", 60)
+    rng = random.Random(8)
+    pieces = [(f"g{k}.1", "+-"[k % 2], t, x, x + 40) for k in range(100) for t, x in [("exon", 1), ("exon", 90), ("exon", 300), ("CDS", rng.choice([1, 60])), ("intron", 42)]]
+    rows = spark.createDataFrame(pieces, "parent string, strand string, type string, start long, end long")
+    fused = FT.rebuild_models(rows)
+    assert fused.where("type = 'exon'").count() == 300 - sum(1 for *_, t, x, _ in pieces if t == "CDS" and x == 60)
+    # 500 rows over 60 a task: nine partitions, and no exchange after the rows are dealt
+    plan = fused._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(parent" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert fused.rdd.getNumPartitions() % 9 == 0
+    genes = spark.createDataFrame([(f"g{k}", "s", "+", 1, 400) for k in range(100)], "gene string, seqid string, strand string, start long, end long")
+    mrnas = genes.select("gene", F.concat("gene", F.lit(".1")).alias("mrna"), F.concat("gene", F.lit(".1.1")).alias("name"), "strand", F.lit("n").alias("note"), F.array(F.lit("5'")).alias("partial"), F.array(F.lit("GO:1")).alias("terms"))
+    go = spark.createDataFrame([("GO:1", "growth", "biological_process")], "go_id string, name string, namespace string")
+    table = FT.feature_table(genes, mrnas, rows.where("type <> 'intron'").select(F.col("parent").alias("mrna"), "type", "start", "end"), go).cache()
+    assert table.where("ord.k IN (1, 3)").count() == 400
+    assert most_rows_of_a_task(table.where("ord.k IN (1, 3)")) < 200
+    table.unpersist()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sporeline.functions.columns import fresh
 from sporeline.functions.storage import materialize
-from sporeline.llm.similar import fingerprint, linked_classes
+from sporeline.llm.similar import Screen, fingerprint, linked_classes
 from sporeline.llm.wordhash import U, chunks, counted, mix, seeded, shingles, word_hashes
 
 WORDS = 5
@@ -112,6 +112,34 @@ def similar_texts(a: list[str], b: list[str]) -> list[bool]:
     return [probability_jaccard(of(x), of(y)) >= THRESHOLD - 1e-9 for x, y in zip(a, b, strict=True)]
 
 
+def sketches(texts: list[str]) -> list[tuple[bytes, float]]:
+    """(bits, sum of weights) of the shingles of each text; sixteen bits a shingle at least, 512 a text."""
+    out = []
+    for text in texts:
+        elements, _, weights = _weighted([text.encode("utf-8", "surrogatepass")])
+        size = 512
+        while size < 16 * len(elements):
+            size *= 2
+        bits = np.zeros(size, dtype=np.uint8)
+        bits[(elements % U(size)).astype(np.int64)] = 1
+        out.append((np.packbits(bits, bitorder="little").tobytes(), float(weights.sum())))
+    return out
+
+
+def could_be_similar(only_a: np.ndarray, only_b: np.ndarray, weight_a: np.ndarray, weight_b: np.ndarray) -> np.ndarray:
+    """Which pairs may reach the threshold, by an upper bound of the probability Jaccard.
+
+    Each bit that one text alone has stands for a shingle of its own, of weight
+    1 at least. With own weights u, v and shared weights s, t, a shared shingle
+    adds at most 1 / ((s + u) / a + v / b), which is concave in its weights a, b
+    and grows with both, so all of them add at most 1 / (1 + u / s + v / t).
+    """
+    shared_a, shared_b = weight_a - only_a, weight_b - only_b
+    some = (shared_a > 0) & (shared_b > 0)
+    ratio = only_a / np.where(some, shared_a, 1.0) + only_b / np.where(some, shared_b, 1.0)
+    return some & (1.0 / (1.0 + ratio) >= THRESHOLD - 1e-6)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, class, class_id, class_size, keep) for every row of ``docs``.
 
@@ -138,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = slim.select(F.col("id").cast(kind).alias("id"), "fp", "bands", F.monotonically_increasing_id().alias("row"))
     texts_of = slim.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("low"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     texts = named.groupBy("fp").agg(F.first("text").alias("body"))
-    linked = linked_classes(texts_of.select("fp", "bands"), texts, [signer(level) for level in range(1, len(LEVELS))], similar_texts)
+    linked = linked_classes(texts_of.select("fp", "bands"), texts, [signer(level) for level in range(1, len(LEVELS))], similar_texts, Screen(sketches, could_be_similar))
     sized = texts_of.select("fp", "low", "n").join(linked, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
     heads = sized.groupBy("class").agg(F.min("low").alias("head"), F.sum("n").alias("class_size"))
     by_text = sized.join(heads, "class").select("fp", "class", "head", "class_size")

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 LEAF = 8192
 SEGMENT = 32768
+#: Characters whose ids a worker holds at once, about, beside one text of any length.
+RUN = 1 << 20
 #: A character that is no white space, then plain white space: the second always starts a new match.
 BREAK = re.compile(r"\S[ \t\r\n]")
 
@@ -121,10 +124,12 @@ def encode(docs: DataFrame, shared: Broadcast, text_col: str = "text", out: str
     an empty one. Row order is not kept.
     """
 
+    # runs of a batch are given back one by one, so a worker never holds the ids of a whole batch
     @F.pandas_udf("array<int>")
-    def ids_of(texts: pd.Series) -> pd.Series:
+    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         made = codec(shared)
-        return pd.Series([made.encode(t) for t in texts], dtype=object)
+        for texts in _runs(batches):
+            yield pd.Series([made.encode(t) for t in texts], dtype=object)
 
     kind = "struct<ids:array<int>,bytes:binary>" if decoded else "struct<ids:array<int>>"
 
@@ -135,9 +140,10 @@ def encode(docs: DataFrame, shared: Broadcast, text_col: str = "text", out: str
         return pd.DataFrame(found)
 
     @F.pandas_udf(kind)
-    def encoded(texts: pd.Series) -> pd.DataFrame:
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         made = codec(shared)
-        return result(made, [made.encode(t) for t in texts])
+        for texts in _runs(batches):
+            yield result(made, [made.encode(t) for t in texts])
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         made, rows = codec(shared), pdf.sort_values("_i")
@@ -163,6 +169,15 @@ def encode(docs: DataFrame, shared: Broadcast, text_col: str = "text", out: str
     return plain.unionByName(whole).select(*[F.col("_row")[c].alias(c) for c in own], F.col("_ids.ids").alias(out), *more)
 
 
+def _runs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The texts of the batches in their order, in runs of about RUN characters."""
+    for texts in batches:
+        ends = texts.str.len().cumsum().to_numpy() // RUN
+        cuts = [0, *(np.flatnonzero(ends[1:] != ends[:-1]) + 1).tolist(), len(texts)] if len(texts) else []
+        for a, b in zip(cuts, cuts[1:]):
+            yield texts.iloc[a:b]
+
+
 def _tree(made: Codec, parts: list[tuple[str, np.ndarray]]) -> np.ndarray:
     """Join encoded neighbours pairwise until one is left."""
     while len(parts) > 1:

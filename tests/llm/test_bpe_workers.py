@@ -28,3 +28,19 @@ def test_ids_and_their_text_come_from_one_worker(spark, tmp_path, monkeypatch, s
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # ids of short texts, ids of pieces; no third or fourth for decoding, and no list of all long texts of a batch
     assert plan.count("ArrowEvalPython") == 2 and "collect_list" not in plan
+
+
+def test_a_worker_holds_the_ids_of_a_run_and_not_of_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "RUN", 1000)
+    texts = ["some words é " * k for k in range(60)] + ["", None, "x" * 3000, "end"]
+    import pandas as pd
+
+    runs = [r.tolist() for r in bpe._runs(iter([pd.Series([t or "" for t in texts]), pd.Series([], dtype=object)]))]
+    assert [t for r in runs for t in r] == [t or "" for t in texts]
+    assert len(runs) > 20 and all(sum(map(len, r[1:])) < 1000 for r in runs)
+    shared = bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoding = bpe.Codec(*shared.value).encoding
+    rows = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), shared, decoded="bytes").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.ids == encoding.encode_ordinary(texts[r.doc_id] or "") and bytes(r.bytes).decode() == (texts[r.doc_id] or "")

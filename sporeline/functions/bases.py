@@ -1,7 +1,8 @@
-"""Columns of bases: complement and translation."""
+"""Columns of bases: complement, translation, open pieces."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +25,36 @@ def peptide(seq: Column) -> Column:
 
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
+
+
+_CODE = np.full(128, 4, dtype=np.uint8)
+_CODE[[ord(c) for c in _BASES]] = range(4)
+_OTHER_STRAND = np.array([2, 3, 0, 1, 4], dtype=np.uint8)
+_LETTER = np.frombuffer(_AMINO.encode(), dtype=np.uint8)
+
+
+def longest_open_pieces(seq: str) -> list[dict]:
+    """The longest stop-free pieces over the six frames of an upper-case sequence: frame, begin on its strand, protein, cds."""
+    plus = _CODE[np.minimum(np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 127)]
+    found, top = [], 1
+    for sign, strand in ((1, plus), (-1, _OTHER_STRAND[plus[::-1]])):
+        for shift in range(3):
+            codons = strand[shift : shift + max(len(strand) - shift, 0) // 3 * 3].reshape(-1, 3)
+            known = (codons < 4).all(axis=1)
+            letters = np.where(known, _LETTER[np.where(known, codons @ np.array([16, 4, 1]), 0)], ord("X")).astype(np.uint8)
+            stops = np.flatnonzero(letters == ord("*"))
+            starts, ends = np.concatenate([[0], stops + 1]), np.concatenate([stops, [len(letters)]])
+            most = int((ends - starts).max())
+            if most > top:
+                found, top = [], most
+            if most == top:
+                found += [(sign, shift, int(a), letters[a:b].tobytes().decode()) for a, b in zip(starts, ends, strict=True) if b - a == top]
+    rows = []
+    for sign, shift, start, protein in found:
+        begin, size = shift + 3 * start, 3 * len(protein)
+        cds = seq[begin : begin + size] if sign > 0 else seq[len(seq) - begin - size : len(seq) - begin][::-1].translate(_COMPLEMENT)
+        rows.append({"frame": sign * (shift + 1), "begin": begin, "protein": protein, "cds": cds})
+    return rows
+
+
+_COMPLEMENT = str.maketrans("ACGT", "TGCA")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sporeline.functions.bases import peptide, reverse_complement
+from sporeline.functions.bases import longest_open_pieces, peptide, reverse_complement
 from sporeline.functions.numbering import numbered
 from sporeline.operators import chunks as C
 
@@ -227,25 +228,15 @@ def translate_cds(cds: DataFrame, strip_lower: bool = False, max_other: float =
 
 def longest_orf(seqs: DataFrame) -> DataFrame:
     """Q20: (id, frame, begin, protein, cds): all longest stop-free pieces over six frames; begin is 0-based on the strand of the frame. Ids are unique."""
-    plus = F.upper(F.coalesce("seq", F.lit("")))
-    minus = F.translate(F.reverse(plus), "ACGT", "TGCA")
-    frames = F.array(*[F.struct(F.lit(sign * (shift + 1)).alias("frame"), F.lit(shift).alias("shift"), strand.alias("strand")) for sign, strand in ((1, plus), (-1, minus)) for shift in range(3)])
-    each = seqs.select("id", F.explode(frames).alias("f")).select("id", "f.*")
-    each = each.withColumn("p", peptide(F.substring("strand", F.col("shift") + 1, F.length("strand"))))
-    pieces = F.split("p", r"\*")
-    best = each.select("id", "frame", "shift", "strand", pieces.alias("pieces"), F.array_max(F.transform(pieces, lambda x: F.length(x))).alias("m"))
-    top = best.groupBy("id").agg(F.max("m").alias("top")).where("top > 0")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,piece:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        hit = F.array(F.struct(acc["at"].alias("at"), x.alias("piece")))
-        out = F.when(F.length(x) == F.col("top"), F.concat(acc["out"], hit)).otherwise(acc["out"])
-        return F.struct((acc["at"] + F.length(x) + 1).cast("int").alias("at"), out.alias("out"))
-
-    kept = best.where("m > 0").join(top, "id").where("m = top")
-    found = kept.select("id", "frame", "shift", "strand", F.explode(F.aggregate("pieces", zero, step, lambda acc: acc["out"])).alias("x"))
-    begin = F.col("shift") + 3 * F.col("x.at")
-    return found.select("id", "frame", begin.cast("int").alias("begin"), F.col("x.piece").alias("protein"), F.substring("strand", begin + 1, 3 * F.length("x.piece")).alias("cds"))
+
+    @F.pandas_udf("array<struct<frame:int,begin:int,protein:string,cds:string>>")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for seqs in batches:
+            yield pd.Series([longest_open_pieces(s) for s in seqs], dtype=object)
+
+    found = seqs.where("id IS NOT NULL").select("id", F.explode(pieces(F.upper(F.coalesce("seq", F.lit(""))))).alias("x")).select("id", "x.*")
+    top = found.withColumn("top", F.max(F.length("protein")).over(Window.partitionBy("id")))  # ids that repeat share their longest
+    return top.where(F.length("protein") == F.col("top")).drop("top")
 
 
 def walk_start_stop(seqs: DataFrame, best_hits: DataFrame) -> DataFrame:

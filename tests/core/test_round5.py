@@ -1,5 +1,6 @@
 """Faults found in the fifth round: roles of ranges, genes without a trim."""
 
+from sporeline.operators import features as FT
 from sporeline.plans import interval_queries as Q
 
 SPAN = "id string, ref string, start long, end long"
@@ -13,3 +14,12 @@ def test_marks_are_the_first_of_two_ranges(spark, monkeypatch):
     assert {tuple(r) for r in Q.i1_overlap_join(spark, "").collect()} == {(i, "m") for i in ("longer", "before", "around", "within")}
     (total,) = Q.i2_overlap_summary(spark, "").collect()
     assert (total.features, total.features_hit) == (8, 4)
+
+
+def test_genes_without_a_trim_stay_as_they_are(spark):
+    """A piece of one base goes where its gene is trimmed only, be it by no more than one codon."""
+    rows = [(g, kind, "+", s, e) for g in ("none", "zero", "cut") for kind, s, e in (("gene", 10, 30), ("exon", 20, 20), ("exon", 9, 12), ("exon", 14, 31))]
+    trims = spark.createDataFrame([("zero", 0, 0), ("cut", 1, 0)], "gene string, five long, three long")
+    got = FT.trim_models(spark.createDataFrame(rows, "gene string, type string, strand string, start long, end long"), trims)
+    want = {r for r in rows if r[0] != "cut"} | {("cut", "gene", "+", 13, 30), ("cut", "exon", "+", 14, 30)}
+    assert {tuple(r) for r in got.collect()} == want
